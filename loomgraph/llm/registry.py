@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from loomgraph.llm.bpe import op2_bpe
 from loomgraph.llm.packing import op8_packing
+from loomgraph.llm.pii import op7_pii
 from loomgraph.llm.quality import op1_quality_rules
+from loomgraph.llm.simhash import op3_simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_bpe": op2_bpe,
+        "op3_simhash": op3_simhash,
+        "op7_pii": op7_pii,
         "op8_packing": op8_packing,
     }
 
