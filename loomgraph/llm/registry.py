@@ -7,6 +7,7 @@ from loomgraph.llm.packing import op8_packing
 from loomgraph.llm.pii import op7_pii
 from loomgraph.llm.quality import op1_quality_rules
 from loomgraph.llm.simhash import op3_simhash
+from loomgraph.llm.suffixes import op6_suffix_dedup
 
 
 def queries() -> dict:
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op1_quality_rules": op1_quality_rules,
         "op2_bpe": op2_bpe,
         "op3_simhash": op3_simhash,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_pii": op7_pii,
         "op8_packing": op8_packing,
     }
