@@ -6,6 +6,7 @@ from loomgraph.llm.bpe import op2_bpe
 from loomgraph.llm.packing import op8_packing
 from loomgraph.llm.pii import op7_pii
 from loomgraph.llm.quality import op1_quality_rules
+from loomgraph.llm.scoring import op4_lm_scoring
 from loomgraph.llm.simhash import op3_simhash
 from loomgraph.llm.suffixes import op6_suffix_dedup
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op1_quality_rules": op1_quality_rules,
         "op2_bpe": op2_bpe,
         "op3_simhash": op3_simhash,
+        "op4_lm_scoring": op4_lm_scoring,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_pii": op7_pii,
         "op8_packing": op8_packing,
