@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def safe_col(name: str) -> str:
@@ -28,12 +29,12 @@ def identifier(c: Column) -> Column:
     return F.regexp_replace(F.initcap(F.trim(c)), r"\s+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else "".join(ch for ch in unicodedata.normalize("NFD", t) if unicodedata.category(ch) != "Mn"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def parse_list(s: pd.Series) -> pd.Series:
     """A Python list literal as an array of strings; anything else gives null. Never evaluates code."""
 
@@ -80,7 +81,7 @@ def jaro_winkler_one(a: str | None, b: str | None, scale: float = 0.1, longest:
     return j + same * scale * (1 - j)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_one(x, y) for x, y in zip(a, b)], dtype=float)
 
@@ -96,12 +97,12 @@ def stem_word(w: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stem(ws: pd.Series) -> pd.Series:
     return ws.map(lambda x: None if x is None else [stem_word(w) for w in x])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_wiki(s: pd.Series) -> pd.Series:
     """Wiki markup to plain text: links keep their label, templates, references, comments and tags go."""
 

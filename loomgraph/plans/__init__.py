@@ -1,4 +1,4 @@
 """Queries: importing the modules registers them."""
 
-from loomgraph.plans import graph_queries  # noqa: F401
+from loomgraph.plans import graph_queries, relational_queries, sampling_queries  # noqa: F401
 from loomgraph.plans.registry import QUERIES, SQL  # noqa: F401
