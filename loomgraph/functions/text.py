@@ -142,4 +142,4 @@ def mail_columns(message: Column) -> dict[str, Column]:
     head, body = F.regexp_replace(halves[0], r"\r?\n[ \t]+", " "), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
     out = {h.lower().replace("-", "_"): F.trim(F.regexp_extract(head, rf"(?mi)^{h}:(.*)$", 1)) for h in HEADERS}
     mark = r"(?s)-{3,}\s*(?:Forwarded by|Original Message).*$"
-    return out | {"content": F.trim(F.regexp_replace(body, mark, "")), "if_forwarded": body.rlike(mark)}
+    return out | {"content": F.btrim(F.regexp_replace(body, mark, ""), F.lit(" \t\r\n")), "if_forwarded": body.rlike(mark)}

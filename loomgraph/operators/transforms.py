@@ -58,7 +58,9 @@ def offsets(counts: list[tuple[str, int]]) -> dict[str, tuple[int, int]]:
 
 
 def to_homogeneous(g: TemporalGraph, ranges: dict[str, tuple[int, int]], node_attrs=("timestamp_from",), edge_attrs=("timestamp_from", "weight")) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) with global ids. A type's range is a literal in its own branch: no join is needed."""
+    """(nodes, edges) with global ids and the attributes that every type has. A type's range is a literal in its own branch: no join is needed."""
+    node_attrs = [c for c in node_attrs if all(c in n.columns for n in g.nodes.values())]
+    edge_attrs = [c for c in edge_attrs if all(c in e.columns for e in g.edges.values())]
     nodes = union(n.select((F.col("id") + ranges[t][0]).alias("id"), F.lit(t).alias("type"), *node_attrs) for t, n in g.nodes.items())
     edges = union(
         e.select((F.col("src") + ranges[s][0]).alias("src"), (F.col("dst") + ranges[d][0]).alias("dst"), F.lit(r).alias("rel"), *edge_attrs)
