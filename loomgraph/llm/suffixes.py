@@ -29,9 +29,9 @@ from loomgraph.llm.common import parts, table, written
 
 U = np.uint64
 _MUL, _STEP = U(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
-#: Bits of a place in a buffer, and so the most bytes that are looked at together.
+#: Bits of a place in a buffer, which bound the bytes that are looked at together; few enough bytes that they stay in cache.
 _PLACE = 24
-SEGMENT = 8 << 20
+SEGMENT = 160 << 10
 
 
 @dataclass(frozen=True)
@@ -196,81 +196,72 @@ def build_filter(texts: DataFrame, p: Params) -> Filter:
     return Filter(bits, np.array(hot, np.int64), (1 << p.filter_bits) - 1)
 
 
-def _shared_runs(batches, model, p: Params, hot: bool):
-    for data, bounds, rids, offsets in _buffers(batches, p):
-        first, count, h = runs(data, bounds, p)
-        if len(h):
-            yes, is_hot = model.value.shared(h)
-            pick = is_hot if hot else yes & ~is_hot
-            if pick.any():
-                first, count, h = first[pick], count[pick], h[pick]
-                own = np.searchsorted(bounds, first, "right") - 1
-                yield data, bounds, rids, offsets, first, count, h, own
+#: What a dealt row is: a piece (once a task, with its number), a place of a piece, a window of a hot minimiser.
+PIECE, PLACE, WINDOW = 0, 1, 2
+DEALT = "kind int, anchor long, what long, rid long, start long, n long, raw binary"
 
 
-def _pieces(model, p: Params, hold: int = 24 << 20):
-    """Each different piece of a task once, with its number of occurrences."""
-    schema = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("n", pa.int64()), ("raw", pa.binary())])
+def _deal(model, p: Params, hold: int = 16 << 20, rows: int = 100_000):
+    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("anchor", "what", "rid", "start", "n")), ("raw", pa.binary())])
+    digest = xxhash.xxh3_64_intdigest
+
+    def batch(kind: int, anchor=None, what=None, rid=None, start=None, n=None, raw=None) -> pa.RecordBatch:
+        size = len(what)
+        number = lambda c: pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64())
+        text = pa.nulls(size, pa.binary()) if raw is None else pa.array(raw, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *map(number, (anchor, what, rid, start, n)), text], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}
-        held = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = list(kept.items())
-            for at in range(0, len(rows), 4096):
-                some = rows[at : at + 4096]
-                piece = np.array([x[0] for x in some], U).view(np.int64)
-                anchor = np.array([x[1][0] for x in some], U).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(piece), pa.array([x[1][1] for x in some], pa.int64()), pa.array([x[1][2] for x in some], pa.binary())], schema=schema)
-
-        for data, _, _, _, first, count, h, _ in _shared_runs(batches, model, p, False):
-            raw = data.tobytes()
-            for a, c, x in zip(first.tolist(), count.tolist(), h.tolist()):
-                text = raw[a : a + c + p.length - 1]
-                key = xxhash.xxh3_64_intdigest(text)
-                seen = kept.get(key)
-                if seen:
-                    seen[1] += 1
-                else:
-                    kept[key] = [x, 1, text]
-                    held += len(text) + 250
+        held = placed = 0
+        places: list[tuple] = []
+
+        def pieces() -> Iterator[pa.RecordBatch]:
+            all_ = list(kept.items())
+            for at in range(0, len(all_), 4096):
+                some = all_[at : at + 4096]
+                keys = np.array([x[0] for x in some], U).view(np.int64)
+                anchors = np.array([x[1][0] for x in some], U).view(np.int64)
+                yield batch(PIECE, anchors, keys, n=[x[1][1] for x in some], raw=[x[1][2] for x in some])
+
+        for data, bounds, rids, offsets in _buffers(batches, p):
+            first, count, h = runs(data, bounds, p)
+            if not len(h):
+                continue
+            shared, hot = model.value.shared(h)
+            own = np.searchsorted(bounds, first, "right") - 1
+            rid, at = np.array(rids, np.int64)[own], first - bounds[own] + offsets[own]
+            plain = np.flatnonzero(shared & ~hot)
+            if len(plain):
+                raw, keys = data.tobytes(), np.empty(len(plain), U)
+                for k, (a, c, x) in enumerate(zip(first[plain].tolist(), count[plain].tolist(), h[plain].tolist())):
+                    text = raw[a : a + c + p.length - 1]
+                    keys[k] = key = digest(text)
+                    seen = kept.get(key)
+                    if seen:
+                        seen[1] += 1
+                    else:
+                        kept[key] = [x, 1, text]
+                        held += c + p.length + 250
+                places.append((keys.view(np.int64), rid[plain], at[plain]))
+                placed += len(plain)
+            if hot.any():
+                whole = _rolling(data, p.length)
+                f, c = first[hot], count[hot]
+                for k in range(0, len(f), 1000):
+                    cs = c[k : k + 1000]
+                    step = np.arange(cs.sum()) - np.repeat(np.append(0, np.cumsum(cs)[:-1]), cs)
+                    spread = lambda v: np.repeat(v[hot][k : k + 1000], cs)  # noqa: B023, E731
+                    yield batch(WINDOW, spread(h).view(np.int64), whole[spread(first) + step].view(np.int64), spread(rid), spread(at) + step)
+            if placed > rows:
+                yield batch(PLACE, what=np.concatenate([x[0] for x in places]), rid=np.concatenate([x[1] for x in places]), start=np.concatenate([x[2] for x in places]))
+                places, placed = [], 0
             if held > hold:
-                yield from out()
+                yield from pieces()
                 kept, held = {}, 0
-        yield from out()
-
-    return run
-
-
-def _occurrences(model, p: Params):
-    schema = pa.schema([("piece", pa.int64()), ("rid", pa.int64()), ("start", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, bounds, rids, offsets, first, count, _, own in _shared_runs(batches, model, p, False):
-            raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
-            piece = np.fromiter((digest(raw[a : a + c + p.length - 1]) for a, c in zip(first.tolist(), count.tolist())), U, len(first))
-            start = first - bounds[own] + offsets[own]
-            yield pa.RecordBatch.from_arrays([pa.array(piece.view(np.int64)), pa.array(np.array(rids, np.int64)[own]), pa.array(start)], schema=schema)
-
-    return run
-
-
-def _hot_windows(model, p: Params):
-    """Each window of the hot minimisers: the minimiser, a hash of the whole window, its place."""
-    schema = pa.schema([("anchor", pa.int64()), ("window", pa.int64()), ("rid", pa.int64()), ("start", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, bounds, rids, offsets, first, count, h, own in _shared_runs(batches, model, p, True):
-            whole = _rolling(data, p.length)
-            for k in range(0, len(first), 2000):
-                f, c = first[k : k + 2000], count[k : k + 2000]
-                at = np.repeat(f - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())
-                o = np.repeat(own[k : k + 2000], c)
-                anchor = np.repeat(h[k : k + 2000], c)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(whole[at].view(np.int64)), pa.array(np.array(rids, np.int64)[o]), pa.array(at - bounds[o] + offsets[o])], schema=schema
-                )
+        if places:
+            yield batch(PLACE, what=np.concatenate([x[0] for x in places]), rid=np.concatenate([x[1] for x in places]), start=np.concatenate([x[2] for x in places]))
+        yield from pieces()
 
     return run
 
@@ -434,16 +425,14 @@ def repeats(texts: DataFrame, p: Params = Params()) -> DataFrame:
     """texts (rid, raw binary) -> (rid, spans): arrays of [start, end) byte ranges that repeated windows cover, merged, in order."""
     spark = texts.sparkSession
     model = spark.sparkContext.broadcast(build_filter(texts, p))  # 2 ** filter_bits bits
-    pieces = texts.mapInArrow(_pieces(model, p), "anchor long, piece long, n long, raw binary")
-    dealt = pieces.repartition(parts(spark), "anchor").sortWithinPartitions("anchor")
-    ranges = written(dealt.mapInArrow(_sorter(p), "piece long, lo long, hi long"))
-    found = (
-        texts.mapInArrow(_occurrences(model, p), "piece long, rid long, start long")
-        .join(ranges, "piece")
-        .select("rid", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + (p.length - 1)).alias("b"))
-    )
+    dealt = written(texts.mapInArrow(_deal(model, p), DEALT), "kind")
+    pieces = dealt.where(F.col("kind") == PIECE).select("anchor", F.col("what").alias("piece"), "n", "raw")
+    together = pieces.repartition(parts(spark), "anchor").sortWithinPartitions("anchor")
+    ranges = written(together.mapInArrow(_sorter(p), "piece long, lo long, hi long"))
+    places = dealt.where(F.col("kind") == PLACE).select(F.col("what").alias("piece"), "rid", "start")
+    found = places.join(ranges, "piece").select("rid", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + (p.length - 1)).alias("b"))
     if len(model.value.hot):
-        windows = texts.mapInArrow(_hot_windows(model, p), "anchor long, window long, rid long, start long")
+        windows = dealt.where(F.col("kind") == WINDOW).select("anchor", F.col("what").alias("window"), "rid", "start")
         again = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
         hot = windows.join(again, ["anchor", "window"]).select("rid", F.col("start").alias("a"), (F.col("start") + p.length).alias("b"))
         found = found.unionByName(hot)
