@@ -145,7 +145,8 @@ def dedup(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     found = written(groups(docs, words, bits))
     stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     stay = written(stay.select(F.col("doc_id").alias("loom_id"), "n"))
-    kept = docs.where("doc_id is not null").join(stay.select("loom_id"), F.col("doc_id") == F.col("loom_id"), "left_semi")
+    # the ids that stay grow with the documents: a merge join at any size, never a broadcast
+    kept = docs.where("doc_id is not null").join(stay.select("loom_id").hint("merge"), F.col("doc_id") == F.col("loom_id"), "left_semi")
     if stay.where("n > 1").limit(1).count():  # a doc_id that occurs again: its rows lie together after the join
         kept = kept.dropDuplicates(["doc_id"])
     lost = found.where("doc_id is null").limit(1).count()

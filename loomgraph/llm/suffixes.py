@@ -463,7 +463,8 @@ def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     numbered = docs.withColumn("s_rid", F.monotonically_increasing_id())
     texts = numbered.select(F.col("s_rid").alias("rid"), F.col("text").cast("string").cast("binary").alias("raw"))
     ranges = repeats(texts, p).select(F.col("rid").alias("s_to"), F.col("ranges").alias("s_ranges"))
-    joined = numbered.join(ranges, F.col("s_rid") == F.col("s_to"), "left").drop("s_to", "s_rid")
+    # the ranges grow with the texts: a merge join at any size, never a broadcast
+    joined = numbered.join(ranges.hint("merge"), F.col("s_rid") == F.col("s_to"), "left").drop("s_to", "s_rid")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(raws, found):
