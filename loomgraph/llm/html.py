@@ -261,8 +261,8 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
     bare = numbered.where("not h_rooted")
     known = written(templates(numbered.select(F.col("h_host").alias("host"), "html"), p))
     own = bare.select(F.col("h_rid").alias("rid"), F.col("h_host").alias("host"), "html").mapInArrow(_page_subtrees(), "rid long, host string, digest long")
-    hit = own.join(known, ["host", "digest"]).groupBy("rid").agg(F.collect_set("digest").alias("h_digests"))
-    bare = bare.join(hit, F.col("h_rid") == F.col("rid"), "left").withColumn("h_text", text_of("html", F.coalesce("h_digests", no_template)))
+    hit = own.join(known, ["host", "digest"]).groupBy(F.col("rid").alias("h_to")).agg(F.collect_set("digest").alias("h_digests"))
+    bare = bare.join(hit, F.col("h_rid") == F.col("h_to"), "left").withColumn("h_text", text_of("html", F.coalesce("h_digests", no_template)))
     names = [*[c for c in pages.columns if c not in ("h_host", "h_text")], "h_host", "h_text"]
     return rooted.select(*names).unionByName(bare.select(*names))
 

@@ -1,9 +1,9 @@
 """URL filters: rules first, then naive Bayes over segmented host and path words.
 
 Host labels are often words run together. A unigram Viterbi pass splits every
-run of letters into dictionary words; multinomial naive Bayes, trained on the
-whole table with hosts that hold a seed word as the block class, scores the
-segmented tokens of host and path. A rule that fits always overrides it.
+run of letters into dictionary words; multinomial naive Bayes, trained on
+all different hosts and paths with hosts that hold a seed word as the block
+class, scores the segmented tokens of host and path (of two letters or more). A rule that fits always overrides it.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ RULES = (
 )
 #: Words of the hosts that train the block class.
 SEED_WORDS = (
-    "spam", "pills", "casino", "viagra", "porn", "xxx", "adult", "escort", "gambling", "poker", "betting", "loans",
-    "payday", "malware", "phishing", "warez", "crack", "torrent", "replica", "jackpot", "clickbait",
+    "spam", "pills", "casino", "viagra", "porn", "xxx", "sex", "adult", "escort", "gambling", "poker", "bet", "bets", "betting", "loans",
+    "payday", "malware", "phishing", "warez", "crack", "torrent", "replica", "jackpot", "clickbait", "ads", "adserver", "track", "tracker", "tracking",
 )
 #: Common words that dictionaries of any table start with, each with the weight of one sighting.
 COMMON_WORDS = (
@@ -42,12 +42,16 @@ COMMON_WORDS = (
 
 @dataclass(frozen=True)
 class Params:
-    """vocabulary bounds the words of the model that is broadcast (of at most longest letters each)."""
+    """vocabulary bounds the words of the model that is broadcast (of at most longest letters each).
+
+    prior is the log odds of block before any token; the classes count alike, as seed words show few of the hosts to block.
+    """
 
     vocabulary: int = 50_000
     longest: int = 24
     smoothing: float = 1.0
     unknown: float = 0.05
+    prior: float = 0.0
 
 
 def host_of(url: Column) -> Column:
@@ -74,6 +78,13 @@ def letters(host: Column, path: Column) -> Column:
     return F.filter(F.split(F.lower(F.concat_ws(" ", host, path)), r"[^\p{L}]+"), lambda w: w != "")
 
 
+def dictionary_words(host: Column, path: Column) -> Column:
+    """Words of the path, and of host labels that signs divide; a label in one run may be several words, so it is no evidence."""
+    split = lambda x: F.filter(F.split(F.lower(x), r"[^\p{L}]+"), lambda w: w != "")
+    labels = F.filter(F.transform(F.split(host, r"\."), split), lambda ws: F.size(ws) > 1)
+    return F.concat(F.flatten(labels), split(path))
+
+
 def segment(word: str, cost: dict[str, float], unknown: float, longest: int) -> list[str]:
     """The cheapest split of word into dictionary words; letters that no word covers cost `unknown` each and stay together."""
     n = len(word)
@@ -123,11 +134,11 @@ def _tokens(dictionary, longest: int):
         for batch in batches:
             count: dict[tuple[str, bool], int] = {}
             for words, host in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [t for w in words for t in split(w)]
+                found = [t for w in words for t in split(w) if len(t) > 1]
                 own = {t for w in host for t in split(w)}
                 bad = not own.isdisjoint(SEED_WORDS)
-                for t in [*found, ""]:  # the empty token counts the rows of a class
-                    key = (t if t in cost or not t else "?", bad)
+                for t in found:
+                    key = (t if t in cost else "?", bad)
                     count[key] = count.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count]), pa.array([k[1] for k in count], pa.bool_()), pa.array(list(count.values()), pa.int64())], schema=schema)
 
@@ -138,7 +149,7 @@ def fit(pages: DataFrame, p: Params = Params()) -> Model:
     """Word counts and class counts over all urls; the driver gets `vocabulary` words and two counts of each at most."""
     url = F.col("url").cast("string")
     rows = pages.select(letters(host_of(url), path_of(url)).alias("words"), letters(host_of(url), F.lit("")).alias("host"))
-    words = rows.select(F.explode("words").alias("w")).where(F.length("w").between(2, p.longest)).groupBy("w").agg(F.count("*").alias("n"))
+    words = pages.select(F.explode(dictionary_words(host_of(url), path_of(url))).alias("w")).where(F.length("w").between(2, p.longest)).groupBy("w").agg(F.count("*").alias("n"))
     top = words.orderBy(F.desc("n"), "w").limit(p.vocabulary).collect()
     count = {w: 1.0 for w in (*SEED_WORDS, *COMMON_WORDS)}
     for r in top:
@@ -148,22 +159,21 @@ def fit(pages: DataFrame, p: Params = Params()) -> Model:
     unknown = -math.log(p.unknown / total)
     spark = pages.sparkSession
     dictionary = spark.sparkContext.broadcast((cost, unknown))  # vocabulary words at most
-    seen = rows.mapInArrow(_tokens(dictionary, p.longest), "token string, bad boolean, n long").groupBy("token", "bad").agg(F.sum("n").alias("n")).collect()
+    # each host and path of words trains once, however many pages it has: one busy host must not stand for a class
+    seen = rows.distinct().mapInArrow(_tokens(dictionary, p.longest), "token string, bad boolean, n long").groupBy("token", "bad").agg(F.sum("n").alias("n")).collect()
     by = {True: {}, False: {}}
     for r in seen:
         by[r["bad"]][r["token"]] = r["n"]
-    docs = {c: by[c].pop("", 0) for c in by}
     size = {c: sum(by[c].values()) + p.smoothing * (len(cost) + 1) for c in by}
     weight = lambda t: math.log((by[True].get(t, 0) + p.smoothing) / size[True]) - math.log((by[False].get(t, 0) + p.smoothing) / size[False])
-    prior = math.log((docs[True] + p.smoothing) / (docs[False] + p.smoothing))
-    return Model(cost, unknown, p.longest, {t: weight(t) for t in {*by[True], *by[False]}}, weight("?"), prior)
+    return Model(cost, unknown, p.longest, {t: weight(t) for t in {*by[True], *by[False]}}, weight("?"), p.prior)
 
 
 def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
     """pages with u_host, u_path, u_rule, u_tokens, u_score (log odds of block) and u_verdict.
 
     A null url, or one without ://, has empty host and path and no tokens, fits
-    no rule and is judged by the class sizes alone. Repeated rows are judged
+    no rule and is allowed. Repeated rows are judged
     row by row; an empty table gives no rows; columns named u_* are replaced.
     """
     held = pages.sparkSession.sparkContext.broadcast(model)
@@ -174,7 +184,7 @@ def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
 
         m = held.value
         split = _segmenter(m.cost, m.unknown, m.longest)
-        found = [[t for w in ws for t in split(w)] for ws in words]
+        found = [[t for w in ws for t in split(w) if len(t) > 1] for ws in words]
         return pd.DataFrame({"tokens": found, "score": [m.prior + sum(m.weight.get(t, m.other) for t in ts) for ts in found]})
 
     url = F.col("url").cast("string")
