@@ -21,11 +21,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
-#: Statistics on which rules may put thresholds.
-FEATURES = (
-    "symbol_ratio", "upper_ratio", "bang_ratio", "pipe_ratio", "dup_line_ratio",
-    "repeat_ratio", "distinct_ratio", "mean_word", "words_per_line", "digit_ratio", "log_words",
-)
+#: Statistics on which rules may put thresholds. None follows the length of a text: the share of distinct words, say, falls
+#: with it, and a threshold learned on short texts would reject long clean ones.
+FEATURES = ("symbol_ratio", "upper_ratio", "bang_ratio", "pipe_ratio", "dup_line_ratio", "repeat_ratio", "echo_ratio", "mean_word", "digit_ratio")
 
 
 @dataclass(frozen=True)
@@ -96,7 +94,6 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "q_n_symbols": _only(t, SYMBOLS.replace("|", r"\|").replace("&", r"\&")),
             "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
             "q_n_lines": F.size("q_lines").cast("long"),
-            "q_n_distinct": F.size(F.array_distinct("q_words")).cast("long"),
             "q_upper": _only(t, "A-Z"),
             "q_bang": _only(t, "!"),
             "q_pipe": _only(t, r"\|"),
@@ -104,7 +101,9 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "q_hash": F.transform("q_words", lambda w: F.xxhash64(w)),
         }
     ).drop("q_words", "q_lines")
-    c = b.withColumn("q_two", _pairs(F.col("q_hash"), 1)).drop("q_hash")
+    after = F.greatest(F.size("q_hash") - 1, F.lit(0))
+    echo = F.zip_with(F.slice("q_hash", F.lit(1), after), F.slice("q_hash", F.lit(2), after), lambda x, y: x == y)
+    c = b.withColumns({"q_two": _pairs(F.col("q_hash"), 1), "q_n_echo": F.size(F.filter(echo, lambda x: x)).cast("long")}).drop("q_hash")
     d = c.withColumn("q_four", _pairs(F.col("q_two"), 2)).drop("q_two")
     e = d.withColumn("q_grams", _pairs(F.col("q_four"), 4)).drop("q_four")
     f = e.withColumn("q_n_repeat_words", _repeat_words(F.col("q_grams"))).drop("q_grams")
@@ -117,13 +116,11 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "q_pipe_ratio": per("q_pipe", "q_n_words"),
             "q_dup_line_ratio": per("q_n_dup_lines", "q_n_lines"),
             "q_repeat_ratio": per("q_n_repeat_words", "q_n_words"),
-            "q_distinct_ratio": per("q_n_distinct", "q_n_words"),
+            "q_echo_ratio": per("q_n_echo", "q_n_words"),
             "q_mean_word": per("q_word_chars", "q_n_words"),
-            "q_words_per_line": per("q_n_words", "q_n_lines"),
             "q_digit_ratio": per("q_digit", "q_word_chars"),
-            "q_log_words": F.log1p("q_n_words"),
         }
-    ).drop("q_upper", "q_bang", "q_pipe", "q_digit", "q_n_distinct", "q_n_lines")
+    ).drop("q_upper", "q_bang", "q_pipe", "q_digit", "q_n_echo", "q_n_lines")
 
 
 @dataclass(frozen=True)
