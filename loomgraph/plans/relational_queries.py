@@ -81,7 +81,7 @@ def self_join_names(spark, sf_dir):
 def having_frequent_parts(spark, sf_dir):
     """J6, A2."""
     p = load(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey")
-    return R.frequent(p, "p_type", p.count() // 6) if p.count() % 6 == 0 else R.frequent(p, "p_type", int(p.count() / 6))
+    return R.frequent(p, "p_type", p.count() // 6)  # whole counts exceed a sixth where they exceed its floor
 
 
 @query("SELECT c_custkey AS src, l_suppkey AS dst, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
@@ -259,3 +259,35 @@ def empty_input(spark, sf_dir):
 def hash_buckets(spark, sf_dir):
     """W16."""
     return load(spark, sf_dir, "orders").groupBy(F.pmod(md5_number("o_orderkey"), F.lit(97)).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_size // 10 AS bucket, p_size % 2 = 0 AS mask, dense_rank() OVER (ORDER BY p_brand) - 1 AS part FROM part")
+def masks_and_partitions(spark, sf_dir):
+    """A mask, a value bucket and a numbered partition of each row."""
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
+    ids = R.dense_ids(p.select("p_brand").distinct(), "p_brand", name="part")
+    return p.join(ids, "p_brand").select("p_partkey", F.expr("cast(p_size div 10 as int)").alias("bucket"), (F.col("p_size") % 2 == 0).alias("mask"), "part")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 2")
+def keep_white_columns(spark, sf_dir):
+    """Only the columns of a white list."""
+    from loomgraph.operators.transforms import keep_columns
+
+    n = load(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "r").where("r <> 2")
+    return keep_columns(n, ["n_nationkey", "n_name", "absent"])
+
+
+@query("SELECT c_custkey, CAST(trim(x) AS VARCHAR) AS item FROM (SELECT c_custkey, unnest([c_mktsegment, CAST(c_nationkey AS VARCHAR)]) AS x FROM customer)")
+def parse_literal_lists(spark, sf_dir):
+    """List literals in text, parsed and never evaluated."""
+    c = load(spark, sf_dir, "customer")
+    raw = F.concat(F.lit("['"), "c_mktsegment", F.lit("', "), F.col("c_nationkey").cast("string"), F.lit("]"))
+    return c.select("c_custkey", F.explode(TX.parse_list(raw)).alias("item"))
+
+
+@query()
+def stemmed_words(spark, sf_dir):
+    """Stems of part names."""
+    p = load(spark, sf_dir, "part").select(F.explode(TX.stem(F.split("p_name", " "))).alias("stem"))
+    return p.groupBy("stem").agg(F.count("*").alias("n"))

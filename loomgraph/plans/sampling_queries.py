@@ -439,3 +439,54 @@ def synthetic_mixture(spark, sf_dir):
 def successor_count(spark, sf_dir):
     """How many steps a temporal walk may take in all."""
     return successors(interactions(spark, sf_dir), 3600).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_MEANS}, c AS (SELECT label AS k, list(m ORDER BY i) AS c FROM m GROUP BY 1) SELECT k, other, rn FROM (SELECT a.k, b.k AS other, row_number() OVER (PARTITION BY a.k ORDER BY round(list_distance(a.c, b.c), 9), b.k) AS rn FROM c a JOIN c b ON a.k <> b.k) WHERE rn <= 3")
+def mean_neighbours(spark, sf_dir):
+    """The three nearest other means of each mean; a row a cluster on either side."""
+    from pyspark.sql import Window
+
+    m = M.means(load(spark, sf_dir, "embeddings")).select(F.col("label").alias("k"), "mean")
+    pairs = m.join(m.select(F.col("k").alias("other"), F.col("mean").alias("mean2")), F.col("k") != F.col("other"))
+    w = Window.partitionBy("k").orderBy(F.round(l2(F.col("mean"), F.col("mean2")), 9), "other")
+    return pairs.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("k", "other", F.col("rn").cast("long").alias("rn"))
+
+
+@query(f"WITH {_MEANS} SELECT CAST(i - 1 AS INT) AS i, round(sum(n * m) / sum(n), 6) AS mean, round(sum(n * (var + m * m)) / sum(n) - (sum(n * m) / sum(n)) ** 2, 6) AS var FROM m GROUP BY 1")
+def gaussian_merge(spark, sf_dir):
+    """All clusters merged into one by matching moments."""
+    g = load(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    s = g.groupBy("label", "i").agg(F.count("*").alias("n"), F.avg("x").alias("m"), (F.avg(F.col("x") * F.col("x")) - F.avg("x") * F.avg("x")).alias("var"))
+    mean = F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    var = F.sum(F.col("n") * (F.col("var") + F.col("m") * F.col("m"))) / F.sum("n") - mean * mean
+    return s.groupBy("i").agg(F.round(mean, 6).alias("mean"), F.round(var, 6).alias("var"))
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS z FROM embeddings")
+def hard_assignment(spark, sf_dir):
+    """The place of the largest responsibility."""
+    return load(spark, sf_dir, "embeddings").select("vec_id", (F.array_position("embedding", F.array_max("embedding")) - 1).cast("int").alias("z"))
+
+
+@query(f"SELECT vec_id, round(1 / (1 + exp(-list_sum(list_transform({_V}, lambda x: 0.125 * x)))), 6) AS p FROM embeddings")
+def attention_head(spark, sf_dir):
+    """The sigmoid of a linear head."""
+    z = F.col("embedding")
+    s = F.aggregate(z, F.lit(0.0), lambda a, x: a + 0.125 * x.cast("double"))
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.round(1 / (1 + F.exp(-s)), 6).alias("p"))
+
+
+@query(f"{_PN} SELECT round(avg(1 - 1 / (1 + exp(-pos))), 6) AS positive_error, round(avg(-1 / (1 + exp(-neg))), 6) AS negative_error FROM p")
+def sgd_errors(spark, sf_dir):
+    """The error terms that skip-gram updates are scaled by."""
+    p = _scored_pairs(spark, sf_dir)
+    sig = lambda c: 1 / (1 + F.exp(-F.col(c)))
+    return p.agg(F.round(F.avg(1 - sig("pos")), 6).alias("positive_error"), F.round(F.avg(-sig("neg")), 6).alias("negative_error"))
+
+
+@query()
+def seeded_node_vectors(spark, sf_dir):
+    """M1: seeded vectors of all customers, the masked ones zero."""
+    n = canonical(spark, sf_dir).nodes["Customer"]
+    z = E.seeded_vectors(n, 8)
+    return z.select("id", F.when(F.col("id") % 10 == 0, F.array_repeat(F.lit(0.0), 8)).otherwise(F.col("z")).alias("z")).select("id", F.round(F.col("z")[0], 6).alias("first"))
