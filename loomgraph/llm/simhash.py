@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table, written
+from loomgraph.llm.common import parts, table, written
 from loomgraph.llm.components import components
 
 SEED, WORDS, BITS = 42, 3, 2
@@ -128,7 +128,8 @@ def groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """
     fps = written(fingerprints(docs, words))
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = components(links(classes.select("fp"), bits))
+    spread = classes.select("fp").repartition(parts(classes.sparkSession), "fp")  # the classes lie in a few files; each row becomes many
+    linked = components(links(spread, bits))
     member = written(classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     roots = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(member.join(roots, "root").select("fp", "component_id"))
