@@ -27,7 +27,7 @@ from loomgraph.llm.common import table
 from loomgraph.llm.tokens import codec, default_path
 
 #: Rolling window in bytes, mean chunk in bytes (powers of two), and the store's bound in bytes a worker.
-ROLL, MEAN_CHUNK, STORE_BYTES = 16, 1024, 48 << 20
+ROLL, MEAN_CHUNK, STORE_BYTES = 16, 1024, 24 << 20
 SCHEMA = "doc_id long, ids binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
