@@ -14,7 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,10 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class Params:
-    """max_bits bounds the broadcast filter (2 ** 30 bits are 128 MB); singletons are level 0 and set no bits."""
+    """max_bits bounds the broadcast filter (2 ** 30 bits are 128 MB); singletons are level 0 and set no bits.
+
+    slices is the least number of slices of the pair hash; it grows with the shuffle partitions, so a slice stays as small as they do.
+    """
 
     folds: int = 7
     held_fold: int = 2
@@ -298,6 +301,7 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
         F.expr(f"monotonically_increasing_id() div {p.rows_per_block}").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")
     )
     owners = parts(spark)
+    p = replace(p, slices=max(p.slices, 1 << (owners - 1).bit_length()))
     asked = rows.mapInArrow(_asks(owners, p), "owner int, block long, words binary, counts binary")
     answered = written(asked.groupBy("owner").applyInArrow(_answer, "block long, words binary, counts binary, tokens long, types long"))
     n, v = answered.agg(F.sum("tokens"), F.sum("types")).first()
