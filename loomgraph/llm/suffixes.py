@@ -11,7 +11,8 @@ rank behind it and merged in, to the depth of a window. Neighbours in that order
 are then compared over the whole window, byte by byte.
 
 A minimiser with very many different pieces (a common line in as many settings)
-is dealt window by window instead, by a hash of each whole window.
+is treated window by window instead, by a hash of each whole window: in its task
+up to `most_hot` pieces, dealt over all tasks beyond.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ class Params:
     gram: int = 16
     filter_bits: int = 27
     chunk: int = 48 << 10
+    sort_most: int = 512 << 10
     least_hot: int = 500
     most_hot: int = 50_000
 
@@ -369,6 +371,26 @@ def repeated_starts(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(flag), begin, sizes
 
 
+def repeated_by_hash(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As repeated_starts, by a 64-bit hash of each window: eight bytes a window, where the sort takes some 160 a byte."""
+    sizes = np.array([len(r) for r in raws], np.int64)
+    begin = np.append(0, np.cumsum(sizes + 1))[:-1]
+    hashes, starts = [], []
+    for a in range(0, len(raws), 256):
+        part = raws[a : a + 256]
+        data = np.frombuffer(b"\0".join(part), np.uint8)
+        at = np.concatenate([np.arange(b, b + max(0, n - length + 1)) for b, n in zip(begin[a : a + 256] - begin[a], sizes[a : a + 256])])
+        hashes.append(_rolling(data, length)[at] if len(at) else np.empty(0, U))
+        starts.append(at + begin[a])
+    h, at = np.concatenate(hashes), np.concatenate(starts)
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    flag = np.zeros(len(h), bool)
+    flag[order[same]] = True
+    flag[order[same + 1]] = True
+    return at[flag], begin, sizes
+
+
 def _sorter(p: Params):
     """Pieces by minimiser -> the ranges of windows in each piece that occur again (here or anywhere)."""
     schema = pa.schema([("piece", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
@@ -387,7 +409,9 @@ def _sorter(p: Params):
             if apart[anchor] > 1:
                 alone.append((key, n, raw))
         if alone:
-            starts, begin, _ = repeated_starts([x[2] for x in alone], p.length)
+            # one minimiser's pieces stay together, however many: beyond sort_most bytes their windows are hashed
+            find = repeated_starts if sum(len(x[2]) for x in alone) <= p.sort_most else repeated_by_hash
+            starts, begin, _ = find([x[2] for x in alone], p.length)
             own = np.searchsorted(begin, starts, "right") - 1
             new = np.append(True, (np.diff(starts) != 1) | (np.diff(own) != 0)) if len(starts) else np.empty(0, bool)
             a = np.flatnonzero(new)
@@ -433,7 +457,8 @@ def repeats(texts: DataFrame, p: Params = Params()) -> DataFrame:
     found = places.join(ranges, "piece").select("rid", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + (p.length - 1)).alias("b"))
     if len(model.value.hot):
         windows = dealt.where(F.col("kind") == WINDOW).select("anchor", F.col("what").alias("window"), "rid", "start")
-        again = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+        # written, so that the join has a shuffle of its own on either side and Spark can split a window that is everywhere
+        again = written(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"))
         hot = windows.join(again, ["anchor", "window"]).select("rid", F.col("start").alias("a"), (F.col("start") + p.length).alias("b"))
         found = found.unionByName(hot)
     return found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))

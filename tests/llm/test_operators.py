@@ -348,6 +348,7 @@ def test_difference_cover_order(seed):
     raws = [bytes(rng.choice(list(b"ab" if seed % 2 else b"abcdef"), rng.integers(0, 60)).tolist()) for _ in range(rng.integers(1, 6))]
     length = int(rng.choice([8, 9, 12, 20]))
     starts, begin, _ = suffixes.repeated_starts(raws, length)
+    assert starts.tolist() == suffixes.repeated_by_hash(raws, length)[0].tolist()
     n = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
     assert starts.tolist() == [int(b) + i for b, r in zip(begin, raws) for i in range(len(r) - length + 1) if n[r[i : i + length]] > 1]
 
@@ -358,11 +359,11 @@ def test_suffix_ranks_sort_suffixes():
     assert got == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-@pytest.mark.parametrize("hot", [500, 2])
-def test_repeats(spark, sf_dir, hot):
+@pytest.mark.parametrize("hot, most", [(500, 512 << 10), (2, 512 << 10), (500, 0)])
+def test_repeats(spark, sf_dir, hot, most):
     t = texts(spark, sf_dir)
     want = dict(zip(t, plain_removed([(x or "").encode() for x in t.values()], 200)))
-    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"), suffixes.Params(least_hot=hot, most_hot=hot))
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"), suffixes.Params(least_hot=hot, most_hot=hot, sort_most=most))
     got = {r[0]: tuple(r)[1:] for r in out.select("doc_id", "s_n_bytes", "s_n_removed", "s_n_spans", F.sha2("s_kept", 256)).collect()}
     assert got == want
 
