@@ -41,7 +41,7 @@ class Params:
     bits_per_entry: int = 8
     least_bits: int = 1 << 20
     max_bits: int = 1 << 30
-    slices: int = 64
+    slices: int = 16
     rows_per_block: int = 2048
 
 
