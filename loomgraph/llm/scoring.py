@@ -2,11 +2,12 @@
 
 Exact word counts come from a shuffle: every block of documents asks the owner
 of each of its words, in packed rows, and gets the count back, so no table of
-all words is ever broadcast. Pair counts are summed by slices of a hash; a
-pair seen 2**q times or more sets bits for each level 1..q. The filter's size
-follows the number of stored levels up to a fixed bound, and it is broadcast.
-A pair's level is found by repeated membership probes, level after level, and
-its quantised count is interpolated with the smoothed word probability.
+all words is ever broadcast. Pairs are asked in the same way, by slices of a
+hash: a slice sums its pairs, and one seen 2**q times or more sets bits for
+each level 1..q in the slice's part of the filter. The part's size follows its
+stored levels at any size of the input; it is probed where it lies, level after
+level, and only the levels go back to the blocks. A pair's quantised count is
+interpolated with the smoothed word probability.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class Params:
-    """max_bits bounds the broadcast filter (2 ** 30 bits are 128 MB); singletons are level 0 and set no bits.
+    """Each slice of the filter has bits_per_entry bits at least for a stored level; singletons are level 0 and set no bits.
 
     slices is the least number of slices of the pair hash; it grows with the shuffle partitions, so a slice stays as small as they do.
     """
@@ -40,7 +41,6 @@ class Params:
     hashes: int = 3
     bits_per_entry: int = 8
     least_bits: int = 1 << 20
-    max_bits: int = 1 << 30
     slices: int = 16
     rows_per_block: int = 2048
 
@@ -141,38 +141,49 @@ def _answer(asked: pa.Table) -> pa.Table:
     )
 
 
+def _edges(key: np.ndarray, slices: int) -> np.ndarray:
+    """Where each slice of sorted keys begins, and their number."""
+    return np.searchsorted(key >> U(32), np.arange(slices + 1).astype(U) * U((1 << 32) // slices))
+
+
 def _pairs(p: Params):
-    """Rows (slice, keys, counts): the pair counts of a block's training documents; 40 bits of a key beside its slice."""
-    schema = pa.schema([("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    """Rows (slice, block, keys, counts): a block's pairs in the order of their keys, with their counts in its training documents; 40 bits of a key beside its slice."""
+    schema = pa.schema([("slice", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def each(block, docs, raws):
         vocab = Words()
         end = vocab.of[b""]
-        some = [vocab.ids(tokens(raw)) for doc, raw in zip(docs, raws) if not held_out(doc, p)]
-        if not some:
-            return
-        second = np.concatenate(some)
+        ids = [vocab.ids(tokens(raw)) for raw in raws]
+        train = np.repeat([not held_out(doc, p) for doc in docs], [len(x) for x in ids])
+        second = np.concatenate(ids)
         first = np.empty_like(second)
         first[1:] = second[:-1]
         first[0] = end  # a document's first word follows the end of the one before it
-        key = pair_keys(vocab.hashes(), first, second)
-        key, counts = np.unique(key, return_counts=True)
-        edges = np.searchsorted(key >> U(32), np.arange(p.slices + 1).astype(U) * U((1 << 32) // p.slices))
+        every = pair_keys(vocab.hashes(), first, second)
+        key = np.unique(every)
+        seen, n = np.unique(every[train], return_counts=True)
+        counts = np.zeros(len(key), "<u4")
+        counts[np.searchsorted(key, seen)] = n
+        edges = _edges(key, p.slices)
         rows = []
         for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
             if a < b:
                 low = (key[a:b] >> U(64 - 40 - p.slices.bit_length() + 1) & U((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                rows.append((k, low.tobytes(), counts[a:b].astype("<u4").tobytes()))
+                rows.append((k, block, low.tobytes(), counts[a:b].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return lambda batches: _blocks(batches, each)
 
 
-def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 5)
+def _wide(keys: bytes) -> np.ndarray:
+    raw = np.frombuffer(keys, np.uint8).reshape(-1, 5)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :5] = raw
-    key = wide.view("<u8").ravel()
+    return wide.view("<u8").ravel()
+
+
+def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    key = _wide(b"".join(keys))
     n = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
     order = np.argsort(key)
     key, n = key[order], n[order]
@@ -180,22 +191,6 @@ def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndar
     return key[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def _levels(group: pa.Table) -> pa.Table:
-    """Of one slice: the pairs of level 1 and more."""
-    key, n = _summed(group.column("keys").to_pylist(), group.column("counts").to_pylist())
-    keep = n > 1
-    level = np.frexp(n[keep].astype(float))[1] - 1  # floor(log2 n)
-    return pa.table(
-        {
-            "slice": pa.array([group.column("slice")[0].as_py()], pa.int32()),
-            "keys": pa.array([key[keep].astype("<u8").tobytes()], pa.binary()),
-            "level": pa.array([level.astype(np.uint8).tobytes()], pa.binary()),
-            "entries": pa.array([int(level.sum())], pa.int64()),
-            "pairs": pa.array([len(key)], pa.int64()),
-        }
-    )
-
-
 def _places(key: np.ndarray, level: int, bits: int, hashes: int) -> Iterator[np.ndarray]:
     """Bit places within a slice of `bits` bits for a level of each key."""
     x = key * U(0x9E3779B97F4A7C15) + U(level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
@@ -206,27 +201,19 @@ def _places(key: np.ndarray, level: int, bits: int, hashes: int) -> Iterator[np.
         yield (x & U(bits - 1)).astype(np.int64)
 
 
-def _set_bits(bits: int, hashes: int):
-    schema = pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, keys, levels in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                key, level = np.frombuffer(keys.as_py(), "<u8"), np.frombuffer(levels.as_py(), np.uint8)
-                on = np.zeros(bits, np.uint8)
-                for q in range(1, int(level.max(initial=0)) + 1):
-                    for place in _places(key[level >= q], q, bits, hashes):
-                        on[place] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], schema=schema)
-
-    return run
+def _set_bits(key: np.ndarray, level: np.ndarray, bits: int, hashes: int) -> bytes:
+    on = np.zeros(bits, np.uint8)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        for place in _places(key[level >= q], q, bits, hashes):
+            on[place] = 1
+    return np.packbits(on, bitorder="little").tobytes()
 
 
 class LogBloom:
-    """Quantised pair counts behind membership probes."""
+    """Quantised pair counts behind membership probes; no level above `most` is asked for."""
 
-    def __init__(self, rows: dict[int, bytes], bits: int, p: Params):
-        self.bits, self.p = bits, p
+    def __init__(self, rows: dict[int, bytes], bits: int, p: Params, most: int = 64):
+        self.bits, self.p, self.most = bits, p, most
         self.data = np.zeros(p.slices * bits // 8, np.uint8)
         for k, raw in rows.items():
             self.data[k * bits // 8 : (k + 1) * bits // 8] = np.frombuffer(raw, np.uint8)
@@ -235,11 +222,14 @@ class LogBloom:
         """The highest level q so that levels 1..q all answer yes."""
         s = self.p.slices.bit_length() - 1
         base = (keys >> U(64 - s)).astype(np.int64) * self.bits if s else np.zeros(len(keys), np.int64)
-        low = keys >> U(64 - 40 - s) & U((1 << 40) - 1)
-        out = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
+        return self.probe(keys >> U(64 - 40 - s) & U((1 << 40) - 1), base)
+
+    def probe(self, low: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Levels of keys within their slices, whose bits begin at base."""
+        out = np.zeros(len(low), np.int64)
+        left = np.arange(len(low))
         q = 0
-        while len(left):
+        while len(left) and q < self.most:
             q += 1
             yes = np.ones(len(left), bool)
             for place in _places(low[left], q, self.bits, self.p.hashes):
@@ -250,11 +240,34 @@ class LogBloom:
         return out
 
 
-def _scorer(model, n: int, v: int, p: Params):
+def _levels(p: Params):
+    """Of one slice: each block's pairs with their levels, from the slice's own part of the filter."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        keys = group.column("keys").to_pylist()
+        key, n = _summed(keys, group.column("counts").to_pylist())
+        keep = n > 1
+        key, level = key[keep], np.frexp(n[keep].astype(float))[1] - 1  # floor(log2 n)
+        bits = 1 << max(3, max(int(level.sum()) * p.bits_per_entry, p.least_bits // p.slices).bit_length())
+        part = LogBloom({0: _set_bits(key, level, bits, p.hashes)}, bits, replace(p, slices=1), int(level.max(initial=0)))
+        out = []
+        for raw in keys:
+            low = _wide(raw)
+            out.append(part.probe(low, np.zeros(len(low), np.int64)).astype(np.uint8).tobytes())
+        return pa.table({"block": group.column("block"), "slice": group.column("slice"), "words": pa.nulls(len(out), pa.binary()), "counts": pa.array(out, pa.binary())})
+
+    return answer
+
+
+def _scorer(n: int, v: int, p: Params):
     def score(docs: pa.Table, counts: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
-        for words, got in zip(counts.column("words").to_pylist(), counts.column("counts").to_pylist()):
-            known.update(zip(words.split(b" "), np.frombuffer(got, "<i8").tolist()))
+        by_slice: dict[int, bytes] = {}
+        for k, words, got in zip(*(counts.column(c).to_pylist() for c in ("slice", "words", "counts"))):
+            if k is None:
+                known.update(zip(words.split(b" "), np.frombuffer(got, "<i8").tolist()))
+            else:
+                by_slice[k] = got
         vocab = Words()
         end = vocab.of[b""]
         ids = [vocab.ids(tokens(raw)) for raw in docs.column("raw").to_pylist()]
@@ -267,7 +280,10 @@ def _scorer(model, n: int, v: int, p: Params):
         c = np.fromiter((known.get(w, 0) for w in vocab.of), np.int64, len(vocab.of))
         word = (c + 1) / (n + v + 1)
         keys, back = np.unique(pair_keys(vocab.hashes(), first, second), return_inverse=True)
-        level = model.value.level(keys)[back]
+        level = np.frombuffer(b"".join(by_slice[k] for k in sorted(by_slice)), np.uint8).astype(np.int64)  # slices are ranges of the keys
+        if len(level) != len(keys):
+            raise ValueError("docs does not list its rows alike each time")
+        level = level[back]
         pair = np.where(level > 0, np.exp2(level), 0.0)
         pair = np.minimum(pair / np.maximum(c[first], 1), 1.0)
         seen = c[first] > 0
@@ -306,16 +322,12 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
     answered = written(asked.groupBy("owner").applyInArrow(_answer, "block long, words binary, counts binary, tokens long, types long"))
     n, v = answered.agg(F.sum("tokens"), F.sum("types")).first()
     n, v = n or 0, v or 0
-    pairs = rows.mapInArrow(_pairs(p), "slice int, keys binary, counts binary")
-    levels = written(pairs.groupBy("slice").applyInArrow(_levels, "slice int, keys binary, level binary, entries long, pairs long"))
-    entries = levels.agg(F.sum("entries")).first()[0] or 0
-    wanted = min(max(entries * p.bits_per_entry, p.least_bits), p.max_bits)
-    bits = 1 << max(3, (wanted // p.slices).bit_length())
-    bits = min(bits, p.max_bits // p.slices)
-    made = {r["slice"]: bytes(r["bits"]) for r in levels.select("slice", "keys", "level").mapInArrow(_set_bits(bits, p.hashes), "slice int, bits binary").toLocalIterator()}
-    model = spark.sparkContext.broadcast(LogBloom(made, bits, p))  # max_bits bits at most
+    pairs = rows.mapInArrow(_pairs(p), "slice int, block long, keys binary, counts binary")
+    answers = "block long, slice int, words binary, counts binary"
+    levels = pairs.groupBy("slice").applyInArrow(_levels(p), answers)
+    known = answered.select("block", F.lit(None).cast("int").alias("slice"), "words", "counts").unionByName(levels)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(answered.select("block", "words", "counts").groupBy("block")).applyInArrow(_scorer(model, n, v, p), schema)
+    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_scorer(n, v, p), schema)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

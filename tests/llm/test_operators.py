@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from edge_rows import documents, empty, rows
@@ -288,6 +289,22 @@ def test_log_bloom_levels():
     assert (got >= level).all() and (got == level).mean() > 0.9  # never too low; seldom too high
 
 
+@pytest.mark.parametrize("n", [2_000, 200_000])
+def test_scoring_false_positives_do_not_grow(n):
+    p = scoring.Params(least_bits=1 << 10)
+    key = np.random.default_rng(n).integers(0, 1 << 40, 2 * n, dtype=np.uint64)
+    count = np.repeat([4, 0], n).astype("<u4")  # the second half is asked for but never counted
+    raw = key.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    group = pa.table({"slice": pa.array([3], pa.int32()), "block": pa.array([7], pa.int64()), "keys": pa.array([raw]), "counts": pa.array([count.tobytes()])})
+    got = np.frombuffer(scoring._levels(p)(group).column("counts")[0].as_py(), np.uint8)
+    assert (got[:n] == 2).all() and (got[n:] > 0).mean() < 0.05
+
+
+def test_scoring_full_filter_ends():
+    p = scoring.Params(slices=1)
+    assert (scoring.LogBloom({0: b"\xff" * 128}, 1024, p, 5).level(np.arange(9, dtype=np.uint64)) == 5).all()
+
+
 def test_scoring_edges(spark):
     got = scoring.score(documents(spark)).collect()
     assert len(got) == len(rows()) and all(math.isfinite(r.score) for r in got)
