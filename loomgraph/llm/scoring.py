@@ -3,7 +3,7 @@
 Exact word counts come from a shuffle: every block of documents asks the owner
 of each of its words, in packed rows, and gets the count back, so no table of
 all words is ever broadcast. Pairs are asked in the same way, by slices of a
-hash: a slice sums its pairs, and one seen 2**q times or more sets bits for
+hash: a slice sums its pairs, and one seen 2**(q-1) times or more sets bits for
 each level 1..q in the slice's part of the filter. The part's size follows its
 stored levels at any size of the input; it is probed where it lies, level after
 level, and only the levels go back to the blocks. A pair's quantised count is
@@ -30,7 +30,7 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class Params:
-    """Each slice of the filter has bits_per_entry bits at least for a stored level; singletons are level 0 and set no bits.
+    """Each slice of the filter has bits_per_entry bits at least for a stored level; a pair seen once is level 1, one never seen level 0.
 
     slices is the least number of slices of the pair hash; it grows with the shuffle partitions, so a slice stays as small as they do.
     """
@@ -246,8 +246,8 @@ def _levels(p: Params):
     def answer(group: pa.Table) -> pa.Table:
         keys = group.column("keys").to_pylist()
         key, n = _summed(keys, group.column("counts").to_pylist())
-        keep = n > 1
-        key, level = key[keep], np.frexp(n[keep].astype(float))[1] - 1  # floor(log2 n)
+        key, n = key[n > 0], n[n > 0]
+        level = np.frexp(n.astype(float))[1]  # 1 + floor(log2 n)
         bits = 1 << max(3, max(int(level.sum()) * p.bits_per_entry, p.least_bits // p.slices).bit_length())
         part = LogBloom({0: _set_bits(key, level, bits, p.hashes)}, bits, replace(p, slices=1), int(level.max(initial=0)))
         out = []
@@ -284,7 +284,7 @@ def _scorer(n: int, v: int, p: Params):
         if len(level) != len(keys):
             raise ValueError("docs does not list its rows alike each time")
         level = level[back]
-        pair = np.where(level > 0, np.exp2(level), 0.0)
+        pair = np.where(level > 0, np.exp2(level - 1), 0.0)
         pair = np.minimum(pair / np.maximum(c[first], 1), 1.0)
         seen = c[first] > 0
         p2 = np.where(seen, p.weight * pair + (1 - p.weight) * word[second], word[second])

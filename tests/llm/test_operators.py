@@ -297,7 +297,7 @@ def test_scoring_false_positives_do_not_grow(n):
     raw = key.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
     group = pa.table({"slice": pa.array([3], pa.int32()), "block": pa.array([7], pa.int64()), "keys": pa.array([raw]), "counts": pa.array([count.tobytes()])})
     got = np.frombuffer(scoring._levels(p)(group).column("counts")[0].as_py(), np.uint8)
-    assert (got[:n] == 2).all() and (got[n:] > 0).mean() < 0.05
+    assert (got[:n] == 3).all() and (got[n:] > 0).mean() < 0.05
 
 
 def test_scoring_full_filter_ends():
@@ -305,6 +305,22 @@ def test_scoring_full_filter_ends():
     assert (scoring.LogBloom({0: b"\xff" * 128}, 1024, p, 5).level(np.arange(9, dtype=np.uint64)) == 5).all()
 
 
+def test_scoring_pairs_seen_once_count(spark):
+    docs = [(k, f"a{k} b{k} a{k} b{k} c{k}", "en", "x", 1) for k in range(40)]
+    docs += [(100, "a0 c0 b0 a1", "en", "x", 1)]
+    tok = {d: [*t.split(), None] for d, t, *_ in docs}
+    train = [t for d, t in tok.items() if zlib.crc32(str(d).encode()) % 7 != 2]
+    c, c2 = Counter(w for t in train for w in t), Counter(x for t in train for x in zip([None, *t], t))
+    n, v = sum(c.values()), len(c)
+    for r in scoring.score(documents(spark, docs)).collect():
+        want = 0.0
+        for a, b in zip([None, *tok[r.doc_id]], tok[r.doc_id]):
+            word = (c[b] + 1) / (n + v + 1)
+            pair = 2.0 ** math.floor(math.log2(c2[a, b])) if c2[a, b] else 0.0
+            want += math.log10(0.25 * min(pair / c[a], 1.0) + 0.75 * word if c[a] else word)
+        assert r.score == pytest.approx(want, rel=1e-9)
+
+
 def test_scoring_edges(spark):
     got = scoring.score(documents(spark)).collect()
     assert len(got) == len(rows()) and all(math.isfinite(r.score) for r in got)
