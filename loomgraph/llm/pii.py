@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +33,15 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: Words after which a value is a credential.
 _KEYED = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key)[\x20\t]*[=:][\x20\t]*[\"']?([A-Za-z0-9_./+=-]{8,})")
-_INSTANCE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._@+/=-]{4,62})[A-Za-z0-9]")
+_INSTANCE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._@+/=-]{4,})[A-Za-z0-9]")
 _HEX = re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}")
 _RUN = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|.")
 #: Characters before an instance in which its two words are looked for.
 REACH = 64
 
+#: Longer tokens are compared by a hash of their shape and of themselves.
+LONG = 64
+
 Span = tuple[str, int, int]
 
 
@@ -100,7 +104,10 @@ def instances(text: str) -> Iterator[tuple[int, int, str, str]]:
         token = m[0]
         if sum(c.isdigit() for c in token) >= 4:
             before = re.sub("[0-9]+", "0", text[max(0, m.start() - REACH) : m.start()].lower()).split()[-2:]
-            yield m.start(), m.end(), token, " ".join(before) + " _ " + shape(token)
+            form = shape(token)
+            if len(token) > LONG:
+                form, token = (f"#{xxhash.xxh3_128_hexdigest(x)}" for x in (form, token))
+            yield m.start(), m.end(), token, " ".join(before) + " _ " + form
 
 
 def _observe():
@@ -126,7 +133,7 @@ def _observe():
 
 @dataclass(frozen=True)
 class Params:
-    """max_patterns bounds the model that is broadcast (patterns hold REACH + 70 characters at most: under 2 MB)."""
+    """max_patterns bounds the model that is broadcast (patterns hold REACH + 2 * LONG + 3 characters at most: under 2 MB)."""
 
     rounds: int = 3
     min_support: int = 3
@@ -159,18 +166,36 @@ def fit(docs: DataFrame, params: Params = Params()) -> frozenset[str]:
 
 
 def all_spans(text: str, patterns: frozenset[str]) -> tuple[list[Span], list[Span]]:
-    """(base spans, what the patterns add); an added span overlaps no base span."""
+    """(base spans, what credential words and the patterns add); an added span overlaps no other span."""
     base = base_spans(text)
     added = []
     if patterns or "=" in text or ":" in text:
-        taken = [(s, e) for _, s, e in base]
-        keyed = {m.span(1)[0] for m in _KEYED.finditer(text)}
+        taken = sorted((s, e) for _, s, e in base)
+        keyed = dict(m.span(1) for m in _KEYED.finditer(text))
+        marked = []
         for start, end, _, pattern in instances(text):
-            if (pattern in patterns or start in keyed) and not any(s < end and start < e for s, e in taken):
-                added.append((FOUND, start, end))
+            if start in keyed:
+                keyed[start] = max(keyed[start], end)
+            elif pattern in patterns and not any(s < end and start < e for s, e in taken):
+                marked.append((start, end))
+        for start, end in _merged([*keyed.items(), *marked]):
+            for s, e in [*((s, e) for s, e in taken if s < end and start < e), (end, end)]:
+                if any(map(str.isalnum, text[start:s])):
+                    added.append((FOUND, start, s))
+                start = max(start, e)
     return base, added
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
 def _spans(model):
     names = [*(f"n_{k}" for k in KINDS), "n_id"]
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names), ("base", pa.string()), ("spans", pa.string())])

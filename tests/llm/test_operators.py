@@ -466,6 +466,18 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[len(known)] == "id:23:39" and got[len(known) + 1] == ""
 
 
+@pytest.mark.parametrize("value", ["aB3x" * 40, "q7" * 100 + "==", "correct-horse-battery", "7f3a" * 10, "4111111111111111-rest.of.it"])
+def test_pii_credentials_are_marked_whole(value):
+    text = f'x = 1; token = "{value}" and more'
+    out = pii.redacted(text, sum(pii.all_spans(text, frozenset()), []))
+    assert out in ('x = 1; token = "[ID]" and more', 'x = 1; token = "[CARD][ID]" and more')
+
+
+def test_pii_instances_run_to_their_end():
+    found = list(pii.instances("key " + "a1B2" * 40 + " x"))
+    assert [(s, e) for s, e, *_ in found] == [(4, 164)] and all(len(t) <= 64 and len(p) <= 64 for _, _, t, p in found)
+
+
 def test_pii_edges(spark):
     p = pii.fit(documents(spark))
     got = {r.doc_id: r for r in pii.find(documents(spark), p).collect()}
