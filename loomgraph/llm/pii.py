@@ -4,8 +4,9 @@ Seed entities are what the base expressions find, and values written after a
 credential word. Every identifier-like token is an instance; a lexical pattern
 is the two words before it and its shape. Spark scores the graph of patterns
 and instances in rounds: a pattern by the share of its instances that are
-trusted, an instance by its patterns. The patterns that reach a high confidence,
-a model of bounded size, then mark identifiers that no seed had.
+trusted, an instance by its patterns. The patterns that reach a high confidence
+then mark identifiers that no seed had: broadcast while they are few, else by
+joins. Patterns that have only ever met base entities add nothing and are left out.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def instances(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 
 def _observe():
-    schema = pa.schema([("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_())])
+    schema = pa.schema([("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,12 +121,13 @@ def _observe():
                 text = x.as_py() or ""
                 if not _DIGIT.search(text):
                     continue
-                seeds = None
+                base = None
                 for start, end, token, pattern in instances(text):
-                    if seeds is None:
-                        seeds = [(s, e) for _, s, e in base_spans(text)] + [m.span(1) for m in _KEYED.finditer(text)]
-                    rows.append((pattern, token, any(s < end and start < e for s, e in seeds)))
-            cols = zip(*rows) if rows else ((), (), ())
+                    if base is None:
+                        base, keyed = [(s, e) for _, s, e in base_spans(text)], [m.span(1) for m in _KEYED.finditer(text)]
+                    in_base = any(s < end and start < e for s, e in base)
+                    rows.append((pattern, token, in_base or any(s < end and start < e for s, e in keyed), in_base))
+            cols = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
     return run
@@ -133,7 +135,7 @@ def _observe():
 
 @dataclass(frozen=True)
 class Params:
-    """max_patterns bounds the model that is broadcast (patterns hold REACH + 2 * LONG + 3 characters at most: under 2 MB)."""
+    """max_patterns bounds the model that is broadcast, not the model: more are joined (patterns hold REACH + 2 * LONG + 3 characters at most: under 2 MB)."""
 
     rounds: int = 3
     min_support: int = 3
@@ -141,30 +143,53 @@ class Params:
     max_patterns: int = 5_000
 
 
-def fit(docs: DataFrame, params: Params = Params()) -> frozenset[str]:
-    """The patterns of high confidence, learned from all documents."""
-    seen = docs.select(F.col("text").cast("string")).mapInArrow(_observe(), "pattern string, instance string, seed boolean")
-    edges = written(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+def fit(docs: DataFrame, params: Params = Params()) -> frozenset[str] | DataFrame:
+    """The patterns of high confidence, learned from all documents; a DataFrame of them where they exceed max_patterns."""
+    seen = docs.select(F.col("text").cast("string")).mapInArrow(_observe(), "pattern string, instance string, seed boolean, base boolean")
+    edges = written(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min("base").alias("base")))
     trusted = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("trust"))
     scored = None
     for _ in range(params.rounds):
         scored = (
             edges.join(trusted, "instance")
             .groupBy("pattern")
-            .agg(F.sum("trust").alias("good"), F.count("*").alias("n"))
-            .select("pattern", "n", (F.col("good") / (F.col("n") + 1)).alias("score"), "good")
+            .agg(F.sum("trust").alias("good"), F.count("*").alias("n"), F.min("base").alias("base"))
+            .select("pattern", "n", (F.col("good") / (F.col("n") + 1)).alias("score"), "good", "base")
         )
         trusted = (
-            edges.join(scored, "pattern")
+            edges.join(scored.drop("base"), "pattern")
             .groupBy("instance")
             .agg(F.when(F.max("seed"), 1.0).otherwise(F.avg("score")).alias("trust"))
         )
-    best = scored.where((F.col("good") >= params.min_support) & (F.col("score") >= params.min_score))
-    rows = best.orderBy(F.desc("score"), F.desc("good"), "pattern").limit(params.max_patterns).select("pattern").collect()
+    best = written(scored.where((F.col("good") >= params.min_support) & (F.col("score") >= params.min_score) & ~F.col("base")).select("pattern"))
     forget(edges)
+    rows = best.limit(params.max_patterns + 1).collect()
+    if len(rows) > params.max_patterns:
+        return best
+    forget(best)
     return frozenset(r[0] for r in rows)
 
 
+def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, pattern) of each text's patterns."""
+    schema = pa.schema([("key", pa.int64()), ("pattern", pa.string())])
+    for batch in batches:
+        rows = {(k, i[3]) for k, x in zip(batch.column(0).to_pylist(), batch.column(1)) for i in instances(x.as_py() or "")}
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), ()), schema.types)], schema=schema)
+
+
+def _with_hits(docs: DataFrame, patterns: frozenset[str] | DataFrame) -> DataFrame:
+    """docs with loom_hits, the patterns of the model that a row's text has: null where the model is broadcast."""
+    if isinstance(patterns, frozenset):
+        return docs.withColumn("loom_hits", F.lit(None).cast("array<string>"))
+    key = F.xxhash64(F.col("text").cast("string"))  # texts that share a key only share more patterns of the model
+    seen = docs.select(key.alias("key"), F.col("text").cast("string")).mapInArrow(_patterns, "key long, pattern string").distinct()
+    hits = seen.join(patterns.hint("merge"), "pattern", "left_semi").groupBy("key").agg(F.collect_set("pattern").alias("loom_hits"))
+    none = F.array().cast("array<string>")
+    joined = docs.withColumn("loom_key", key).join(hits.withColumnRenamed("key", "loom_key").hint("merge"), "loom_key", "left")
+    return joined.withColumn("loom_hits", F.coalesce("loom_hits", none)).drop("loom_key")
+
+
 def all_spans(text: str, patterns: frozenset[str]) -> tuple[list[Span], list[Span]]:
     """(base spans, what credential words and the patterns add); an added span overlaps no other span."""
     base = base_spans(text)
@@ -205,8 +230,8 @@ def _spans(model):
         write = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
         for batch in batches:
             rows = []
-            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                base, added = all_spans(x.as_py() or "", patterns)
+            for doc, x, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                base, added = all_spans(x.as_py() or "", patterns if hits is None else frozenset(hits))
                 count = [sum(s[0] == k for s in base) for k in KINDS]
                 rows.append((doc, *count, len(added), write(base), write(base + added)))
             if rows:
@@ -215,15 +240,16 @@ def _spans(model):
     return run
 
 
-def find(docs: DataFrame, patterns: frozenset[str]) -> DataFrame:
+def find(docs: DataFrame, patterns: frozenset[str] | DataFrame) -> DataFrame:
     """doc_id, counts by kind, base and spans ("kind:start:end", comma-joined) of every row's whole text.
 
     A null or empty text has none; repeated rows come out repeated; an empty
     table gives no rows; other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(patterns)  # max_patterns short strings at most
+    model = docs.sparkSession.sparkContext.broadcast(patterns if isinstance(patterns, frozenset) else frozenset())  # max_patterns short strings at most
     names = ", ".join(f"n_{k} long" for k in (*KINDS, "id"))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_spans(model), f"doc_id long, {names}, base string, spans string")
+    rows = _with_hits(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), patterns)
+    return rows.mapInArrow(_spans(model), f"doc_id long, {names}, base string, spans string")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -236,16 +262,21 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[done:]])
 
 
-def redact(docs: DataFrame, patterns: frozenset[str]) -> DataFrame:
+def redact(docs: DataFrame, patterns: frozenset[str] | DataFrame) -> DataFrame:
     """docs with personal data replaced in text (and n_chars, if there, counted anew); a null text stays null."""
-    model = docs.sparkSession.sparkContext.broadcast(patterns)
+    few = isinstance(patterns, frozenset)
+    model = docs.sparkSession.sparkContext.broadcast(patterns if few else frozenset())
 
     @F.pandas_udf("string")
     def clean(texts):
         found = model.value
         return texts.map(lambda t: t if t is None else redacted(t, sum(all_spans(t, found), [])))
 
-    out = docs.withColumn("text", clean("text"))
+    @F.pandas_udf("string")
+    def clean_by(texts, hits):
+        return texts.combine(hits, lambda t, h: t if t is None else redacted(t, sum(all_spans(t, frozenset(h)), [])))
+
+    out = docs.withColumn("text", clean("text")) if few else _with_hits(docs, patterns).withColumn("text", clean_by("text", "loom_hits"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -478,6 +478,18 @@ def test_pii_instances_run_to_their_end():
     assert [(s, e) for s, e, *_ in found] == [(4, 164)] and all(len(t) <= 64 and len(p) <= 64 for _, _, t, p in found)
 
 
+def test_pii_applies_every_pattern_that_qualifies(spark):
+    cards = ("4111111111111111", "5500005555555559", "4012888888881881", "6011111111111117", "3530111333300000")
+    docs = [(10 * k + j, f"{word} number {c} end", "en", "x", 1) for k, word in enumerate(("member", "client", "seat")) for j, c in enumerate(cards)]
+    docs += [(100, "member number 4111111111111112 end", "en", "x", 1), (200, "client number 5500005555555551 end", "en", "x", 1), (201, None, "en", "x", 1), (100, "", "en", "x", 1)]
+    docs = documents(spark, docs)
+    few, many = pii.fit(docs, pii.Params(min_score=0.5)), pii.fit(docs, pii.Params(min_score=0.5, max_patterns=1))
+    assert {x.split()[0] for x in few} == {"member", "client"}  # a seat's numbers are all base entities
+    want = sorted(map(str, pii.find(docs, few).collect()))
+    assert sorted(map(str, pii.find(docs, many).collect())) == want and sum("id:" in x for x in want) == 2
+    assert sorted(map(str, pii.redact(docs, many).collect())) == sorted(map(str, pii.redact(docs, few).collect()))
+
+
 def test_pii_edges(spark):
     p = pii.fit(documents(spark))
     got = {r.doc_id: r for r in pii.find(documents(spark), p).collect()}
