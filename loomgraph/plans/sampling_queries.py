@@ -417,16 +417,15 @@ def kmeans_1d_assign(spark, sf_dir):
 
 @query()
 def gmm_assign(spark, sf_dir):
-    """C17."""
-    e = load(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding"))
-    return C.gaussian_mixture(e, 5).select("vec_id", "z")
+    """C17: over the whole vectors."""
+    return C.gaussian_mixture(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 5).select("vec_id", "z")
 
 
 @query()
 def dpmm_assign(spark, sf_dir):
-    """A Dirichlet-process mixture with splits and merges on the synthetic mixture."""
-    points = C.synthetic_gmm(spark, 2000, k=5)
-    return C.assign(points, C.fit_dpmm(points), "embedding").select("id", "z")
+    """A Dirichlet-process mixture with splits and merges over all vectors."""
+    points = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return C.assign(points, C.fit_dpmm(points), "embedding").select("vec_id", "z")
 
 
 @query()

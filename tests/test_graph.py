@@ -16,6 +16,7 @@ from loomgraph.operators import relational as R
 from loomgraph.operators import sampling as S
 from loomgraph.operators import temporal as T
 from loomgraph.operators import transforms as X
+from loomgraph.plans import QUERIES
 
 
 def edges(spark, pairs, times=None):
@@ -175,3 +176,17 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     df = load(spark, sf_dir, "lineitem").where("l_quantity > 10").select("l_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,10.0)" in plan and "l_tax" not in plan
+
+
+@pytest.mark.parametrize("name", ["gmm_assign", "dpmm_assign"])
+def test_mixture_queries_use_whole_vectors_of_the_table(spark, tmp_path, name):
+    rng = np.random.default_rng(0)
+    label = np.arange(600) % 2
+    v = rng.normal(size=(600, 16))
+    v[:, 8:] += 12 * label[:, None]  # the first eight components say nothing
+    rows = [(i + 7000, [float(x) for x in v[i]]) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id - 7000: r.z for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(600))
+    most = sum(max(sum(got[i] == z and label[i] == y for i in got) for y in (0, 1)) for z in set(got.values()))
+    assert most >= 0.98 * 600 and len(set(got.values())) > 1
