@@ -2,14 +2,15 @@
 
 Equal vectors are one node. Shards have a bounded number of nodes; a task builds
 a shard's graph as flat neighbour arrays (a row of slots for each node and
-layer) and searches it for every query, and the shards' results are merged by
-distance. Distances that are returned are computed in double precision on the
-original vectors.
+layer) and searches it for a block of queries, and the shards' results are
+merged by distance. Nodes are inserted and queries searched in batches that walk
+the graph in step, so that a step is a few array operations for all of them.
+Distances that are returned are computed in double precision on the original
+vectors.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +24,16 @@ from loomgraph.llm.common import table, written
 
 @dataclass(frozen=True)
 class Params:
-    """shard bounds a graph's nodes on average; links, build and search are the graph's usual settings."""
+    """shard bounds a graph's nodes on average and block the queries that a task searches it for; links, build and search are the graph's usual settings."""
 
     k: int = 10
-    shard: int = 2048
+    shard: int = 8192
+    block: int = 16_384
     links: int = 16
     build: int = 64
-    search: int = 96
+    search: int = 192
+    batch: int = 256
+    step: int = 4
     queries_every: int = 100
     seed: int = 7
 
@@ -37,115 +41,168 @@ class Params:
 class Graph:
     """near[l][i]: the neighbours of node i on layer l, -1 where a slot is free. Layer 0 has twice the slots."""
 
-    def __init__(self, vectors: np.ndarray, p: Params):
-        self.x = np.ascontiguousarray(vectors, np.float32)
-        self.x64 = None
-        self.half = (self.x.astype(np.float64) ** 2).sum(1)
+    def __init__(self, vectors: np.ndarray, p: Params, stored: tuple[bytes, bytes, int] | None = None):
+        with np.errstate(over="ignore"):  # what single precision cannot hold is far from everything, and the true distance is computed at the end
+            self.x = np.nan_to_num(np.ascontiguousarray(vectors, np.float32), posinf=1e18, neginf=-1e18)
+        self.half = np.einsum("ij,ij->i", self.x, self.x)
         self.p = p
         n = len(vectors)
+        if stored:
+            self._load(*stored)
+            return
         rng = np.random.default_rng(p.seed)
         self.layer = np.minimum((-np.log(rng.random(n) + 1e-300) / np.log(p.links)).astype(int), 8)
         top = int(self.layer.max(initial=0))
         self.near = [np.full((n, p.links * 2 if k == 0 else p.links), -1, np.int32) for k in range(top + 1)]
-        self.size = [np.zeros(n, np.int32) for _ in range(top + 1)]
-        self.entry = -1
-        for i in range(n):
-            self._insert(i)
-
-    def _from(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        d = self.x[ids] - q
-        return np.einsum("ij,ij->i", d, d)
-
-    def _walk(self, q: np.ndarray, entry: list[tuple[float, int]], layer: int, width: int) -> list[tuple[float, int]]:
-        """The `width` nearest nodes found from entry on a layer, nearest first."""
-        near, size = self.near[layer], self.size[layer]
-        seen = np.zeros(len(self.x), bool)
-        seen[[i for _, i in entry]] = True
-        ahead = list(entry)
-        heapq.heapify(ahead)
-        best = [(-d, i) for d, i in entry]
-        heapq.heapify(best)
-        while ahead:
-            d, i = heapq.heappop(ahead)
-            if d > -best[0][0] and len(best) >= width:
+        self.entry = 0
+        done = min(1, n)
+        while done < n:
+            size = min(p.batch, max(1, done // 4), n - done)
+            self._insert(np.arange(done, done + size))
+            done += size
+
+    def stored(self) -> tuple[bytes, bytes, int]:
+        """The layers of the nodes, the neighbour arrays one after the other, and the entry: all that the vectors do not say."""
+        return self.layer.astype("<i4").tobytes(), b"".join(x.astype("<i4").tobytes() for x in self.near), self.entry
+
+    def _load(self, layer: bytes, near: bytes, entry: int) -> None:
+        self.layer, self.entry = np.frombuffer(layer, "<i4"), entry
+        n, links = len(self.layer), self.p.links
+        flat = np.frombuffer(near, "<i4")
+        self.near, at = [], 0
+        while at < len(flat):
+            wide = links if at else links * 2
+            self.near.append(flat[at : at + n * wide].reshape(n, wide))
+            at += n * wide
+
+    def _far(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Squared distances of each row of q to its row of ids; infinite for -1."""
+        d = self.half[ids] - 2.0 * np.einsum("abd,ad->ab", self.x[ids], q) + np.einsum("ad,ad->a", q, q)[:, None]
+        return np.where(ids < 0, np.float32(np.inf), np.maximum(d, 0))
+
+    def _walk(self, q: np.ndarray, entry: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, nodes) of the `width` nearest nodes that each row of q finds from its entries on a layer, nearest first."""
+        near, rows, step = self.near[layer], len(q), min(self.p.step, width)
+        ids = np.full((rows, width), -1, np.int64)
+        ids[:, : entry.shape[1]] = entry[:, :width]
+        d = self._far(q, ids)
+        open_ = ids >= 0
+        seen = np.zeros((rows, len(self.x) + 1), bool)  # the last column takes what -1 marks
+        np.put_along_axis(seen, ids, True, 1)
+        live = np.arange(rows)
+        while True:
+            ahead = np.where(open_[live], d[live], np.inf)
+            pick = np.argpartition(ahead, step - 1, 1)[:, :step] if step < width else np.argsort(ahead, 1)
+            far = np.take_along_axis(ahead, pick, 1)
+            on = np.isfinite(far).any(1)
+            if not on.all():
+                live, pick, far = live[on], pick[on], far[on]
+            if not len(live):
                 break
-            ids = near[i, : size[i]]
-            ids = ids[~seen[ids]]
-            if not len(ids):
-                continue
-            seen[ids] = True
-            far = self._from(q, ids)
-            worst = -best[0][0]
-            for e, j in zip(far.tolist(), ids.tolist()):
-                if len(best) < width:
-                    heapq.heappush(best, (-e, j))
-                    heapq.heappush(ahead, (e, j))
-                    worst = -best[0][0]
-                elif e < worst:
-                    heapq.heapreplace(best, (-e, j))
-                    heapq.heappush(ahead, (e, j))
-                    worst = -best[0][0]
-        return sorted((-d, i) for d, i in best)
-
-    def _choose(self, found: list[tuple[float, int]], limit: int) -> list[int]:
-        """Neighbours that are nearer to the node than to each other, then the nearest of the rest."""
-        ids = np.array([i for _, i in found], np.int64)
-        if len(ids) <= limit:
-            return ids.tolist()
-        d = np.array([e for e, _ in found])
+            some = np.isfinite(far)
+            took = open_[live]
+            np.put_along_axis(took, pick, False, 1)
+            open_[live] = took
+            at = np.where(some, np.take_along_axis(ids[live], pick, 1), -1)
+            new = np.where(at[:, :, None] < 0, -1, near[at]).reshape(len(live), -1).astype(np.int64)
+            new[seen[live[:, None], new]] = -1
+            # a node that two of the picked ones share counts once
+            new.sort(1)
+            new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
+            new = np.sort(new, 1)[:, -max(1, int((new >= 0).sum(1).max(initial=1))) :]
+            seen[live[:, None], new] = True
+            both_d = np.concatenate([d[live], self._far(q[live], new)], 1)
+            both_i = np.concatenate([ids[live], new], 1)
+            both_o = np.concatenate([open_[live], new >= 0], 1)
+            keep = np.argpartition(both_d, width - 1, 1)[:, :width]
+            d[live], ids[live], open_[live] = (np.take_along_axis(x, keep, 1) for x in (both_d, both_i, both_o))
+        order = np.argsort(d, 1, kind="stable")
+        return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+
+    def _choose(self, d: np.ndarray, ids: np.ndarray, limit: int) -> np.ndarray:
+        """Of each row's candidates (nearest first, -1 behind): those nearer to the node than to each other, then the nearest of the rest; -1 where none is left."""
         x = self.x[ids]
-        between = self.half[ids][:, None] + self.half[ids][None, :] - 2.0 * (x @ x.T)
-        chosen: list[int] = []
-        blocked = np.zeros(len(ids), bool)
-        for k in range(len(ids)):
-            if not blocked[k]:
-                chosen.append(k)
-                if len(chosen) == limit:
-                    break
-                blocked |= between[k] < d
-        if len(chosen) < limit:
-            rest = [k for k in range(len(ids)) if k not in set(chosen)]
-            chosen += rest[: limit - len(chosen)]
-        return ids[chosen].tolist()
-
-    def _link(self, a: int, b: int, layer: int) -> None:
-        near, size = self.near[layer], self.size[layer]
-        room = near.shape[1]
-        if size[a] < room:
-            near[a, size[a]] = b
-            size[a] += 1
-            return
-        ids = np.append(near[a], b)
-        d = self._from(self.x[a], ids)
-        order = np.argsort(d, kind="stable")
-        keep = self._choose([(float(d[k]), int(ids[k])) for k in order], room)
-        near[a, : len(keep)] = keep
-        near[a, len(keep) :] = -1
-        size[a] = len(keep)
-
-    def _insert(self, i: int) -> None:
-        q, own = self.x[i], int(self.layer[i])
-        if self.entry < 0:
-            self.entry = i
-            return
-        at = [(float(self._from(q, np.array([self.entry]))[0]), self.entry)]
-        for layer in range(int(self.layer[self.entry]), -1, -1):
-            if layer > own:
-                at = self._walk(q, at, layer, 1)[:1]
+        between = self.half[ids][:, :, None] + self.half[ids][:, None, :] - 2.0 * np.matmul(x, x.transpose(0, 2, 1))
+        blocked = ids < 0
+        chosen = np.zeros(ids.shape, bool)
+        count = np.zeros(len(ids), np.int64)
+        for k in range(ids.shape[1]):
+            take = ~blocked[:, k] & (count < limit)
+            chosen[:, k] = take
+            count += take
+            blocked |= take[:, None] & (between[:, k] < d)
+        rest = ~chosen & (ids >= 0)
+        chosen |= rest & (np.cumsum(rest, 1) <= (limit - count)[:, None])
+        first = np.argsort(~chosen, 1, kind="stable")[:, :limit]
+        return np.where(np.take_along_axis(chosen, first, 1), np.take_along_axis(ids, first, 1), -1)
+
+    def _insert(self, new: np.ndarray) -> None:
+        q, own = self.x[new], self.layer[new]
+        at = np.full((len(new), 1), self.entry)
+        # the batch does not see itself in the graph: its own near ones are candidates beside what the walk finds
+        inner = self.half[new][:, None] + self.half[new][None, :] - 2.0 * (q @ q.T)
+        np.fill_diagonal(inner, np.inf)
+        top = int(self.layer[self.entry])
+        for layer in range(max(top, int(own.max())), -1, -1):
+            deep = own >= layer
+            if layer <= top:
+                d, ids = self._walk(q, at, layer, self.p.build if deep.any() else 1)
+                at = ids
+            else:
+                d, ids = np.full((len(new), 1), np.inf, np.float32), np.full((len(new), 1), -1)
+            if not deep.any():
+                at = at[:, :1]
                 continue
-            at = self._walk(q, at, layer, self.p.build)
-            for j in self._choose(at, self.p.links):
-                self._link(i, j, layer)
-                self._link(j, i, layer)
-        if own > self.layer[self.entry]:
-            self.entry = i
-
-    def search(self, q: np.ndarray, width: int) -> list[int]:
+            mine = np.where(deep[None, :], inner[deep], np.inf)
+            some = np.argsort(mine, 1)[:, : self.p.links]
+            inner_d = np.take_along_axis(mine, some, 1)
+            all_d = np.concatenate([d[deep], inner_d], 1)
+            all_i = np.concatenate([ids[deep], np.where(np.isfinite(inner_d), new[some], -1)], 1)
+            order = np.argsort(all_d, 1, kind="stable")
+            links = self._choose(np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1), self.p.links)
+            self._link(np.repeat(new[deep], links.shape[1]), links.ravel(), layer)
+        best = int(new[np.argmax(own)])
+        if self.layer[best] > self.layer[self.entry]:
+            self.entry = best
+
+    def _link(self, a: np.ndarray, b: np.ndarray, layer: int) -> None:
+        """Edges both ways; a node with more than its slots keeps the best spread ones."""
+        a, b = a[b >= 0], b[b >= 0]
+        if not len(a):
+            return
+        n, near = len(self.x), self.near[layer]
+        room = near.shape[1]
+        edges = np.unique(np.concatenate([a * n + b, b * n + a]))
+        src, dst = edges // n, edges % n
+        nodes, first, count = np.unique(src, return_index=True, return_counts=True)
+        place = np.arange(len(src)) - np.repeat(first, count)
+        held = (near[nodes] >= 0).sum(1)
+        fits = held + count <= room
+        ok = np.repeat(fits, count)
+        near[src[ok], np.repeat(held, count)[ok] + place[ok]] = dst[ok]
+        over = np.flatnonzero(~fits)
+        for k in range(0, len(over), 1024):
+            mine = over[k : k + 1024]
+            wide = np.full((len(mine), room + int(count[mine].max())), -1, np.int64)
+            wide[:, :room] = near[nodes[mine]]
+            row = np.repeat(np.arange(len(mine)), count[mine])
+            edge = np.concatenate([np.arange(first[m], first[m] + count[m]) for m in mine])
+            wide[row, held[mine][row] + place[edge]] = dst[edge]
+            d = self._far(self.x[nodes[mine]], wide)
+            order = np.argsort(d, 1, kind="stable")[:, : room * 2]
+            near[nodes[mine]] = self._choose(np.take_along_axis(d, order, 1), np.take_along_axis(wide, order, 1), room)
+
+    def search(self, q: np.ndarray, width: int) -> np.ndarray:
+        """For each row of q the nodes found, nearest first, -1 behind them."""
         q = q.astype(np.float32)
-        at = [(float(self._from(q, np.array([self.entry]))[0]), self.entry)]
-        for layer in range(int(self.layer[self.entry]), 0, -1):
-            at = self._walk(q, at, layer, 1)[:1]
-        return [i for _, i in self._walk(q, at, 0, width)]
+        out = np.empty((len(q), width), np.int64)
+        for k in range(0, len(q), self.p.batch):
+            some = q[k : k + self.p.batch]
+            at = np.full((len(some), 1), self.entry)
+            for layer in range(int(self.layer[self.entry]), 0, -1):
+                at = self._walk(some, at, layer, 1)[1]
+            out[k : k + self.p.batch] = self._walk(some, at, 0, width)[1]
+        return out
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -172,24 +229,48 @@ def _classes(k: int):
     return run
 
 
+SHARD = "size int, shard int, vectors binary, ids array<array<long>>, layers binary, near binary, entry int"
+
+
+def _builder(p: Params):
+    """A shard's rows -> one row: its vectors, their ids and the graph over them as flat arrays."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        ids = shard.column("ids").to_pylist()
+        order = sorted(range(len(ids)), key=lambda k: ids[k][0])  # the graph does not depend on how rows arrive
+        size = shard.column("size")[0].as_py()
+        x = np.array(shard.column("embedding").combine_chunks().values, np.float64).reshape(-1, size)[order]
+        layers, near, entry = Graph(x, p).stored()
+        return pa.table(
+            {
+                "size": pa.array([size], pa.int32()),
+                "shard": pa.array([shard.column("shard")[0].as_py()], pa.int32()),
+                "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()),
+                "ids": pa.array([[ids[k] for k in order]], pa.list_(pa.list_(pa.int64()))),
+                "layers": pa.array([layers], pa.binary()),
+                "near": pa.array([near], pa.binary()),
+                "entry": pa.array([entry], pa.int32()),
+            }
+        )
+
+    return run
+
+
 def _searcher(p: Params):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
         if not shard.num_rows or not queries.num_rows:
             return schema.empty_table()
-        x = np.array(shard.column("embedding").to_pylist(), np.float64)
-        ids = shard.column("ids").to_pylist()
-        order = np.argsort([i[0] for i in ids], kind="stable")  # the graph does not depend on how rows arrive
-        x, ids = x[order], [ids[i] for i in order]
-        q = np.array(queries.column("embedding").to_pylist(), np.float64)
-        graph = Graph(x, p)
-        width = max(p.search, p.k + 1)
+        size, vectors, ids, layers, near, entry = (shard.column(c)[0].as_py() for c in ("size", "vectors", "ids", "layers", "near", "entry"))
+        x = np.frombuffer(vectors, "<f8").reshape(-1, size)
+        graph = Graph(x, p, (layers, near, entry))
+        q = np.array(queries.column("embedding").combine_chunks().values, np.float64).reshape(-1, size)
         out: list[tuple[int, int, float]] = []
-        for own, v in zip(queries.column("vec_id").to_pylist(), q):
-            near = graph.search(v, width)
-            d = np.sqrt(((x[near] - v) ** 2).sum(1))
-            rows = sorted((float(e), i) for e, j in zip(d, near) for i in ids[j] if i != own)[: p.k]
+        for own, v, found in zip(queries.column("vec_id").to_pylist(), q, graph.search(q, max(p.search, p.k + 1))):
+            found = found[found >= 0]
+            d = np.sqrt(((x[found] - v) ** 2).sum(1))
+            rows = sorted((e, i) for e, j in zip(d.tolist(), found.tolist()) for i in ids[j] if i != own)[: p.k]
             out += [(own, i, e) for e, i in rows]
         cols = zip(*out) if out else ((), (), ())
         return pa.table([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
@@ -201,27 +282,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: Params = Params()) -> Dat
     """(query_id, rank, vec_id, score): for each row of queries its k nearest rows of vectors, itself left out, nearest first.
 
     Rows with a null id, a null, empty or zero vector, or a null or non-finite
-    component take no part. Vectors of one run have one length; others than the
-    commonest are left out with them. Equal vectors count each, ties go to the
-    smaller vec_id, a repeated id counts once; an empty table gives no rows.
+    component take no part. Vectors are searched among those of their own
+    length. Equal vectors count each, ties go to the smaller vec_id, a repeated
+    id counts once (of different vectors under one query id the smallest one
+    asks); an empty table gives no rows; other columns are ignored.
     """
-    some = usable(vectors)
-    sizes = some.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    some = some.where(F.size("embedding") == (sizes["d"] if sizes else 0))
-    distinct = some.mapInArrow(_classes(p.k + 1), "embedding array<double>, ids array<long>").groupBy("embedding").agg(F.collect_list("ids").alias("ids"))
+    distinct = usable(vectors).mapInArrow(_classes(p.k + 1), "embedding array<double>, ids array<long>").groupBy("embedding").agg(F.collect_list("ids").alias("ids"))
     # a vector's lists come one from each batch of rows, k + 1 ids each
-    classes = written(distinct.select("embedding", F.slice(F.array_distinct(F.sort_array(F.flatten("ids"))), 1, p.k + 1).alias("ids")))
-    n = classes.count()
-    shards = max(1, -(-n // p.shard))
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int"))
-    asked = usable(queries).where(F.size("embedding") == (sizes["d"] if sizes else 0)).dropDuplicates(["vec_id"])
-    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = dealt.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(_searcher(p), "query_id long, vec_id long, score double")
+    classes = written(distinct.select("embedding", F.size("embedding").alias("size"), F.slice(F.array_distinct(F.sort_array(F.flatten("ids"))), 1, p.k + 1).alias("ids")))
+    # a length of vectors has as many shards as its nodes need
+    shards = classes.groupBy("size").agg(F.ceil(F.count("*") / F.lit(p.shard)).cast("int").alias("shards"))
+    dealt = classes.join(shards, "size").withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("shards")).cast("int"))
+    graphs = written(dealt.groupBy("size", "shard").applyInArrow(_builder(p), SHARD))
+    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    blocks = max(1, -(-asked.count() // p.block))
+    asked = asked.withColumns({"size": F.size("embedding"), "block": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")})
+    sent = asked.join(shards, "size").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    each = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    key = ["size", "shard", "block"]
+    found = each.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(_searcher(p), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+    # an id with several vectors may be found more than once: its nearest one counts
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of embeddings for each one whose vec_id is divisible by 100; edge rows as in nearest()."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     p = Params()
     return nearest(vectors, vectors.where(F.col("vec_id") % p.queries_every == 0), p)
