@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters between words.
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -22,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="loom-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -48,3 +54,48 @@ def forget(df: DataFrame) -> None:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: log2 of the bits of a filter of numbers: 16 MB, whatever the input. As it fills, more rows pass; none that belongs is lost.
+FILTER_BITS = 27
+
+
+def _pack_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
+    for batch in batches:
+        out = []
+        for x in batch.column(1):
+            bits = np.zeros(1 << 16, np.uint8)
+            bits[np.array(x.values, np.int64)] = 1
+            out.append(np.packbits(bits, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=schema)
+
+
+def packed_bits(slots: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The column `slot` (whole numbers below 2 ** bits) as a bit array of 2 ** (bits - 3) bytes on the driver."""
+    sliced = slots.select(F.shiftright("slot", 16).cast("int").alias("slice"), F.col("slot").bitwiseAND(0xFFFF).cast("int").alias("bit"))
+    sliced = sliced.groupBy("slice").agg(F.collect_set("bit").alias("b"))  # 65,536 numbers at most
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in sliced.mapInArrow(_pack_bits, "slice int, bits binary").toLocalIterator():
+        out[r["slice"] << 13 : (r["slice"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def slots_of(numbers: np.ndarray) -> np.ndarray:
+    x = numbers.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def bit_filter(numbers: DataFrame) -> np.ndarray:
+    """A filter of the numbers in the only column of `numbers`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(slots_of(batch.column(0).to_numpy()))], names=["slot"])
+
+    return packed_bits(numbers.mapInArrow(run, "slot long"))
+
+
+def in_filter(held: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    slot = slots_of(numbers)
+    return (held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)

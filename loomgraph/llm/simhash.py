@@ -6,8 +6,18 @@ guaranteed minimum of matches. The index holds each distinct fingerprint under
 every choice of six positions with the bytes found there; a pair comes together
 in a posting list exactly if its tally of shared positional bytes reaches six.
 Inside a list only two byte positions are open, so it has 65,536 members at
-most; its pairs are tallied over the open bytes, those that pass are verified
-bit by bit, and a list gives a spanning star of what it linked.
+most. Up to 256 members the shared bytes of every pair are tallied and the pairs
+that reach the minimum verified bit by bit; in longer lists each member looks
+up the numbers within two bits of it, which are those same pairs. A list gives
+a spanning star of what it linked.
+
+Near copies by shingle similarity (near_groups) differ in many more bits, so
+they have a wider fingerprint of 32 positional bytes: texts whose sets of
+5-word shingles have a similarity of 0.8 share 8.7 of them in the mean. The
+index holds every text under 256 choices of three positions; a pair that meets
+has reached the minimum of three shared bytes, is tallied over a further
+32 bits, and is linked only if the two shingle sets themselves, compared
+exactly, have the similarity.
 """
 
 from __future__ import annotations
@@ -21,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import parts, table, written
+from loomgraph.llm.common import bit_filter, in_filter, parts, table, written
 from loomgraph.llm.components import components
 
 SEED, WORDS, BITS = 42, 3, 2
@@ -43,7 +53,9 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
     h = np.array(hashes, "<u8")
-    count = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    count = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 16):  # a bounded stretch at a time, however long the text
+        count += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(count * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
@@ -67,7 +79,9 @@ def link_list(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Spanning stars (member, smallest member) of what is within `bits` bits in one posting list."""
     x = np.unique(fps)
     if len(x) <= 256:
-        near = np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)) <= bits
+        apart = x[:, None] ^ x[None, :]
+        tally = (apart.view(np.uint8).reshape(len(x), len(x), POSITIONS) == 0).sum(2)  # positional bytes that a pair shares
+        near = (tally >= POSITIONS - bits) & (np.bitwise_count(apart.view(np.uint64)) <= bits)
         i, j = np.nonzero(np.triu(near, 1))
     else:  # look up every number that lies within `bits` bits on the open positions
         open_bits = int(np.bitwise_or.reduce(x ^ x[0]))
@@ -141,19 +155,259 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """docs with one row of each group: that of its smallest doc_id. Rows without a doc_id stay; columns stay."""
-    found = written(groups(docs, words, bits))
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    stay = written(stay.select(F.col("doc_id").alias("loom_id"), "n"))
+#: Of the wide fingerprint: 64-bit streams of a shingle's hash, positional bytes that are keyed (the last four are the sketch).
+STREAMS, KEYED = 5, 32
+#: Each start s gives the positions s, s + a, s + b (modulo KEYED): every pair of positions is apart in most choices.
+STEPS = ((1, 3), (4, 9), (6, 13), (8, 18), (11, 23), (2, 17), (5, 12), (7, 10))
+#: Sketch bits that a pair of a list may differ in: 4.8 in the mean at a similarity of 0.8, 16 for unlike texts. Lists beyond FOREST go by leaders.
+SKETCH_BITS, FOREST = 11, 64
+_CHOICES = np.array([[(s, (s + a) % KEYED, (s + b) % KEYED) for s in range(KEYED)] for a, b in STEPS]).reshape(-1, 3)
+_STREAM = (np.arange(1, STREAMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the different word shingles of a text, ascending; fewer words: of the whole sequence; none: empty."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(found[k : k + words]), SEED) for k in range(max(1, len(found) - words + 1))], np.uint64))
+
+
+def wide_print(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles in 8 * STREAMS bytes."""
+    count = np.zeros(64 * STREAMS, np.int64)
+    for k in range(0, len(shingles), 8192):
+        x = shingles[k : k + 8192, None] + _STREAM
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        count += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(count * 2 > len(shingles), bitorder="little")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending arrays of different numbers."""
+    if not len(a) and not len(b):
+        return 1.0
+    at = np.minimum(np.searchsorted(a, b), max(0, len(a) - 1))
+    both = int((a[at] == b).sum()) if len(a) else 0
+    return both / (len(a) + len(b) - both)
+
+
+def _wide(words: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("fp", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, fps = [], []
+            for t in batch.column(1):
+                found = shingle_set(t.as_py(), words)
+                same.append(xxhash.xxh3_128_digest(found.tobytes()))
+                fps.append(wide_print(found).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.binary())], schema=schema)
+
+    return run
+
+
+def _leaders(sketch: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """(members of each leader, leaders): in the order given, whoever no earlier leader is near leads what is near to it."""
+    left, groups_, lead = np.arange(len(sketch)), [], []
+    while len(left):
+        near = np.bitwise_count(sketch[left] ^ sketch[left[0]]) <= SKETCH_BITS
+        lead.append(int(left[0]))
+        groups_.append(left[near][1:])
+        left = left[~near]
+    return groups_, lead
+
+
+def _forest(sketch: np.ndarray) -> list[tuple[int, int]]:
+    """A shortest spanning forest of the pairs that the sketch lets pass."""
+    apart = np.bitwise_count(sketch[:, None] ^ sketch[None, :]).astype(np.int64)
+    out, n = [], len(sketch)
+    best, via, open_ = np.full(n, 99), np.zeros(n, np.int64), np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        open_[at] = False
+        nearer = open_ & (apart[at] < best)
+        best[nearer], via[nearer] = apart[at][nearer], at
+        at = int(np.argmin(np.where(open_, best, 100)))
+        if best[at] <= SKETCH_BITS:
+            out.append((int(via[at]), at))
+    return out
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal sorted keys start, and their lengths."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return start, np.diff(np.append(start, len(key)))
+
+
+ENTRY = np.dtype([("key", "<u4"), ("sketch", "<u4"), ("node", "<i8")])
+
+
+def _post(buckets: int, rows: int = 16_384):
+    """Rows (bucket, linked, entries): the index entries of a stretch of texts, packed by the bucket of their key; linked: the links out of lists that are long already here."""
+    schema = pa.schema([("bucket", pa.int32()), ("linked", pa.bool_()), ("entries", pa.binary())])
+
+    def posted(nodes: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sketch = np.ascontiguousarray(fps[:, KEYED : KEYED + 4]).view("<u4").ravel()
+        entries = np.empty((len(nodes), len(_CHOICES)), ENTRY)
+        wide = fps.astype(np.uint32)
+        entries["key"] = np.arange(len(_CHOICES), dtype=np.uint32) << 24 | wide[:, _CHOICES[:, 0]] << 16 | wide[:, _CHOICES[:, 1]] << 8 | wide[:, _CHOICES[:, 2]]
+        entries["sketch"], entries["node"] = sketch[:, None], nodes[:, None]
+        entries = entries.ravel()
+        entries = entries[np.argsort(entries["key"], kind="stable")]
+        start, n = _runs(entries["key"])
+        stay, a, b = np.ones(len(entries), bool), [], []
+        for s, m in zip(start[n > FOREST].tolist(), n[n > FOREST].tolist()):
+            groups_, lead = _leaders(entries["sketch"][s : s + m])
+            for g, leader in zip(groups_, lead):
+                stay[s + g] = False
+                a.append(np.full(len(g), entries["node"][s + leader]))
+                b.append(entries["node"][s + g])
+        entries = entries[stay]
+        bucket = ((entries["key"] * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        entries, bucket = entries[order := np.argsort(bucket, kind="stable")], bucket[order]
+        start, n = _runs(bucket)
+        packed = [entries[s : s + m].tobytes() for s, m in zip(start.tolist(), n.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int32()), pa.array(np.zeros(len(packed), bool)), pa.array(packed, pa.binary())], schema=schema)
+        if a:
+            links_ = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0).astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([int(nodes[0]) % buckets], pa.int32()), pa.array([True]), pa.array([links_.tobytes()], pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, fps = [], []
+        for batch in batches:
+            for node, fp in zip(batch.column(0).to_pylist(), batch.column(1)):
+                nodes.append(node)
+                fps.append(fp.as_py())
+                if len(nodes) >= rows:
+                    yield from posted(np.array(nodes, np.int64), np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1))
+                    nodes, fps = [], []
+        if nodes:
+            yield from posted(np.array(nodes, np.int64), np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1))
+
+    return run
+
+
+def _meet(bucket: pa.Table) -> pa.Table:
+    """Candidate links (a < b) of the posting lists of a bucket: shortest forests of short lists, leaders' stars of long ones."""
+    raw = {kind: b"".join(x for x, k in zip(bucket.column("entries").to_pylist(), bucket.column("linked").to_pylist()) if k == kind) for kind in (False, True)}
+    early = np.frombuffer(raw[True], "<i8").reshape(-1, 2)
+    entries = np.frombuffer(raw[False], ENTRY)
+    entries = entries[np.argsort(entries["key"], kind="stable")]
+    start, n = _runs(entries["key"])
+    node, sketch = entries["node"], entries["sketch"]
+    # the pairs of all short lists at once, by their distance in the list
+    size = np.repeat(n, n)
+    size = np.where(size <= FOREST, size - (np.arange(len(size)) - np.repeat(start, n)), 0)  # entries from here to the list's end
+    at, lag, hits = np.flatnonzero(size > 1), 1, []
+    while len(at):
+        hits.append(at[np.bitwise_count(sketch[at] ^ sketch[at + lag]) <= SKETCH_BITS])
+        lag += 1
+        at = at[size[at] > lag]
+    own = np.unique(np.searchsorted(start, np.concatenate(hits), "right") - 1) if hits else np.empty(0, np.int64)
+    a, b = [early[:, 0]], [early[:, 1]]
+    for s, m in zip(start[own].tolist(), n[own].tolist()):
+        i, j = np.array(_forest(sketch[s : s + m])).T
+        a.append(node[s + i])
+        b.append(node[s + j])
+    for s, m in zip(start[n > FOREST].tolist(), n[n > FOREST].tolist()):
+        # the leaders of a text's lists differ, as each list has an order of its own
+        order = s + np.argsort((node[s : s + m].astype(np.uint64) ^ np.uint64(entries["key"][s])) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+        for g, leader in zip(*_leaders(sketch[order])):
+            a.append(np.full(len(g), node[order[leader]]))
+            b.append(node[order[g]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    found = np.unique(np.stack([low, high], 1), axis=0)
+    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+
+def _sets(model, words: int):
+    """(doc_id, digest, shingles) of the rows whose doc_id the filter holds."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_filter(model.value, batch.column(0).to_numpy())))
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = [shingle_set(t.as_py(), words).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], schema=schema)
+
+    return run
+
+
+def _verified(least: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = lambda c: (np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c))  # noqa: B023, E731
+            ok = pa.array([similarity(x, y) >= least for x, y in zip(sets(2), sets(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(ok)
+
+    return run
+
+
+def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id that links reach, for each row of docs with a doc_id.
+
+    Two rows link if their sets of word shingles (A-Z lower-cased; of a text
+    with fewer words the whole sequence) have a Jaccard similarity of `least` or
+    more; no link is made below it. Equal sets always meet. Others meet in the
+    index with a probability of some 0.95 at a similarity of 0.8 and more above,
+    and a group stays together by any chain of its links. Texts
+    without words (null, empty) are one group. Rows with a null doc_id take no
+    part; repeated rows come out repeated; an empty table gives no rows; other
+    columns are ignored.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    fps = written(texts.mapInArrow(_wide(words), "doc_id long, shingles binary, fp binary"))
+    first = fps.groupBy("shingles").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"))
+    classes = written(first.withColumn("node", F.monotonically_increasing_id()))
+    # the buckets follow the shuffle partitions, so a bucket stays as small as they are
+    spread = classes.select("node", "fp").repartition(parts(spark), "node")
+    posted = spread.mapInArrow(_post(parts(spark)), "bucket int, linked boolean, entries binary")
+    pairs = written(posted.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct())
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    own = written(classes.select("node", F.col("first").alias("doc_id"), F.col("shingles").alias("digest")).join(asked, "node"))
+    # only texts of candidates make their shingle sets again and travel: 2 ** 27 bits say which, whatever the input
+    model = spark.sparkContext.broadcast(bit_filter(own.select("doc_id")))
+    held = texts.mapInArrow(_sets(model, words), "doc_id long, digest binary, shingles binary")
+    sets = written(held.join(own.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", F.col("shingles")))
+    compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    compared = compared.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+    linked = components(compared.select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long"))
+    member = classes.join(linked, "node", "left").select("shingles", "first", F.coalesce("root", "node").alias("root"))
+    roots = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = written(member.join(roots, "root").select("shingles", "component_id"))
+    return fps.join(named, "shingles").select("doc_id", "component_id")
+
+
+def dedup(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies (near_groups): that of its smallest doc_id, whatever their columns are called.
+
+    Rows without a doc_id stay, every one; of rows that share an id one stays; null and
+    empty texts are one group; an empty table gives no rows.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    found = written(near_groups(docs, words, least))
+    stay = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     # the ids that stay grow with the documents: a merge join at any size, never a broadcast
-    kept = docs.where("doc_id is not null").join(stay.select("loom_id").hint("merge"), F.col("doc_id") == F.col("loom_id"), "left_semi")
+    kept = rows.where("doc_id is not null").join(stay.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if stay.where("n > 1").limit(1).count():  # a doc_id that occurs again: its rows lie together after the join
         kept = kept.dropDuplicates(["doc_id"])
-    lost = found.where("doc_id is null").limit(1).count()
-    return kept.unionByName(docs.where("doc_id is null")) if lost else kept
+    if docs.where("doc_id is null").limit(1).count():
+        kept = kept.unionByName(rows.where("doc_id is null"))
+    return kept.select("row.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays; edge rows as in dedup()."""
     return dedup(docs)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import parts, table, written
+from loomgraph.llm.common import packed_bits, parts, table, written
 
 U = np.uint64
 _MUL, _STEP = U(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
@@ -172,17 +172,6 @@ class Filter:
         return yes, yes & np.isin(slot, self.hot)
 
 
-def _bits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
-    for batch in rows:
-        out = []
-        for x in batch.column(1):
-            bits = np.zeros(1 << 16, np.uint8)
-            bits[np.array(x.values, np.int64)] = 1
-            out.append(np.packbits(bits, bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=schema)
-
-
 def build_filter(texts: DataFrame, p: Params) -> Filter:
     """texts (rid, raw binary). The driver holds 2 ** filter_bits bits and at most 8 hot slots a shuffle partition."""
     spark = texts.sparkSession
@@ -191,10 +180,7 @@ def build_filter(texts: DataFrame, p: Params) -> Filter:
     total = counted.agg(F.sum("d")).first()[0] or 0
     least = min(p.most_hot, max(p.least_hot, total // (8 * parts(spark))))
     hot = [r[0] for r in counted.where(F.col("d") > least).select("slot").collect()]
-    sliced = counted.select(F.shiftright("slot", 16).alias("slice"), F.col("slot").bitwiseAND(0xFFFF).alias("bit")).groupBy("slice").agg(F.collect_list("bit").alias("b"))
-    bits = np.zeros(1 << (p.filter_bits - 3), np.uint8)
-    for r in sliced.mapInArrow(_bits, "slice int, bits binary").toLocalIterator():
-        bits[r["slice"] << 13 : (r["slice"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    bits = packed_bits(counted, p.filter_bits)
     return Filter(bits, np.array(hot, np.int64), (1 << p.filter_bits) - 1)
 
 
