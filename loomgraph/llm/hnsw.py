@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table, written
+from loomgraph.llm.common import parts, table, written
 
 
 @dataclass(frozen=True)
@@ -293,13 +293,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: Params = Params()) -> Dat
     # a length of vectors has as many shards as its nodes need
     shards = classes.groupBy("size").agg(F.ceil(F.count("*") / F.lit(p.shard)).cast("int").alias("shards"))
     dealt = classes.join(shards, "size").withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("shards")).cast("int"))
-    graphs = written(dealt.groupBy("size", "shard").applyInArrow(_builder(p), SHARD))
+    # a number of partitions of our own, so that a shard is a task: Spark would put shards together by their bytes
+    tasks = max(parts(vectors.sparkSession), int(shards.agg(F.sum("shards")).first()[0] or 0))
+    graphs = written(dealt.repartition(tasks, "size", "shard").groupBy("size", "shard").applyInArrow(_builder(p), SHARD))
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-asked.count() // p.block))
     asked = asked.withColumns({"size": F.size("embedding"), "block": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")})
     sent = asked.join(shards, "size").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     each = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["size", "shard", "block"]
+    each, sent = each.repartition(tasks * blocks, *key), sent.repartition(tasks * blocks, *key)
     found = each.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(_searcher(p), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     # an id with several vectors may be found more than once: its nearest one counts
