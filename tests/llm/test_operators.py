@@ -598,13 +598,57 @@ def test_html_details():
     assert t("<table><tr><td>a<td>b<tr><td>c</table>") == "a b c" and t("<p hidden>h<p style='display: none'>n<p>v") == "v"
 
 
+def test_marked_classes():
+    t = lambda h: html.article_text(html.parse(h))
+    kept = "<p class='ad-hoc'>a</p><p class='related-work'>b</p><div class='search-engine'>c</div><div id=header-files>d</div>"
+    gone = "<div class='ad-slot'>x</div><ul class='comment-list'><li>x</ul><div id=cookieNotice>x</div><div role=navigation>x</div><div class='site-footer'>x</div>"
+    assert t(f"<article>{kept}{gone}</article>") == t(f"<body>{kept}{gone}") == "a b c d"
+
+
+def test_parsing_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for hostile in ("<div>" * 100_000 + "</b>" * 150_000, "<b>" * 200_000 + "<p></p>" * 50_000, "<p><div>" + "<b>" * 100_000 + "<p>x</p>" * 80_000, "<li>" * 200_000, "<" * 1_000_000):
+        html.article_text(html.parse(hostile))
+    assert time.perf_counter() - began < 20
+
+
 def test_site_templates(spark):
     made = [(i, f"http://a.example.com/{i}", f"<body><div id=top><i>Home sweet</i></div><p>own {i}</p><div>Imprint</div></body>") for i in range(20)]
     made += [(99, None, None), (98, "x", ""), (97, "http://b.example.com/", "<body><div>Imprint</div></body>"), (96, "http://c.example.com/", "<article>same</article>")] + [(96, "http://c.example.com/", "<article>same</article>")] * 20
-    pages = spark.createDataFrame(made, "page_id long, url string, html string").withColumn("rid", F.lit(0))
-    got = {r.page_id: r.h_text for r in html.extract(pages).collect()}
-    assert all(got[i] == f"own {i}" for i in range(20)) and got[97] == "Imprint" and got[98] == got[99] == "" and got[96] == "same"
-    assert html.extract(pages).count() == len(made) and html.extract(pages.limit(0)).count() == 0
+    made += [(200 + i, "http://d.example.com/", f"<script>var x = '<article>'</script><div>Home</div><p>mine {i}</p>") for i in range(20)]  # no article but in a script
+    # a host whose site blocks lie inside the article, with a page that occurs often, in a container of its own
+    made += [(300 + i, "http://e.example.com/", f"<main><div class=x1>Read also</div><div class=body><p>text number {i} of the site</p><p>shared line</p></div><ul><li>About</ul></main>") for i in range(30)]
+    made += [(400 + i, f"http://e.example.com/{i}", f"<main><div class=x1>Read also</div><div class=body><p>the copied article and its words</p></div>{i}</main>") for i in range(30)]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string").withColumns({c: F.lit("mine") for c in ("rid", "row", "host", "digests", "h_rid")})
+    for p in (html.Params(), html.Params(most=0)):
+        out = html.extract(pages, p).collect()
+        assert len(out) == len(made) and all(r.row == r.host == r.digests == r.h_rid == "mine" for r in out)
+        got = {r.page_id: r.h_text for r in out}
+        assert all(got[i] == f"own {i}" and got[200 + i] == f"mine {i}" for i in range(20)) and got[97] == "Imprint" and got[98] == got[99] == "" and got[96] == "same"
+        assert all(got[300 + i] == f"text number {i} of the site shared line" and got[400 + i] == f"the copied article and its words {i}" for i in range(30))
+    assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_templates_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    blocks = [f"<div class=b{k}>block {k}</div>" for k in range(12)]
+    made, own = [], {}
+    for i in range(200):
+        host = f"h{rng.integers(0, 3)}.example.org"
+        some = [k for k in range(12) if rng.random() < (k + 1) / 40]
+        made.append((i, f"https://{host}/", "<body>" + "".join(blocks[k] for k in some) + f"<p>own text of page {i % 150}</p>"))
+        own[i] = host, some, i % 150
+    contents = {h: {o[2] for o in own.values() if o[0] == h} for h in {o[0] for o in own.values()}}
+    got = {r.page_id: r.h_text for r in html.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    for i, (host, some, content) in own.items():
+        left = []
+        for k in some:
+            n = len({o[2] for o in own.values() if o[0] == host and k in o[1]})
+            if not (n >= 8 and n >= 0.05 * len(contents[host])):
+                left.append(f"block {k}")
+        assert got[i] == " ".join([*left, f"own text of page {content}"])
 
 
 # --- nearest neighbours
