@@ -1,12 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
-Seed entities are what the base expressions find, and values written after a
-credential word. Every identifier-like token is an instance; a lexical pattern
-is the two words before it and its shape. Spark scores the graph of patterns
-and instances in rounds: a pattern by the share of its instances that are
-trusted, an instance by its patterns. The patterns that reach a high confidence
-then mark identifiers that no seed had: broadcast while they are few, else by
-joins. Patterns that have only ever met base entities add nothing and are left out.
+Seed entities are what the base expressions find, and values assigned to a
+credential word. Every identifier-like token is an instance, and so is every
+value that is assigned to a name; a lexical pattern is the two words before a
+token and its shape, or the name and sign before a value of any shape. Spark
+scores the graph of patterns and instances in rounds: a pattern by the share of
+its instances that are trusted, an instance by its patterns. A name that is a
+credential word gives its pattern a head start of some trusted instances. The
+patterns that reach a high confidence, and they alone, then mark identifiers:
+broadcast while they are few, else by joins. Patterns that have only ever met
+base entities add nothing and are left out.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: Words after which a value is a credential.
-_KEYED = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key)[\x20\t]*[=:][\x20\t]*[\"']?([A-Za-z0-9_./+=-]{8,})")
+_CREDENTIAL = re.compile(r"(?:token|secret|password|passwd|api[_-]?key)\Z")
+_ASSIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z][A-Za-z0-9_-]*+)[\x20\t]*+([=:])[\x20\t]*+[\"']?([A-Za-z0-9_./+=-]{8,}+)")
 _INSTANCE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._@+/=-]{4,})[A-Za-z0-9]")
 _HEX = re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}")
 _RUN = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|.")
@@ -97,8 +101,16 @@ def shape(token: str) -> str:
     return "".join(f"{'d' if r[0].isdigit() else 'a' if r[0].islower() else 'A'}{min(len(r), 20) if r[0].isdigit() else min(len(r), 5)}" if r[0].isalnum() else r for r in _RUN.findall(token))
 
 
+def _short(*texts: str) -> Iterator[str]:
+    return (x if len(x) <= LONG else f"#{xxhash.xxh3_128_hexdigest(x)}" for x in texts)
+
+
 def instances(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, token, pattern) of identifier-like tokens: six characters or more, four digits or more."""
+    """(start, end, token, pattern) of identifier-like tokens (six characters or more, four digits or more) and of assigned values (eight or more)."""
+    if "=" in text or ":" in text:
+        for m in _ASSIGNED.finditer(text):
+            token, name = _short(m[3], m[1].lower())
+            yield *m.span(3), token, f"{name} {m[2]} _"
     if not _DIGIT.search(text):
         return
     for m in _INSTANCE.finditer(text):
@@ -107,27 +119,32 @@ def instances(text: str) -> Iterator[tuple[int, int, str, str]]:
             before = re.sub("[0-9]+", "0", text[max(0, m.start() - REACH) : m.start()].lower()).split()[-2:]
             form = shape(token)
             if len(token) > LONG:
-                form, token = (f"#{xxhash.xxh3_128_hexdigest(x)}" for x in (form, token))
+                form, token = _short(form.ljust(LONG + 1), token)
             yield m.start(), m.end(), token, " ".join(before) + " _ " + form
 
 
+def credentials(text: str) -> list[tuple[int, int]]:
+    """Places of values that are assigned to a credential word: seeds."""
+    return [m.span(3) for m in _ASSIGNED.finditer(text) if _CREDENTIAL.search(m[1].lower())]
+
+
 def _observe():
-    schema = pa.schema([("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_())])
+    schema = pa.schema([("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_()), ("named", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows = set()
             for x in batch.column(0):
                 text = x.as_py() or ""
-                if not _DIGIT.search(text):
-                    continue
                 base = None
                 for start, end, token, pattern in instances(text):
                     if base is None:
-                        base, keyed = [(s, e) for _, s, e in base_spans(text)], [m.span(1) for m in _KEYED.finditer(text)]
+                        base, keyed = [(s, e) for _, s, e in base_spans(text)], credentials(text)
                     in_base = any(s < end and start < e for s, e in base)
-                    rows.append((pattern, token, in_base or any(s < end and start < e for s, e in keyed), in_base))
-            cols = zip(*rows) if rows else ((), (), (), ())
+                    in_keyed = any(s < end and start < e for s, e in keyed)
+                    whole = any(s <= start and end <= e for s, e in base)  # nothing is left for a pattern to add
+                    rows.add((pattern, token, in_base or in_keyed, whole, in_keyed and pattern.endswith(" _")))
+            cols = zip(*rows) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
     return run
@@ -135,25 +152,30 @@ def _observe():
 
 @dataclass(frozen=True)
 class Params:
-    """max_patterns bounds the model that is broadcast, not the model: more are joined (patterns hold REACH + 2 * LONG + 3 characters at most: under 2 MB)."""
+    """max_patterns bounds the model that is broadcast, not the model: more are joined (patterns hold REACH + 2 * LONG + 3 characters at most: under 2 MB).
+
+    head_start counts as so many trusted instances for the pattern of a credential word.
+    """
 
     rounds: int = 3
     min_support: int = 3
     min_score: float = 0.7
     max_patterns: int = 5_000
+    head_start: int = 3
 
 
 def fit(docs: DataFrame, params: Params = Params()) -> frozenset[str] | DataFrame:
     """The patterns of high confidence, learned from all documents; a DataFrame of them where they exceed max_patterns."""
-    seen = docs.select(F.col("text").cast("string")).mapInArrow(_observe(), "pattern string, instance string, seed boolean, base boolean")
-    edges = written(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min("base").alias("base")))
+    seen = docs.select(F.col("text").cast("string")).mapInArrow(_observe(), "pattern string, instance string, seed boolean, base boolean, named boolean")
+    edges = written(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min("base").alias("base"), F.max("named").alias("named")))
     trusted = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("trust"))
+    start = F.when(F.max("named"), float(params.head_start)).otherwise(0.0)
     scored = None
     for _ in range(params.rounds):
         scored = (
             edges.join(trusted, "instance")
             .groupBy("pattern")
-            .agg(F.sum("trust").alias("good"), F.count("*").alias("n"), F.min("base").alias("base"))
+            .agg((F.sum("trust") + start).alias("good"), (F.count("*") + start).alias("n"), F.min("base").alias("base"))
             .select("pattern", "n", (F.col("good") / (F.col("n") + 1)).alias("score"), "good", "base")
         )
         trusted = (
@@ -191,19 +213,13 @@ def _with_hits(docs: DataFrame, patterns: frozenset[str] | DataFrame) -> DataFra
 
 
 def all_spans(text: str, patterns: frozenset[str]) -> tuple[list[Span], list[Span]]:
-    """(base spans, what credential words and the patterns add); an added span overlaps no other span."""
+    """(base spans, what the patterns add); an added span overlaps no other span."""
     base = base_spans(text)
     added = []
-    if patterns or "=" in text or ":" in text:
+    marked = [(start, end) for start, end, _, pattern in instances(text) if pattern in patterns] if patterns else []
+    if marked:
         taken = sorted((s, e) for _, s, e in base)
-        keyed = dict(m.span(1) for m in _KEYED.finditer(text))
-        marked = []
-        for start, end, _, pattern in instances(text):
-            if start in keyed:
-                keyed[start] = max(keyed[start], end)
-            elif pattern in patterns and not any(s < end and start < e for s, e in taken):
-                marked.append((start, end))
-        for start, end in _merged([*keyed.items(), *marked]):
+        for start, end in _merged(marked):
             for s, e in [*((s, e) for s, e in taken if s < end and start < e), (end, end)]:
                 if any(map(str.isalnum, text[start:s])):
                     added.append((FOUND, start, s))

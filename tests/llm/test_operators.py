@@ -540,15 +540,45 @@ def test_patterns_discover_unseen_identifiers(spark):
 
 
 @pytest.mark.parametrize("value", ["aB3x" * 40, "q7" * 100 + "==", "correct-horse-battery", "7f3a" * 10, "4111111111111111-rest.of.it"])
-def test_pii_credentials_are_marked_whole(value):
-    text = f'x = 1; token = "{value}" and more'
-    out = pii.redacted(text, sum(pii.all_spans(text, frozenset()), []))
-    assert out in ('x = 1; token = "[ID]" and more', 'x = 1; token = "[CARD][ID]" and more')
+@pytest.mark.parametrize("name", ["token", "API_KEY", "db-password"])
+def test_pii_credentials_are_marked_whole(spark, value, name):
+    text = f'x = 1; {name} = "{value}" and more'
+    patterns = pii.fit(documents(spark, [(1, text, "en", "x", 1)]))  # one sighting is enough
+    out = pii.redacted(text, sum(pii.all_spans(text, patterns), []))
+    assert out in (f'x = 1; {name} = "[ID]" and more', f'x = 1; {name} = "[CARD][ID]" and more')
+    assert "[ID]" not in pii.redacted(text, sum(pii.all_spans(text, frozenset()), []))
+
+
+def test_pii_spans_come_from_learned_patterns(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    patterns = pii.fit(docs)
+    with_, without = (pii.find(docs, p).agg(F.sum("n_id")).first()[0] for p in (patterns, frozenset()))
+    keyed = sum(len(pii.credentials(t or "")) for t in texts(spark, sf).values())
+    assert without == 0 and with_ >= keyed > 0
+
+
+def test_pii_finds_what_no_seed_has(spark):
+    """Names that are no credential words, learned from the values they share with those that are."""
+    secrets = [f"{k:02d}ab" * 6 for k in range(12)]
+    docs = [(k, f'token = "{s}" and later session = "{s}" too', "en", "x", 1) for k, s in enumerate(secrets[:8])]
+    docs += [(50 + k, f'only session = "{s}" here', "en", "x", 1) for k, s in enumerate(secrets[8:10])] + [(90 + k, f"title: {w}{w}{w} x", "en", "x", 1) for k, w in enumerate(("alpha", "beta", "gamma"))]
+    df = documents(spark, docs)
+    patterns = pii.fit(df)
+    assert "session = _" in patterns and "title : _" not in patterns
+    got = {r.doc_id: r.spans for r in pii.find(df, patterns).collect()}
+    assert got[50] == "id:16:40" and got[90] == ""
 
 
 def test_pii_instances_run_to_their_end():
     found = list(pii.instances("key " + "a1B2" * 40 + " x"))
     assert [(s, e) for s, e, *_ in found] == [(4, 164)] and all(len(t) <= 64 and len(p) <= 64 for _, _, t, p in found)
+    import time
+
+    began = time.perf_counter()
+    for hostile in ("a" * 1_000_000, "a " * 500_000 + "=", "a-" * 500_000 + ": ", "x=" * 500_000, "1." * 300_000, "+1" * 300_000, "@" * 300_000):
+        sum(1 for _ in pii.instances(hostile)), pii.base_spans(hostile)
+    assert time.perf_counter() - began < 30
 
 
 def test_pii_applies_every_pattern_that_qualifies(spark):
