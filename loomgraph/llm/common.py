@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters between words.
@@ -52,6 +53,23 @@ def forget(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Plan nodes that give a file's rows in the same order each time.
+_IN_ORDER = frozenset("Project Filter FileScan BatchScan Scan ColumnarToRow InputAdapter WholeStageCodegen".split())
+
+
+def repeatable(df: DataFrame) -> DataFrame:
+    """df if each reading lists its rows alike (files, filtered and projected), else df written once: for what numbers rows by their place in more than one pass."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    nodes = [m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+|-]*(?:\*\s?\(\d+\) )?([A-Z]\w+)", line))]
+    files = sum(n in ("FileScan", "BatchScan") for n in nodes)
+    return df if files == 1 and "ExistingRDD" not in plan and set(nodes) <= _IN_ORDER else written(df)
+
+
+def unpacked(df: DataFrame, packed: str, columns: list[str], new: dict[str, Column]) -> DataFrame:
+    """The columns of the struct `packed` in their order, those in `new` replaced: whatever they are called, they clash with nothing on the way."""
+    return df.select(*[(new[c] if c in new else F.col(packed).getField(c)).alias(c) for c in columns])
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,7 +93,7 @@ def packed_bits(slots: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """The column `slot` (whole numbers below 2 ** bits) as a bit array of 2 ** (bits - 3) bytes on the driver."""
     sliced = slots.select(F.shiftright("slot", 16).cast("int").alias("slice"), F.col("slot").bitwiseAND(0xFFFF).cast("int").alias("bit"))
     sliced = sliced.groupBy("slice").agg(F.collect_set("bit").alias("b"))  # 65,536 numbers at most
-    out = np.zeros(1 << (bits - 3), np.uint8)
+    out = np.zeros(1 << max(13, bits - 3), np.uint8)
     for r in sliced.mapInArrow(_pack_bits, "slice int, bits binary").toLocalIterator():
         out[r["slice"] << 13 : (r["slice"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     return out

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import forget, table, written
+from loomgraph.llm.common import forget, table, unpacked, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of what only the method finds.
@@ -279,7 +279,10 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, patterns: frozenset[str] | DataFrame) -> DataFrame:
-    """docs with personal data replaced in text (and n_chars, if there, counted anew); a null text stays null."""
+    """docs with personal data replaced in text (and n_chars, if there, counted anew).
+
+    A null text stays null; repeated rows are treated row by row; an empty table gives no rows; columns may have any names.
+    """
     few = isinstance(patterns, frozenset)
     model = docs.sparkSession.sparkContext.broadcast(patterns if few else frozenset())
 
@@ -292,18 +295,21 @@ def redact(docs: DataFrame, patterns: frozenset[str] | DataFrame) -> DataFrame:
     def clean_by(texts, hits):
         return texts.combine(hits, lambda t, h: t if t is None else redacted(t, sum(all_spans(t, frozenset(h)), [])))
 
-    out = docs.withColumn("text", clean("text")) if few else _with_hits(docs, patterns).withColumn("text", clean_by("text", "loom_hits"))
+    packed = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
+    out = packed.withColumn("new", clean("text")) if few else _with_hits(packed, patterns).withColumn("new", clean_by("text", "loom_hits"))
+    new = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return unpacked(out, "doc", docs.columns, new)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by kind and the spans of every document, with patterns learned from all of them; edge rows as in find()."""
     docs = table(spark, sf_dir, "documents")
     found = find(docs, fit(docs))
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_id")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the documents is replaced by its kind."""
+    """Personal data in the documents is replaced by its kind; edge rows as in redact()."""
     return redact(docs, fit(docs))

@@ -237,6 +237,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; edge rows as in statistics(): a null or empty text fails the base limits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = fit(docs, table(spark, sf_dir, "labels"))
     return judge(docs, rules).select(
@@ -247,8 +248,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the base limits reject go; columns stay."""
+    """Documents that the rules or the base limits reject go; columns stay, whatever they are called.
+
+    A null or empty text has no words and is rejected; a null doc_id is judged
+    like any other; repeated rows are judged row by row; an empty table gives no
+    rows, and without labels the base limits alone decide.
+    """
     rules = fit(docs, table(spark, sf_dir, "labels"))
+    packed = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
     # the pin keeps the filter above the statistics: pushed below, it would compute them again inside the predicate
-    judged = judge(docs, rules).withColumn("q_pin", F.monotonically_increasing_id())
-    return judged.where("q_kept and q_pin >= 0").select(*docs.columns)
+    judged = judge(packed, rules).withColumn("q_pin", F.monotonically_increasing_id())
+    return judged.where("q_kept and q_pin >= 0").select("doc.*")

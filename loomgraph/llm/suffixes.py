@@ -2,8 +2,8 @@
 
 Every window of `length` bytes is dealt by its minimiser, the smallest hash of
 the short strings in it, so equal windows meet in one place and a run of
-windows with one minimiser travels as one piece of text. A fixed-size filter of
-minimisers that occur twice keeps pieces at home that cannot repeat. Where
+windows with one minimiser travels as one piece of text. A filter of minimisers
+that occur twice keeps pieces at home that cannot repeat. Where
 pieces meet, their suffixes are sorted by the difference-cover algorithm: the
 suffixes at places 1 and 2 modulo 3 are sorted by triples and named, names are
 sorted by recursion, the remaining suffixes are sorted by first symbol and the
@@ -12,7 +12,10 @@ are then compared over the whole window, byte by byte.
 
 A minimiser with very many different pieces (a common line in as many settings)
 is treated window by window instead, by a hash of each whole window: in its task
-up to `most_hot` pieces, dealt over all tasks beyond.
+up to `most_hot` pieces, where windows of one hash are compared byte by byte;
+dealt over all tasks beyond, where windows of one minimiser are taken for equal
+if 128 bits of hash agree. Pieces of one digest are compared byte by byte
+wherever they meet.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import packed_bits, parts, table, written
+from loomgraph.llm.common import forget, packed_bits, parts, repeatable, table, unpacked, written
 
 U = np.uint64
 _MUL, _STEP = U(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
@@ -37,25 +40,31 @@ SEGMENT = 160 << 10
 
 @dataclass(frozen=True)
 class Params:
-    """gram: bytes of a minimiser string; filter_bits: log2 of the filter's bits (2 ** 27 bits are 16 MB, whatever the input)."""
+    """gram: bytes of a minimiser string.
+
+    The filter has slot_bits bits for each run of windows (one in some 65 bytes), 2 ** most_bits (128 MB) at most: beyond, some 4 GB of
+    text, it fills, and more pieces travel for the same result.
+    """
 
     length: int = 200
     gram: int = 16
-    filter_bits: int = 27
+    slot_bits: int = 16
+    least_bits: int = 20
+    most_bits: int = 30
     chunk: int = 48 << 10
     sort_most: int = 512 << 10
     least_hot: int = 500
     most_hot: int = 50_000
 
 
-def _rolling(data: np.ndarray, width: int) -> np.ndarray:
+def _rolling(data: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each `width` bytes, by joining hashes of half the width."""
     n = len(data) - width + 1
     if n <= 0:
         return np.empty(0, U)
-    h = (data.astype(U) + U(1)) * _MUL
+    h = (data.astype(U) + U(1 + 1000 * seed)) * _MUL
     h ^= h >> U(29)
-    done, out, at, factor, w = 0, None, 0, _STEP, 1
+    done, out, at, factor, w = 0, None, 0, _STEP + 2 * seed * 0x1D8E4E27C47D124F & 0xFFFFFFFFFFFFFFFF, 1
     while True:
         if width & w:
             part = h[at : at + n]
@@ -134,10 +143,10 @@ def _buffers(batches: Iterator[pa.RecordBatch], p: Params):
             yield full()
 
 
-def _slots(p: Params):
+def _slots(bits: int, p: Params):
     """How often each filter slot occurs, and with how many different pieces in this task."""
     schema = pa.schema([("slot", pa.int32()), ("n", pa.int64()), ("d", pa.int64())])
-    mask = U((1 << p.filter_bits) - 1)
+    mask = U((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, bounds, _, _ in _buffers(batches, p):
@@ -173,18 +182,26 @@ class Filter:
 
 
 def build_filter(texts: DataFrame, p: Params) -> Filter:
-    """texts (rid, raw binary). The driver holds 2 ** filter_bits bits and at most 8 hot slots a shuffle partition."""
+    """texts (rid, raw binary). The driver holds 2 ** most_bits bits at most, and a number for each most_hot or more different pieces of one slot (or 8 a shuffle partition)."""
     spark = texts.sparkSession
-    counted = texts.mapInArrow(_slots(p), "slot int, n long, d long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).where("n > 1")
+    size = texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    bits = min(p.most_bits, max(p.least_bits, (p.slot_bits * size // 65).bit_length()))
+    counted = texts.mapInArrow(_slots(bits, p), "slot int, n long, d long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).where("n > 1")
     counted = written(counted)
     total = counted.agg(F.sum("d")).first()[0] or 0
     least = min(p.most_hot, max(p.least_hot, total // (8 * parts(spark))))
     hot = [r[0] for r in counted.where(F.col("d") > least).select("slot").collect()]
-    bits = packed_bits(counted, p.filter_bits)
-    return Filter(bits, np.array(hot, np.int64), (1 << p.filter_bits) - 1)
+    held = packed_bits(counted, bits)
+    forget(counted)
+    return Filter(held, np.array(hot, np.int64), (1 << bits) - 1)
+
 
+def _same(a: bytes, b: bytes) -> None:
+    if a != b:  # never a guess: one in 2 ** 64 for each two pieces of one minimiser
+        raise ValueError("two different pieces of one minimiser have one digest")
 
-#: What a dealt row is: a piece (once a task, with its number), a place of a piece, a window of a hot minimiser.
+
+#: What a dealt row is: a piece (once a task, with its number), a place of a piece, a window of a hot minimiser (n: its second hash).
 PIECE, PLACE, WINDOW = 0, 1, 2
 DEALT = "kind int, anchor long, what long, rid long, start long, n long, raw binary"
 
@@ -227,28 +244,30 @@ def _deal(model, p: Params, hold: int = 16 << 20, rows: int = 100_000):
                     keys[k] = key = digest(text)
                     seen = kept.get(key)
                     if seen:
+                        _same(seen[2], text)
                         seen[1] += 1
                     else:
                         kept[key] = [x, 1, text]
                         held += c + p.length + 250
-                places.append((keys.view(np.int64), rid[plain], at[plain]))
+                places.append((h[plain].view(np.int64), keys.view(np.int64), rid[plain], at[plain]))
                 placed += len(plain)
             if hot.any():
-                whole = _rolling(data, p.length)
+                whole, other = _rolling(data, p.length), _rolling(data, p.length, 1)
                 f, c = first[hot], count[hot]
                 for k in range(0, len(f), 1000):
                     cs = c[k : k + 1000]
                     step = np.arange(cs.sum()) - np.repeat(np.append(0, np.cumsum(cs)[:-1]), cs)
                     spread = lambda v: np.repeat(v[hot][k : k + 1000], cs)  # noqa: B023, E731
-                    yield batch(WINDOW, spread(h).view(np.int64), whole[spread(first) + step].view(np.int64), spread(rid), spread(at) + step)
+                    window = spread(first) + step
+                    yield batch(WINDOW, spread(h).view(np.int64), whole[window].view(np.int64), spread(rid), spread(at) + step, other[window].view(np.int64))
             if placed > rows:
-                yield batch(PLACE, what=np.concatenate([x[0] for x in places]), rid=np.concatenate([x[1] for x in places]), start=np.concatenate([x[2] for x in places]))
+                yield batch(PLACE, *(np.concatenate(c) for c in zip(*places)))
                 places, placed = [], 0
             if held > hold:
                 yield from pieces()
                 kept, held = {}, 0
         if places:
-            yield batch(PLACE, what=np.concatenate([x[0] for x in places]), rid=np.concatenate([x[1] for x in places]), start=np.concatenate([x[2] for x in places]))
+            yield batch(PLACE, *(np.concatenate(c) for c in zip(*places)))
         yield from pieces()
 
     return run
@@ -358,7 +377,7 @@ def repeated_starts(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
 
 
 def repeated_by_hash(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As repeated_starts, by a 64-bit hash of each window: eight bytes a window, where the sort takes some 160 a byte."""
+    """As repeated_starts, by a 64-bit hash of each window (eight bytes, where the sort takes some 160 a byte); windows of one hash are compared byte by byte."""
     sizes = np.array([len(r) for r in raws], np.int64)
     begin = np.append(0, np.cumsum(sizes + 1))[:-1]
     hashes, starts = [], []
@@ -371,28 +390,35 @@ def repeated_by_hash(raws: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     h, at = np.concatenate(hashes), np.concatenate(starts)
     order = np.argsort(h, kind="stable")
     same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    data = np.frombuffer(b"\0".join(raws), np.uint8)
+    span = np.arange(length)
+    apart = [same[k : k + 8192][(data[at[order[same[k : k + 8192]], None] + span] != data[at[order[same[k : k + 8192] + 1], None] + span]).any(1)] for k in range(0, len(same), 8192)]
     flag = np.zeros(len(h), bool)
     flag[order[same]] = True
     flag[order[same + 1]] = True
+    for clash in np.unique(h[order[np.concatenate(apart)]]).tolist() if apart else ():  # one hash, different bytes
+        members = np.flatnonzero(h == U(clash))
+        text = [data[a : a + length].tobytes() for a in at[members].tolist()]
+        flag[members] = [text.count(x) > 1 for x in text]
     return at[flag], begin, sizes
 
 
 def _sorter(p: Params):
     """Pieces by minimiser -> the ranges of windows in each piece that occur again (here or anywhere)."""
-    schema = pa.schema([("piece", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+    schema = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
-    def judge(group: dict[int, list]) -> pa.RecordBatch:
+    def judge(group: dict[tuple[int, int], list]) -> pa.RecordBatch:
         keys, lo, hi = [], [], []
         apart: dict[int, int] = {}
-        for anchor, _, _ in group.values():
+        for anchor, _ in group:
             apart[anchor] = apart.get(anchor, 0) + 1
         alone = []
-        for key, (anchor, n, raw) in group.items():
+        for key, (n, raw) in group.items():
             if n > 1:  # the piece itself occurs again
                 keys.append(key)
                 lo.append(0)
                 hi.append(len(raw) - p.length + 1)
-            if apart[anchor] > 1:
+            if apart[key[0]] > 1:
                 alone.append((key, n, raw))
         if alone:
             # one minimiser's pieces stay together, however many: beyond sort_most bytes their windows are hashed
@@ -408,10 +434,10 @@ def _sorter(p: Params):
                     keys.append(key)
                     lo.append(int(starts[i] - begin[own[i]]))
                     hi.append(int(starts[j] - begin[own[j]]) + 1)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([k[0] for k in keys], [k[1] for k in keys], lo, hi)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: dict[int, list] = {}
+        group: dict[tuple[int, int], list] = {}
         held, last = 0, None
         for batch in batches:
             for anchor, key, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -419,11 +445,12 @@ def _sorter(p: Params):
                     yield judge(group)
                     group, held = {}, 0
                 last = anchor
-                seen = group.get(key)
+                seen = group.get((anchor, key))
                 if seen:
-                    seen[1] += n
+                    _same(seen[1], raw)
+                    seen[0] += n
                 else:
-                    group[key] = [anchor, n, raw]
+                    group[anchor, key] = [n, raw]
                     held += len(raw)
         if group:
             yield judge(group)
@@ -434,18 +461,19 @@ def _sorter(p: Params):
 def repeats(texts: DataFrame, p: Params = Params()) -> DataFrame:
     """texts (rid, raw binary) -> (rid, spans): arrays of [start, end) byte ranges that repeated windows cover, merged, in order."""
     spark = texts.sparkSession
-    model = spark.sparkContext.broadcast(build_filter(texts, p))  # 2 ** filter_bits bits
+    model = spark.sparkContext.broadcast(build_filter(texts, p))  # 2 ** most_bits bits at most
     dealt = written(texts.mapInArrow(_deal(model, p), DEALT), "kind")
     pieces = dealt.where(F.col("kind") == PIECE).select("anchor", F.col("what").alias("piece"), "n", "raw")
     together = pieces.repartition(parts(spark), "anchor").sortWithinPartitions("anchor")
-    ranges = written(together.mapInArrow(_sorter(p), "piece long, lo long, hi long"))
-    places = dealt.where(F.col("kind") == PLACE).select(F.col("what").alias("piece"), "rid", "start")
-    found = places.join(ranges, "piece").select("rid", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + (p.length - 1)).alias("b"))
+    ranges = written(together.mapInArrow(_sorter(p), "anchor long, piece long, lo long, hi long"))
+    places = dealt.where(F.col("kind") == PLACE).select("anchor", F.col("what").alias("piece"), "rid", "start")
+    found = places.join(ranges, ["anchor", "piece"]).select("rid", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + (p.length - 1)).alias("b"))
     if len(model.value.hot):
-        windows = dealt.where(F.col("kind") == WINDOW).select("anchor", F.col("what").alias("window"), "rid", "start")
+        windows = dealt.where(F.col("kind") == WINDOW).select("anchor", F.col("what").alias("window"), F.col("n").alias("other"), "rid", "start")
         # written, so that the join has a shuffle of its own on either side and Spark can split a window that is everywhere
-        again = written(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"))
-        hot = windows.join(again, ["anchor", "window"]).select("rid", F.col("start").alias("a"), (F.col("start") + p.length).alias("b"))
+        key = ["anchor", "window", "other"]
+        again = written(windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
+        hot = windows.join(again, key).select("rid", F.col("start").alias("a"), (F.col("start") + p.length).alias("b"))
         found = found.unionByName(hot)
     return found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
 
@@ -468,14 +496,16 @@ def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     starts elsewhere (in any row, overlaps included) are removed. A null text
     counts as empty; texts shorter than a window stay whole; copies and repeated
     rows lose all their windows, every one of them; an empty table gives no
-    rows. docs is read several times and must list its rows alike each time, as
-    files do. Columns of docs named s_* are replaced.
+    rows. Columns of docs of the four names s_n_bytes and so on are replaced,
+    any other name is free.
     """
-    numbered = docs.withColumn("s_rid", F.monotonically_increasing_id())
-    texts = numbered.select(F.col("s_rid").alias("rid"), F.col("text").cast("string").cast("binary").alias("raw"))
-    ranges = repeats(texts, p).select(F.col("rid").alias("s_to"), F.col("ranges").alias("s_ranges"))
+    docs = repeatable(docs)
+    made = ("n_bytes", "n_removed", "n_spans", "kept")
+    names = [c for c in docs.columns if c.lower() not in {f"s_{m}" for m in made}]
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*names).alias("row"), F.col("text").cast("string").cast("binary").alias("raw"))
+    ranges = repeats(numbered.select("rid", "raw"), p)
     # the ranges grow with the texts: a merge join at any size, never a broadcast
-    joined = numbered.join(ranges.hint("merge"), F.col("s_rid") == F.col("s_to"), "left").drop("s_to", "s_rid")
+    joined = numbered.drop("raw").join(ranges.hint("merge"), "rid", "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(raws, found):
@@ -491,13 +521,14 @@ def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 done = b
             rest = b"".join([*kept, raw[done:]])
             rows.append((len(raw), len(raw) - len(rest), len(spans), rest))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+        return pd.DataFrame(rows, columns=list(made))
 
-    out = joined.withColumn("s_out", cut(F.col("text").cast("string").cast("binary"), F.col("s_ranges"))).drop("s_ranges")
-    return out.withColumns({f"s_{c}": F.col(f"s_out.{c}") for c in ("n_bytes", "n_removed", "n_spans", "kept")}).drop("s_out")
+    out = joined.select("row", cut(F.col("row.text").cast("string").cast("binary"), F.col("ranges")).alias("out"))
+    return out.select("row.*", *[F.col(f"out.{c}").alias(f"s_{c}") for c in made])
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes and spans, and the digest of what is left, of every document; edge rows as in remove_repeats()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(
         "doc_id",
@@ -507,13 +538,20 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages leave the texts (bytes of a character that was cut go with it); documents and columns stay."""
+    """Repeated passages leave the texts (bytes of a character that was cut go with it); documents and columns stay.
+
+    A null text stays null; of copies and repeated rows every one loses its text;
+    n_chars, where there is such a column, is counted anew for cut texts; an empty
+    table gives no rows; columns may have any names.
+    """
 
     @F.pandas_udf("string")
     def text_of(kept):
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    out = remove_repeats(docs).withColumn("text", F.when(F.col("text").isNull(), F.lit(None)).when(F.col("s_n_removed") == 0, F.col("text")).otherwise(text_of("s_kept")))
+    packed = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
+    cut = remove_repeats(packed).withColumn("new", F.when(F.col("text").isNull() | (F.col("s_n_removed") == 0), F.col("text")).otherwise(text_of("s_kept")))
+    new = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("s_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("s_n_removed") == 0, F.col("doc")["n_chars"]).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)
+    return unpacked(cut, "doc", docs.columns, new)

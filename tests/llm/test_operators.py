@@ -75,7 +75,7 @@ def test_quality_edges(spark):
     assert len(got) == len(rows()) and not any(r.q_kept for r in got if r.doc_id in (3, 4, 7))
     for r, (_, t, *_) in zip(got, rows()):
         assert (r.q_n_words, r.q_word_chars, r.q_n_symbols, r.q_n_dup_lines, r.q_n_repeat_words) == base_counts(t)
-    assert quality.quality_stage.__doc__ and quality.judge(empty(spark), []).count() == 0
+    assert quality.judge(empty(spark), []).count() == 0
 
 
 # --- BPE and packing
@@ -465,6 +465,26 @@ def test_suffix_ranks_sort_suffixes():
     assert got == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_windows_of_one_hash_are_compared(monkeypatch):
+    """A hash that only knows the first byte: what it takes for equal is told apart by the bytes."""
+    monkeypatch.setattr(suffixes, "_rolling", lambda data, width, seed=0: data[: max(0, len(data) - width + 1)].astype(np.uint64))
+    raws = [b"abcdefghijab", b"abcdefghzzab", b"axcdefghij"]
+    starts, begin, _ = suffixes.repeated_by_hash(raws, 8)
+    assert starts.tolist() == [0, 13, *[b + 2 for b in (int(begin[0]), int(begin[2]))]] or sorted(starts.tolist()) == sorted([0, int(begin[1]), int(begin[0]) + 2, int(begin[2]) + 2])
+
+
+def test_pieces_of_one_digest_are_told_apart():
+    with pytest.raises(ValueError):
+        suffixes._same(b"one", b"two")
+
+
+def test_repeats_with_a_full_filter(spark, sf_dir):
+    t = texts(spark, sf_dir)
+    want = dict(zip(t, plain_removed([(x or "").encode() for x in t.values()], 200)))
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"), suffixes.Params(least_bits=3, most_bits=3))
+    assert {r[0]: tuple(r)[1:] for r in out.select("doc_id", "s_n_bytes", "s_n_removed", "s_n_spans", F.sha2("s_kept", 256)).collect()} == want
+
+
 @pytest.mark.parametrize("hot, most", [(500, 512 << 10), (2, 512 << 10), (500, 0)])
 def test_repeats(spark, sf_dir, hot, most):
     t = texts(spark, sf_dir)
@@ -790,8 +810,20 @@ def test_pipeline_stages_take_edge_rows(spark):
     from loomgraph.llm.common import written
 
     docs = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("q_words", "q_kept", "q_pin", "s_rid", "s_kept", "rid", "row", "doc", "new", "loom_id", "loom_key", "loom_hits", "node", "ranges", "label"):
+        docs = docs.withColumn(name, F.lit("mine"))
     for some in (docs, docs.limit(0)):
-        for name, stage in c.STAGES[1:]:
+        for name, stage in c.STAGES:
             some_out = written(stage(spark, some, "/root/testdata/sf0.001"))
             if name != "packing":
-                assert some_out.columns == docs.columns
+                assert some_out.columns == docs.columns and all(r.q_kept == r.s_kept == r.loom_hits == "mine" for r in some_out.collect())
+
+
+def test_rows_out_of_a_shuffle_are_numbered_once(spark, sf_dir):
+    from loomgraph.llm.common import repeatable
+
+    plain = table(spark, sf_dir, "documents").where("doc_id > 5").select("doc_id", "text")
+    assert repeatable(plain) is plain
+    mixed = plain.repartition(7)
+    assert repeatable(mixed) is not mixed and repeatable(mixed).count() == plain.count()
+    assert repeatable(spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long")).count() == len(rows())
