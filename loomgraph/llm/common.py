@@ -74,8 +74,8 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: log2 of the bits of a filter of numbers: 16 MB, whatever the input. As it fills, more rows pass; none that belongs is lost.
-FILTER_BITS = 27
+#: log2 of the bits of a filter of numbers, at least and at most (128 MB). As it fills, more rows pass; none that belongs is lost.
+LEAST_BITS, MOST_BITS = 20, 30
 
 
 def _pack_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ def _pack_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=schema)
 
 
-def packed_bits(slots: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+def packed_bits(slots: DataFrame, bits: int) -> np.ndarray:
     """The column `slot` (whole numbers below 2 ** bits) as a bit array of 2 ** (bits - 3) bytes on the driver."""
     sliced = slots.select(F.shiftright("slot", 16).cast("int").alias("slice"), F.col("slot").bitwiseAND(0xFFFF).cast("int").alias("bit"))
     sliced = sliced.groupBy("slice").agg(F.collect_set("bit").alias("b"))  # 65,536 numbers at most
@@ -99,21 +99,21 @@ def packed_bits(slots: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def slots_of(numbers: np.ndarray) -> np.ndarray:
-    x = numbers.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def slots_of(numbers: np.ndarray, bits: int) -> np.ndarray:
+    return (numbers.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bit_filter(numbers: DataFrame) -> np.ndarray:
-    """A filter of the numbers in the only column of `numbers`."""
+def bit_filter(numbers: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter of the numbers in the only column of `numbers`, of some 16 bits for each."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * numbers.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(slots_of(batch.column(0).to_numpy()))], names=["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots_of(batch.column(0).to_numpy(), bits))], names=["slot"])
 
-    return packed_bits(numbers.mapInArrow(run, "slot long"))
+    return packed_bits(numbers.mapInArrow(run, "slot long"), bits), bits
 
 
-def in_filter(held: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    slot = slots_of(numbers)
-    return (held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+def in_filter(held: tuple[np.ndarray, int], numbers: np.ndarray) -> np.ndarray:
+    slot = slots_of(numbers, held[1])
+    return (held[0][slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)

@@ -160,7 +160,7 @@ STREAMS, KEYED = 5, 32
 #: Each start s gives the positions s, s + a, s + b (modulo KEYED): every pair of positions is apart in most choices.
 STEPS = ((1, 3), (4, 9), (6, 13), (8, 18), (11, 23), (2, 17), (5, 12), (7, 10))
 #: Sketch bits that a pair of a list may differ in: 4.8 in the mean at a similarity of 0.8, 16 for unlike texts. Lists beyond FOREST go by leaders.
-SKETCH_BITS, FOREST = 11, 64
+SKETCH_BITS, FOREST, EARLY = 11, 8, 64
 _CHOICES = np.array([[(s, (s + a) % KEYED, (s + b) % KEYED) for s in range(KEYED)] for a, b in STEPS]).reshape(-1, 3)
 _STREAM = (np.arange(1, STREAMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
@@ -212,6 +212,10 @@ def _wide(words: int):
     return run
 
 
+def _rank(nodes: np.ndarray) -> np.ndarray:
+    return nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def _leaders(sketch: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
     """(members of each leader, leaders): in the order given, whoever no earlier leader is near leads what is near to it."""
     left, groups_, lead = np.arange(len(sketch)), [], []
@@ -248,8 +252,8 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 ENTRY = np.dtype([("key", "<u4"), ("sketch", "<u4"), ("node", "<i8")])
 
 
-def _post(buckets: int, rows: int = 16_384):
-    """Rows (bucket, linked, entries): the index entries of a stretch of texts, packed by the bucket of their key; linked: the links out of lists that are long already here."""
+def _post(buckets: int, rows: int = 1024):
+    """Rows (bucket, linked, entries): the index entries of a stretch of texts, packed by the bucket of their key; linked: the links out of lists that are long in the stretch already."""
     schema = pa.schema([("bucket", pa.int32()), ("linked", pa.bool_()), ("entries", pa.binary())])
 
     def posted(nodes: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -258,11 +262,12 @@ def _post(buckets: int, rows: int = 16_384):
         wide = fps.astype(np.uint32)
         entries["key"] = np.arange(len(_CHOICES), dtype=np.uint32) << 24 | wide[:, _CHOICES[:, 0]] << 16 | wide[:, _CHOICES[:, 1]] << 8 | wide[:, _CHOICES[:, 2]]
         entries["sketch"], entries["node"] = sketch[:, None], nodes[:, None]
-        entries = entries.ravel()
+        order = np.argsort(_rank(nodes), kind="stable")
+        entries = entries[order].ravel()
         entries = entries[np.argsort(entries["key"], kind="stable")]
         start, n = _runs(entries["key"])
         stay, a, b = np.ones(len(entries), bool), [], []
-        for s, m in zip(start[n > FOREST].tolist(), n[n > FOREST].tolist()):
+        for s, m in zip(start[n > EARLY].tolist(), n[n > EARLY].tolist()):
             groups_, lead = _leaders(entries["sketch"][s : s + m])
             for g, leader in zip(groups_, lead):
                 stay[s + g] = False
@@ -316,8 +321,8 @@ def _meet(bucket: pa.Table) -> pa.Table:
         a.append(node[s + i])
         b.append(node[s + j])
     for s, m in zip(start[n > FOREST].tolist(), n[n > FOREST].tolist()):
-        # the leaders of a text's lists differ, as each list has an order of its own
-        order = s + np.argsort((node[s : s + m].astype(np.uint64) ^ np.uint64(entries["key"][s])) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+        # one order for all lists, so that a group's lists mostly have the same leaders and give the same links
+        order = s + np.argsort(_rank(node[s : s + m]), kind="stable")
         for g, leader in zip(*_leaders(sketch[order])):
             a.append(np.full(len(g), node[order[leader]]))
             b.append(node[order[g]])
@@ -373,11 +378,11 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     classes = written(first.withColumn("node", F.monotonically_increasing_id()))
     # the buckets follow the shuffle partitions, so a bucket stays as small as they are
     spread = classes.select("node", "fp").repartition(parts(spark), "node")
-    posted = spread.mapInArrow(_post(parts(spark)), "bucket int, linked boolean, entries binary")
+    posted = spread.mapInArrow(_post(4 * parts(spark)), "bucket int, linked boolean, entries binary")
     pairs = written(posted.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct())
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     own = written(classes.select("node", F.col("first").alias("doc_id"), F.col("shingles").alias("digest")).join(asked, "node"))
-    # only texts of candidates make their shingle sets again and travel: 2 ** 27 bits say which, whatever the input
+    # only texts of candidates make their shingle sets again and travel: a filter of bounded size says which
     model = spark.sparkContext.broadcast(bit_filter(own.select("doc_id")))
     held = texts.mapInArrow(_sets(model, words), "doc_id long, digest binary, shingles binary")
     sets = written(held.join(own.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", F.col("shingles")))

@@ -42,13 +42,13 @@ SEGMENT = 160 << 10
 class Params:
     """gram: bytes of a minimiser string.
 
-    The filter has slot_bits bits for each run of windows (one in some 65 bytes), 2 ** most_bits (128 MB) at most: beyond, some 4 GB of
+    The filter has slot_bits bits for each run of windows (one in some 65 bytes), 2 ** most_bits (128 MB) at most: beyond, some 8 GB of
     text, it fills, and more pieces travel for the same result.
     """
 
     length: int = 200
     gram: int = 16
-    slot_bits: int = 16
+    slot_bits: int = 8
     least_bits: int = 20
     most_bits: int = 30
     chunk: int = 48 << 10
