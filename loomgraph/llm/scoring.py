@@ -6,8 +6,9 @@ all words is ever broadcast. Pairs are asked in the same way, by slices of a
 hash: a slice sums its pairs, and one seen 2**(q-1) times or more sets bits for
 each level 1..q in the slice's part of the filter. The part's size follows its
 stored levels at any size of the input; it is probed where it lies, level after
-level, and only the levels go back to the blocks. A pair's quantised count is
-interpolated with the smoothed word probability.
+level, and only the levels go back to the blocks. A level stands for the mean
+count of its pairs, so that quantising takes no mass from the pairs as a whole,
+and a pair's count is interpolated with the smoothed word probability.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
-from loomgraph.llm.common import parts, table, written
+from loomgraph.llm.common import parts, repeatable, table, written
 
 U = np.uint64
 
@@ -32,7 +34,8 @@ U = np.uint64
 class Params:
     """Each slice of the filter has bits_per_entry bits at least for a stored level; a pair seen once is level 1, one never seen level 0.
 
-    slices is the least number of slices of the pair hash; it grows with the shuffle partitions, so a slice stays as small as they do.
+    slices is the least number of slices of the pair hash. Owners of words and slices grow with the bytes of text (part_bytes each) and with
+    the shuffle partitions, so that one stays as small at any size. A block of documents ends before block_bytes of text.
     """
 
     folds: int = 7
@@ -42,7 +45,8 @@ class Params:
     bits_per_entry: int = 8
     least_bits: int = 1 << 20
     slices: int = 16
-    rows_per_block: int = 2048
+    block_bytes: int = 4 << 20
+    part_bytes: int = 64 << 20
 
 
 def held_out(doc_id: int | None, p: Params = Params()) -> bool:
@@ -79,19 +83,32 @@ def pair_keys(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.n
     return key ^ key >> U(29)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], every_block):
-    """Calls every_block(block, doc ids, raws) for each run of rows with one block number."""
-    now, ids, raws = None, [], []
-    for batch in batches:
-        for block, doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            if block != now:
-                if ids:
-                    yield from every_block(now, ids, raws)
-                now, ids, raws = block, [], []
-            ids.append(doc)
-            raws.append(x.as_py())
-    if ids:
-        yield from every_block(now, ids, raws)
+def _blocks(every_block, p: Params):
+    """Calls every_block(block, doc ids, raws) for each stretch of a partition's rows of block_bytes; the same rows make the same blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, ids, raws = TaskContext.get().partitionId() << 32, 0, [], []
+        for batch in batches:
+            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = x.as_py()
+                size = len(raw or b"") + 64
+                if ids and held + size > p.block_bytes:
+                    yield from every_block(block, ids, raws)
+                    block, held, ids, raws = block + 1, 0, [], []
+                held += size
+                ids.append(doc)
+                raws.append(raw)
+        if ids:
+            yield from every_block(block, ids, raws)
+
+    return run
+
+
+def _texts(p: Params):
+    def each(block, docs, raws):
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(docs), pa.int64()), pa.array(docs, pa.int64()), pa.array(raws, pa.binary())], names=["block", "doc_id", "raw"])
+
+    return _blocks(each, p)
 
 
 def _asks(owners: int, p: Params):
@@ -115,24 +132,25 @@ def _asks(owners: int, p: Params):
                 rows.append((k, block, b" ".join([words[i] for i in mine.tolist()]), counts[mine].astype("<i8").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return lambda batches: _blocks(batches, each)
+    return _blocks(each, p)
 
 
 def _answer(asked: pa.Table) -> pa.Table:
     """Of one owner: each block's words with their counts over all blocks."""
     total: dict[bytes, int] = defaultdict(int)
-    rows = [(b, w.split(b" "), np.frombuffer(c, "<i8").tolist()) for b, w, c in zip(*(asked.column(k).to_pylist() for k in ("block", "words", "counts")))]
-    for _, words, counts in rows:
-        for w, c in zip(words, counts):
+    for words, counts in zip(asked.column("words"), asked.column("counts")):
+        for w, c in zip(words.as_py().split(b" "), np.frombuffer(counts.as_py(), "<i8").tolist()):
             total[w] += c
-    get = total.__getitem__
-    out = [np.fromiter(map(get, words), np.int64, len(words)).astype("<i8").tobytes() for _, words, _ in rows]
+    get, out = total.__getitem__, []
+    for x in asked.column("words"):
+        words = x.as_py().split(b" ")
+        out.append(np.fromiter(map(get, words), np.int64, len(words)).astype("<i8").tobytes())
     n, v = sum(total.values()), sum(c > 0 for c in total.values())
-    size = len(rows)
+    size = asked.num_rows
     return pa.table(
         {
-            "block": pa.array([r[0] for r in rows], pa.int64()),
-            "words": asked.column("words").combine_chunks(),
+            "block": asked.column("block"),
+            "words": asked.column("words"),
             "counts": pa.array(out, pa.binary()),
             # of the owner's words, written on its first row only
             "tokens": pa.array([n] + [0] * (size - 1), pa.int64()),
@@ -172,7 +190,7 @@ def _pairs(p: Params):
                 rows.append((k, block, low.tobytes(), counts[a:b].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return lambda batches: _blocks(batches, each)
+    return _blocks(each, p)
 
 
 def _wide(keys: bytes) -> np.ndarray:
@@ -254,12 +272,24 @@ def _levels(p: Params):
         for raw in keys:
             low = _wide(raw)
             out.append(part.probe(low, np.zeros(len(low), np.int64)).astype(np.uint8).tobytes())
-        return pa.table({"block": group.column("block"), "slice": group.column("slice"), "words": pa.nulls(len(out), pa.binary()), "counts": pa.array(out, pa.binary())})
+        # of the slice's levels, written on its first row only: how many pairs each has, and how often they occur
+        sums = np.stack([np.bincount(level, minlength=65), np.bincount(level, n, 65).astype(np.int64)]).astype("<i8").tobytes()
+        first = [sums] + [None] * (len(out) - 1)
+        return pa.table({"block": group.column("block"), "slice": group.column("slice"), "words": pa.array(first, pa.binary()), "counts": pa.array(out, pa.binary())})
 
     return answer
 
 
-def _scorer(n: int, v: int, p: Params):
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(level, pairs, occurrences) of the slices' sums."""
+    for batch in batches:
+        total = sum((np.frombuffer(x.as_py(), "<i8").reshape(2, 65) for x in batch.column(0)), np.zeros((2, 65), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(65)), pa.array(total[0]), pa.array(total[1])], names=["level", "pairs", "occurrences"])
+
+
+def _scorer(n: int, v: int, mean: list[float], p: Params):
+    """mean: the mean count of the pairs of each level, level 0 (never seen) first."""
+
     def score(docs: pa.Table, counts: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
         by_slice: dict[int, bytes] = {}
@@ -283,8 +313,7 @@ def _scorer(n: int, v: int, p: Params):
         level = np.frombuffer(b"".join(by_slice[k] for k in sorted(by_slice)), np.uint8).astype(np.int64)  # slices are ranges of the keys
         if len(level) != len(keys):
             raise ValueError("docs does not list its rows alike each time")
-        level = level[back]
-        pair = np.where(level > 0, np.exp2(level - 1), 0.0)
+        pair = np.array(mean)[level[back]]
         pair = np.minimum(pair / np.maximum(c[first], 1), 1.0)
         seen = c[first] > 0
         p2 = np.where(seen, p.weight * pair + (1 - p.weight) * word[second], word[second])
@@ -307,28 +336,38 @@ def _scorer(n: int, v: int, p: Params):
 def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
+    score is the log10 of the product of weight * count(pair) / count(first word)
+    + (1 - weight) * the word's smoothed probability. Its pair part sums to 1
+    over the pairs as a whole, not for each first word, and what the filter
+    answers wrongly (some 3 of 100 unseen pairs, as level 1) adds to it.
+
     A null or empty text is one end token. A null doc_id is a training row.
     Repeated rows are counted and scored row by row; an empty table gives no
-    rows; other columns are ignored. docs is read several times and must list
-    its rows alike each time, as files do.
+    rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        F.expr(f"monotonically_increasing_id() div {p.rows_per_block}").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")
-    )
-    owners = parts(spark)
+    rows = repeatable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
+    size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    owners = max(parts(spark), -(-size // p.part_bytes))
     p = replace(p, slices=max(p.slices, 1 << (owners - 1).bit_length()))
-    asked = rows.mapInArrow(_asks(owners, p), "owner int, block long, words binary, counts binary")
+    # numbers of partitions of our own where the groups are many: Spark's follow a setting, not the input
+    asked = rows.mapInArrow(_asks(owners, p), "owner int, block long, words binary, counts binary").repartition(owners, "owner")
     answered = written(asked.groupBy("owner").applyInArrow(_answer, "block long, words binary, counts binary, tokens long, types long"))
     n, v = answered.agg(F.sum("tokens"), F.sum("types")).first()
     n, v = n or 0, v or 0
-    pairs = rows.mapInArrow(_pairs(p), "slice int, block long, keys binary, counts binary")
-    answers = "block long, slice int, words binary, counts binary"
-    levels = pairs.groupBy("slice").applyInArrow(_levels(p), answers)
+    pairs = rows.mapInArrow(_pairs(p), "slice int, block long, keys binary, counts binary").repartition(owners, "slice")
+    levels = written(pairs.groupBy("slice").applyInArrow(_levels(p), "block long, slice int, words binary, counts binary"))
+    sums = levels.where("words is not null").select("words").mapInArrow(_sums, "level long, pairs long, occurrences long")
+    mean = [0.0] * 65
+    for r in sums.groupBy("level").agg(F.sum("pairs"), F.sum("occurrences")).collect():  # 65 rows at most
+        mean[r[0]] = r[2] / r[1] if r[1] and r[0] else 0.0
     known = answered.select("block", F.lit(None).cast("int").alias("slice"), "words", "counts").unionByName(levels)
+    blocks = rows.mapInArrow(_texts(p), "block long, doc_id long, raw binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_scorer(n, v, p), schema)
+    one, other = blocks.repartition(owners, "block"), known.repartition(owners, "block")
+    return one.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(_scorer(n, v, mean, p), schema)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, learned from those that are not held out; edge rows as in score()."""
     return score(table(spark, sf_dir, "documents"))

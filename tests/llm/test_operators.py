@@ -378,18 +378,24 @@ def test_scoring_full_filter_ends():
     assert (scoring.LogBloom({0: b"\xff" * 128}, 1024, p, 5).level(np.arange(9, dtype=np.uint64)) == 5).all()
 
 
-def test_scoring_pairs_seen_once_count(spark):
-    docs = [(k, f"a{k} b{k} a{k} b{k} c{k}", "en", "x", 1) for k in range(40)]
+@pytest.mark.parametrize("block", [4 << 20, 300])
+def test_scoring_pairs_seen_once_count(spark, block):
+    docs = [(k, f"a{k} b{k} a{k} b{k} c{k}" + " d e f" * (k % 4), "en", "x", 1) for k in range(40)]
     docs += [(100, "a0 c0 b0 a1", "en", "x", 1)]
     tok = {d: [*t.split(), None] for d, t, *_ in docs}
     train = [t for d, t in tok.items() if zlib.crc32(str(d).encode()) % 7 != 2]
     c, c2 = Counter(w for t in train for w in t), Counter(x for t in train for x in zip([None, *t], t))
     n, v = sum(c.values()), len(c)
-    for r in scoring.score(documents(spark, docs)).collect():
+    level = lambda x: 1 + math.floor(math.log2(x))
+    means = {q: [x for x in c2.values() if level(x) == q] for q in {level(x) for x in c2.values()}}
+    means = {q: sum(x) / len(x) for q, x in means.items()}
+    # the pairs as a whole keep their mass
+    assert sum(means[level(x)] for x in c2.values()) == pytest.approx(n)
+    for r in scoring.score(documents(spark, docs), scoring.Params(block_bytes=block)).collect():
         want = 0.0
         for a, b in zip([None, *tok[r.doc_id]], tok[r.doc_id]):
             word = (c[b] + 1) / (n + v + 1)
-            pair = 2.0 ** math.floor(math.log2(c2[a, b])) if c2[a, b] else 0.0
+            pair = means[level(c2[a, b])] if c2[a, b] else 0.0
             want += math.log10(0.25 * min(pair / c[a], 1.0) + 0.75 * word if c[a] else word)
         assert r.score == pytest.approx(want, rel=1e-9)
 
