@@ -489,25 +489,20 @@ def _cut(pairs) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """All columns of docs with n_bytes, n_removed, n_spans and kept (binary), each prefixed "s_".
+#: What remove_repeats() makes, each under this name after "s_".
+MADE = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}
 
-    Bytes of the UTF-8 text that lie in a string of p.length bytes which also
-    starts elsewhere (in any row, overlaps included) are removed. A null text
-    counts as empty; texts shorter than a window stay whole; copies and repeated
-    rows lose all their windows, every one of them; an empty table gives no
-    rows. Columns of docs of the four names s_n_bytes and so on are replaced,
-    any other name is free.
-    """
+
+def _removed(docs: DataFrame, p: Params, as_text: bool) -> DataFrame:
+    """(row, out): all columns of docs and what is made of the text; kept as text where asked for, in the same pass."""
     docs = repeatable(docs)
-    made = ("n_bytes", "n_removed", "n_spans", "kept")
-    names = [c for c in docs.columns if c.lower() not in {f"s_{m}" for m in made}]
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*names).alias("row"), F.col("text").cast("string").cast("binary").alias("raw"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"), F.col("text").cast("string").cast("binary").alias("raw"))
     ranges = repeats(numbered.select("rid", "raw"), p)
     # the ranges grow with the texts: a merge join at any size, never a broadcast
     joined = numbered.drop("raw").join(ranges.hint("merge"), "rid", "left")
+    made = MADE | ({"kept": "string"} if as_text else {})
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
+    @F.pandas_udf(", ".join(f"{c} {t}" for c, t in made.items()))
     def cut(raws, found):
         import pandas as pd
 
@@ -520,11 +515,25 @@ def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 kept.append(raw[done:a])
                 done = b
             rest = b"".join([*kept, raw[done:]])
-            rows.append((len(raw), len(raw) - len(rest), len(spans), rest))
+            rows.append((len(raw), len(raw) - len(rest), len(spans), rest.decode("utf-8", "ignore") if as_text else rest))
         return pd.DataFrame(rows, columns=list(made))
 
-    out = joined.select("row", cut(F.col("row.text").cast("string").cast("binary"), F.col("ranges")).alias("out"))
-    return out.select("row.*", *[F.col(f"out.{c}").alias(f"s_{c}") for c in made])
+    return joined.select("row", cut(F.col("row.text").cast("string").cast("binary"), F.col("ranges")).alias("out"))
+
+
+def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """All columns of docs with n_bytes, n_removed, n_spans and kept (binary), each prefixed "s_".
+
+    Bytes of the UTF-8 text that lie in a string of p.length bytes which also
+    starts elsewhere (in any row, overlaps included) are removed. A null text
+    counts as empty; texts shorter than a window stay whole; copies and repeated
+    rows lose all their windows, every one of them; an empty table gives no
+    rows. Columns of docs of the four names s_n_bytes and so on are replaced,
+    any other name is free.
+    """
+    names = [c for c in docs.columns if c.lower() not in {f"s_{m}" for m in MADE}]
+    out = _removed(docs, p, False)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], *[F.col(f"out.{c}").alias(f"s_{c}") for c in MADE])
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -544,14 +553,9 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     n_chars, where there is such a column, is counted anew for cut texts; an empty
     table gives no rows; columns may have any names.
     """
-
-    @F.pandas_udf("string")
-    def text_of(kept):
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    packed = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
-    cut = remove_repeats(packed).withColumn("new", F.when(F.col("text").isNull() | (F.col("s_n_removed") == 0), F.col("text")).otherwise(text_of("s_kept")))
-    new = {"text": F.col("new")}
+    out = _removed(docs, Params(), True)
+    whole = F.col("out.n_removed") == 0
+    new = {"text": F.when(F.col("row.text").isNull() | whole, F.col("row.text")).otherwise(F.col("out.kept"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("s_n_removed") == 0, F.col("doc")["n_chars"]).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)
-    return unpacked(cut, "doc", docs.columns, new)
+        new["n_chars"] = F.when(whole, F.col("row")["n_chars"]).otherwise(F.length("out.kept")).cast(docs.schema["n_chars"].dataType)
+    return unpacked(out, "row", docs.columns, new)
