@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.metrics import symmetric
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the cluster's folder (one of our own where none is set)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
-    return df.checkpoint()
+from loomgraph.operators.storage import cut
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5, cut_every: int = 3) -> DataFrame:
@@ -23,7 +14,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5, cut_e
 
     The count of (node, label) is a partial aggregation, so hubs do not gather their neighbours in one task.
     """
-    e = symmetric(edges.where("src <> dst")).persist()
+    e = cut(symmetric(edges.where("src <> dst")))
     now = nodes.select("id", F.col("id").alias("label"))
     for k in range(rounds):
         votes = e.join(now.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), F.col("label").alias("vote")).agg(F.count("*").alias("n"))

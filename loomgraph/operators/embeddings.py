@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import md5_number
 from loomgraph.functions.vectors import Metric, dot
-from loomgraph.operators.metrics import classification, link_features
+from loomgraph.operators.metrics import classification, link_features, vector_mean
 
 
 def seeded_vectors(nodes: DataFrame, dim: int, seed: int = 0) -> DataFrame:
@@ -27,10 +27,8 @@ def word2vec(walks: DataFrame, dim: int = 32, window: int = 5, seed: int = 1, ro
 
 
 def mean_of_neighbours(edges: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(id, z): the mean of the vectors of each node's in-neighbours. Element by element, so the aggregate is partial on the map side."""
-    flat = edges.select("src", F.col("dst").alias("id")).join(vectors.select(F.col("id").alias("src"), "z"), "src").select("id", F.posexplode("z").alias("i", "v"))
-    per = flat.groupBy("id", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    return per.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("z"))
+    """(id, z): the mean of the vectors of each node's in-neighbours; vectors are summed in the map tasks, so a hub sends one a task."""
+    return edges.select("src", F.col("dst").alias("id")).join(vectors.select(F.col("id").alias("src"), "z"), "src").groupBy("id").agg(vector_mean(F.col("z")).alias("z"))
 
 
 def linear(z: Column, weight: list[list[float]], slope: float = 0.2) -> Column:
@@ -47,8 +45,7 @@ def attention(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     s = s.withColumn("s", F.when(F.col("s") > 0, F.col("s")).otherwise(0.2 * F.col("s")))
     top = s.groupBy("dst").agg(F.max("s").alias("top"))
     e = s.join(top, "dst").withColumn("e", F.exp(F.col("s") - F.col("top")))
-    flat = e.select("dst", "e", F.posexplode("zs").alias("i", "v")).groupBy("dst", "i").agg((F.sum(F.col("e") * F.col("v")) / F.sum("e")).alias("m"))
-    return flat.groupBy(F.col("dst").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("z"))
+    return e.groupBy(F.col("dst").alias("id")).agg(vector_mean(F.col("zs"), F.col("e")).alias("z"))
 
 
 def context_score(pairs: DataFrame, vectors: DataFrame, context: list[float]) -> DataFrame:

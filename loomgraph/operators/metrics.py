@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.vectors import Metric, l2
@@ -65,10 +67,18 @@ def purity(df: DataFrame, true: str, predicted: str) -> DataFrame:
     return c.groupBy("p").agg(F.max("n").alias("top"), F.sum("n").alias("n")).agg((F.sum("top") / F.sum("n")).alias("purity"))
 
 
+def vector_mean(vector: Column, weight: Column | None = None) -> Column:
+    """An aggregate: the (weighted) element-wise mean of an array column, as an array. Partial on the map side, a vector a group and task."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = array_to_vector(vector.cast("array<double>"))
+    return vector_to_array(Summarizer.mean(v) if weight is None else Summarizer.mean(v, weight))
+
+
 def means(df: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """(label, mean, n): element-wise means of vectors."""
-    per = df.select(label, F.posexplode(vector).alias("i", "v")).groupBy(label, "i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.count("*").alias("n"))
-    return per.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"), F.max("n").alias("n"))
+    return df.groupBy(label).agg(vector_mean(F.col(vector)).alias("mean"), F.count("*").alias("n"))
 
 
 def davies_bouldin(df: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -83,16 +93,51 @@ def davies_bouldin(df: DataFrame, label: str = "label", vector: str = "embedding
     return worst.agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("davies_bouldin"))
 
 
-def silhouette(df: DataFrame, id_: str = "vec_id", label: str = "label", vector: str = "embedding", metric: Metric = Metric.L2) -> DataFrame:
-    """One row: mean silhouette of a bounded set of points (all pairs; callers subsample first). 0 with fewer than two labels."""
-    a = df.select(F.col(id_).alias("i"), F.col(label).alias("li"), F.col(vector).alias("vi"))
-    b = df.select(F.col(id_).alias("j"), F.col(label).alias("lj"), F.col(vector).alias("vj"))
-    far = a.join(b, F.col("i") != F.col("j")).withColumn("d", metric.distance(F.col("vi"), F.col("vj")) + (1.0 if metric is Metric.COSINE else 0.0))
-    per = far.groupBy("i", "li", "lj").agg(F.avg("d").alias("d"))
-    own = per.where("li = lj").select("i", F.col("d").alias("a"))
-    out = per.where("li <> lj").groupBy("i").agg(F.min("d").alias("b"))
-    s = df.select(F.col(id_).alias("i")).join(own, "i", "left").join(out, "i", "left")
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+def _far(metric: Metric):
+    """Of a block of points and a block of others: each point's summed distance to every label, and how many."""
+    schema = pa.schema([("i", pa.int64()), ("li", pa.int64()), ("lj", pa.int64()), ("d", pa.float64()), ("n", pa.int64())])
+
+    def run(points: pa.Table, others: pa.Table) -> pa.Table:
+        if not points.num_rows or not others.num_rows:
+            return schema.empty_table()
+        ids, labels, x = (points.column(c).to_pylist() for c in ("i", "l", "v"))
+        jds, ls, y = (others.column(c).to_pylist() for c in ("j", "lo", "w"))
+        x, y, jds, ls = np.array(x, float), np.array(y, float), np.array(jds), np.array(ls)
+        rows = []
+        for i, label, v in zip(ids, labels, x):
+            gap = y - v
+            if metric is Metric.L1:
+                d = np.abs(gap).sum(1)
+            elif metric is Metric.L2:
+                d = np.sqrt((gap * gap).sum(1))
+            else:
+                dots = y @ v
+                d = 1 - dots / (np.sqrt((y * y).sum(1)) * np.sqrt((v * v).sum())) if metric is Metric.COSINE else -dots
+            away = jds != i
+            for lj in np.unique(ls[away]).tolist():
+                some = away & (ls == lj)
+                rows.append((i, label, lj, float(d[some].sum()), int(some.sum())))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 5, schema.types)], schema=schema)
+
+    return run
+
+
+def silhouette(df: DataFrame, id_: str = "vec_id", label: str = "label", vector: str = "embedding", metric: Metric = Metric.L2, block: int = 2000) -> DataFrame:
+    """One row: mean silhouette of all points, 0 with fewer than two labels; ids and labels are whole numbers.
+
+    Every pair of points counts, so the work is quadratic (callers subsample large tables first): blocks of points
+    meet blocks of points, and a meeting gives sums by point and label, never pairs.
+    """
+    rows = df.select(F.col(id_).cast("long").alias("i"), F.col(label).cast("long").alias("l"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-rows.count() // block))
+    own, all_ = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = rows.withColumns({"__a": own, "__b": all_})
+    b = rows.withColumns({"__d": own, "__c": all_}).select(F.col("__c"), F.col("__d"), F.col("i").alias("j"), F.col("l").alias("lo"), F.col("v").alias("w"))
+    met = a.groupBy("__a", "__b").cogroup(b.groupBy("__c", "__d")).applyInArrow(_far(metric), "i long, li long, lj long, d double, n long")
+    per = met.groupBy("i", "li", "lj").agg((F.sum("d") / F.sum("n")).alias("d"))
+    s = per.groupBy("i").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"))
+    top = F.greatest("a", "b")
+    value = F.when(F.col("a").isNull() | F.col("b").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
     return s.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("silhouette"))
 
 

@@ -128,7 +128,8 @@ def neighbor_sample(seeds: DataFrame, edges: DataFrame, fanout: list[int]) -> Da
     """(hop, src, dst): for each hop at most fanout[hop] in-edges of each node reached, those of smallest md5 number."""
     e = edges.select("src", "dst").distinct()
     w = Window.partitionBy("dst").orderBy(md5_number("src", "dst"), "src")
-    ranked = e.withColumn("rn", F.row_number().over(w)).persist()
+    # the bound stands at the window, so each task keeps that many rows of a node before the shuffle, of a hub as well
+    ranked = e.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(fanout, default=0)).persist()
     frontier = seeds.select(F.col("id").alias("dst")).distinct()
     out = None
     for hop, k in enumerate(fanout):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import md5_number
 from loomgraph.graph import NONE, EdgeType, TemporalGraph, union
+from loomgraph.operators.relational import dense_ids, quantiles
 
 #: What edges that are merged may do with an attribute.
 REDUCE = {"add": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "mul": F.product}
@@ -118,12 +119,14 @@ def edge_masks_of_nodes(e: DataFrame, src_nodes: DataFrame, dst_nodes: DataFrame
 
 
 def inductive_nodes(n: DataFrame) -> DataFrame:
-    """(phase, id, new_id): cumulative node sets train, val, test, renumbered with training nodes first."""
+    """(phase, id, new_id): cumulative node sets train, val, test, renumbered with training nodes first.
+
+    A node's place in the order of (set, id) is its number in every phase it is in, so one numbering serves all three.
+    """
     rank = F.when(F.col("train_mask"), 0).when(F.col("val_mask"), 1).otherwise(2)
-    placed = n.select("id", rank.alias("rank"))
-    phases = union(placed.where(F.col("rank") <= k).withColumn("phase", F.lit(p)) for k, p in enumerate(("train", "val", "test")))
-    w = Window.partitionBy("phase").orderBy("rank", "id")
-    return phases.withColumn("new_id", (F.row_number().over(w) - 1).cast("long")).select("phase", "id", "new_id")
+    placed = dense_ids(n.select("id", rank.alias("rank")), "rank", "id", name="new_id")
+    phases = F.slice(F.array(*map(F.lit, ("train", "val", "test"))), F.col("rank") + 1, F.lit(3))
+    return placed.select(F.explode(phases).alias("phase"), "id", "new_id")
 
 
 def induced_edges(e: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ def induced_edges(e: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
 def time_bounds(times: DataFrame, p: float = 0.95, column: str = "ts") -> tuple[int, int] | None:
     """The pooled quantiles that cut off (1 - p) / 2 on either side, truncated to whole numbers."""
     cut = (1 - p) / 2
-    q = times.where(F.col(column) != NONE).agg(F.percentile(column, F.array(F.lit(cut), F.lit(1 - cut)))).first()[0]
+    q = quantiles(times.where(F.col(column) != NONE), column, [cut, 1 - cut])
     return (int(q[0]), int(q[1])) if q else None
 
 
@@ -153,8 +156,8 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def top_mask(df: DataFrame, column: str, ratio: float) -> DataFrame:
     """mask: column reaches the value that the given share of rows reaches; ties go over the share."""
-    cut = df.agg(F.percentile(column, F.lit(1 - ratio))).first()[0]
-    return df.withColumn("mask", F.col(column) >= F.lit(cut))
+    at = quantiles(df, column, [1 - ratio])
+    return df.withColumn("mask", F.col(column) >= F.lit(at[0] if at else None))
 
 
 def subsample(df: DataFrame, most: int, *keys: str) -> DataFrame:

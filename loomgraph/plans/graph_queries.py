@@ -10,6 +10,7 @@ from loomgraph.graph import union
 from loomgraph.operators import metrics as M
 from loomgraph.operators import temporal as T
 from loomgraph.operators import transforms as X
+from loomgraph.operators.relational import dense_ids
 from loomgraph.plans.registry import EDGES_SQL, REGIONS_SQL, USERS_SQL, H, query
 from loomgraph.sources.fixture import canonical, interactions, load, seconds
 
@@ -136,11 +137,11 @@ def coalesce_multi_edges(spark, sf_dir):
     return out.select("src", "dst", F.round("add_w", 4).alias("add_w"), F.round("mean_d", 4).alias("mean_d"), "min_t", "max_p", F.round("mul_d", 6).alias("mul_d"))
 
 
-@query("SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber FROM lineitem ORDER BY 1, 2, 3 LIMIT 200")
-def sort_edges_head(spark, sf_dir):
-    """The first edges in (src, dst) order; the limit is the report's length."""
+@query("SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_linenumber) - 1 AS place FROM lineitem")
+def sort_edges(spark, sf_dir):
+    """All edges in (src, dst) order, each with its place in it."""
     li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_linenumber")
-    return li.orderBy("src", "dst", "l_linenumber").limit(200)
+    return dense_ids(li, "src", "dst", "l_linenumber", name="place")
 
 
 @query(f"WITH {EDGES_SQL} SELECT rel, st, count(*) AS n FROM edges WHERE ts = -1 GROUP BY 1, 2")

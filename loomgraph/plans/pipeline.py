@@ -64,9 +64,7 @@ def evaluate(edges: DataFrame, vectors: DataFrame, clusters: DataFrame, labels:
 
 def combine_outputs(*frames: DataFrame) -> DataFrame:
     """(id, z): the mean of several outputs for a node, element by element."""
-    flat = union(frames).select("id", F.posexplode("z").alias("i", "v"))
-    per = flat.groupBy("id", "i").agg(F.avg("v").alias("m"))
-    return per.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("z"))
+    return union(frames).groupBy("id").agg(M.vector_mean(F.col("z")).alias("z"))
 
 
 @dataclass

@@ -25,10 +25,10 @@ def dense_ids_after_dedupe(spark, sf_dir):
     return R.dense_ids(R.first_by(p, ["p_brand"], F.asc("first")), "p_brand")
 
 
-@query("SELECT l_orderkey, l_partkey, dense_rank() OVER (ORDER BY l_partkey) - 1 AS local FROM lineitem WHERE l_orderkey % 50 = 0")
+@query("SELECT l_orderkey, l_partkey, dense_rank() OVER (ORDER BY l_partkey) - 1 AS local FROM lineitem")
 def local_renumbering(spark, sf_dir):
-    """Unique values with the inverse index of every row. (Every fiftieth order is the mini-batch that the operator renumbers.)"""
-    batch = load(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_partkey")
+    """Unique values with the inverse index of every row."""
+    batch = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     ids = R.dense_ids(batch.select("l_partkey").distinct(), "l_partkey", name="local")
     return batch.join(ids, "l_partkey").select("l_orderkey", "l_partkey", "local")
 
@@ -208,10 +208,10 @@ def json_fields(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k"))
 
 
-@query("SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS name, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem WHERE l_linenumber = 1)")
+@query("SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS name, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem)")
 def unpivot_votes(spark, sf_dir):
     """F8: a wide matrix as rows."""
-    li = load(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
     return R.melt(li, ["l_orderkey", "l_linenumber"], ["quantity", "discount", "tax"], "name", "value")
 
 

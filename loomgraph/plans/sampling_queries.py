@@ -133,13 +133,13 @@ _RANK = f"r AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY {H
 
 
 @query(
-    f"""WITH {USERS_SQL}, {_RANK}, s AS (SELECT DISTINCT src AS id FROM ue WHERE event_id % 97 = 0), h0 AS (SELECT 0 AS hop, src, dst FROM r WHERE rn <= 3 AND dst IN (SELECT id FROM s)),
+    f"""WITH {USERS_SQL}, {_RANK}, s AS (SELECT DISTINCT src AS id FROM ue), h0 AS (SELECT 0 AS hop, src, dst FROM r WHERE rn <= 3 AND dst IN (SELECT id FROM s)),
     h1 AS (SELECT 1 AS hop, src, dst FROM r WHERE rn <= 2 AND dst IN (SELECT src FROM h0)) SELECT * FROM h0 UNION ALL SELECT * FROM h1"""
 )
 def neighbor_sample(spark, sf_dir):
-    """Fan-outs 3 and 2 around the seed users (the seeds are the operator's mini-batch)."""
+    """Fan-outs 3 and 2 around all users with edges."""
     _, e = users(spark, sf_dir)
-    seeds = e.where("event_id % 97 = 0").select(F.col("src").alias("id")).distinct()
+    seeds = e.select(F.col("src").alias("id")).distinct()
     return S.neighbor_sample(seeds, e, [3, 2])
 
 
@@ -280,15 +280,12 @@ def davies_bouldin(spark, sf_dir):
 
 
 @query(
-    f"""WITH v AS (SELECT vec_id, label, {_V} AS v FROM embeddings ORDER BY {H.format('CAST(vec_id AS VARCHAR)')}, vec_id LIMIT 400), p AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, avg(list_distance(a.v, b.v)) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+    f"""WITH v AS (SELECT vec_id, label, {_V} AS v FROM embeddings), p AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, avg(list_distance(a.v, b.v)) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
     o AS (SELECT i, max(d) FILTER (li = lj) AS a, min(d) FILTER (li <> lj) AS b FROM p GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM o"""
 )
 def silhouette(spark, sf_dir):
-    """E5: over the operator's sample of points (all their pairs are needed)."""
-    from loomgraph.operators.transforms import subsample
-
-    e = subsample(load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), 400, "vec_id")
-    return M.silhouette(e).select(F.round("silhouette", 6).alias("silhouette"))
+    """E5: over all vectors."""
+    return M.silhouette(load(spark, sf_dir, "embeddings")).select(F.round("silhouette", 6).alias("silhouette"))
 
 
 @query(f"WITH {_MEANS}, c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1) SELECT round(avg(list_distance(v, c)), 6) AS isometric_loss FROM v JOIN c USING (label)")

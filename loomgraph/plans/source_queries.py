@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators.storage import shared_dir
 from loomgraph.plans.registry import query
 from loomgraph.sources import formats as X
 from loomgraph.sources.fixture import canonical, load
 
 
 def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="loom-")
-    return f"{base}/raw-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
