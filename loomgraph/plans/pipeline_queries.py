@@ -28,7 +28,16 @@ def preprocess_pipeline(spark, sf_dir):
     return g.all_edges("timestamp_from").groupBy("rel").agg(F.count("*").alias("n"), F.sum("timestamp_from").alias("s"))
 
 
-@query()
+_EVEN = "CASE WHEN ts = -1 THEN -1 ELSE least(greatest(ts, lo), hi) - lo END AS ts"
+
+
+@query(
+    f"""WITH {_NORM}, ne AS (SELECT src, dst, {_EVEN} FROM gedges, q), nn AS (SELECT type, gid, {_EVEN} FROM gnodes, q), b AS (SELECT min(ts) AS lo, max(ts) + 1 AS hi FROM (SELECT ts FROM nn UNION ALL SELECT ts FROM ne) WHERE ts <> -1),
+    snaps AS (SELECT CAST(floor(lo + i * ((hi - lo) / 5.0)) AS BIGINT) AS s FROM b, range(5) r(i)), tt AS (SELECT src AS node, ts FROM ne UNION ALL SELECT dst, ts FROM ne UNION ALL SELECT gid, ts FROM nn),
+    f AS (SELECT gid, type, coalesce(min(x.ts), -1) AS ts FROM nn LEFT JOIN (SELECT * FROM tt WHERE ts <> -1) x ON x.node = gid GROUP BY 1, 2),
+    l AS (SELECT type, 1 + CAST(-1 < f.ts AS INT) + (SELECT count(*) FROM snaps WHERE s < f.ts) AS label FROM f)
+    SELECT type, CAST(label AS BIGINT) AS label, count(*) AS n FROM l GROUP BY 1, 2"""
+)
 def pipeline_snapshot_labels(spark, sf_dir):
     """G13, G14 after G17."""
     return P.snapshot_labels(P.prepare(canonical(spark, sf_dir))).groupBy("type", "label").agg(F.count("*").alias("n"))

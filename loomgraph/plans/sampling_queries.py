@@ -97,14 +97,36 @@ def node2vec_weights(spark, sf_dir):
     return S.transition_weights(e, 0.5, 0.25).groupBy("prev", "cur").agg(F.round(F.sum("weight"), 6).alias("total"), F.count("*").alias("n"))
 
 
-@query()
+_N2V = (
+    f"{USERS_SQL}, e AS (SELECT DISTINCT src, dst FROM ue), w0 AS (SELECT src AS walk_id, src AS cur, CAST(NULL AS BIGINT) AS prev, CAST(src AS VARCHAR) AS path FROM (SELECT src FROM ue UNION SELECT dst FROM ue)), "
+    + ", ".join(
+        f"c{i} AS (SELECT walk_id, e.dst AS nxt, CASE WHEN prev IS NULL OR e.dst = prev OR b.src IS NOT NULL THEN 1.0 ELSE 2.0 END AS w FROM w{i - 1} JOIN e ON e.src = cur LEFT JOIN e b ON b.src = prev AND b.dst = e.dst), "
+        f"p{i} AS (SELECT walk_id, nxt FROM (SELECT walk_id, nxt, row_number() OVER (PARTITION BY walk_id ORDER BY -ln(({H.format(f'CAST(walk_id AS VARCHAR) || chr(124) || CAST(nxt AS VARCHAR) || chr(124) || {chr(39)}{i}{chr(39)}')} + 1) / CAST(4294967297 AS DOUBLE)) / w, nxt) AS rn FROM c{i}) WHERE rn = 1), "
+        f"w{i} AS (SELECT walk_id, coalesce(nxt, cur) AS cur, cur AS prev, path || ',' || coalesce(nxt, cur) AS path FROM w{i - 1} LEFT JOIN p{i} USING (walk_id))"
+        for i in (1, 2, 3)
+    )
+)
+
+
+@query(f"WITH {_N2V} SELECT walk_id, path FROM w3")
 def node2vec_walks(spark, sf_dir):
-    """W2, W3."""
+    """Second-order walks of three steps; the weighted choice is an arg-min over md5 numbers."""
     n, e = users(spark, sf_dir)
     return S.node2vec_walk(n, e, 3).select("walk_id", F.array_join(F.transform("walk", lambda x: x.cast("string")), ",").alias("path"))
 
 
-@query()
+_TW = (
+    f"{USERS_SQL}, w0 AS (SELECT src AS walk_id, src AS cur, min(ts) AS t, src AS root, min(ts) AS t0, CAST(src AS VARCHAR) AS walk, CAST(min(ts) AS VARCHAR) AS times FROM ue GROUP BY src), "
+    + ", ".join(
+        f"c{i} AS (SELECT walk_id, u.dst AS nxt, u.ts AS et, CASE WHEN u.ts = -1 OR t = -1 THEN 1.0 ELSE 1 - (u.ts - t) / CAST(21601 AS DOUBLE) END AS w FROM w{i - 1} JOIN ue u ON u.src = cur WHERE u.ts = -1 OR t = -1 OR (u.ts >= t AND u.ts < t + 21600)), "
+        f"p{i} AS (SELECT walk_id, nxt, et FROM (SELECT *, row_number() OVER (PARTITION BY walk_id ORDER BY -ln(({H.format(f'CAST(walk_id AS VARCHAR) || chr(124) || chr(123) || CAST(nxt AS VARCHAR) || chr(44) || chr(32) || CAST(et AS VARCHAR) || chr(125) || chr(124) || {chr(39)}{i}{chr(39)}')} + 1) / CAST(4294967297 AS DOUBLE)) / w, nxt, et) AS rn FROM c{i}) WHERE rn = 1), "
+        f"w{i} AS (SELECT walk_id, coalesce(nxt, root) AS cur, coalesce(CASE WHEN et = -1 THEN t ELSE et END, t0) AS t, root, t0, walk || ',' || coalesce(nxt, root) AS walk, times || ',' || coalesce(CASE WHEN et = -1 THEN t ELSE et END, t0) AS times FROM w{i - 1} LEFT JOIN p{i} USING (walk_id))"
+        for i in (1, 2, 3, 4)
+    )
+)
+
+
+@query(f"WITH {_TW} SELECT walk_id, walk, times FROM w4")
 def temporal_walks(spark, sf_dir):
     """Walks forward in time, each step within six hours."""
     _, e = users(spark, sf_dir)
@@ -177,17 +199,40 @@ def edge_overlap_weights(spark, sf_dir):
     return M.overlap(e).select("a", "b", "common", F.round("jaccard", 9).alias("jaccard"), F.round("min_norm", 9).alias("min_norm"))
 
 
-@query()
+_OVERLAP = (
+    "oe AS (SELECT src, dst FROM ue WHERE src <> dst UNION SELECT dst, src FROM ue WHERE src <> dst), od AS (SELECT src, count(*) AS deg FROM oe GROUP BY 1), "
+    "oc AS (SELECT x.src AS a, x.dst AS b, count(y.src) AS common FROM oe x LEFT JOIN oe p ON p.src = x.src LEFT JOIN oe y ON y.src = x.dst AND y.dst = p.dst WHERE x.src < x.dst GROUP BY 1, 2), "
+    "ov AS (SELECT a, b, common / CAST(da.deg + db.deg - common AS DOUBLE) AS w FROM oc JOIN od da ON da.src = a JOIN od db ON db.src = b)"
+)
+_WALK1 = f"{_ADJ}, w0 AS (SELECT id AS walk_id, id AS cur, CAST(id AS VARCHAR) AS path FROM un), " + ", ".join(_STEP.format(i - 1, i) for i in range(1, 5))
+
+
+@query(
+    f"""WITH {_WALK1}, {_OVERLAP}, l AS (SELECT walk_id, string_split(path, ',') AS p FROM w4), s AS (SELECT walk_id, CAST(j AS INT) AS pos, CAST(p[j] AS BIGINT) AS x, CAST(p[j + 1] AS BIGINT) AS y FROM l, range(1, 5) r(j))
+    SELECT walk_id, pos, round(coalesce(w, 0.0), 9) AS weight FROM s LEFT JOIN ov ON a = least(x, y) AND b = greatest(x, y)"""
+)
 def walk_weights(spark, sf_dir):
-    """W18."""
+    """The overlap of the ends of each step."""
     n, e = users(spark, sf_dir)
     o = M.overlap(e).select("a", "b", F.col("jaccard").alias("weight"))
     return S.walk_weights(S.walk(n, e, 4), o).select("walk_id", "pos", F.round("weight", 9).alias("weight"))
 
 
-@query()
+def _negatives(edges: str, taken: str, src_nodes: str, dst_nodes: str) -> str:
+    """SQL for the operator's sample: edges and the pairs to keep off as names of (src, dst), node counts as expressions."""
+    draw = lambda n, side: H.format(f"CAST(a AS VARCHAR) || '|' || CAST(b AS VARCHAR) || '|' || CAST(t AS VARCHAR) || '|{side}'") + f" % {n}"
+    return (
+        f"pos AS (SELECT src, dst FROM {edges} ORDER BY {H.format('CAST(src AS VARCHAR) || chr(124) || CAST(dst AS VARCHAR)')}, src, dst LIMIT 5000), "
+        f"tr AS (SELECT src AS a, dst AS b, t FROM pos, range(4) r(t)), cd AS (SELECT a, b, t, {draw(src_nodes, 's')} AS src, {draw(dst_nodes, 'd')} AS dst FROM tr), "
+        f"ok AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY t) AS rn FROM cd WHERE NOT EXISTS (SELECT 1 FROM {taken} x WHERE x.src = cd.src AND x.dst = cd.dst))"
+    )
+
+
+@query(
+    f"WITH e AS (SELECT DISTINCT l_orderkey AS src, l_suppkey AS dst FROM lineitem), {_negatives('e', 'e', '(SELECT count(*) FROM orders)', '(SELECT count(*) FROM supplier)')} SELECT src, dst, 1 AS label FROM pos UNION ALL SELECT src, dst, 0 FROM ok WHERE rn = 1"
+)
 def negative_pairs(spark, sf_dir):
-    """G19, G20."""
+    """The sample of 5000 edges that the operator takes, and a pair that is no edge for each."""
     g = canonical(spark, sf_dir)
     size = dict(g.counts())
     return S.negative_pairs(g.edges["Order", "SUPPLIEDBY", "Supplier"], size["Order"], size["Supplier"])
@@ -362,17 +407,27 @@ def link_features(spark, sf_dir):
     return M.link_features(e.select("event_id", "src", "dst"), v).select("event_id", F.round("feature", 6).alias("feature"))
 
 
-@query()
+@query(
+    f"""WITH {USERS_SQL}, v AS (SELECT vec_id AS id, {_V} AS v FROM embeddings), s AS (SELECT src, dst, a.v[1] AS x, list_dot_product(a.v, b.v) AS d FROM (SELECT DISTINCT src, dst FROM ue) JOIN v a ON a.id = src JOIN v b ON b.id = dst),
+    l AS (SELECT dst, x, CASE WHEN d > 0 THEN d ELSE 0.2 * d END AS s FROM s) SELECT dst AS id, round(sum(exp(s) * x) / sum(exp(s)), 6) AS first FROM l GROUP BY 1"""
+)
 def attention_aggregate(spark, sf_dir):
-    """M6, M25."""
+    """Attention over each destination, without heads."""
     _, e = users(spark, sf_dir)
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("z"))
     return E.attention(e, v).select("id", F.round(F.col("z")[0], 6).alias("first"))
 
 
-@query()
+_LP = f"{USERS_SQL}, e AS (SELECT src, dst FROM ue WHERE src <> dst UNION SELECT dst, src FROM ue WHERE src <> dst), l0 AS (SELECT src AS id, src AS label FROM (SELECT src FROM ue UNION SELECT dst FROM ue)), " + ", ".join(
+    f"v{i} AS (SELECT id, label FROM (SELECT e.src AS id, l.label, row_number() OVER (PARTITION BY e.src ORDER BY count(*) DESC, l.label) AS rn FROM e JOIN l{i - 1} l ON l.id = e.dst GROUP BY 1, 2) WHERE rn = 1), "
+    f"l{i} AS (SELECT l.id, coalesce(v.label, l.label) AS label FROM l{i - 1} l LEFT JOIN v{i} v USING (id))"
+    for i in (1, 2, 3, 4)
+)
+
+
+@query(f"WITH {_LP} SELECT id, label FROM l4")
 def label_propagation_communities(spark, sf_dir):
-    """G16."""
+    """G16 (the cheap stand-in beside Louvain): four rounds of label propagation."""
     n, e = users(spark, sf_dir)
     return label_propagation(n, e, 4)
 
@@ -480,7 +535,7 @@ def sgd_errors(spark, sf_dir):
     return p.agg(F.round(F.avg(1 - sig("pos")), 6).alias("positive_error"), F.round(F.avg(-sig("neg")), 6).alias("negative_error"))
 
 
-@query()
+@query(f"SELECT c_custkey AS id, round(CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE ({H.format('CAST(c_custkey AS VARCHAR) || chr(124) || chr(48) || chr(124) || chr(48)')} / CAST(4294967296 AS DOUBLE) - CAST(0.5 AS DOUBLE)) / 8 END, 6) AS first FROM customer")
 def seeded_node_vectors(spark, sf_dir):
     """M1: seeded vectors of all customers, the masked ones zero."""
     n = canonical(spark, sf_dir).nodes["Customer"]
