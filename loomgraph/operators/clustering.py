@@ -6,7 +6,7 @@ Points stay in Spark; each round sends small parameters out and brings one row o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +44,50 @@ def kmeans(points: DataFrame, k: int, vector: str = "embedding", metric: Metric
     return model.transform(data).drop("__v")
 
 
-def kmeans_1d(points: DataFrame, k: int, vector: str = "embedding", seed: int = 1) -> DataFrame:
-    """points with z by k-means on their first principal component."""
+def _first_component(points: DataFrame, vector: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(points with __x, their place on the first principal component, as an array of one; the component; the mean)."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    from loomgraph.operators.metrics import vector_mean
+
     data = points.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
-    one = PCA(k=1, inputCol="__v", outputCol="__p").fit(data).transform(data).withColumn("__x", vector_to_array("__p")).drop("__v", "__p")
+    model = PCA(k=1, inputCol="__v", outputCol="__p").fit(data)
+    mean = np.array(points.agg(vector_mean(F.col(vector)).alias("m")).first()[0], float)
+    axis = np.array(model.pc.toArray(), float)[:, 0]
+    shift = float(mean @ axis)  # Spark projects without centring
+    one = model.transform(data).withColumn("__x", F.transform(vector_to_array("__p"), lambda x: x - shift)).drop("__v", "__p")
+    return one, axis, mean
+
+
+def kmeans_1d(points: DataFrame, k: int, vector: str = "embedding", seed: int = 1) -> DataFrame:
+    """points with z by k-means on their first principal component."""
+    one, _, _ = _first_component(points, vector)
     return kmeans(one, k, "__x", seed=seed).drop("__x")
 
 
+def kmeans_1d_centres(points: DataFrame, k: int, vector: str = "embedding", seed: int = 1) -> list[list[float]]:
+    """The centres of k-means on the first principal component, mapped back to the space of the vectors, in their order on it."""
+    one, axis, mean = _first_component(points, vector)
+    rows = kmeans(one, k, "__x", seed=seed).groupBy("z").agg(F.avg(F.col("__x")[0]).alias("c")).orderBy("c").collect()  # k rows
+    return [(mean + r["c"] * axis).tolist() for r in rows]
+
+
+def initial_assignment(points: DataFrame, k: int, how: str, vector: str = "embedding", key: str = "vec_id", seed: int = 1, z_init: str | None = None) -> DataFrame:
+    """points with z, a first cluster for each: random (by md5 of the key), kmeans, kmeans1d, or z_init, the name of a column that holds it."""
+    from loomgraph.functions.hashing import bucket
+
+    if how == "random":
+        return points.withColumn("z", bucket(k, key, F.lit(seed)).cast("int"))
+    if how == "kmeans":
+        return kmeans(points, k, vector, seed=seed)
+    if how == "kmeans1d":
+        return nearest(points, kmeans_1d_centres(points, k, vector, seed), vector)
+    if how == "z_init" and z_init:
+        return points.withColumn("z", F.col(z_init).cast("int"))
+    raise ValueError(f"no initial assignment {how!r}")
+
+
 def gaussian_mixture(points: DataFrame, k: int, vector: str = "embedding", seed: int = 1) -> DataFrame:
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -137,6 +171,17 @@ class WishartPrior:
         )
 
 
+def lower_bound(prior: WishartPrior, sticks: DirichletPrior, s: Stats, entropy: float = 0.0) -> float:
+    """Entropy of the assignments, less the log normalisers of the Wishart and stick posteriors, less half the dimension times the sum of log kappa."""
+    d = len(prior.mu)
+    kappa, nu, _, cov = prior.posterior(s)
+    log_det = np.linalg.slogdet(cov * (nu + d + 2)[:, None, None])[1]
+    wishart = -(nu / 2 * -log_det + nu * d / 2 * np.log(2) + mvlgamma(nu / 2, d))
+    a, b = sticks.posterior(s.n)
+    stick = lgamma(a + b) - lgamma(a) - lgamma(b)
+    return float(entropy - wishart.sum() - stick.sum() - 0.5 * d * np.log(kappa).sum())
+
+
 def log_density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
     """[points, clusters] log Gaussian densities through the Cholesky factors of the precisions."""
     out = np.empty((len(x), len(mean)))
@@ -219,10 +264,12 @@ def accepts(log_ratio: float, rng: np.random.Generator) -> bool:
     return log_ratio > 0 or np.exp(log_ratio) > rng.random()
 
 
-def fit_dpmm(points: DataFrame, vector: str = "embedding", p: Params = Params(), mutate: bool = True) -> Mixture:
+def fit_dpmm(points: DataFrame, vector: str = "embedding", p: Params = Params(), mutate: bool = True, start_from: DataFrame | None = None, on_round=None) -> Mixture:
     """A Dirichlet-process mixture by hard expectation maximisation with Metropolis-Hastings splits and merges in turn.
 
     A split divides a cluster into its halves across the main axis of its covariance; a merge joins near clusters.
+    start_from: points with z (initial_assignment) whose clusters are the start, else means along the main axis are.
+    on_round is called with (round, model, bound) after every round.
     """
     rng = np.random.default_rng(p.seed)
     d, total = points.agg(F.max(F.size(vector)), F.count("*")).first()
@@ -234,11 +281,15 @@ def fit_dpmm(points: DataFrame, vector: str = "embedding", p: Params = Params(),
     axis = np.linalg.eigh(whole.cov[0])[1][:, -1] * np.sqrt(np.linalg.eigvalsh(whole.cov[0])[-1])
     at = np.linspace(-1, 1, p.clusters) if p.clusters > 1 else np.zeros(1)
     model = Mixture(whole.mean + at[:, None] * axis, np.repeat(whole.cov, p.clusters, 0), np.full(p.clusters, -np.log(p.clusters)), np.full(p.clusters, total / p.clusters))
+    if start_from is not None:
+        model = _started(start_from, vector, prior, sticks, p)
     kind = 0
     for step in range(p.rounds):
         halves = np.linalg.eigh(model.cov)[1][:, :, -1]
         n, s, ss, ll = _gather(points, vector, model, halves)
         model.bound.append(ll / max(total, 1))
+        if on_round:
+            on_round(step, model, model.bound[-1])
         sub = Stats.of(n, s, ss, p.reg)
         k = len(model.n)
         full = Stats.of(n.reshape(k, 2).sum(1), s.reshape(k, 2, d).sum(1), ss.reshape(k, 2, d, d).sum(1), p.reg)
@@ -258,6 +309,26 @@ def fit_dpmm(points: DataFrame, vector: str = "embedding", p: Params = Params(),
     return model
 
 
+def _started(points: DataFrame, vector: str, prior: WishartPrior, sticks: DirichletPrior, p: Params) -> Mixture:
+    """The model of given clusters (z), largest first."""
+    from loomgraph.operators.metrics import vector_mean
+
+    v = F.col(vector).cast("array<double>")
+    outer = F.flatten(F.transform(v, lambda x: F.transform(v, lambda y: x * y)))
+    rows = points.groupBy("z").agg(F.count("*").alias("n"), vector_mean(v).alias("m"), vector_mean(outer).alias("q")).orderBy(F.desc("n"), "z").collect()  # k (d + d * d) numbers
+    d = len(prior.mu)
+    n = np.array([float(r["n"]) for r in rows])
+    mean, second = np.array([r["m"] for r in rows], float), np.array([r["q"] for r in rows], float).reshape(-1, d, d)
+    now = Stats.of(n, mean * n[:, None], second * n[:, None, None], p.reg)
+    _, _, mean, cov = prior.posterior(now)
+    return Mixture(mean, cov + p.reg * np.eye(d), sticks.log_weights(n), n)
+
+
+def fit_best(points: DataFrame, vector: str = "embedding", p: Params = Params(), n_init: int = 3, mutate: bool = True) -> Mixture:
+    """Of n_init fits with different seeds the one of the highest bound."""
+    return max((fit_dpmm(points, vector, replace(p, seed=p.seed + i), mutate) for i in range(n_init)), key=lambda m: m.bound[-1])
+
+
 def _part(sub: Stats, idx: np.ndarray) -> Stats:
     return Stats.merged([Stats(sub.n[idx], sub.mean[idx], sub.cov[idx])])
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import md5_number
@@ -81,3 +83,63 @@ def node_classification(df: DataFrame, vector: str = "embedding", label: str = "
     wide = df.select(key, F.col(label).cast("int").alias(label), *[F.col(vector)[i].cast("double").alias(f"f{i}") for i in range(dim)])
     part = F.pmod(md5_number(key), F.lit(5)) == 0
     return classification(_logistic(wide.where(~part) if held_out else wide, wide.where(part) if held_out else wide, [f"f{i}" for i in range(dim)], label), label, "predicted")
+
+
+def _nearest_rows(k: int):
+    """Of a block of asked rows and a block of labelled ones: each asked row's k nearest (distances to nine places, ties to the smaller id)."""
+    schema = pa.schema([("i", pa.int64()), ("d", pa.float64()), ("j", pa.int64()), ("label", pa.int64())])
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        if not asked.num_rows or not known.num_rows:
+            return schema.empty_table()
+        j, label = np.array(known.column("j").to_pylist()), np.array(known.column("label").to_pylist())
+        y = np.array(known.column("w").to_pylist(), float)
+        rows = []
+        for i, v in zip(asked.column("i").to_pylist(), np.array(asked.column("v").to_pylist(), float)):
+            d = np.round(np.sqrt(((y - v) ** 2).sum(1)), 9)
+            rows += [(i, float(d[x]), int(j[x]), int(label[x])) for x in np.lexsort((j, d))[:k]]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    return run
+
+
+def nearest_labels(asked: DataFrame, known: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", label: str = "label", block: int = 2000) -> DataFrame:
+    """(key, predicted): the commonest label (ties: the smallest) of each asked row's k nearest labelled rows. Blocks of either side meet; a block gives k rows a query."""
+    n, m = (max(1, -(-df.count() // block)) for df in (asked, known))
+    a = asked.select(F.col(key).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    a = a.withColumns({"__a": F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"), "__b": F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+    b = known.select(F.col(key).cast("long").alias("j"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("w"))
+    b = b.withColumns({"__d": F.pmod(F.xxhash64("j"), F.lit(m)).cast("int"), "__c": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
+    met = a.groupBy("__a", "__b").cogroup(b.groupBy("__c", "__d")).applyInArrow(_nearest_rows(k), "i long, d double, j long, label long")
+    near = met.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rn") <= k)
+    votes = near.groupBy("i", "label").agg(F.count("*").alias("n"))
+    return votes.groupBy(F.col("i").alias(key)).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("predicted"))
+
+
+def svm_classification(df: DataFrame, vector: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
+    """One row of scores of linear support vector machines, one against the rest, on a fifth held out."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.functions import array_to_vector
+
+    data = df.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"), (F.pmod(md5_number(key), F.lit(5)) == 0).alias("part"))
+    model = OneVsRest(classifier=LinearSVC(maxIter=20)).fit(data.where(~F.col("part")))
+    said = model.transform(data.where("part")).select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
+    return classification(said, "label", "predicted")
+
+
+def edge_features(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pairs with f, the vectors of both ends one after the other."""
+    a = vectors.select(F.col("id").alias("src"), F.col("z").alias("za"))
+    b = vectors.select(F.col("id").alias("dst"), F.col("z").alias("zb"))
+    return pairs.join(a, "src").join(b, "dst").withColumn("f", F.concat("za", "zb")).drop("za", "zb")
+
+
+def repeated_kmeans(df: DataFrame, k: int, times: int = 10, vector: str = "embedding", label: str = "label") -> DataFrame:
+    """One row: agreement of k-means with the labels, the mean over so many seeds."""
+    from loomgraph.graph import union
+    from loomgraph.operators.clustering import kmeans
+    from loomgraph.operators.metrics import nmi_ari, purity
+
+    runs = [kmeans(df, k, vector, seed=s) for s in range(1, times + 1)]
+    rows = union(nmi_ari(r, label, "z").crossJoin(purity(r, label, "z")) for r in runs)  # a row by a row
+    return rows.agg(*[F.avg(c).alias(c) for c in ("nmi", "ari", "purity")])

@@ -187,6 +187,31 @@ def keep_probability(frequencies: DataFrame, sample: float = 1e-3) -> DataFrame:
     return frequencies.crossJoin(total).select("id", F.least(F.lit(1.0), (F.sqrt(share) + 1) / share).alias("keep"))
 
 
+def hybrid_sample(walks: DataFrame, edges: DataFrame, fanout: list[int]) -> DataFrame:
+    """(hop, src, dst): the neighbourhoods of all nodes that the walks visit, so that a walk's loss meets embeddings of sampled neighbours."""
+    seeds = walks.select(F.explode("walk").alias("id")).distinct()
+    return neighbor_sample(seeds, edges, fanout)
+
+
+def within_hops(edges: DataFrame, hops: int) -> DataFrame:
+    """Distinct (src, dst), src <> dst, joined by a walk of at most `hops` edges."""
+    now = edges.select("src", "dst").distinct()
+    found = now
+    for _ in range(hops - 1):
+        now = now.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst").distinct(), "mid").select("src", "dst").distinct()
+        found = found.unionByName(now)
+    return found.where("src <> dst").distinct()
+
+
+def batches(df: DataFrame, size: int, *keys: str, seed: int = 0, shuffle: bool = True) -> DataFrame:
+    """df with place and batch: batches of `size` rows in the order of keys, or in an order shuffled by md5 of them. Chained loaders are the union of such frames."""
+    from loomgraph.operators.relational import dense_ids
+
+    order = df.withColumn("__h", md5_number(*keys, F.lit(seed)) if shuffle else F.lit(0).cast("long"))
+    placed = dense_ids(order, "__h", *keys, name="place").drop("__h")
+    return placed.withColumn("batch", F.expr(f"place div {int(size)}"))
+
+
 def walk_weights(walks: DataFrame, weights: DataFrame) -> DataFrame:
     """(walk_id, pos, weight) of each step of each walk; weights: a < b, weight; steps without one weigh 0."""
     pairs = walks.select("walk_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("walk") - 1), lambda j: F.struct(j.alias("pos"), F.get("walk", j - 1).alias("x"), F.get("walk", j).alias("y")))).alias("s")).select("walk_id", "s.*")

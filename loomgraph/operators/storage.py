@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint: its rows stay in the partitions and order they have now, whatever is lost or planned anew."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared folder and read back: lineage and plan are cut, and its rows stay what they are now, whatever is lost or planned anew.
+
+    A table and not a checkpoint, because a checkpoint keeps the plan's constraints, which multiply from round to round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
