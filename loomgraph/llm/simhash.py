@@ -14,10 +14,10 @@ a spanning star of what it linked.
 Near copies by shingle similarity (near_groups) differ in many more bits, so
 they have a wider fingerprint of 32 positional bytes: texts whose sets of
 5-word shingles have a similarity of 0.8 share 8.7 of them in the mean. The
-index holds every text under 256 choices of three positions; a pair that meets
-has reached the minimum of three shared bytes, is tallied over a further
-32 bits, and is linked only if the two shingle sets themselves, compared
-exactly, have the similarity.
+index posts every text under 64 choices of two positions, so a list holds one
+text in 65,536 by chance. A pair that meets has reached the minimum of two
+shared bytes, is kept if the whole fingerprints are near enough, and is linked
+only if the two shingle sets themselves, compared exactly, have the similarity.
 """
 
 from __future__ import annotations
@@ -155,13 +155,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the wide fingerprint: 64-bit streams of a shingle's hash, positional bytes that are keyed (the last four are the sketch).
-STREAMS, KEYED = 5, 32
-#: Each start s gives the positions s, s + a, s + b (modulo KEYED): every pair of positions is apart in most choices.
-STEPS = ((1, 3), (4, 9), (6, 13), (8, 18), (11, 23), (2, 17), (5, 12), (7, 10))
-#: Sketch bits that a pair of a list may differ in: 4.8 in the mean at a similarity of 0.8, 16 for unlike texts. Lists beyond FOREST go by leaders.
-SKETCH_BITS, FOREST, EARLY = 11, 8, 64
-_CHOICES = np.array([[(s, (s + a) % KEYED, (s + b) % KEYED) for s in range(KEYED)] for a, b in STEPS]).reshape(-1, 3)
+#: Of the wide fingerprint: 64-bit streams of a shingle's hash, and so its positional bytes.
+STREAMS, WIDE = 4, 32
+#: The index posts the bytes at s and s + step (modulo WIDE) for every start s; lists beyond SHORT are compared by a third byte, at s + offset.
+STEPS, OFFSETS, SHORT, AHEAD = (1, 5), (2, 3, 7, 9, 11, 13, 17, 19, 20, 23, 26, 29), 16, 8
+#: Bits of the whole fingerprint that a pair may differ in: 39 in the mean at a similarity of 0.8, with a deviation of 6, and 128 for unlike texts.
+FAR = 52
+_CHOICES = np.array([(s, (s + step) % WIDE) for step in STEPS for s in range(WIDE)])
 _STREAM = (np.arange(1, STREAMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
 
@@ -175,7 +175,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def wide_print(shingles: np.ndarray) -> np.ndarray:
-    """The SimHash of a set of shingles in 8 * STREAMS bytes."""
+    """The SimHash of a set of shingles in WIDE bytes."""
     count = np.zeros(64 * STREAMS, np.int64)
     for k in range(0, len(shingles), 8192):
         x = shingles[k : k + 8192, None] + _STREAM
@@ -212,76 +212,27 @@ def _wide(words: int):
     return run
 
 
-def _rank(nodes: np.ndarray) -> np.ndarray:
-    return nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def _leaders(sketch: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
-    """(members of each leader, leaders): in the order given, whoever no earlier leader is near leads what is near to it."""
-    left, groups_, lead = np.arange(len(sketch)), [], []
-    while len(left):
-        near = np.bitwise_count(sketch[left] ^ sketch[left[0]]) <= SKETCH_BITS
-        lead.append(int(left[0]))
-        groups_.append(left[near][1:])
-        left = left[~near]
-    return groups_, lead
-
-
-def _forest(sketch: np.ndarray) -> list[tuple[int, int]]:
-    """A shortest spanning forest of the pairs that the sketch lets pass."""
-    apart = np.bitwise_count(sketch[:, None] ^ sketch[None, :]).astype(np.int64)
-    out, n = [], len(sketch)
-    best, via, open_ = np.full(n, 99), np.zeros(n, np.int64), np.ones(n, bool)
-    at = 0
-    for _ in range(n - 1):
-        open_[at] = False
-        nearer = open_ & (apart[at] < best)
-        best[nearer], via[nearer] = apart[at][nearer], at
-        at = int(np.argmin(np.where(open_, best, 100)))
-        if best[at] <= SKETCH_BITS:
-            out.append((int(via[at]), at))
-    return out
-
-
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of equal sorted keys start, and their lengths."""
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-    return start, np.diff(np.append(start, len(key)))
-
-
-ENTRY = np.dtype([("key", "<u4"), ("sketch", "<u4"), ("node", "<i8")])
+ENTRY = np.dtype([("list", "<u4"), ("node", "<i8"), ("fp", "<u8", (STREAMS,))])
 
 
 def _post(buckets: int, rows: int = 1024):
-    """Rows (bucket, linked, entries): the index entries of a stretch of texts, packed by the bucket of their key; linked: the links out of lists that are long in the stretch already."""
-    schema = pa.schema([("bucket", pa.int32()), ("linked", pa.bool_()), ("entries", pa.binary())])
+    """Rows (bucket, entries): the index entries of a stretch of texts, packed by the bucket of their list."""
+    schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 
-    def posted(nodes: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sketch = np.ascontiguousarray(fps[:, KEYED : KEYED + 4]).view("<u4").ravel()
+    def posted(nodes: list[int], fps: list[bytes]) -> pa.RecordBatch:
+        wide = np.frombuffer(b"".join(fps), np.uint8).reshape(len(nodes), WIDE)
         entries = np.empty((len(nodes), len(_CHOICES)), ENTRY)
-        wide = fps.astype(np.uint32)
-        entries["key"] = np.arange(len(_CHOICES), dtype=np.uint32) << 24 | wide[:, _CHOICES[:, 0]] << 16 | wide[:, _CHOICES[:, 1]] << 8 | wide[:, _CHOICES[:, 2]]
-        entries["sketch"], entries["node"] = sketch[:, None], nodes[:, None]
-        order = np.argsort(_rank(nodes), kind="stable")
-        entries = entries[order].ravel()
-        entries = entries[np.argsort(entries["key"], kind="stable")]
-        start, n = _runs(entries["key"])
-        stay, a, b = np.ones(len(entries), bool), [], []
-        for s, m in zip(start[n > EARLY].tolist(), n[n > EARLY].tolist()):
-            groups_, lead = _leaders(entries["sketch"][s : s + m])
-            for g, leader in zip(groups_, lead):
-                stay[s + g] = False
-                a.append(np.full(len(g), entries["node"][s + leader]))
-                b.append(entries["node"][s + g])
-        entries = entries[stay]
-        bucket = ((entries["key"] * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-        entries, bucket = entries[order := np.argsort(bucket, kind="stable")], bucket[order]
-        start, n = _runs(bucket)
-        packed = [entries[s : s + m].tobytes() for s, m in zip(start.tolist(), n.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int32()), pa.array(np.zeros(len(packed), bool)), pa.array(packed, pa.binary())], schema=schema)
-        if a:
-            links_ = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0).astype("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([int(nodes[0]) % buckets], pa.int32()), pa.array([True]), pa.array([links_.tobytes()], pa.binary())], schema=schema)
+        value = wide.astype(np.uint32)
+        entries["list"] = np.arange(len(_CHOICES), dtype=np.uint32) << 16 | value[:, _CHOICES[:, 0]] << 8 | value[:, _CHOICES[:, 1]]
+        entries["node"] = np.array(nodes, np.int64)[:, None]
+        entries["fp"] = wide.copy().view("<u8")[:, None, :]
+        entries = entries.ravel()
+        bucket = ((entries["list"] * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        entries, bucket = entries[order], bucket[order]
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        ends = np.append(start[1:], len(bucket))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int32()), pa.array([entries[i:j].tobytes() for i, j in zip(start.tolist(), ends.tolist())], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, fps = [], []
@@ -290,46 +241,81 @@ def _post(buckets: int, rows: int = 1024):
                 nodes.append(node)
                 fps.append(fp.as_py())
                 if len(nodes) >= rows:
-                    yield from posted(np.array(nodes, np.int64), np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1))
+                    yield posted(nodes, fps)
                     nodes, fps = [], []
         if nodes:
-            yield from posted(np.array(nodes, np.int64), np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1))
+            yield posted(nodes, fps)
 
     return run
 
 
-def _meet(bucket: pa.Table) -> pa.Table:
-    """Candidate links (a < b) of the posting lists of a bucket: shortest forests of short lists, leaders' stars of long ones."""
-    raw = {kind: b"".join(x for x, k in zip(bucket.column("entries").to_pylist(), bucket.column("linked").to_pylist()) if k == kind) for kind in (False, True)}
-    early = np.frombuffer(raw[True], "<i8").reshape(-1, 2)
-    entries = np.frombuffer(raw[False], ENTRY)
-    entries = entries[np.argsort(entries["key"], kind="stable")]
-    start, n = _runs(entries["key"])
-    node, sketch = entries["node"], entries["sketch"]
-    # the pairs of all short lists at once, by their distance in the list
-    size = np.repeat(n, n)
-    size = np.where(size <= FOREST, size - (np.arange(len(size)) - np.repeat(start, n)), 0)  # entries from here to the list's end
-    at, lag, hits = np.flatnonzero(size > 1), 1, []
-    while len(at):
-        hits.append(at[np.bitwise_count(sketch[at] ^ sketch[at + lag]) <= SKETCH_BITS])
+def _pairs_ahead(key: np.ndarray, fp: np.ndarray, ahead: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits apart) of entries of one key, at most `ahead` places apart, whose fingerprints are near; key is sorted."""
+    at, lag = np.arange(len(key)), 1
+    while lag <= ahead:
+        at = at[at + lag < len(key)]
+        at = at[key[at] == key[at + lag]]
+        if not len(at):
+            return
+        apart = np.bitwise_count(fp[at] ^ fp[at + lag]).sum(1, dtype=np.int64)
+        near = apart <= FAR
+        yield at[near], at[near] + lag, apart[near]
         lag += 1
-        at = at[size[at] > lag]
-    own = np.unique(np.searchsorted(start, np.concatenate(hits), "right") - 1) if hits else np.empty(0, np.int64)
-    a, b = [early[:, 0]], [early[:, 1]]
-    for s, m in zip(start[own].tolist(), n[own].tolist()):
-        i, j = np.array(_forest(sketch[s : s + m])).T
-        a.append(node[s + i])
-        b.append(node[s + j])
-    for s, m in zip(start[n > FOREST].tolist(), n[n > FOREST].tolist()):
-        # one order for all lists, so that a group's lists mostly have the same leaders and give the same links
-        order = s + np.argsort(_rank(node[s : s + m]), kind="stable")
-        for g, leader in zip(*_leaders(sketch[order])):
-            a.append(np.full(len(g), node[order[leader]]))
-            b.append(node[order[g]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    found = np.unique(np.stack([low, high], 1), axis=0)
-    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+
+def _meet(bucket: pa.Table) -> pa.Table:
+    """Candidate links (a < b) of the lists of a bucket: all near pairs of short lists; in long ones, of those that share a third byte, neighbours in the order of further bytes."""
+    entries = np.frombuffer(b"".join(x.as_py() for x in bucket.column("entries")), ENTRY)
+    entries = entries[np.argsort(entries["list"], kind="stable")]
+    lists = entries["list"]
+    start = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
+    size = np.diff(np.append(start, len(lists)))
+    long_ = np.repeat(size > SHORT, size)
+    found = []
+    for some, third in ((~long_, False), (long_, True)):
+        e = entries[some]
+        if not len(e):
+            continue
+        if not third:
+            orders = [(np.arange(len(e)), e["list"].astype(np.uint64))]
+        else:
+            wide = np.ascontiguousarray(e["fp"]).view(np.uint8).reshape(len(e), WIDE)
+            first = _CHOICES[e["list"] >> 16, 0].astype(np.int64)
+            at = lambda k, wide=wide, first=first: wide[np.arange(len(first)), (first + k) % WIDE].astype(np.uint64)
+            orders = []
+            for k, offset in enumerate(OFFSETS):
+                rest = at(OFFSETS[k - 1]) << np.uint64(8) | at(OFFSETS[k - 2])
+                key = e["list"].astype(np.uint64) << np.uint64(8) | at(offset)
+                order = np.argsort(key << np.uint64(16) | rest, kind="stable")
+                orders.append((order, key[order]))
+        for order, key in orders:
+            node, fp = e["node"][order], e["fp"][order]
+            found += [np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), apart], 1) for i, j, apart in _pairs_ahead(key, fp, AHEAD if third else SHORT)]
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+    links_ = _spanning(pairs[np.argsort(pairs[:, 2], kind="stable")])
+    return pa.table({"a": pa.array([x[0] for x in links_], pa.int64()), "b": pa.array([x[1] for x in links_], pa.int64())})
+
+
+def _spanning(pairs: np.ndarray, each: int = 3) -> list[tuple[int, int]]:
+    """Of pairs, nearest first, those that join two groups so far, and each member's `each` nearest: a group of n gives some n links, not its square."""
+    root: dict[int, int] = {}
+    count: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for a, b, _ in pairs.tolist():
+        x, y = find(a), find(b)
+        if x != y or count.get(a, 0) < each or count.get(b, 0) < each:
+            root[x] = y
+            count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
+            out.append((a, b))
+    return out
 
 
 def _sets(model, words: int):
@@ -365,8 +351,9 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     Two rows link if their sets of word shingles (A-Z lower-cased; of a text
     with fewer words the whole sequence) have a Jaccard similarity of `least` or
     more; no link is made below it. Equal sets always meet. Others meet in the
-    index with a probability of some 0.95 at a similarity of 0.8 and more above,
-    and a group stays together by any chain of its links. Texts
+    index with a probability of some 0.95 at a similarity of 0.8 and more above.
+    Of a large group the nearest pairs are compared, some for each member, and
+    it stays together by any chain of its links. Texts
     without words (null, empty) are one group. Rows with a null doc_id take no
     part; repeated rows come out repeated; an empty table gives no rows; other
     columns are ignored.
@@ -378,7 +365,7 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     classes = written(first.withColumn("node", F.monotonically_increasing_id()))
     # the buckets follow the shuffle partitions, so a bucket stays as small as they are
     spread = classes.select("node", "fp").repartition(parts(spark), "node")
-    posted = spread.mapInArrow(_post(4 * parts(spark)), "bucket int, linked boolean, entries binary")
+    posted = spread.mapInArrow(_post(4 * parts(spark)), "bucket int, entries binary")
     pairs = written(posted.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct())
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     own = written(classes.select("node", F.col("first").alias("doc_id"), F.col("shingles").alias("digest")).join(asked, "node"))
