@@ -2,15 +2,16 @@
 
 A rolling hash over the bytes cuts every text into chunks whose borders depend
 on nearby bytes only, so a passage that documents share falls into the same
-chunks in each. A worker encodes each chunk's core once and keeps its ids in a
-bounded store that outlives the task. The joins between chunks are repaired:
-the stretch between two settled points is encoded again, and a stretch that
-finds no settled point in the next chunk grows through it until one agrees.
-
-A settled point is a single space between two ASCII letters. No pre-token of
-byte-level BPE holds both the letter and the space after it, and none looks
-back, so the ids left and right of it are the same however the text is cut
-there: the joined ids equal those of the whole text.
+chunks in each; a short text is one chunk. Digests of all chunks are counted,
+and those that occur again go into a filter of bounded size. A text without any
+is encoded where it is. The others travel, copies as one row, to the task of
+their least shared chunk, so documents that share chunks meet, and there every
+shared chunk is encoded once and kept in a bounded store that outlives the task.
+
+Joins between chunks are repaired: from the start of the last pre-token that is
+sure, the whole text's pre-tokens are followed until one ends where one of the
+next chunk ends too and the ids of the stretch, encoded again, agree with the
+chunk's own; a join that finds no such place grows through the chunk.
 """
 
 from __future__ import annotations
@@ -20,16 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
-from loomgraph.llm.tokens import codec, default_path
+from loomgraph.llm.common import bit_filter, forget, in_filter, parts, table, written
+from loomgraph.llm.tokens import PATTERN, codec, default_path
 
 #: Rolling window in bytes, mean chunk in bytes (powers of two), and the store's bound in bytes a worker.
 ROLL, MEAN_CHUNK, STORE_BYTES = 16, 1024, 24 << 20
 SCHEMA = "doc_id long, ids binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+_PRE = regex.compile(PATTERN)
 
 
 def chunk_cuts(data: np.ndarray, mean: int = MEAN_CHUNK) -> np.ndarray:
@@ -47,82 +51,214 @@ def chunk_cuts(data: np.ndarray, mean: int = MEAN_CHUNK) -> np.ndarray:
     return np.flatnonzero(h >> np.uint32(32 - mean.bit_length() + 1) == 0) + ROLL
 
 
-def settled_points(data: np.ndarray) -> np.ndarray:
-    """Places of single spaces between two ASCII letters; ascending."""
-    if len(data) < 3:
-        return np.empty(0, np.int64)
-    low = data | 32
-    letter = (low >= 97) & (low <= 122) & (data < 128)
-    return np.flatnonzero(letter[:-2] & (data[1:-1] == 32) & letter[2:]) + 1
+def chunks(raw: bytes, mean: int = MEAN_CHUNK) -> list[tuple[int, int]]:
+    """[start, end) of the chunks of a text; cuts inside a character move to its end."""
+    if len(raw) < mean:
+        return [(0, len(raw))]
+    data = np.frombuffer(raw, np.uint8)
+    edges = [0]
+    for cut in chunk_cuts(data, mean).tolist():
+        while cut < len(raw) and raw[cut] & 0xC0 == 0x80:
+            cut += 1
+        if edges[-1] < cut < len(raw):
+            edges.append(cut)
+    return list(zip(edges, [*edges[1:], len(raw)]))
+
+
+def digests(raw: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in spans], np.uint64).view(np.int64)
+
+
+class Piece:
+    """The ids of a stretch of text, and where its pre-tokens end: the first few, and the start of the last one."""
+
+    FIRST = 24
+
+    def __init__(self, text: str, encode):
+        self.ids = encode(text)
+        self.ends: list[int] = []
+        last = 0
+        for m in _PRE.finditer(text):
+            last = m.start()
+            if len(self.ends) < self.FIRST:
+                self.ends.append(m.end())
+        self.last = last
+        self.before_last = len(self.ids) - len(encode(text[last:])) if text else 0
+        self.size = len(text)
 
 
 class Store:
-    """Ids by chunk core; the oldest go once size bytes are held."""
+    """Pieces by text; the oldest go once size bytes are held."""
 
     def __init__(self, size: int):
         self.size, self.held, self.of = size, 0, OrderedDict()
         self.hits = self.misses = 0
 
-    def get(self, core: bytes, encode) -> np.ndarray:
-        ids = self.of.get(core)
-        if ids is not None:
+    def get(self, text: str, encode) -> Piece:
+        piece = self.of.get(text)
+        if piece is not None:
             self.hits += 1
-            return ids
+            return piece
         self.misses += 1
-        ids = encode(core.decode())
-        self.of[core] = ids
-        self.held += len(core) + ids.nbytes + 200
+        piece = self.of[text] = Piece(text, encode)
+        self.held += 2 * len(text) + piece.ids.nbytes + 2000
         while self.held > self.size:
             old, gone = self.of.popitem(last=False)
-            self.held -= len(old) + gone.nbytes + 200
-        return ids
+            self.held -= 2 * len(old) + gone.ids.nbytes + 2000
+        return piece
 
 
 _STORES: dict[str, Store] = {}
 
 
-def encode_chunked(text: str, encode, store: Store, mean: int = MEAN_CHUNK) -> np.ndarray:
-    """The ids of text, through the store."""
-    raw = text.encode()
-    if len(raw) < mean:
+def encode_chunked(text: str, codec_, store: Store, spans: list[tuple[int, int]], shared: np.ndarray) -> np.ndarray:
+    """The ids of text; its shared chunks come from the store. spans: byte places of the chunks."""
+    encode = codec_.encode
+    if not shared.any() or any(x in text for x in codec_.specials):
         return encode(text)
-    data = np.frombuffer(raw, np.uint8)
-    settled = settled_points(data)
-    if not len(settled):
-        return encode(text)
-    edges = np.concatenate([[0], chunk_cuts(data, mean), [len(raw)]])
-    # of each chunk the first settled point at or after its start and the last one at or before its end
-    first = np.searchsorted(settled, edges[:-1], "left")
-    last = np.searchsorted(settled, edges[1:], "right") - 1
-    out, done = [], 0
-    for f, g in zip(first.tolist(), last.tolist()):
-        if g <= f:
-            continue  # no core: the join grows through this chunk
-        start, stop = int(settled[f]), int(settled[g])
-        if start > done:
-            out.append(encode(raw[done:start].decode()))  # the join, encoded again between settled points
-        out.append(store.get(raw[start:stop], encode))
-        done = stop
-    if done < len(raw):
-        out.append(encode(raw[done:].decode()))
+    if len(spans) == 1:
+        return store.get(text, encode).ids
+    raw = text.encode()
+    segments: list[tuple[str, bool]] = []
+    start = 0
+    for k, (a, b) in enumerate(spans):  # neighbours that nobody shares are one stretch
+        if shared[k]:
+            if start < a:
+                segments.append((raw[start:a].decode(), False))
+            segments.append((raw[a:b].decode(), True))
+            start = b
+    if start < len(raw):
+        segments.append((raw[start:].decode(), False))
+    out: list[np.ndarray] = []
+    at = sure = 0  # where the segment starts, and up to where the ids in out are the text's
+    for piece_text, kept in segments:
+        piece = store.get(piece_text, encode) if kept else Piece(piece_text, encode)
+        skip, joined = 0, at == 0
+        if not joined:
+            ends = [at + e for e in piece.ends if at + e <= at + piece.last]
+            for m in _PRE.finditer(text, sure):
+                if m.end() > at + piece.last or not ends:
+                    break
+                if m.end() < at or m.end() not in ends:
+                    continue
+                following = [e for e in ends if e > m.end()]
+                if not following:
+                    break
+                # encoded again up to one pre-token beyond: the ids have to be the piece's own there
+                own_head, own_next = encode(text[at : m.end()]), encode(text[m.end() : following[0]])
+                again = encode(text[sure : following[0]])
+                n, h = len(own_next), len(own_head)
+                if n and np.array_equal(again[-n:], own_next) and np.array_equal(piece.ids[h : h + n], own_next):
+                    out.append(again[:-n])
+                    skip, joined = h, True
+                    break
+        if joined and piece.before_last >= skip:
+            out.append(piece.ids[skip : piece.before_last])
+            sure = at + piece.last
+        at += piece.size
+    out.append(encode(text[sure:]))
     return np.concatenate(out)
 
 
-def _encoder(path: str, mean: int, store_bytes: int):
+def _digests(mean: int):
+    """(digest, n) of each batch's chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.empty(0, np.int64)]
+            for x in batch.column(0):
+                raw = (x.as_py() or "").encode()
+                if raw:
+                    found.append(digests(raw, chunks(raw, mean)))
+            digest, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(n.astype(np.int64))], names=["digest", "n"])
+
+    return run
+
+
+def _batched(rows: Iterator[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
+    some, held = [], 0
+    for row in rows:
+        some.append(row)
+        held += len(row[1]) + 16
+        if held > 16 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), ARROW.types)], schema=ARROW)
+            some, held = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), ARROW.types)], schema=ARROW)
+
+
+def _home(path: str, mean: int, model):
+    """ids of the texts that share no chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(path).encode
-        store = _STORES.setdefault(f"{path} {mean} {store_bytes}", Store(store_bytes))
+
+        def rows():
+            for batch in batches:
+                for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    text = x.as_py() or ""
+                    raw = text.encode()
+                    if not raw or not in_filter(model.value[0], digests(raw, chunks(raw, mean))).any():
+                        yield doc, encode(text).astype("<u4").tobytes()
+
+        yield from _batched(rows())
+
+    return run
+
+
+def _travel(mean: int, model, hold: int = 8 << 20):
+    """(route, text, docs) of the texts that share chunks, copies in one row; a hot chunk's texts are spread over as many routes as it needs."""
+    schema = pa.schema([("route", pa.int64()), ("text", pa.string()), ("docs", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            texts = list(held)
+            return pa.RecordBatch.from_arrays([pa.array([held[t][0] for t in texts], pa.int64()), pa.array(texts, pa.string()), pa.array([held[t][1] for t in texts], schema.types[2])], schema=schema)
+
         for batch in batches:
-            rows, held = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode_chunked(text.as_py() or "", encode, store, mean).astype("<u4").tobytes()
-                rows.append((doc, ids))
-                held += len(ids)
-                if held > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ARROW.types)], schema=ARROW)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ARROW.types)], schema=ARROW)
+            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = x.as_py() or ""
+                if text in held:
+                    held[text][1].append(doc)
+                    continue
+                raw = text.encode()
+                found = digests(raw, chunks(raw, mean)) if raw else np.empty(0, np.int64)
+                found = found[in_filter(model.value[0], found)]
+                if len(found):
+                    least = int(found.min())
+                    spread = model.value[1].get(least, 1)
+                    route = least if spread == 1 else xxhash.xxh3_64_intdigest(f"{least} {xxhash.xxh3_64_intdigest(raw) % spread}") - (1 << 63)
+                    held[text] = [route, [doc]]
+                    size += len(raw) + 100
+                    if size > hold:
+                        yield out()
+                        held, size = {}, 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _met(path: str, mean: int, store_bytes: int, model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        store = _STORES.setdefault(f"{path} {mean} {store_bytes}", Store(store_bytes))
+
+        def rows():
+            for batch in batches:
+                for x, docs in zip(batch.column(0), batch.column(1).to_pylist()):
+                    text = x.as_py()
+                    raw = text.encode()
+                    spans = chunks(raw, mean)
+                    ids = encode_chunked(text, own, store, spans, in_filter(model.value[0], digests(raw, spans))).astype("<u4").tobytes()
+                    for doc in docs:
+                        yield doc, ids
+
+        yield from _batched(rows())
 
     return run
 
@@ -146,9 +282,21 @@ def encode(docs: DataFrame, tokenizer: str | None = None, mean: int = MEAN_CHUNK
     """doc_id and ids (little-endian 32-bit) of every whole text; a null text counts as empty and has no ids.
 
     Repeated rows are encoded row by row; an empty table gives no rows; other
-    columns of docs are ignored.
+    columns of docs are ignored. Texts that share chunks travel once.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encoder(tokenizer or default_path(), mean, store_bytes), SCHEMA)
+    spark, path = docs.sparkSession, tokenizer or default_path()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counted = texts.select("text").mapInArrow(_digests(mean), "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = written(counted)
+    tasks = parts(spark)
+    # a chunk that more than a task's share of the shared ones has: 4 a task at most
+    limit = max(1000, int((shared.agg(F.sum("n")).first()[0] or 0) // (4 * tasks)))
+    hot = {r["digest"]: -(-r["n"] // limit) for r in shared.where(F.col("n") > limit).collect()}
+    model = spark.sparkContext.broadcast((bit_filter(shared.select("digest")), hot))  # a filter of bounded size
+    forget(shared)
+    home = texts.mapInArrow(_home(path, mean, model), SCHEMA)
+    travelled = texts.mapInArrow(_travel(mean, model), "route long, text string, docs array<long>").repartition(tasks, "route").sortWithinPartitions("route")
+    return home.unionByName(travelled.select("text", "docs").mapInArrow(_met(path, mean, store_bytes, model), SCHEMA))
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:

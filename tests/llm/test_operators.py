@@ -98,30 +98,44 @@ def test_bpe_equals_the_library(spark, sf_dir, library):
         assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("seed", range(20))
+@pytest.mark.parametrize("seed", range(40))
 def test_chunk_joins_agree_with_the_whole_text(seed, library):
     rng = np.random.default_rng(seed)
-    signs = ["word ", "a b", " ", "\n", "é", "漢", "'s", "1", "!", "<|endoftext|>", "\u00a0", "x" * 40]
-    text = "".join(rng.choice(signs) for _ in range(400))
-    store = bpe.Store(5_000)
-    for _ in range(2):  # the second time cores come from the store
-        ids = bpe.encode_chunked(text, tokens.codec(tokens.default_path()).encode, store, 32)
-        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
-    assert store.held <= 5_000 + 2_000
+    signs = ["word ", "a b", " ", "\n", "é", "漢", "'s", "1", "!", "\u00a0", "x" * 40, "  \n\n ", "слово ", "مرحبا ", "漢字かな", "''", "'", "0 0", "\t"] + ["<|endoftext|>"] * (seed % 4 == 0)
+    text = "".join(rng.choice(signs, p=None) for _ in range(600))
+    raw, own, store = text.encode(), tokens.codec(tokens.default_path()), bpe.Store(20_000)
+    want = library.encode(text, add_special_tokens=False).ids
+    spans = bpe.chunks(raw, 32)
+    assert len(spans) > 20 and b"".join(raw[a:b] for a, b in spans) == raw
+    for shared in (np.ones(len(spans), bool), rng.random(len(spans)) < 0.5, rng.random(len(spans)) < 0.5, np.zeros(len(spans), bool)):
+        assert bpe.encode_chunked(text, own, store, spans, shared).tolist() == want
+    assert store.held <= 20_000 + 5_000
 
 
 def test_bpe_reuses_chunks_of_other_documents():
-    store, encode = bpe.Store(1 << 20), tokens.codec(tokens.default_path()).encode
-    shared = " ".join(f"word{chr(97 + i % 26)} and thing" for i in range(400))
-    bpe.encode_chunked("one start " + shared, encode, store, 64)
-    missed = store.misses
-    bpe.encode_chunked("another and longer start of it " + shared, encode, store, 64)
-    assert store.hits > 20 and store.misses - missed <= 3
+    own = tokens.codec(tokens.default_path())
+    rng = np.random.default_rng(1)
+    for letters in ("abcdefgh    ", "漢字の文章が続く。次", "приветмир     "):
+        shared = "".join(rng.choice(list(letters), 6000))
+        store = bpe.Store(1 << 20)
+        for text in ("one start " + shared, "another and longer start of it " + shared):
+            spans = bpe.chunks(text.encode(), 64)
+            missed = store.misses
+            bpe.encode_chunked(text, own, store, spans, np.ones(len(spans), bool))
+        assert store.hits >= len(spans) // 2 and store.misses - missed <= 4
+
+
+def test_bpe_shares_chunks_across_partitions(spark, library):
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{x}" for x in rng.integers(0, 9999, 900))
+    docs = [(k, f"own text {k} " + " ".join(f"q{x}" for x in rng.integers(0, 9999, 300)) + passage, "en", "x", 1) for k in range(40)] + [(100 + k, "the same short text", "en", "x", 1) for k in range(2500)]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(documents(spark, docs).repartition(9)).collect()}
+    assert len(got) == len(docs) and all(got[k] == library.encode(t, add_special_tokens=False).ids for k, t, *_ in docs)
 
 
 def test_bpe_and_packing_edges(spark, library):
     got = bpe.decode(bpe.encode(documents(spark))).collect()
-    assert [(r.doc_id, r.decoded) for r in got] == [(k, t or "") for k, t, *_ in rows()]
+    assert sorted(((r.doc_id, r.decoded) for r in got), key=str) == sorted(((k, t or "") for k, t, *_ in rows()), key=str)
     assert bpe.encode(empty(spark)).count() == 0 and packing.pack(empty(spark)).count() == 0
     assert packing.pack(documents(spark)).agg(F.sum("length")).first()[0] == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in rows())
 
