@@ -149,11 +149,13 @@ def fit(pages: DataFrame, p: Params = Params()) -> Model:
     """Word counts and class counts over all urls; the driver gets `vocabulary` words and two counts of each at most."""
     url = F.col("url").cast("string")
     rows = pages.select(letters(host_of(url), path_of(url)).alias("words"), letters(host_of(url), F.lit("")).alias("host"))
-    words = pages.select(F.explode(dictionary_words(host_of(url), path_of(url))).alias("w")).where(F.length("w").between(2, p.longest)).groupBy("w").agg(F.count("*").alias("n"))
+    # unigram counts over different hosts and paths: one busy host must not drown the rest
+    places = pages.select(host_of(url).alias("h"), path_of(url).alias("p")).distinct()
+    words = places.select(F.explode(dictionary_words(F.col("h"), F.col("p"))).alias("w")).where(F.length("w").between(2, p.longest)).groupBy("w").agg(F.count("*").alias("n"))
     top = words.orderBy(F.desc("n"), "w").limit(p.vocabulary).collect()
     count = {w: 1.0 for w in (*SEED_WORDS, *COMMON_WORDS)}
     for r in top:
-        count[r["w"]] = count.get(r["w"], 0.0) + math.sqrt(r["n"])  # one busy host must not drown the rest
+        count[r["w"]] = count.get(r["w"], 0.0) + r["n"]
     total = sum(count.values())
     cost = {w: -math.log(n / total) for w, n in count.items()}
     unknown = -math.log(p.unknown / total)
@@ -202,6 +204,7 @@ def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url; edge rows as in judge()."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     out = judge(pages, fit(pages))
     return out.select("page_id", *[F.col(f"u_{c}").alias(c) for c in ("host", "path", "rule", "verdict")], F.concat_ws(" ", "u_tokens").alias("tokens"))

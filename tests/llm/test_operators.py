@@ -452,6 +452,32 @@ def test_spam_hosts_are_found(spark):
     assert all((r.verdict == "block") == bool(re.search("spam|pills|casino|adult|bets|ads-", r.host)) for r in got)
 
 
+def made_hosts():
+    """(host, path, bad): names run together out of two word lists; a third of the bad ones hold no seed word."""
+    rng = np.random.default_rng(8)
+    seeds, bad = ["pills", "casino", "loans", "poker"], ["discount", "pharmacy", "bonus", "lucky", "instant", "jackpots", "miracle"]
+    good = ["garden", "history", "bakery", "museum", "cycling", "library", "weather", "orchestra"]
+    out = []
+    for k in range(600):
+        is_bad = k % 3 == 0
+        some = list(rng.choice(bad if is_bad else good, 2, replace=False)) + (list(rng.choice(seeds, 1)) if is_bad and k % 9 else [])
+        rng.shuffle(some)
+        path = "/" + "/".join(rng.choice(bad if is_bad else good, 2)) + f"/{k}"
+        out.append((f"{('' if k % 4 < 2 else '-').join(some)}.example{k % 5}.info", path, is_bad))
+    return out
+
+
+def test_classifier_finds_hosts_without_a_seed_word(spark):
+    """Held out: half of the hosts. Of those that no seed word marks, the model finds the bad ones by words it met beside seed words; a seed list finds none."""
+    rows_ = [(k, f"http://{h}{p}", bad) for k, (h, p, bad) in enumerate(made_hosts())]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, bad boolean")
+    model = urls.fit(pages.where("page_id % 2 = 0"))
+    held = [r for r in urls.judge(pages.where("page_id % 2 = 1"), model).collect() if not any(w in r.u_host for w in urls.SEED_WORDS)]
+    hits = sum(r.u_verdict == "block" and r.bad for r in held)
+    bad, said = sum(r.bad for r in held), sum(r.u_verdict == "block" for r in held)
+    assert bad >= 20 and hits / bad >= 0.9 and hits / said >= 0.9
+
+
 # --- repeated passages
 
 
