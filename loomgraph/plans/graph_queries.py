@@ -37,12 +37,14 @@ def regions(spark: SparkSession, sf_dir: str, ranges) -> DataFrame:
 
 @query(f"WITH {EDGES_SQL} SELECT type, count(*) AS n, min(id) AS lo, max(id) AS hi, count(*) = max(id) - min(id) + 1 AS dense FROM nodes GROUP BY 1")
 def graph_node_counts(spark, sf_dir):
+    """Nodes of each type."""
     n = canonical(spark, sf_dir).all_nodes("id").groupBy("type").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     return n.withColumn("dense", F.col("n") == F.col("hi") - F.col("lo") + 1)
 
 
 @query(f"WITH {EDGES_SQL} SELECT rel, st AS src_type, dt AS dst_type, count(*) AS n, max(src) AS max_src, max(dst) AS max_dst, min(ts) AS min_ts, round(sum(w), 2) AS weight FROM edges GROUP BY 1, 2, 3")
 def graph_edge_counts(spark, sf_dir):
+    """Edges of each relation."""
     e = canonical(spark, sf_dir).all_edges("src", "dst", "timestamp_from", "weight")
     return e.groupBy("rel", "src_type", "dst_type").agg(
         F.count("*").alias("n"), F.max("src").alias("max_src"), F.max("dst").alias("max_dst"), F.min("timestamp_from").alias("min_ts"), F.round(F.sum("weight"), 2).alias("weight")
@@ -96,18 +98,21 @@ def community_labels(spark, sf_dir):
 
 @query(f"WITH {EDGES_SQL} SELECT type, min(gid) AS lo, max(gid) AS hi, count(*) AS n FROM gnodes GROUP BY 1")
 def homogeneous_nodes(spark, sf_dir):
+    """Nodes by global id."""
     _, _, nodes, _ = homogeneous(spark, sf_dir)
     return nodes.groupBy("type").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
 
 
 @query(f"WITH {EDGES_SQL} SELECT rel, src, dst, ts, count(*) AS n FROM gedges GROUP BY ALL")
 def homogeneous_edges(spark, sf_dir):
+    """Edges by global ids."""
     _, _, _, e = homogeneous(spark, sf_dir)
     return e.groupBy("rel", "src", "dst", F.col("timestamp_from").alias("ts")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {EDGES_SQL} SELECT gid, type, gid - lo AS id FROM gnodes JOIN offs USING (type)")
 def hetero_mapping_roundtrip(spark, sf_dir):
+    """Global ids back to type and local id."""
     _, ranges, nodes, _ = homogeneous(spark, sf_dir)
     return X.type_of(nodes.select(F.col("id").alias("gid")), ranges).select("gid", "type", "id")
 
@@ -116,12 +121,14 @@ def hetero_mapping_roundtrip(spark, sf_dir):
     f"WITH {EDGES_SQL} SELECT rel, count(*) AS n, CAST(sum(src) AS BIGINT) AS src_sum, CAST(sum(dst) AS BIGINT) AS dst_sum FROM (SELECT rel, src, dst FROM edges UNION ALL SELECT 'rev_' || rel, dst, src FROM edges) GROUP BY 1"
 )
 def to_undirected_rev(spark, sf_dir):
+    """G1: a reverse relation beside each one between types."""
     g = X.to_undirected(canonical(spark, sf_dir))
     return g.all_edges("src", "dst").groupBy("rel").agg(F.count("*").alias("n"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"))
 
 
 @query(f"WITH {USERS_SQL} SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM ue UNION ALL SELECT dst, src FROM ue) GROUP BY 1, 2")
 def to_undirected_same_type(spark, sf_dir):
+    """Reverse edges within a type, distinct."""
     e = interactions(spark, sf_dir)
     return e.select("src", "dst").unionByName(X.reversed_edges(e.select("src", "dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -130,6 +137,7 @@ def to_undirected_same_type(spark, sf_dir):
     "SELECT l_orderkey AS src, l_suppkey AS dst, round(sum(l_quantity), 4) AS add_w, round(avg(l_discount), 4) AS mean_d, min(l_tax) AS min_t, max(l_extendedprice) AS max_p, round(product(1 + l_discount), 6) AS mul_d FROM lineitem GROUP BY 1, 2"
 )
 def coalesce_multi_edges(spark, sf_dir):
+    """One edge for each pair of ends, attributes reduced."""
     li = load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_quantity").alias("add_w"), F.col("l_discount").alias("mean_d"), F.col("l_tax").alias("min_t"), F.col("l_extendedprice").alias("max_p"), (1 + F.col("l_discount")).alias("mul_d")
     )
@@ -153,12 +161,14 @@ def untimed_edges(spark, sf_dir):
 
 @query("SELECT p_partkey AS id, count(l_partkey) AS degree FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
 def in_degree(spark, sf_dir):
+    """Edges that point at each node."""
     g = canonical(spark, sf_dir)
     return X.in_degree(g.nodes["Part"], g.edges["Order", "CONTAINS", "Part"])
 
 
 @query(f"WITH {EDGES_SQL}, e AS (SELECT src, dst FROM gedges UNION SELECT dst, src FROM gedges) SELECT src AS id, count(*) AS degree FROM e GROUP BY 1")
 def undirected_degree(spark, sf_dir):
+    """Edges at either end."""
     _, _, _, e = homogeneous(spark, sf_dir)
     return M.symmetric(e).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 
@@ -170,6 +180,7 @@ _U = H.format("CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR)
     f"SELECT l_linestatus AS status, count(*) FILTER (u < 0.1) AS test, count(*) FILTER (u >= 0.1 AND u < 0.2) AS val, count(*) FILTER (u >= 0.2) AS train FROM (SELECT l_linestatus, {_U} AS u FROM lineitem) GROUP BY 1"
 )
 def edge_split_masks(spark, sf_dir):
+    """Sizes of the masks of an edge split."""
     li = load(spark, sf_dir, "lineitem")
     m = X.split_masks(li, ["l_orderkey", "l_partkey", "l_linenumber"], prefix="lp_")
     n = lambda c: F.sum(F.col(c).cast("long"))
@@ -182,6 +193,7 @@ def edge_split_masks(spark, sf_dir):
     UNION ALL SELECT 'test', count(*), CAST(sum(src) AS BIGINT) FROM s WHERE u >= 0.1"""
 )
 def eval_edge_split_counts(spark, sf_dir):
+    """Message edges of each phase."""
     li = load(spark, sf_dir, "lineitem").withColumn("src", F.col("l_orderkey"))
     m = X.split_masks(li, ["l_orderkey", "l_partkey", "l_linenumber"], prefix="lp_")
     return union(e.select(F.lit(p).alias("phase"), "src").groupBy("phase").agg(F.count("*").alias("n"), F.sum("src").alias("s")) for p, e in X.edge_split_graphs(m).items())
@@ -211,6 +223,7 @@ def node_split_edge_masks(spark, sf_dir):
     SELECT phase, id, row_number() OVER (PARTITION BY phase ORDER BY k, id) - 1 AS new_id FROM ph"""
 )
 def inductive_node_split(spark, sf_dir):
+    """Cumulative node sets, renumbered with training nodes first."""
     g = canonical(spark, sf_dir)
     return X.inductive_nodes(X.split_masks(g.nodes["Customer"], ["id"]))
 
@@ -232,6 +245,7 @@ def inductive_edges(spark, sf_dir):
     SELECT id, CASE WHEN ts = -1 THEN -1 ELSE least(greatest(ts, lo), hi) - lo END AS ts FROM nodes, q WHERE type = 'Order'"""
 )
 def normalize_timestamps(spark, sf_dir):
+    """Times cut at the pooled quantiles and shifted to zero."""
     g = canonical(spark, sf_dir)
     bounds = X.time_bounds(T.graph_times(g))
     return g.nodes["Order"].select("id", X.normalize_times(F.col("timestamp_from"), bounds).alias("ts"))
@@ -239,6 +253,7 @@ def normalize_timestamps(spark, sf_dir):
 
 @query(f"WITH {EDGES_SQL}, t AS (SELECT gid AS node, ts FROM gnodes UNION SELECT src, ts FROM gedges UNION SELECT dst, ts FROM gedges) SELECT node, ts FROM t WHERE ts <> -1")
 def temporal_node_index(spark, sf_dir):
+    """Distinct times of every node."""
     _, _, n, e = homogeneous(spark, sf_dir)
     return T.temporal_index(n, e)
 
@@ -248,6 +263,7 @@ def temporal_node_index(spark, sf_dir):
     SELECT gid AS id, type, coalesce(min(t.ts), -1) AS first_ts FROM gnodes LEFT JOIN (SELECT * FROM t WHERE ts <> -1) t ON t.node = gid GROUP BY 1, 2"""
 )
 def node_first_timestamp(spark, sf_dir):
+    """The first time of every node."""
     _, _, n, e = homogeneous(spark, sf_dir)
     return T.first_time(n, T.temporal_index(n, e)).select("id", "type", "first_ts")
 
@@ -258,12 +274,14 @@ snaps AS (SELECT CAST(i AS INT) AS i, CAST(floor(lo + i * ((hi - lo) / 5.0)) AS
 
 @query(f"WITH {_SNAP_SQL} SELECT i, s, e FROM snaps")
 def define_snapshots(spark, sf_dir):
+    """Five snapshots of equal width."""
     bounds = T.snapshots(T.graph_times(canonical(spark, sf_dir)), 5)
     return spark.createDataFrame([(i, s, e) for i, (s, e) in enumerate(bounds)], "i int, s long, e long")
 
 
 @query(f"WITH {_SNAP_SQL} SELECT 0 AS w0, e - s AS w1 FROM snaps WHERE i = 0")
 def infer_window(spark, sf_dir):
+    """The window that the snapshots imply."""
     t = T.graph_times(canonical(spark, sf_dir))
     w0, w1 = T.window_of({n: T.snapshots(t, n) for n in (3, 5)})
     return spark.createDataFrame([(w0, w1)], "w0 int, w1 long")
@@ -276,6 +294,7 @@ def infer_window(spark, sf_dir):
     SELECT type, CAST(label AS BIGINT) AS label, count(*) AS n FROM l GROUP BY 1, 2"""
 )
 def snapshot_label_histogram(spark, sf_dir):
+    """Nodes by type and snapshot label."""
     g, _, n, e = homogeneous(spark, sf_dir)
     bounds = T.snapshots(T.graph_times(g), 5)
     f = T.first_time(n, T.temporal_index(n, e))
@@ -286,23 +305,27 @@ def snapshot_label_histogram(spark, sf_dir):
     f"""WITH {USERS_SQL}, t AS (SELECT DISTINCT src AS node, ts FROM ue) SELECT a.node, a.ts, count(*) AS partners FROM t a JOIN t b ON b.ts >= a.ts AND b.ts < a.ts + 600 AND b.node <> a.node GROUP BY 1, 2"""
 )
 def window_partner_counts(spark, sf_dir):
+    """Nodes active in a window from each time."""
     t = interactions(spark, sf_dir).select(F.col("src").alias("node"), F.col("timestamp_from").alias("ts")).distinct()
     return T.window_partners(t, t, (0, 600)).where("node <> partner").groupBy("node", "ts").agg(F.count("*").alias("partners"))
 
 
 @query(f"WITH {USERS_SQL} SELECT src AS node, count(DISTINCT ts) AS times, min(ts) AS first, max(ts) AS last FROM ue GROUP BY 1")
 def node_to_timestamps(spark, sf_dir):
+    """Times of each node."""
     e = interactions(spark, sf_dir)
     return e.groupBy(F.col("src").alias("node")).agg(F.countDistinct("timestamp_from").alias("times"), F.min("timestamp_from").alias("first"), F.max("timestamp_from").alias("last"))
 
 
 @query(f"WITH {USERS_SQL} SELECT a.event_id, count(*) AS n FROM ue a JOIN ue b ON b.src = a.dst AND b.ts >= a.ts AND b.ts <= a.ts + 21600 AND b.event_id <> a.event_id GROUP BY 1")
 def temporal_successors(spark, sf_dir):
+    """Edges that a walk may take after each one."""
     return T.successors(interactions(spark, sf_dir), 21600).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {USERS_SQL} SELECT a.src, b.dst, count(*) AS n FROM ue a JOIN ue b ON b.src = a.dst AND b.ts >= a.ts AND b.ts <= a.ts + 3600 AND b.event_id <> a.event_id GROUP BY 1, 2")
 def temporal_two_hop(spark, sf_dir):
+    """Two steps in time."""
     s = T.successors(interactions(spark, sf_dir), 3600)
     return s.groupBy(F.col("a").alias("src"), F.col("c").alias("dst")).agg(F.count("*").alias("n"))
 
@@ -313,6 +336,7 @@ def temporal_two_hop(spark, sf_dir):
     SELECT gid AS node, CASE WHEN g.ts <> -1 THEN g.ts ELSE coalesce(h1.ts, h2.ts, -1) END AS ts FROM gnodes g LEFT JOIN h1 ON h1.node = gid LEFT JOIN h2 ON h2.node = gid"""
 )
 def infer_missing_ts(spark, sf_dir):
+    """Times of untimed nodes from their edges."""
     _, _, n, e = homogeneous(spark, sf_dir)
     return T.infer_times(n, e)
 
@@ -324,6 +348,7 @@ per AS (SELECT zs, CAST(sum(CASE WHEN zs = zd THEN CASE WHEN src = dst THEN 2 EL
 
 @query(f"WITH {_MOD_SQL} SELECT round(sum(inc / m - (deg / (2 * m)) ** 2), 6) AS modularity FROM per, (SELECT sum(deg) / 2 AS m FROM per)")
 def modularity(spark, sf_dir):
+    """Of the region partition."""
     _, ranges, _, e = homogeneous(spark, sf_dir)
     return M.modularity(e, regions(spark, sf_dir, ranges)).select(F.round("modularity", 6).alias("modularity"))
 
@@ -334,6 +359,7 @@ def modularity(spark, sf_dir):
     SELECT round(avg(coalesce(o, 0) / (2 * coalesce(i, 0) + coalesce(o, 0) + 1e-4)), 6) AS conductance FROM range(5) r(k) LEFT JOIN per ON zs = k"""
 )
 def conductance(spark, sf_dir):
+    """Of the region partition."""
     _, ranges, _, e = homogeneous(spark, sf_dir)
     return M.conductance(e, regions(spark, sf_dir, ranges), 5).select(F.round("conductance", 6).alias("conductance"))
 
@@ -343,7 +369,7 @@ def conductance(spark, sf_dir):
     SELECT CAST(label AS BIGINT) AS label, count(*) AS edges, count(DISTINCT src) AS sources, count(*) FILTER (a.z = b.z) AS inner_edges FROM placed LEFT JOIN z a ON a.gid = src LEFT JOIN z b ON b.gid = dst GROUP BY 1"""
 )
 def snapshot_communities(spark, sf_dir):
-    """The flagship: snapshots of the graph with their edges, sources and edges inside one region."""
+    """The flagship (G11, G12, E1): snapshots of the graph with their edges, sources and edges inside one region."""
     g, ranges, _, e = homogeneous(spark, sf_dir)
     bounds = T.snapshots(T.graph_times(g), 5)
     z = regions(spark, sf_dir, ranges)
@@ -380,6 +406,7 @@ def subsample_nodes(spark, sf_dir):
     + ", vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS t FROM embeddings) WHERE rn <= CASE WHEN t <= 100 THEN n ELSE floor(n / CAST(t AS DOUBLE) * 100) END"
 )
 def subsample_stratified(spark, sf_dir):
+    """Shares of a sample by group."""
     e = load(spark, sf_dir, "embeddings").select("label", "vec_id")
     return X.subsample_by(e, "label", 100, "vec_id")
 

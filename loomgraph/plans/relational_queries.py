@@ -250,7 +250,7 @@ def token_counts(spark, sf_dir):
 
 @query("SELECT l_orderkey, count(DISTINCT l_partkey) AS parts, row_number() OVER (ORDER BY " + H.format("CAST(l_orderkey AS VARCHAR)") + ", l_orderkey) % 7 AS r FROM lineitem WHERE l_orderkey < 0 GROUP BY 1")
 def empty_input(spark, sf_dir):
-    """An aggregate over no rows keeps its columns."""
+    """An aggregate over no rows keeps its columns."""
     li = load(spark, sf_dir, "lineitem").where("l_orderkey < 0").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("parts"))
     return li.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(md5_number("l_orderkey"), "l_orderkey")).cast("long") % 7)
 

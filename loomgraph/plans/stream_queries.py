@@ -19,7 +19,7 @@ def stream(spark, sf_dir):
 
 @query("SELECT CAST(floor(epoch(date_trunc('day', ts))) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 3) AS value FROM events GROUP BY 1, 2")
 def stream_snapshots(spark, sf_dir):
-    """Tumbling snapshots of one day; complete mode keeps the open ones."""
+    """G11 (streaming): tumbling snapshots of one day; complete mode keeps the open ones."""
     out = drain(snapshot_counts(stream(spark, sf_dir)), f"s{uuid.uuid4().hex}", "complete")
     return out.select("start", "event_type", "n", F.round("value", 3).alias("value"))
 
