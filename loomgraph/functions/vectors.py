@@ -34,6 +34,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
+def normalised(v: Column, eps: float = 1e-8) -> Column:
+    """v over its length, which counts eps at least."""
+    length = F.greatest(F.sqrt(dot(v, v)), F.lit(eps))
+    return F.transform(v, lambda x: x.cast("double") / length)
+
+
+def outer(a: Column, b: Column) -> Column:
+    """The outer product, row after row."""
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x.cast("double") * y.cast("double"))))
+
+
 class Metric(Enum):
     """similarity() grows and distance() falls as vectors come nearer.
 

@@ -219,8 +219,8 @@ class Mixture:
         return log_density(x, self.mean, self.cov) + self.log_weight
 
 
-def _moments(model: Mixture, halves: np.ndarray):
-    """Per-task sufficient statistics of hard clusters, each in two halves across its main axis."""
+def _moments(model: Mixture, halves: np.ndarray, cuts: np.ndarray):
+    """Per-task sufficient statistics of hard clusters, each in two parts: its points on either side of a cut on its main axis."""
     k, d = model.mean.shape
     schema = pa.schema([("c", pa.int32()), ("n", pa.float64()), ("s", pa.list_(pa.float64())), ("ss", pa.list_(pa.float64())), ("ll", pa.float64())])
 
@@ -233,7 +233,7 @@ def _moments(model: Mixture, halves: np.ndarray):
             score = model.scores(x)
             ll += float(logsumexp(score, 1).sum())
             z = score.argmax(1)
-            side = ((x - model.mean[z]) * halves[z]).sum(1) > 0
+            side = ((x - model.mean[z]) * halves[z]).sum(1) > cuts[z]
             for c in np.unique(2 * z + side):
                 part = x[2 * z + side == c]
                 n[c] += len(part)
@@ -248,9 +248,9 @@ def _moments(model: Mixture, halves: np.ndarray):
     return run
 
 
-def _gather(points: DataFrame, vector: str, model: Mixture, halves: np.ndarray):
+def _gather(points: DataFrame, vector: str, model: Mixture, halves: np.ndarray, cuts: np.ndarray):
     k, d = model.mean.shape
-    got = points.select(F.col(vector).cast("array<double>")).mapInArrow(_moments(model, halves), "c int, n double, s array<double>, ss array<double>, ll double")
+    got = points.select(F.col(vector).cast("array<double>")).mapInArrow(_moments(model, halves, cuts), "c int, n double, s array<double>, ss array<double>, ll double")
     one = got.select("c", "n", "ll", F.posexplode(F.concat("s", "ss")).alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("ll").alias("ll")).collect()  # 2k (d + d * d) numbers
     n, flat, ll = np.zeros(2 * k), np.zeros((2 * k, d + d * d)), 0.0
     for r in one:
@@ -267,14 +267,14 @@ def accepts(log_ratio: float, rng: np.random.Generator) -> bool:
 def fit_dpmm(points: DataFrame, vector: str = "embedding", p: Params = Params(), mutate: bool = True, start_from: DataFrame | None = None, on_round=None) -> Mixture:
     """A Dirichlet-process mixture by hard expectation maximisation with Metropolis-Hastings splits and merges in turn.
 
-    A split divides a cluster into its halves across the main axis of its covariance; a merge joins near clusters.
+    A split divides a cluster into its two parts on the main axis of its covariance (two-means on it, refined every round); a merge joins near clusters.
     start_from: points with z (initial_assignment) whose clusters are the start, else means along the main axis are.
     on_round is called with (round, model, bound) after every round.
     """
     rng = np.random.default_rng(p.seed)
     d, total = points.agg(F.max(F.size(vector)), F.count("*")).first()
     start = Mixture(np.zeros((1, d)), np.eye(d)[None], np.zeros(1), np.ones(1))
-    n, s, ss, _ = _gather(points, vector, start, np.ones((1, d)))
+    n, s, ss, _ = _gather(points, vector, start, np.ones((1, d)), np.zeros(1))
     whole = Stats.of(np.array([n.sum()]), s.sum(0)[None], ss.sum(0)[None], p.reg)
     prior = WishartPrior(whole.mean[0], p.kappa, d + p.nu_extra, np.diag(np.sqrt(np.diag(whole.cov[0]))))
     sticks = DirichletPrior(p.alpha)
@@ -283,10 +283,12 @@ def fit_dpmm(points: DataFrame, vector: str = "embedding", p: Params = Params(),
     model = Mixture(whole.mean + at[:, None] * axis, np.repeat(whole.cov, p.clusters, 0), np.full(p.clusters, -np.log(p.clusters)), np.full(p.clusters, total / p.clusters))
     if start_from is not None:
         model = _started(start_from, vector, prior, sticks, p)
-    kind = 0
+    kind, middles = 0, None
     for step in range(p.rounds):
         halves = np.linalg.eigh(model.cov)[1][:, :, -1]
-        n, s, ss, ll = _gather(points, vector, model, halves)
+        # two-means on the main axis, a round of it with every round of the mixture: the cut is half way between the parts' means
+        cuts = np.zeros(len(model.n)) if middles is None else ((middles - model.mean) * halves).sum(1)
+        n, s, ss, ll = _gather(points, vector, model, halves, cuts)
         model.bound.append(ll / max(total, 1))
         if on_round:
             on_round(step, model, model.bound[-1])
@@ -294,16 +296,22 @@ def fit_dpmm(points: DataFrame, vector: str = "embedding", p: Params = Params(),
         k = len(model.n)
         full = Stats.of(n.reshape(k, 2).sum(1), s.reshape(k, 2, d).sum(1), ss.reshape(k, 2, d, d).sum(1), p.reg)
         groups = [np.array([2 * c, 2 * c + 1]) for c in range(k) if full.n[c] > 1] or [np.arange(2 * k)]
+        parts_ = sub.mean.reshape(k, 2, d)
+        middles = np.where((sub.n.reshape(k, 2).min(1) > 0)[:, None], parts_.mean(1), full.mean)
         settled = len(model.bound) > 1 and abs(model.bound[-1] - model.bound[-2]) < p.tol
         if mutate and (settled or step % p.mutate_every == p.mutate_every - 1) and step < p.rounds - 2:
             groups = _split(groups, sub, prior, p, rng) if kind % 2 == 0 else _merge(groups, sub, prior, p, rng)
             kind += 1
+            middles = None
         elif settled and not mutate:
             break
         pick = lambda idx: Stats(sub.n[idx], sub.mean[idx], sub.cov[idx])
         now = Stats.merged([pick(g) for g in groups])
         order = np.argsort(-now.n, kind="stable")
         now = Stats(now.n[order], now.mean[order], now.cov[order])
+        if middles is not None:
+            alive = np.flatnonzero(full.n > 1)
+            middles = middles[alive][order] if len(alive) == len(order) else None
         _, _, mean, cov = prior.posterior(now)
         model = Mixture(mean, cov + p.reg * np.eye(d), sticks.log_weights(now.n), now.n, model.bound)
     return model
@@ -388,3 +396,13 @@ def synthetic_gmm(spark, n: int, dim: int = 2, k: int = 15, seed: int = 0) -> Da
     number = lambda j, s: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(j), F.lit(s)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
     normal = lambda j: F.sqrt(-2 * F.log(number(j, 1))) * F.cos(2 * np.pi * number(j, 2))
     return spark.range(n).withColumn("label", label).select("id", F.array(*[means_[F.col("label")][j] + 0.5 * normal(j) for j in range(dim)]).alias("embedding"), "label")
+
+
+def plane(points: DataFrame, vector: str = "embedding", key: str = "vec_id", label: str | None = None) -> DataFrame:
+    """(key, x, y, label): points on their first two principal components, as drawing tools take them."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = points.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
+    out = PCA(k=2, inputCol="__v", outputCol="__p").fit(data).transform(data).withColumn("__p", vector_to_array("__p"))
+    return out.select(key, F.col("__p")[0].alias("x"), F.col("__p")[1].alias("y"), *([label] if label else []))

@@ -33,6 +33,20 @@ def mean_of_neighbours(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     return edges.select("src", F.col("dst").alias("id")).join(vectors.select(F.col("id").alias("src"), "z"), "src").groupBy("id").agg(vector_mean(F.col("z")).alias("z"))
 
 
+def encoded(df: DataFrame, text: str, encoder, name: str = "z") -> DataFrame:
+    """df with a vector of each text from any encoder: a function of a list of texts to as many vectors, called a batch at a time; a null text has a null vector."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts):
+        import pandas as pd
+
+        some = [t for t in texts if t is not None]
+        found = iter(encoder(some) if some else [])
+        return pd.Series([None if t is None else [float(x) for x in next(found)] for t in texts], dtype=object)
+
+    return df.withColumn(name, run(F.col(text)))
+
+
 def linear(z: Column, weight: list[list[float]], slope: float = 0.2) -> Column:
     """leaky-relu(W z) for a small weight matrix."""
     rows = [dot(z, F.array(*map(F.lit, w))) for w in weight]

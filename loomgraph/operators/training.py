@@ -169,3 +169,22 @@ def end_to_end(features: DataFrame, rows: DataFrame, how: Train, cluster, turns:
             again = fit(rows, how, fitted.weight, pulled)
             fitted = Fitted(again.weight, fitted.history + again.history)
     return fitted, embed(features, fitted).join(found.select("id", "c"), "id")
+
+
+def save(spark, path: str, fitted: Fitted) -> None:
+    """The best weights and the run's history as one JSON row."""
+    row = [([[float(x) for x in r] for r in fitted.weight], [(h["epoch"], float(h["loss"]), float(h["rate"]), float(h["seconds"])) for h in fitted.history])]
+    spark.createDataFrame(row, _SAVED).coalesce(1).write.mode("overwrite").json(path)
+
+
+def load(spark, path: str) -> Fitted:
+    r = spark.read.schema(_SAVED).json(path).first()
+    return Fitted([list(x) for x in r["weight"]], [h.asDict() for h in r["history"]])
+
+
+def log(spark, fitted: Fitted) -> DataFrame:
+    """(epoch, loss, rate, seconds): the run's log."""
+    return spark.createDataFrame([(h["epoch"], float(h["loss"]), float(h["rate"]), float(h["seconds"])) for h in fitted.history], "epoch int, loss double, rate double, seconds double")
+
+
+_SAVED = "weight array<array<double>>, history array<struct<epoch int, loss double, rate double, seconds double>>"

@@ -325,3 +325,37 @@ def matrix_dump(spark, sf_dir):
     at = folder(spark)
     X.write_matrix(_small(spark, sf_dir), at)
     return X.read_matrix(spark, at).select("id", F.round(F.aggregate("z", F.lit(0.0), lambda s, x: s + x), 4).alias("mass"))
+
+
+@query(f"SELECT vec_id, round(v[1] / greatest(sqrt(list_dot_product(v, v)), 1e-8), 6) AS first, round(list_sum(v) * list_sum(v), 4) AS mass FROM (SELECT vec_id, {_V} AS v FROM embeddings)")
+def numeric_helpers(spark, sf_dir):
+    """F16: vectors over their length, and outer products."""
+    from loomgraph.functions.vectors import normalised, outer, total
+
+    z = F.col("embedding")
+    e = load(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.round(normalised(z)[0], 6).alias("first"), F.round(total(outer(z, z)), 4).alias("mass"))
+
+
+@query("SELECT n_nationkey AS id, CAST(length(n_name) AS DOUBLE) AS chars, CAST(length(n_name) - length(replace(n_name, 'A', '')) AS DOUBLE) AS a FROM nation")
+def text_encoder(spark, sf_dir):
+    """Vectors of names from an encoder that is passed in."""
+    n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), "n_name")
+    return E.encoded(n, "n_name", lambda texts: [(len(t), t.count("A")) for t in texts]).select("id", F.col("z")[0].alias("chars"), F.col("z")[1].alias("a"))
+
+
+@query()
+def embedding_plane(spark, sf_dir):
+    """All vectors on two principal components."""
+    e = load(spark, sf_dir, "embeddings")
+    return C.plane(e, label="label").select("vec_id", "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query()
+def training_log(spark, sf_dir):
+    """The log of a training run, saved and read again."""
+    n, e, f, size = _interaction_training(spark, sf_dir)
+    fitted = G.fit(G.triples(S.end_pairs(S.walk(n, e, 2), 1), f, size).persist(), G.Train(dim=2, epochs=3))
+    at = folder(spark)
+    G.save(spark, at, fitted)
+    return G.log(spark, G.load(spark, at)).select("epoch", F.round("loss", 6).alias("loss"), "rate")

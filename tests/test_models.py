@@ -304,3 +304,33 @@ def test_graphml_and_config(spark, tmp_path):
     assert sorted((r.id, r.z) for r in z.collect()) == [(0, [0.0, 1.0]), (1, [2.0, 3.0]), (2, [4.0, 5.0])] and a is None and m is None
     with pytest.raises(ValueError):
         FM.external_results(spark, str(tmp_path / "c"))
+
+
+def test_saved_models_come_back(spark, tmp_path):
+    fitted = G.Fitted([[0.5, -1.0]], [{"epoch": 1, "loss": 2.0, "rate": 0.1, "seconds": 0.01}])
+    G.save(spark, str(tmp_path / "m"), fitted)
+    assert G.load(spark, str(tmp_path / "m")) == fitted and G.log(spark, fitted).count() == 1
+
+
+def test_encoders_see_no_null(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "id long, t string")
+    got = {r.id: r.z for r in E.encoded(df, "t", lambda texts: [(len(t),) for t in texts]).collect()}
+    assert got == {1: [2.0], 2: None, 3: [0.0]}
+
+
+def test_plane_keeps_the_widest_directions(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(200, 5)) * np.array([9, 5, 0.1, 0.1, 0.1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([(r.x, r.y) for r in C.plane(df).orderBy("vec_id").collect()])
+    assert abs(np.corrcoef(got[:, 0], x[:, 0])[0, 1]) > 0.99 and abs(np.corrcoef(got[:, 1], x[:, 1])[0, 1]) > 0.99
+
+
+def test_mixture_splits_uneven_clusters(spark):
+    """A small far group beside a large one: a cut through the mean would divide the large one."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(400, 2)), rng.normal(size=(40, 2)) * 0.3 + np.array([9.0, 0])])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    model = C.fit_dpmm(df, p=C.Params(clusters=1, rounds=12))
+    z = np.array([r.z for r in C.assign(df, model).orderBy("vec_id").collect()])
+    assert len(set(z[400:])) == 1 and (z[:400] == z[400]).mean() < 0.02
