@@ -3,21 +3,25 @@
 Host labels are often words run together. A unigram Viterbi pass splits every
 run of letters into dictionary words; multinomial naive Bayes, trained on
 all different hosts and paths with hosts that hold a seed word as the block
-class, scores the segmented tokens of host and path (of two letters or more). A rule that fits always overrides it.
+class, scores the segmented tokens of host and path (of two letters or more). A
+rule that fits always overrides it.
+
+A dictionary of few words is broadcast. A larger one stays a table: every
+different run of letters meets the words among its own stretches by a join, is
+split with those alone, and tokens meet their weights by a join; both ways give
+the same verdicts.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import forget, table, written
 
 #: The contract's rules (host, path, action).
 RULES = (
@@ -42,7 +46,7 @@ COMMON_WORDS = (
 
 @dataclass(frozen=True)
 class Params:
-    """vocabulary bounds the words of the model that is broadcast (of at most longest letters each).
+    """vocabulary bounds the words of the model that is broadcast (of at most longest letters each), not the model: beyond it joins do the same.
 
     prior is the log odds of block before any token; the classes count alike, as seed words show few of the hosts to block.
     """
@@ -113,10 +117,13 @@ def segment(word: str, cost: dict[str, float], unknown: float, longest: int) ->
 
 @dataclass(frozen=True)
 class Model:
-    cost: dict[str, float]
+    """total: the weight of all dictionary words. words: cost of each word by name, or a table (w, n). weight: of each token, or a table (token, weight)."""
+
+    total: float
     unknown: float
     longest: int
-    weight: dict[str, float]
+    words: dict[str, float] | DataFrame
+    weight: dict[str, float] | DataFrame
     other: float
     prior: float
 
@@ -125,50 +132,86 @@ def _segmenter(cost: dict[str, float], unknown: float, longest: int):
     return lru_cache(100_000)(lambda word: tuple(segment(word, cost, unknown, longest)))
 
 
-def _tokens(dictionary, longest: int):
-    schema = pa.schema([("token", pa.string()), ("bad", pa.bool_()), ("n", pa.int64())])
+def _token(t: str, known) -> str:
+    return t if t in known else "?"
+
+
+def _split_runs(runs: DataFrame, model_words: dict[str, float] | DataFrame, total: float, unknown: float, longest: int) -> DataFrame:
+    """(run, tokens) of distinct runs (run); a token that is no dictionary word is "?"."""
+    if isinstance(model_words, dict):
+        held = runs.sparkSession.sparkContext.broadcast(model_words)  # vocabulary words at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, unknown = dictionary.value
-        split = _segmenter(cost, unknown, longest)
-        for batch in batches:
-            count: dict[tuple[str, bool], int] = {}
-            for words, host in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [t for w in words for t in split(w) if len(t) > 1]
-                own = {t for w in host for t in split(w)}
-                bad = not own.isdisjoint(SEED_WORDS)
-                for t in found:
-                    key = (t if t in cost else "?", bad)
-                    count[key] = count.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count]), pa.array([k[1] for k in count], pa.bool_()), pa.array(list(count.values()), pa.int64())], schema=schema)
+        @F.pandas_udf("array<string>")
+        def split(found):
+            import pandas as pd
+
+            cut = _segmenter(held.value, unknown, longest)
+            return pd.Series([[_token(t, held.value) for t in cut(w) if len(t) > 1] for w in found], dtype=object)
+
+        return runs.withColumn("tokens", split("run"))
+    size = F.length("run")
+    starts = F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1)))
+    stretches = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.greatest(F.least(F.lit(longest), size - i + 1), F.lit(2))), lambda n: F.substring(F.col("run"), i, n))))
+    asked = runs.select("run", F.explode(F.array_distinct(stretches)).alias("w"))
+    own = asked.join(model_words.hint("merge"), "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("words"))  # of a run's own stretches
+
+    @F.pandas_udf("array<string>")
+    def split_by(found, words):
+        import pandas as pd
 
-    return run
+        out = []
+        for w, some in zip(found, words):
+            cost = {r["w"]: -math.log(r["n"] / total) for r in some} if some is not None else {}
+            out.append([_token(t, cost) for t in segment(w, cost, unknown, longest) if len(t) > 1])
+        return pd.Series(out, dtype=object)
+
+    return runs.join(own.hint("merge"), "run", "left").select("run", split_by("run", "words").alias("tokens"))
 
 
 def fit(pages: DataFrame, p: Params = Params()) -> Model:
-    """Word counts and class counts over all urls; the driver gets `vocabulary` words and two counts of each at most."""
+    """Word counts and class counts over all urls; the driver gets `vocabulary` words and two counts of each at most, beyond that a few sums."""
+    spark = pages.sparkSession
     url = F.col("url").cast("string")
-    rows = pages.select(letters(host_of(url), path_of(url)).alias("words"), letters(host_of(url), F.lit("")).alias("host"))
     # unigram counts over different hosts and paths: one busy host must not drown the rest
     places = pages.select(host_of(url).alias("h"), path_of(url).alias("p")).distinct()
-    words = places.select(F.explode(dictionary_words(F.col("h"), F.col("p"))).alias("w")).where(F.length("w").between(2, p.longest)).groupBy("w").agg(F.count("*").alias("n"))
-    top = words.orderBy(F.desc("n"), "w").limit(p.vocabulary).collect()
-    count = {w: 1.0 for w in (*SEED_WORDS, *COMMON_WORDS)}
-    for r in top:
-        count[r["w"]] = count.get(r["w"], 0.0) + r["n"]
-    total = sum(count.values())
-    cost = {w: -math.log(n / total) for w, n in count.items()}
+    seen = places.select(F.explode(dictionary_words(F.col("h"), F.col("p"))).alias("w")).where(F.length("w").between(2, p.longest))
+    base = spark.createDataFrame([(w,) for w in dict.fromkeys((*SEED_WORDS, *COMMON_WORDS))], "w string")
+    words = seen.unionByName(base).groupBy("w").agg(F.count("*").cast("double").alias("n"))
+    few = words.count() <= p.vocabulary
+    words = words if few else written(words)
+    total = float(words.agg(F.sum("n")).first()[0])
     unknown = -math.log(p.unknown / total)
-    spark = pages.sparkSession
-    dictionary = spark.sparkContext.broadcast((cost, unknown))  # vocabulary words at most
+    cost = {r["w"]: -math.log(r["n"] / total) for r in words.collect()} if few else words
     # each host and path of words trains once, however many pages it has: one busy host must not stand for a class
-    seen = rows.distinct().mapInArrow(_tokens(dictionary, p.longest), "token string, bad boolean, n long").groupBy("token", "bad").agg(F.sum("n").alias("n")).collect()
-    by = {True: {}, False: {}}
-    for r in seen:
-        by[r["bad"]][r["token"]] = r["n"]
-    size = {c: sum(by[c].values()) + p.smoothing * (len(cost) + 1) for c in by}
-    weight = lambda t: math.log((by[True].get(t, 0) + p.smoothing) / size[True]) - math.log((by[False].get(t, 0) + p.smoothing) / size[False])
-    return Model(cost, unknown, p.longest, {t: weight(t) for t in {*by[True], *by[False]}}, weight("?"), p.prior)
+    rows = places.select(letters(F.col("h"), F.col("p")).alias("words"), letters(F.col("h"), F.lit("")).alias("host")).distinct()
+    runs = rows.select(F.explode("words").alias("run")).distinct()
+    tokens = written(_split_runs(runs, cost, total, unknown, p.longest))
+    own = rows.withColumn("row", F.monotonically_increasing_id())
+    own = written(own.select("row", F.explode("words").alias("run"), "host").select("row", "run", F.array_contains("host", F.col("run")).alias("in_host")))
+    each = own.join(tokens, "run").select("row", "in_host", F.explode("tokens").alias("token"))
+    bad = each.groupBy("row").agg(F.max(F.col("in_host") & F.col("token").isin(*SEED_WORDS)).alias("bad"))
+    counted = each.join(bad, "row").groupBy("token").agg(F.sum(F.col("bad").cast("double")).alias("b"), F.sum((~F.col("bad")).cast("double")).alias("g"))
+    counted = written(counted)
+    forget(own)
+    sums = counted.agg(F.sum("b"), F.sum("g"), F.max(F.when(F.col("token") == "?", F.col("b"))), F.max(F.when(F.col("token") == "?", F.col("g")))).first()
+    kinds = (len(cost) if few else words.count()) + 1
+    sizes = [(x or 0.0) + p.smoothing * kinds for x in sums[:2]]
+    score = lambda b, g: math.log((b + p.smoothing) / sizes[0]) - math.log((g + p.smoothing) / sizes[1])
+    other = score(sums[2] or 0.0, sums[3] or 0.0)
+    if few:
+        weight = {r["token"]: score(r["b"], r["g"]) for r in counted.collect()}
+    else:
+        weight = counted.select("token", (F.log((F.col("b") + p.smoothing) / sizes[0]) - F.log((F.col("g") + p.smoothing) / sizes[1])).alias("weight"))
+    return Model(total, unknown, p.longest, cost, weight, other, p.prior)
+
+
+def _scores(urls: DataFrame, model: Model) -> DataFrame:
+    """(url, tokens, score) of distinct urls (url, words), by joins."""
+    runs = urls.select(F.explode("words").alias("run")).distinct()
+    tokens = _split_runs(runs, model.words, model.total, model.unknown, model.longest)
+    each = urls.select("url", F.posexplode("words").alias("at", "run")).join(tokens.hint("merge"), "run").select("url", "at", F.posexplode("tokens").alias("k", "token"))
+    weighed = each.join(model.weight.hint("merge"), "token", "left").withColumn("weight", F.coalesce("weight", F.lit(model.other)))
+    return weighed.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "k", "token"))), lambda r: r["token"]).alias("tokens"), (F.sum("weight") + model.prior).alias("score"))
 
 
 def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
@@ -178,21 +221,27 @@ def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
     no rule and is allowed. Repeated rows are judged
     row by row; an empty table gives no rows; columns named u_* are replaced.
     """
-    held = pages.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("tokens array<string>, score double")
-    def scored(words):
-        import pandas as pd
-
-        m = held.value
-        split = _segmenter(m.cost, m.unknown, m.longest)
-        found = [[t for w in ws for t in split(w) if len(t) > 1] for ws in words]
-        return pd.DataFrame({"tokens": found, "score": [m.prior + sum(m.weight.get(t, m.other) for t in ts) for ts in found]})
-
     url = F.col("url").cast("string")
     out = pages.withColumns({"u_host": host_of(url), "u_path": path_of(url)})
     name, action = fitting_rule(F.col("u_host"), F.col("u_path"), rules)
-    out = out.withColumn("u_out", scored(letters(F.col("u_host"), F.col("u_path"))))
+    if isinstance(model.words, dict):
+        held = pages.sparkSession.sparkContext.broadcast(model)
+
+        @F.pandas_udf("tokens array<string>, score double")
+        def scored(words):
+            import pandas as pd
+
+            m = held.value
+            cut = _segmenter(m.words, m.unknown, m.longest)
+            found = [[_token(t, m.words) for w in ws for t in cut(w) if len(t) > 1] for ws in words]
+            return pd.DataFrame({"tokens": found, "score": [m.prior + sum(m.weight.get(t, m.other) for t in ts) for ts in found]})
+
+        out = out.withColumn("u_out", scored(letters(F.col("u_host"), F.col("u_path"))))
+    else:
+        distinct = pages.select(url.alias("url")).distinct().select("url", letters(host_of(F.col("url")), path_of(F.col("url"))).alias("words"))
+        told = _scores(distinct, model).select(F.col("url").alias("u_to"), F.struct("tokens", "score").alias("u_out"))
+        out = out.join(told.hint("merge"), url == F.col("u_to"), "left").drop("u_to")
+        out = out.withColumn("u_out", F.coalesce("u_out", F.struct(F.array().cast("array<string>").alias("tokens"), F.lit(model.prior).alias("score"))))
     return out.withColumns(
         {
             "u_rule": name,

@@ -440,6 +440,13 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(0), urls.fit(pages.limit(0))).count() == 0
 
 
+def test_a_large_dictionary_stays_a_table(spark, sf_dir):
+    made = spark.createDataFrame([(k, f"http://{h}{p}") for k, (h, p, _) in enumerate(made_hosts())] + [(9000, None), (9001, "x"), (9002, "http://a/"), (9002, "http://a/")], "page_id long, url string")
+    for pages in (made, table(spark, sf_dir, "pages").select("page_id", "url")):
+        few, many = (sorted(((r.page_id, r.u_verdict, r.u_tokens, round(r.u_score, 9)) for r in urls.judge(pages, urls.fit(pages, p)).collect()), key=str) for p in (urls.Params(), urls.Params(vocabulary=1)))
+        assert few == many
+
+
 def test_segmentation_is_the_cheapest_split():
     cost = {"cheap": 3.0, "pills": 3.0, "cheappills": 20.0, "p": 9.0, "ills": 9.0}
     assert urls.segment("cheappills", cost, 12.0, 24) == ["cheap", "pills"]
