@@ -305,6 +305,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the ids, and digest of the decoded text, of every document; edge rows as in encode()."""
     return decode(encode(table(spark, sf_dir, "documents"))).select(
         "doc_id",
         F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"),

@@ -145,9 +145,10 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their windows; edge rows as in pack()."""
     return digest(pack(table(spark, sf_dir, "documents")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left."""
+    """The pieces of all documents that are left; edge rows as in pack(): a null or empty text is its end, columns beside doc_id and text do not matter."""
     return digest(pack(docs))

@@ -53,6 +53,33 @@ def test_quality_base_counts_and_verdicts(spark, sf_dir):
         assert r.base_failed == failed and r.kept == (not failed and r.rule == 0)
 
 
+def plain_features(t):
+    n_words, chars, symbols, dup, repeat = base_counts(t)
+    w, t = WORD.findall(t or ""), t or ""
+    lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+    of = lambda a, b: a / b if b else 0.0
+    return {
+        "symbol_ratio": of(symbols, chars), "upper_ratio": of(sum("A" <= c <= "Z" for c in t), chars), "bang_ratio": of(t.count("!"), chars), "pipe_ratio": of(t.count("|"), n_words),
+        "dup_line_ratio": of(dup, lines), "repeat_ratio": of(repeat, n_words), "echo_ratio": of(sum(a == b for a, b in zip(w, w[1:])), n_words), "mean_word": of(chars, n_words),
+        "digit_ratio": of(sum("0" <= c <= "9" for c in t), chars),
+    }
+
+
+def test_quality_rules_fire_as_written(spark):
+    """The verdict of every document is that of the first rule whose conditions hold for statistics counted here."""
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    rules = quality.fit(docs, table(spark, sf, "labels"))
+    assert rules
+    t, fired = texts(spark, sf), Counter()
+    for r in quality.judge(docs, rules).select("doc_id", "q_rule", "q_base_failed", "q_kept").collect():
+        x = plain_features(t[r.doc_id])
+        want = next((k for k, rule in enumerate(rules, 1) if all((x[f] >= cut) == at_least for f, at_least, cut in rule.conditions)), 0)
+        assert r.q_rule == want and r.q_kept == (not r.q_base_failed and want == 0)
+        fired[want] += 1
+    assert len(fired) > 1
+
+
 def test_quality_rules_separate_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
