@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import md5_number
@@ -112,6 +112,17 @@ def edge_split_graphs(e: DataFrame, prefix: str = "lp_") -> dict[str, DataFrame]
     return {"train": e.where(train), "val": e.where(train), "test": e.where(train | val)}
 
 
+def phase_pairs(e: DataFrame, prefix: str = "lp_") -> DataFrame:
+    """(phase, src, dst): the positive pairs that each phase learns from or is scored on."""
+    phase = F.when(F.col(f"{prefix}train_mask"), "train").when(F.col(f"{prefix}val_mask"), "val").otherwise("test")
+    return e.select(phase.alias("phase"), "src", "dst")
+
+
+def with_labels(vectors: DataFrame, labels: DataFrame, missing: int = -1) -> DataFrame:
+    """vectors (id, z) with their label, `missing` where there is none."""
+    return vectors.join(labels.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", F.lit(missing)))
+
+
 def edge_masks_of_nodes(e: DataFrame, src_nodes: DataFrame, dst_nodes: DataFrame, mask: str) -> DataFrame:
     """An edge is in a mask if one of its ends is."""
     s, d = src_nodes.select(F.col("id").alias("src"), F.col(mask).alias("__s")), dst_nodes.select(F.col("id").alias("dst"), F.col(mask).alias("__d"))
@@ -166,13 +177,13 @@ def subsample(df: DataFrame, most: int, *keys: str) -> DataFrame:
 
 
 def subsample_by(df: DataFrame, group: str, most: int, *keys: str) -> DataFrame:
-    """About `most` rows in all, shared among groups by their sizes."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
-    total = df.count()
-    w = Window.partitionBy(group).orderBy(md5_number(*keys), *keys)
-    placed = df.withColumn("__rn", F.row_number().over(w)).join(sizes, group)
+    """About `most` rows in all, shared among groups by their sizes; rows are numbered over all groups at once, so a large group is no task of its own."""
+    placed = dense_ids(df.withColumn("__h", md5_number(*keys)), group, "__h", *keys, name="__at")
+    sizes = placed.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    total = placed.count()
     keep = F.when(F.lit(total) <= most, F.col("__n")).otherwise(F.floor(F.col("__n") / F.lit(float(max(total, 1))) * most))
-    return placed.where(F.col("__rn") <= keep).drop("__rn", "__n")
+    joined = placed.join(sizes, F.col(group).eqNullSafe(F.col("__g")))
+    return joined.where(F.col("__at") - F.col("__first") < keep).select(*df.columns)
 
 
 def keep_columns(df: DataFrame, white: list[str]) -> DataFrame:

@@ -13,9 +13,10 @@ from loomgraph.operators import metrics as M
 from loomgraph.operators import models as D
 from loomgraph.operators import sampling as S
 from loomgraph.operators import training as G
+from loomgraph.operators import transforms as X2
 from loomgraph.operators.relational import dense_ids
 from loomgraph.operators.temporal import window_partners
-from loomgraph.plans.registry import USERS_SQL, H, query
+from loomgraph.plans.registry import EDGES_SQL, USERS_SQL, H, query
 from loomgraph.plans.sampling_queries import _ADJ, _MEANS, _NEAR, _OVERLAP, _RANK, _STEP, _V, _negatives, users
 from loomgraph.plans.source_queries import folder
 from loomgraph.sources import formats as X
@@ -359,3 +360,21 @@ def training_log(spark, sf_dir):
     at = folder(spark)
     G.save(spark, at, fitted)
     return G.log(spark, G.load(spark, at)).select("epoch", F.round("loss", 6).alias("loss"), "rate")
+
+
+@query(
+    f"WITH {EDGES_SQL}, p AS (SELECT src, dst, {H.format('CAST(src AS VARCHAR) || chr(124) || CAST(dst AS VARCHAR) || chr(124) || CAST(ts AS VARCHAR)')} / CAST(4294967296 AS DOUBLE) AS u FROM edges WHERE rel = 'PLACED') "
+    "SELECT CASE WHEN u < 0.1 THEN 'test' WHEN u < 0.2 THEN 'val' ELSE 'train' END AS phase, src, dst FROM p"
+)
+def phase_pairs(spark, sf_dir):
+    """Link prediction pairs of each phase."""
+    e = X2.split_masks(canonical(spark, sf_dir).edges["Customer", "PLACED", "Order"], ["src", "dst", "timestamp_from"], prefix="lp_")
+    return X2.phase_pairs(e)
+
+
+@query("SELECT e.vec_id AS id, CAST(coalesce(s.n_regionkey, -1) AS INT) AS label FROM embeddings e LEFT JOIN nation s ON e.vec_id = s.n_nationkey")
+def labelled_vectors(spark, sf_dir):
+    """Vectors with the labels of the nodes that have one."""
+    v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("z"))
+    n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("int").alias("label"))
+    return X2.with_labels(v, n).select("id", "label")
