@@ -38,21 +38,27 @@ SEED, WORDS, BITS = 42, 3, 2
 POSITIONS = 8
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """SimHash of the XXH64 of word shingles, repeats included, as an unsigned number; no words: zero."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The XXH64 of every word shingle, repeats included; fewer words: of the whole sequence; none: empty."""
     found = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the six ASCII white-space characters
     n = len(found)
     if not n:
-        return 0
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
     if n < words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), SEED)]
-    else:
-        joined = b" ".join(found)
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, n) + 1) - 1
-        starts = (ends[: n - words + 1] - np.fromiter(map(len, found[: n - words + 1]), np.int64, n - words + 1)).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
-    h = np.array(hashes, "<u8")
+        return np.array([digest(b" ".join(found), SEED)], np.uint64)
+    joined = b" ".join(found)
+    sizes = np.fromiter(map(len, found), np.int64, n)
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: n - words + 1]
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist())), np.uint64, n - words + 1)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """SimHash of the word shingles, repeats included, as an unsigned number; no words: zero."""
+    h = shingle_hashes(text, words)
+    if not len(h):
+        return 0
     count = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):  # a bounded stretch at a time, however long the text
         count += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -167,12 +173,8 @@ _STREAM = (np.arange(1, STREAMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The hashes of the different word shingles of a text, ascending; fewer words: of the whole sequence; none: empty."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(found[k : k + words]), SEED) for k in range(max(1, len(found) - words + 1))], np.uint64))
+    """The hashes of the different word shingles of a text, ascending."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def wide_print(shingles: np.ndarray) -> np.ndarray:
