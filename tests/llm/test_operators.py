@@ -859,6 +859,39 @@ def test_neighbour_edges(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 0.5), (300, 1, 2, 1.0)]
 
 
+# --- texts of megabytes
+
+
+@pytest.fixture(scope="module")
+def giants():
+    rng = np.random.default_rng(10)
+    words = " ".join(f"w{x}" for x in rng.integers(0, 30_000, 350_000))
+    return {1: words, 2: words, 3: "a" * 300_000, 4: "漢" * 300_000, 5: "x y\n" * 150_000, 6: "short one"}
+
+
+def test_megabytes_of_tokens(spark, giants, library):
+    docs = documents(spark, [(k, t, "en", "x", 1) for k, t in giants.items()])
+    assert len(giants[1]) > 2_000_000
+    ids = {k: library.encode(t, add_special_tokens=False).ids for k, t in giants.items() if k != 2} | {}
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(docs).collect()}
+    assert got[2] == got[1] and all(got[k] == ids[k] for k in ids)
+    assert packing.pack(docs).agg(F.sum("length")).first()[0] == sum(len(x) + 1 for x in got.values())
+
+
+def test_megabytes_of_text(spark, giants):
+    docs = documents(spark, [(k, t, "en", "x", 1) for k, t in giants.items()])
+    near = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+    assert {r.doc_id: r.component_id for r in simhash.groups(docs).collect()}[2] == 1
+    scores = {r.doc_id: r for r in scoring.score(docs).collect()}
+    assert scores[1].n_tokens == 350_001 and all(math.isfinite(r.score) for r in scores.values())
+    removed = {r.doc_id: (r.s_n_bytes, r.s_n_removed) for r in suffixes.remove_repeats(docs).collect()}
+    assert removed[1][0] == removed[1][1] == len(giants[1]) and removed[3][1] == 300_000 and removed[4] == (900_000, 900_000) and removed[6][1] == 0
+    assert {r.doc_id for r in pii.find(docs, pii.fit(docs)).where("spans = ''").collect()} >= {3, 4, 5, 6}
+    counts = {r.doc_id: (r.q_n_words, r.q_n_dup_lines, r.q_n_repeat_words) for r in quality.judge(docs, []).collect()}
+    assert counts[1][0] == 350_000 and counts[5] == (300_000, 149_999, 300_000) and counts[3] == (1, 0, 0)
+
+
 # --- pipeline
 
 
