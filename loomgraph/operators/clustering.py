@@ -160,6 +160,11 @@ class WishartPrior:
         scatter = s.n[:, None, None] * s.cov + (self.kappa * s.n / kappa)[:, None, None] * gap[:, :, None] * gap[:, None, :]
         return kappa, nu, mean, (self.psi + scatter) / (nu + d + 2)[:, None, None]
 
+    def most_likely(self, s: Stats) -> tuple[np.ndarray, np.ndarray]:
+        """The means and covariances of highest posterior density of each cluster."""
+        _, _, mean, cov = self.posterior(s)
+        return mean, cov
+
     def marginal(self, s: Stats) -> np.ndarray:
         """Log marginal likelihood of each cluster's points."""
         d = len(self.mu)

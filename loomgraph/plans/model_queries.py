@@ -378,3 +378,33 @@ def labelled_vectors(spark, sf_dir):
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("z"))
     n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("int").alias("label"))
     return X2.with_labels(v, n).select("id", "label")
+
+
+@query(f"WITH {USERS_SQL}, n AS (SELECT src AS id FROM ue UNION SELECT dst FROM ue), e AS (SELECT src, dst FROM ue WHERE src <> dst UNION SELECT dst, src FROM ue WHERE src <> dst) SELECT id, count(e.dst) AS degree FROM n LEFT JOIN e ON e.src = id GROUP BY 1")
+def citation_graph(spark, sf_dir):
+    """Frames as a graph of one type (the interactions stand in for a benchmark's citations)."""
+    n, e = users(spark, sf_dir)
+    g = X.citation_graph(n, e)
+    d = X2.in_degree(g.nodes["Paper"], g.edges["Paper", "CITES", "Paper"])
+    return d.select("id", "degree")
+
+
+@query(f"WITH {_MEANS}, s AS (SELECT label, any_value(n) AS n, max(m) FILTER (i = 1) AS m FROM m GROUP BY 1) SELECT label, CAST(1 + n AS DOUBLE) AS kappa, CAST(66 + n AS DOUBLE) AS nu, round(n * m / (1 + n), 6) AS first FROM s")
+def wishart_posterior(spark, sf_dir):
+    """The normal-Wishart posterior of the labels' clusters; a row a cluster."""
+    e = load(spark, sf_dir, "embeddings")
+    rows = M.means(e).orderBy("label").collect()
+    mean = np.array([r["mean"] for r in rows], float)
+    d = mean.shape[1]
+    stats = C.Stats(np.array([float(r["n"]) for r in rows]), mean, np.repeat(np.eye(d)[None], len(rows), 0))
+    kappa, nu, mu, _ = C.WishartPrior(np.zeros(d), 1.0, 66.0, np.eye(d)).posterior(stats)
+    return spark.createDataFrame([(r["label"], float(k), float(v), round(float(m[0]), 6)) for r, k, v, m in zip(rows, kappa, nu, mu)], "label int, kappa double, nu double, first double")
+
+
+@query(f"WITH {USERS_SQL}, v AS (SELECT vec_id AS id, {_V} AS v FROM embeddings) SELECT event_id, len(list_concat(a.v, b.v)) AS width, round(list_sum(a.v) + list_sum(b.v), 4) AS mass FROM ue JOIN v a ON a.id = src JOIN v b ON b.id = dst")
+def edge_features(spark, sf_dir):
+    """Both ends' vectors as an edge's features."""
+    _, e = users(spark, sf_dir)
+    v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("z"))
+    f = E.edge_features(e.select("event_id", "src", "dst"), v)
+    return f.select("event_id", F.size("f").cast("long").alias("width"), F.round(F.aggregate("f", F.lit(0.0), lambda s, x: s + x), 4).alias("mass"))

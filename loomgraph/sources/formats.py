@@ -93,6 +93,13 @@ def matrix_edges(df: DataFrame, name: str, src: str, dst: str) -> dict:
     return {(src, name, dst): e, (dst, f"rev_{name}", src): e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))}
 
 
+def citation_graph(nodes: DataFrame, cites: DataFrame, node: str = "Paper", relation: str = "CITES") -> TemporalGraph:
+    """A graph of one type from frames of a citation benchmark: nodes (id and any attributes), cites (src, dst), taken both ways, without loops and repeats."""
+    e = cites.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return TemporalGraph({node: nodes}, {(node, relation, node): both})
+
+
 def write_drawing(graph: TemporalGraph, path: str) -> bool:
     """Nodes and edges as CSV for drawing tools, unless the graph is too large to draw."""
     n, m = sum(c for _, c in graph.counts()), graph.all_edges("src").count()
