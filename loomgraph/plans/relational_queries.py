@@ -286,7 +286,13 @@ def parse_literal_lists(spark, sf_dir):
     return c.select("c_custkey", F.explode(TX.parse_list(raw)).alias("item"))
 
 
-@query()
+_STEM = " ".join(
+    f"WHEN ends_with(w, '{end}') AND length(w) - {len(end)} >= {least}{chr(32) + 'AND NOT ends_with(w, ' + chr(39) + 'ss' + chr(39) + ')' if end == 's' else ''} THEN left(w, length(w) - {len(end)}){' || ' + chr(39) + 'y' + chr(39) if end == 'ies' else ''}"
+    for end, least in TX._ENDINGS
+)
+
+
+@query(f"WITH w AS (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT CASE {_STEM} ELSE w END AS stem, count(*) AS n FROM w GROUP BY 1")
 def stemmed_words(spark, sf_dir):
     """Stems of part names."""
     p = load(spark, sf_dir, "part").select(F.explode(TX.stem(F.split("p_name", " "))).alias("stem"))

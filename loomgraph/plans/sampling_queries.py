@@ -11,7 +11,7 @@ from loomgraph.operators import metrics as M
 from loomgraph.operators import sampling as S
 from loomgraph.operators.communities import label_propagation
 from loomgraph.operators.temporal import successors
-from loomgraph.plans.registry import USERS_SQL, H, query
+from loomgraph.plans.registry import EDGES_SQL, USERS_SQL, H, query
 from loomgraph.sources.fixture import canonical, interactions, load
 
 
@@ -136,7 +136,23 @@ def temporal_walks(spark, sf_dir):
     return w.select("walk_id", text("walk"), text("times"))
 
 
-@query()
+_PARTNER = (
+    f"{USERS_SQL}, t AS (SELECT DISTINCT src AS node, ts FROM ue), s0 AS (SELECT node, min(ts) AS ts FROM t GROUP BY 1), p AS (SELECT a.node, b.node AS partner, b.ts AS pts FROM s0 a JOIN t b ON b.ts >= a.ts AND b.ts < a.ts + 3600 AND b.node <> a.node), "
+    f"pc AS (SELECT node, partner, pts, row_number() OVER (PARTITION BY node ORDER BY -ln(({H.format('CAST(node AS VARCHAR) || chr(124) || chr(123) || CAST(partner AS VARCHAR) || chr(44) || chr(32) || CAST(pts AS VARCHAR) || chr(125)')} + 1) / CAST(4294967297 AS DOUBLE)), partner, pts) AS rn FROM p), "
+    "st AS (SELECT s0.node AS walk_id, coalesce(partner, s0.node) AS node, coalesce(pts, s0.ts) AS ts FROM s0 LEFT JOIN pc ON pc.node = s0.node AND rn = 1)"
+)
+_BALL = (
+    f"{_PARTNER}, w0 AS (SELECT walk_id, node AS cur, ts AS t, node AS root, ts AS t0, walk_id || ',' || node AS walk FROM st), "
+    + ", ".join(
+        f"c{i} AS (SELECT walk_id, u.dst AS nxt, u.ts AS et FROM w{i - 1} JOIN ue u ON u.src = cur WHERE u.ts = -1 OR t = -1 OR (u.ts >= t AND u.ts < t + 21600)), "
+        f"p{i} AS (SELECT walk_id, nxt, et FROM (SELECT *, row_number() OVER (PARTITION BY walk_id ORDER BY -ln(({H.format(f'CAST(walk_id AS VARCHAR) || chr(124) || chr(123) || CAST(nxt AS VARCHAR) || chr(44) || chr(32) || CAST(et AS VARCHAR) || chr(125) || chr(124) || {chr(39)}{i}{chr(39)}')} + 1) / CAST(4294967297 AS DOUBLE)), nxt, et) AS rn FROM c{i}) WHERE rn = 1), "
+        f"w{i} AS (SELECT walk_id, coalesce(nxt, root) AS cur, coalesce(CASE WHEN et = -1 THEN t ELSE et END, t0) AS t, root, t0, walk || ',' || coalesce(nxt, root) AS walk FROM w{i - 1} LEFT JOIN p{i} USING (walk_id))"
+        for i in (1, 2, 3)
+    )
+)
+
+
+@query(f"WITH {_BALL}, l AS (SELECT walk_id, string_split(walk, ',') AS p FROM w3) SELECT walk_id, CAST(j AS INT) AS pos, array_to_string(list_slice(p, j + 1, j + 3), ',') AS ctx FROM l, range(3) r(j)")
 def ballroom_contexts(spark, sf_dir):
     """From each user to a partner active in its window, a temporal walk from there, and its contexts."""
     from loomgraph.operators.temporal import window_partners
@@ -165,7 +181,9 @@ def neighbor_sample(spark, sf_dir):
     return S.neighbor_sample(seeds, e, [3, 2])
 
 
-@query()
+@query(
+    f"WITH {EDGES_SQL}, c AS (SELECT dt AS type, dst AS id, count(*) AS n FROM edges GROUP BY 1, 2), r AS (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY -ln(({H.format('type || chr(124) || CAST(id AS VARCHAR)')} + 1) / CAST(4294967297 AS DOUBLE)) / n, id) AS rn FROM c) SELECT type, id FROM r WHERE rn <= 20"
+)
 def hgt_sample(spark, sf_dir):
     """A budget of nodes for each type, by sampled degree."""
     g = canonical(spark, sf_dir)
