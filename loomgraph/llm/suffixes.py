@@ -462,7 +462,7 @@ def repeats(texts: DataFrame, p: Params = Params()) -> DataFrame:
     """texts (rid, raw binary) -> (rid, spans): arrays of [start, end) byte ranges that repeated windows cover, merged, in order."""
     spark = texts.sparkSession
     model = spark.sparkContext.broadcast(build_filter(texts, p))  # 2 ** most_bits bits at most
-    dealt = written(texts.mapInArrow(_deal(model, p), DEALT), "kind")
+    dealt = written(texts.mapInArrow(_deal(model, p), DEALT))  # one file a task: a read of one kind leaves the other kinds' columns alone
     pieces = dealt.where(F.col("kind") == PIECE).select("anchor", F.col("what").alias("piece"), "n", "raw")
     together = pieces.repartition(parts(spark), "anchor").sortWithinPartitions("anchor")
     ranges = written(together.mapInArrow(_sorter(p), "anchor long, piece long, lo long, hi long"))
