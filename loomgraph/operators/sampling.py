@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import bucket, md5_number
+from loomgraph.operators.storage import cut
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def walk(nodes: DataFrame, edges: DataFrame, steps: int, walks: int = 1, restart
 
     One equi-join a step on (node, place): the pick is a number before the join, so no fan-out meets a hub.
     """
-    adj = adjacency(edges).persist()
+    adj = cut(adjacency(edges))
     degree = adj.where("pos = 0").select(F.col("node").alias("at"), "deg")
     now = starts(nodes, walks)
     for step in range(1, steps + 1):
@@ -62,7 +63,7 @@ def pick(candidates: DataFrame, key: str, item: str, weight: Column, *salt: Colu
 
 def node2vec_walk(nodes: DataFrame, edges: DataFrame, steps: int, walks: int = 1, p: float = 1.0, q: float = 0.5) -> DataFrame:
     """(walk_id, walk): second-order walks by the exponential race over the candidates' weights."""
-    e = edges.select("src", "dst").distinct().persist()
+    e = cut(edges.select("src", "dst").distinct())
     out = F.struct(F.col("src").alias("cur"), F.col("dst").alias("next"))
     hop = e.select(out.alias("s")).select("s.*")
     near = e.select(F.col("src").alias("prev"), F.col("dst").alias("next"), F.lit(True).alias("near"))
@@ -82,7 +83,7 @@ def temporal_walk(seeds: DataFrame, edges: DataFrame, steps: int, within: int, b
     seeds: walk_id, node, ts (-1: any time). Untimed edges are always allowed. bias: uniform, linear or exponential
     preference for near times. A walk that finds no edge goes on from its root.
     """
-    e = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("timestamp_from").alias("et")).persist()
+    e = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("timestamp_from").alias("et")))
     now = seeds.select("walk_id", F.array("node").alias("walk"), F.array("ts").alias("times"))
     for step in range(1, steps + 1):
         at = now.select("walk_id", F.element_at("walk", -1).alias("at"), F.element_at("times", -1).alias("t"))
@@ -129,7 +130,7 @@ def neighbor_sample(seeds: DataFrame, edges: DataFrame, fanout: list[int]) -> Da
     e = edges.select("src", "dst").distinct()
     w = Window.partitionBy("dst").orderBy(md5_number("src", "dst"), "src")
     # the bound stands at the window, so each task keeps that many rows of a node before the shuffle, of a hub as well
-    ranked = e.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(fanout, default=0)).persist()
+    ranked = cut(e.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(fanout, default=0)))
     frontier = seeds.select(F.col("id").alias("dst")).distinct()
     out = None
     for hop, k in enumerate(fanout):

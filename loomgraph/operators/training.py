@@ -19,6 +19,7 @@ from loomgraph.functions.hashing import bucket
 from loomgraph.functions.vectors import Combine
 from loomgraph.operators.embeddings import mean_of_neighbours
 from loomgraph.operators.models import matvec, seeded_matrix
+from loomgraph.operators.storage import cut
 
 
 @dataclass(frozen=True)
@@ -119,7 +120,7 @@ def _mean(frame: DataFrame, run, shape) -> tuple[float, np.ndarray]:
 
 
 def fit(rows: DataFrame, how: Train = Train(), start: list[list[float]] | None = None, clusters: DataFrame | None = None) -> Fitted:
-    """The matrix of least loss over the triples (s, p, n); clusters: f, centre, for the cluster loss. rows are read every epoch: callers persist them."""
+    """The matrix of least loss over the triples (s, p, n); clusters: f, centre, for the cluster loss. rows are read every epoch: callers write them first (storage.cut), so that an epoch's plan is short."""
     width = rows.select(F.max(F.size("s"))).first()[0]
     if not width:
         raise ValueError("no pairs to train on")
@@ -163,7 +164,7 @@ def end_to_end(features: DataFrame, rows: DataFrame, how: Train, cluster, turns:
     fitted = fit(rows, how)
     found = None
     for turn in range(turns):
-        found = cluster(embed(features, fitted)).persist()
+        found = cut(cluster(embed(features, fitted)))
         if turn < turns - 1:
             pulled = features.join(found.select("id", "centre"), "id").select("f", "centre")
             again = fit(rows, how, fitted.weight, pulled)

@@ -15,6 +15,7 @@ from loomgraph.operators import sampling as S
 from loomgraph.operators import training as G
 from loomgraph.operators import transforms as X2
 from loomgraph.operators.relational import dense_ids
+from loomgraph.operators.storage import cut
 from loomgraph.operators.temporal import window_partners
 from loomgraph.plans.registry import EDGES_SQL, USERS_SQL, H, query
 from loomgraph.plans.sampling_queries import _ADJ, _MEANS, _NEAR, _OVERLAP, _RANK, _STEP, _V, _negatives, users
@@ -109,7 +110,7 @@ def feed_forward_head(spark, sf_dir):
 def _interaction_training(spark, sf_dir):
     n, e = users(spark, sf_dir)
     x = E.seeded_vectors(n, 8)
-    f = G.hop_features(e, x, 2).persist()
+    f = cut(G.hop_features(e, x, 2))
     size = int(n.agg(F.max("id")).first()[0]) + 1
     return n, e, f, size
 
@@ -118,7 +119,7 @@ def _interaction_training(spark, sf_dir):
 def graphsage_embed(spark, sf_dir):
     """M10, M12 (topological): a feature model trained on walk contexts."""
     n, e, f, size = _interaction_training(spark, sf_dir)
-    rows = G.triples(S.end_pairs(S.walk(n, e, 4), 2), f, size).persist()
+    rows = cut(G.triples(S.end_pairs(S.walk(n, e, 4), 2), f, size))
     fitted = G.fit(rows, G.Train(dim=4, epochs=5))
     return G.embed(f, fitted).select("id", F.size("z").alias("dim"))
 
@@ -127,10 +128,10 @@ def graphsage_embed(spark, sf_dir):
 def combi_embed(spark, sf_dir):
     """M12 (temporal), M13: shared features, a head on walk contexts and one on partners in time, concatenated."""
     n, e, f, size = _interaction_training(spark, sf_dir)
-    topo = G.fit(G.triples(S.end_pairs(S.walk(n, e, 4), 2), f, size).persist(), G.Train(dim=4, epochs=3))
+    topo = G.fit(cut(G.triples(S.end_pairs(S.walk(n, e, 4), 2), f, size)), G.Train(dim=4, epochs=3))
     t = e.select(F.col("src").alias("node"), F.col("timestamp_from").alias("ts")).distinct()
     near = window_partners(t, t, (0, 600)).where("node <> partner").select(F.col("node").alias("src"), F.col("partner").alias("dst")).distinct()
-    tempo = G.fit(G.triples(near, f, size).persist(), G.Train(dim=4, epochs=3, objective="hinge"))
+    tempo = G.fit(cut(G.triples(near, f, size)), G.Train(dim=4, epochs=3, objective="hinge"))
     return G.combined(f, topo, tempo, Combine.CONCAT).select("id", F.size("z").alias("dim"))
 
 
@@ -138,7 +139,7 @@ def combi_embed(spark, sf_dir):
 def end_to_end_communities(spark, sf_dir):
     """Training and clustering in turn, the cluster loss on."""
     n, e, f, size = _interaction_training(spark, sf_dir)
-    rows = G.triples(S.end_pairs(S.walk(n, e, 4), 2), f, size).persist()
+    rows = cut(G.triples(S.end_pairs(S.walk(n, e, 4), 2), f, size))
 
     def cluster(z):
         model = C.fit_dpmm(z, "z", C.Params(clusters=3, rounds=4))
@@ -356,7 +357,7 @@ def embedding_plane(spark, sf_dir):
 def training_log(spark, sf_dir):
     """The log of a training run, saved and read again."""
     n, e, f, size = _interaction_training(spark, sf_dir)
-    fitted = G.fit(G.triples(S.end_pairs(S.walk(n, e, 2), 1), f, size).persist(), G.Train(dim=2, epochs=3))
+    fitted = G.fit(cut(G.triples(S.end_pairs(S.walk(n, e, 2), 1), f, size)), G.Train(dim=2, epochs=3))
     at = folder(spark)
     G.save(spark, at, fitted)
     return G.log(spark, G.load(spark, at)).select("epoch", F.round("loss", 6).alias("loss"), "rate")

@@ -11,6 +11,7 @@ from loomgraph.operators import embeddings as E
 from loomgraph.operators import sampling as S
 from loomgraph.operators.communities import label_propagation
 from loomgraph.operators.relational import dense_ids
+from loomgraph.operators.storage import cut
 from loomgraph.plans import pipeline as P
 from loomgraph.plans.registry import EDGES_SQL, USERS_SQL, query
 from loomgraph.sources.fixture import canonical, interactions, load
@@ -55,11 +56,12 @@ def community_detection_eval(spark, sf_dir):
     topo = E.word2vec(S.walk(n, e, 8, 2), 8)
     seeds = e.groupBy(F.col("src").alias("node")).agg(F.min("timestamp_from").alias("ts")).withColumn("walk_id", F.col("node"))
     tempo = E.word2vec(S.temporal_walk(seeds, e, 6, 86400).select("walk_id", "walk"), 8)
-    both = topo.join(tempo.select("id", F.col("z").alias("t")), "id").select("id", Combine.CONCAT.of(F.col("z"), F.col("t")).alias("z")).persist()
+    both = cut(topo.join(tempo.select("id", F.col("z").alias("t")), "id").select("id", Combine.CONCAT.of(F.col("z"), F.col("t")).alias("z")))
     model = C.fit_dpmm(both, "z", C.Params(clusters=3, rounds=8))
     z = C.assign(both.withColumnRenamed("z", "v"), model, "v").select("id", F.col("z").cast("long").alias("z"))
-    names = dense_ids(label_propagation(n, e, 3).select("label").distinct(), "label", name="k")
-    labels = label_propagation(n, e, 3).join(names, "label").select("id", F.col("k").alias("label"))
+    found = cut(label_propagation(n, e, 3))
+    names = dense_ids(found.select("label").distinct(), "label", name="k")
+    labels = found.join(names, "label").select("id", F.col("k").alias("label"))
     return P.evaluate(e, both, z, labels)
 
 

@@ -10,6 +10,7 @@ from loomgraph.operators import embeddings as E
 from loomgraph.operators import metrics as M
 from loomgraph.operators import sampling as S
 from loomgraph.operators.communities import label_propagation
+from loomgraph.operators.storage import cut
 from loomgraph.operators.temporal import successors
 from loomgraph.plans.registry import EDGES_SQL, USERS_SQL, H, query
 from loomgraph.sources.fixture import canonical, interactions, load
@@ -462,7 +463,7 @@ def link_prediction_eval(spark, sf_dir):
     """In-sample and held-out scores of link prediction."""
     n, e = users(spark, sf_dir)
     size = n.agg(F.max("id")).first()[0] + 1
-    pairs = S.negative_pairs(e, size, size).persist()
+    pairs = cut(S.negative_pairs(e, size, size))
     v = E.seeded_vectors(n, 16)
     return M.tidy(lp_insample=E.link_prediction(pairs, v, Metric.L2), lp_held_out=E.link_prediction(pairs, v, Metric.L2, True))
 

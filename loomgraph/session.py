@@ -14,6 +14,11 @@ def session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g") -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # a long session of iterations must not fill the driver with descriptions of past plans
+        .config("spark.sql.maxPlanStringLength", "100000")
+        .config("spark.sql.ui.retainedExecutions", "20")
+        .config("spark.ui.retainedJobs", "100")
+        .config("spark.ui.retainedStages", "100")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
