@@ -299,7 +299,7 @@ def _meet(bucket: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in links_], pa.int64()), "b": pa.array([x[1] for x in links_], pa.int64())})
 
 
-def _spanning(pairs: np.ndarray, each: int = 3) -> list[tuple[int, int]]:
+def _spanning(pairs: np.ndarray, each: int = 2) -> list[tuple[int, int]]:
     """Of pairs, nearest first, those that join two groups so far, and each member's `each` nearest: a group of n gives some n links, not its square."""
     root: dict[int, int] = {}
     count: dict[int, int] = {}
