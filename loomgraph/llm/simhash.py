@@ -216,15 +216,21 @@ def _wide(words: int):
 
 
 ENTRY = np.dtype([("list", "<u4"), ("node", "<i8"), ("fp", "<u8", (STREAMS,))])
+#: Pairs of fingerprints compared at once.
+BLOCK = 1 << 19
+#: An entry that also names the group that its node is in already.
+GROUPED = np.dtype([*ENTRY.descr, ("root", "<i8")])
 
 
-def _post(buckets: int, rows: int = 1024):
-    """Rows (bucket, entries): the index entries of a stretch of texts, packed by the bucket of their list."""
+def _post(buckets: int, rows: int = 1024, kind: np.dtype = ENTRY):
+    """Rows (bucket, entries): the index entries of a stretch of texts, packed by the bucket of their list; of node, fp and, if GROUPED, root."""
     schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 
-    def posted(nodes: list[int], fps: list[bytes]) -> pa.RecordBatch:
+    def posted(nodes: list[int], fps: list[bytes], roots: list[int]) -> pa.RecordBatch:
         wide = np.frombuffer(b"".join(fps), np.uint8).reshape(len(nodes), WIDE)
-        entries = np.empty((len(nodes), len(_CHOICES)), ENTRY)
+        entries = np.empty((len(nodes), len(_CHOICES)), kind)
+        if kind is GROUPED:
+            entries["root"] = np.array(roots, np.int64)[:, None]
         value = wide.astype(np.uint32)
         entries["list"] = np.arange(len(_CHOICES), dtype=np.uint32) << 16 | value[:, _CHOICES[:, 0]] << 8 | value[:, _CHOICES[:, 1]]
         entries["node"] = np.array(nodes, np.int64)[:, None]
@@ -238,16 +244,18 @@ def _post(buckets: int, rows: int = 1024):
         return pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int32()), pa.array([entries[i:j].tobytes() for i, j in zip(start.tolist(), ends.tolist())], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, fps = [], []
+        nodes, fps, roots = [], [], []
         for batch in batches:
-            for node, fp in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for node, fp, root in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(batch.num_columns - 1)):
                 nodes.append(node)
                 fps.append(fp.as_py())
+                if kind is GROUPED:
+                    roots.append(root.as_py())
                 if len(nodes) >= rows:
-                    yield posted(nodes, fps)
-                    nodes, fps = [], []
+                    yield posted(nodes, fps, roots)
+                    nodes, fps, roots = [], [], []
         if nodes:
-            yield posted(nodes, fps)
+            yield posted(nodes, fps, roots)
 
     return run
 
@@ -267,7 +275,10 @@ def _pairs_ahead(key: np.ndarray, fp: np.ndarray, ahead: int) -> Iterator[tuple[
 
 
 def _meet(bucket: pa.Table) -> pa.Table:
-    """Candidate links (a < b) of the lists of a bucket: all near pairs of short lists; in long ones, of those that share a third byte, neighbours in the order of further bytes."""
+    """Candidate links (a < b) of the lists of a bucket: of the near pairs of short lists, and in long ones, of those that share a third byte, of neighbours in the order of further bytes, those of _spanning.
+
+    A row (a, a) says that a has pairs in the bucket that are not among them: _meet_rest gives those.
+    """
     entries = np.frombuffer(b"".join(x.as_py() for x in bucket.column("entries")), ENTRY)
     entries = entries[np.argsort(entries["list"], kind="stable")]
     lists = entries["list"]
@@ -295,12 +306,53 @@ def _meet(bucket: pa.Table) -> pa.Table:
             node, fp = e["node"][order], e["fp"][order]
             found += [np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), apart], 1) for i, j, apart in _pairs_ahead(key, fp, AHEAD if third else SHORT)]
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
-    links_ = _spanning(pairs[np.argsort(pairs[:, 2], kind="stable")])
-    return pa.table({"a": pa.array([x[0] for x in links_], pa.int64()), "b": pa.array([x[1] for x in links_], pa.int64())})
-
+    links_, left = _spanning(pairs[np.argsort(pairs[:, 2], kind="stable")])
+    more = np.unique(np.concatenate([entries["node"][long_], np.array(left, np.int64).ravel()])).tolist()
+    return pa.table({"a": pa.array([x[0] for x in links_] + more, pa.int64()), "b": pa.array([x[1] for x in links_] + more, pa.int64())})
+
+
+def _meet_rest(bucket: pa.Table) -> pa.Table:
+    """All near pairs (a < b) of the lists of a bucket (GROUPED entries) whose members are in different groups so far, short or long; a pair comes from the first of its lists only."""
+    entries = np.frombuffer(b"".join(x.as_py() for x in bucket.column("entries")), GROUPED)
+    entries = entries[np.lexsort((entries["root"], entries["list"]))]
+    start = np.flatnonzero(np.append(True, entries["list"][1:] != entries["list"][:-1]))
+    size = np.diff(np.append(start, len(entries)))
+    mixed = entries["root"][start] != entries["root"][start + size - 1]
+    found = []
 
-def _spanning(pairs: np.ndarray, each: int = 2) -> list[tuple[int, int]]:
-    """Of pairs, nearest first, those that join two groups so far, and each member's `each` nearest: a group of n gives some n links, not its square."""
+    def keep(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        other = e["root"][i] != e["root"][j]
+        i, j = i[other], j[other]
+        for k in range(0, len(i), 1 << 16):
+            a, b = e[i[k : k + (1 << 16)]], e[j[k : k + (1 << 16)]]
+            same = np.ascontiguousarray(a["fp"] ^ b["fp"]).view(np.uint8).reshape(len(a), WIDE) == 0
+            first = (same[:, _CHOICES[:, 0]] & same[:, _CHOICES[:, 1]]).argmax(1) == a["list"] >> 16
+            x, y = a["node"][first], b["node"][first]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+
+    e = entries[np.repeat(mixed & (size <= SHORT), size)]
+    for i, j, _ in _pairs_ahead(e["list"], np.ascontiguousarray(e["fp"]), SHORT):
+        keep(e, i, j)
+    for at, n in zip(start[mixed & (size > SHORT)].tolist(), size[mixed & (size > SHORT)].tolist()):
+        e = entries[at : at + n]
+        fp = np.ascontiguousarray(e["fp"])
+        _, where, members = np.unique(e["root"], return_index=True, return_counts=True)
+        most = int(members.argmax())
+        # the members of the largest group need not meet one another; they come last
+        order = np.concatenate([np.arange(where[most]), np.arange(where[most] + members[most], n), np.arange(where[most], where[most] + members[most])])
+        e, fp = e[order], fp[order]
+        step = max(1, BLOCK // n)
+        for k in range(0, n - int(members[most]), step):
+            to = min(k + step, n - int(members[most]))
+            apart = np.bitwise_count(fp[k:to, None, :] ^ fp[None, k:, :]).sum(2, dtype=np.int64)
+            i, j = np.nonzero(apart <= FAR)
+            keep(e, i[i < j] + k, j[i < j] + k)
+    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def _spanning(pairs: np.ndarray, each: int = 2) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of pairs, nearest first, those that join two groups so far, and each member's `each` nearest: a group of n gives some n links, not its square; and the other pairs."""
     root: dict[int, int] = {}
     count: dict[int, int] = {}
 
@@ -311,14 +363,16 @@ def _spanning(pairs: np.ndarray, each: int = 2) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
+    out, left = [], []
     for a, b, _ in pairs.tolist():
         x, y = find(a), find(b)
         if x != y or count.get(a, 0) < each or count.get(b, 0) < each:
             root[x] = y
             count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
             out.append((a, b))
-    return out
+        else:
+            left.append((a, b))
+    return out, left
 
 
 def _sets(model, words: int):
@@ -348,6 +402,20 @@ def _verified(least: float):
     return run
 
 
+def _compared(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of pairs (a, b: nodes of classes) whose shingle sets have the similarity."""
+    spark = texts.sparkSession
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    own = written(classes.select("node", F.col("first").alias("doc_id"), F.col("shingles").alias("digest")).join(asked, "node"))
+    # only texts of candidates make their shingle sets again and travel: a filter of bounded size says which
+    model = spark.sparkContext.broadcast(bit_filter(own.select("doc_id")))
+    held = texts.mapInArrow(_sets(model, words), "doc_id long, digest binary, shingles binary")
+    sets = written(held.join(own.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", F.col("shingles")))
+    compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    compared = compared.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+    return compared.select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long")
+
+
 def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links reach, for each row of docs with a doc_id.
 
@@ -355,9 +423,9 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     with fewer words the whole sequence) have a Jaccard similarity of `least` or
     more; no link is made below it. Equal sets always meet. Others meet in the
     index with a probability of some 0.95 at a similarity of 0.8 and more above.
-    Of a large group the nearest pairs are compared, some for each member, and
-    it stays together by any chain of its links. Texts
-    without words (null, empty) are one group. Rows with a null doc_id take no
+    Of a large group the nearest pairs are compared first, some for each member;
+    then all other pairs that meet, but for those inside a group that is linked
+    already. Texts without words (null, empty) are one group. Rows with a null doc_id take no
     part; repeated rows come out repeated; an empty table gives no rows; other
     columns are ignored.
     """
@@ -369,16 +437,16 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     # the buckets follow the shuffle partitions, so a bucket stays as small as they are
     spread = classes.select("node", "fp").repartition(parts(spark), "node")
     posted = spread.mapInArrow(_post(4 * parts(spark)), "bucket int, entries binary")
-    pairs = written(posted.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct())
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    own = written(classes.select("node", F.col("first").alias("doc_id"), F.col("shingles").alias("digest")).join(asked, "node"))
-    # only texts of candidates make their shingle sets again and travel: a filter of bounded size says which
-    model = spark.sparkContext.broadcast(bit_filter(own.select("doc_id")))
-    held = texts.mapInArrow(_sets(model, words), "doc_id long, digest binary, shingles binary")
-    sets = written(held.join(own.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", F.col("shingles")))
-    compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
-    compared = compared.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
-    linked = components(compared.select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long"))
+    met = written(posted.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct())
+    pairs, more = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("node"))
+    near = written(_compared(texts, classes, pairs, words, least))
+    linked = components(near)
+    if more.limit(1).count():
+        # all pairs that are left are compared as well, but those inside a group that the links above made
+        left = classes.select("node", "fp").join(more, "node").join(linked, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
+        posted = left.repartition(parts(spark), "node").mapInArrow(_post(4 * parts(spark), kind=GROUPED), "bucket int, entries binary")
+        rest = written(posted.groupBy("bucket").applyInArrow(_meet_rest, "a long, b long").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+        linked = components(near.unionByName(_compared(texts, classes, rest, words, least)))
     member = classes.join(linked, "node", "left").select("shingles", "first", F.coalesce("root", "node").alias("root"))
     roots = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(member.join(roots, "root").select("shingles", "component_id"))

@@ -351,6 +351,41 @@ def test_long_lists_give_few_links():
     assert groups_ == {frozenset(range(60 * k, 60 * k + 60)) for k in range(5)} and got.num_rows < 300 * 8
 
 
+def test_near_groups_compare_every_pair_that_meets(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(200)]
+    t = {}
+    for k in range(240):  # one large group around the similarity: many of a text's nearest in the index are not similar enough
+        words = list(base)
+        for at in rng.choice(200, 2 + k % 3, replace=False):
+            words[at] = f"x{k} {at}".replace(" ", "_")
+        t[k] = " ".join(words)
+    sets = {k: simhash.shingle_set(x, 5) for k, x in t.items()}
+    prints = {k: simhash.wide_print(x) for k, x in sets.items()}
+    meet = lambda a, b: (same := prints[a] == prints[b])[simhash._CHOICES].all(1).any() and np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash.FAR and same.any()
+    pairs = [(a, b) for a in t for b in range(a + 1, len(t)) if simhash.similarity(sets[a], sets[b]) >= 0.8 and meet(a, b)]
+    want = {k: min(g) for g in components_of(pairs) for k in g}
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(documents(spark, [(k, x, "en", "x", 1) for k, x in t.items()])).collect()}
+    assert got == {k: want.get(k, k) for k in t}
+
+
+def test_rest_of_a_bucket_is_all_pairs_between_groups(monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 500)
+    rng = np.random.default_rng(3)
+    fp = np.repeat(rng.integers(0, 1 << 63, (1, simhash.STREAMS), dtype=np.uint64), 120, 0)
+    for row in fp:
+        for bit in rng.integers(0, 64 * simhash.STREAMS, rng.integers(5, 40)):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    root = rng.integers(0, 9, 120) * (rng.random(120) < 0.5)
+    batch = pa.record_batch([pa.array(range(120)), pa.array([x.tobytes() for x in fp]), pa.array(root)], names=["n", "f", "r"])
+    packed = [r["entries"] for b in simhash._post(1, kind=simhash.GROUPED)(iter([batch])) for r in b.to_pylist()]
+    got = simhash._meet_rest(pa.table({"entries": packed}))
+    wide = fp.view(np.uint8).reshape(120, -1)
+    meet = lambda a, b: (wide[a] == wide[b])[simhash._CHOICES].all(1).any() and np.bitwise_count(fp[a] ^ fp[b]).sum() <= simhash.FAR
+    want = [(a, b) for a in range(120) for b in range(a + 1, 120) if root[a] != root[b] and meet(a, b)]
+    assert sorted(zip(got["a"].to_pylist(), got["b"].to_pylist())) == want and len(want) > 500
+
+
 def test_simhash_edges(spark):
     got = simhash.groups(documents(spark)).collect()
     assert len(got) == len(rows())
