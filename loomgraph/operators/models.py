@@ -127,9 +127,12 @@ def community_objective(points: DataFrame, stats: DataFrame) -> DataFrame:
     return both.agg(F.avg(0.5 * (each + F.size("v") * float(np.log(2 * np.pi)))).alias("community_objective"))
 
 
-def context_path_loss(scores: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """One row: for each path length k the mean of -log sigmoid(score) (label 1) or -log sigmoid(-score) (label 0), weighted and summed; scores: k, score, label."""
+def context_path_loss(scores: DataFrame, weights: dict[int, float], summed: DataFrame | None = None) -> DataFrame:
+    """One row: for each path length k the mean of -log sigmoid(score) (label 1) or -log sigmoid(-score) (label 0), weighted and summed; scores: k, score, label; summed: k, loss, n of pairs whose losses are added up already."""
     sign = F.when(F.col("label") == 1, -F.col("score")).otherwise(F.col("score"))
-    per = scores.groupBy("k").agg(F.avg(F.log1p(F.exp(sign))).alias("loss"))
+    per = scores.groupBy("k").agg(F.sum(F.log1p(F.exp(sign))).alias("loss"), F.count("score").alias("n"))
+    if summed is not None:
+        per = per.unionByName(summed.where("n > 0")).groupBy("k").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+    per = per.select("k", (F.col("loss") / F.col("n")).alias("loss"))
     pairs = [F.lit(x) for kv in weights.items() for x in kv]
     return per.agg(F.sum(F.coalesce(F.create_map(*pairs)[F.col("k")], F.lit(0.0)) * F.col("loss")).alias("context_path_loss"))

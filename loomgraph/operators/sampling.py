@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import bucket, md5_number
+from loomgraph.operators.blocks import least_pairs
 from loomgraph.operators.storage import cut
 
 
@@ -169,12 +170,31 @@ def negative_pairs(edges: DataFrame, src_nodes: int, dst_nodes: int, most: int =
     """(src, dst, label): at most `most` distinct edges, label 1, and for each the first of four keyed pairs that is no edge, label 0."""
     e = edges.select("src", "dst").distinct()
     pos = e.withColumn("h", md5_number("src", "dst")).orderBy("h", "src", "dst").limit(most).drop("h")
+    return _with_negatives(pos, src_nodes, dst_nodes, lambda drawn: drawn.join(e, ["src", "dst"], "left_anti"))
+
+
+def _with_negatives(pos: DataFrame, src_nodes: int, dst_nodes: int, free) -> DataFrame:
+    """pos with label 1 and, label 0, for each the first of four keyed pairs that `free` leaves of them."""
     tries = pos.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.explode(F.array(*map(F.lit, range(4)))).alias("t"))
-    cand = tries.select("a", "b", "t", bucket(src_nodes, "a", "b", "t", F.lit("s")).alias("src"), bucket(dst_nodes, "a", "b", "t", F.lit("d")).alias("dst")).join(e, ["src", "dst"], "left_anti")
+    cand = free(tries.select("a", "b", "t", bucket(src_nodes, "a", "b", "t", F.lit("s")).alias("src"), bucket(dst_nodes, "a", "b", "t", F.lit("d")).alias("dst")))
     neg = cand.groupBy("a", "b").agg(F.min_by(F.struct("src", "dst"), "t").alias("p")).select("p.src", "p.dst")
     return pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
 
 
+def near_pairs(edges: DataFrame, src_nodes: int, dst_nodes: int, most: int = 5000) -> DataFrame:
+    """negative_pairs of the pairs within two hops (within_hops), which are all looked at but never written: a drawn pair is tested by its own two hops."""
+    e = edges.select("src", "dst").distinct()
+
+    def free(drawn: DataFrame) -> DataFrame:
+        asked = cut(drawn)
+        some = asked.select("src", "dst").where("src <> dst").distinct()
+        two = some.join(e.select("src", F.col("dst").alias("mid")), "src").join(e.select(F.col("src").alias("mid"), "dst"), ["mid", "dst"]).select("src", "dst")
+        taken = two.unionByName(some.join(e, ["src", "dst"])).distinct()
+        return asked.join(taken, ["src", "dst"], "left_anti")
+
+    return _with_negatives(cut(least_pairs(e, most)), src_nodes, dst_nodes, free)
+
+
 def noise_table(frequencies: DataFrame, power: float = 0.75) -> DataFrame:
     """(id, p): unigram noise probabilities, n ** power over their sum."""
     f = frequencies.select("id", F.pow(F.col("n").cast("double"), F.lit(power)).alias("w"))

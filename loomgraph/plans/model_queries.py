@@ -14,6 +14,7 @@ from loomgraph.operators import models as D
 from loomgraph.operators import sampling as S
 from loomgraph.operators import training as G
 from loomgraph.operators import transforms as X2
+from loomgraph.operators.blocks import two_step_loss
 from loomgraph.operators.relational import dense_ids
 from loomgraph.operators.storage import cut
 from loomgraph.operators.temporal import window_partners
@@ -186,10 +187,11 @@ def context_path_loss(spark, sf_dir):
     _, e = users(spark, sf_dir)
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("z"))
     one = e.select("src", "dst").distinct()
-    pairs = one.select(F.lit(1).alias("k"), "src", "dst", F.lit(1).alias("label")).unionByName(S.reach(e, 2).select(F.lit(2).alias("k"), "src", "dst", F.lit(1).alias("label")))
+    pairs = one.select(F.lit(1).alias("k"), "src", "dst", F.lit(1).alias("label"))
     pairs = pairs.unionByName(one.select(F.lit(1).alias("k"), F.col("dst").alias("src"), F.expr("src div 2").alias("dst"), F.lit(0).alias("label")))
     scored = E.context_score(pairs, v, [1.0] * 64)
-    return D.context_path_loss(scored, {1: 0.7, 2: 0.3}).select(F.round("context_path_loss", 6).alias("context_path_loss"))
+    two = two_step_loss(e, v).select(F.lit(2).alias("k"), "loss", "n")
+    return D.context_path_loss(scored, {1: 0.7, 2: 0.3}, two).select(F.round("context_path_loss", 6).alias("context_path_loss"))
 
 
 _WALK1 = f"{_ADJ}, w0 AS (SELECT id AS walk_id, id AS cur, CAST(id AS VARCHAR) AS path FROM un), " + ", ".join(_STEP.format(i - 1, i) for i in (1, 2))
@@ -231,7 +233,7 @@ def khop_dataset(spark, sf_dir):
     e = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").cast("long").alias("src"), (F.col("l_suppkey") + 1000000).cast("long").alias("dst")).distinct()
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     size = load(spark, sf_dir, "customer").count()
-    return S.negative_pairs(S.within_hops(both, 2), size, size)
+    return S.near_pairs(both, size, size)
 
 
 @query(f"SELECT o_orderkey, CAST((row_number() OVER (ORDER BY {H.format('CAST(o_orderkey AS VARCHAR) || chr(124) || chr(48)')}, o_orderkey) - 1) // 128 AS BIGINT) AS batch FROM orders")
