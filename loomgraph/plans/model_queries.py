@@ -129,10 +129,10 @@ def graphsage_embed(spark, sf_dir):
 def combi_embed(spark, sf_dir):
     """M12 (temporal), M13: shared features, a head on walk contexts and one on partners in time, concatenated."""
     n, e, f, size = _interaction_training(spark, sf_dir)
-    topo = G.fit(cut(G.triples(S.end_pairs(S.walk(n, e, 4), 2), f, size)), G.Train(dim=4, epochs=3))
+    topo = G.fit_pairs(S.end_pairs(S.walk(n, e, 4), 2), f, size, G.Train(dim=4, epochs=3))
     t = e.select(F.col("src").alias("node"), F.col("timestamp_from").alias("ts")).distinct()
     near = window_partners(t, t, (0, 600)).where("node <> partner").select(F.col("node").alias("src"), F.col("partner").alias("dst")).distinct()
-    tempo = G.fit(cut(G.triples(near, f, size)), G.Train(dim=4, epochs=3, objective="hinge"))
+    tempo = G.fit_pairs(near, f, size, G.Train(dim=4, epochs=3, objective="hinge"))
     return G.combined(f, topo, tempo, Combine.CONCAT).select("id", F.size("z").alias("dim"))
 
 
