@@ -311,8 +311,34 @@ def _meet(bucket: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in links_] + more, pa.int64()), "b": pa.array([x[1] for x in links_] + more, pa.int64())})
 
 
+def _stars(pairs: np.ndarray) -> np.ndarray:
+    """Links (node, smallest node) that connect what pairs connect: a row for each node but one of a group."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    i, j = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while len(i):
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[moved], nodes[label[moved]]], 1)
+
+
 def _meet_rest(bucket: pa.Table) -> pa.Table:
     """All near pairs (a < b) of the lists of a bucket (GROUPED entries) whose members are in different groups so far, short or long; a pair comes from the first of its lists only."""
+    return _rest(bucket, False)
+
+
+def _link_rest(bucket: pa.Table) -> pa.Table:
+    """Links that connect the pairs of _meet_rest: a row a node, not one a pair."""
+    return _rest(bucket, True)
+
+
+def _rest(bucket: pa.Table, connect: bool) -> pa.Table:
     entries = np.frombuffer(b"".join(x.as_py() for x in bucket.column("entries")), GROUPED)
     entries = entries[np.lexsort((entries["root"], entries["list"]))]
     start = np.flatnonzero(np.append(True, entries["list"][1:] != entries["list"][:-1]))
@@ -347,10 +373,60 @@ def _meet_rest(bucket: pa.Table) -> pa.Table:
             apart = np.bitwise_count(fp[k:to, None, :] ^ fp[None, k:, :]).sum(2, dtype=np.int64)
             i, j = np.nonzero(apart <= FAR)
             keep(e, i[i < j] + k, j[i < j] + k)
+        if connect and len(found) > 64:  # no more pairs are held than some blocks give
+            found[:] = [_stars(np.concatenate(found))]
     pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    pairs = _stars(pairs) if connect else pairs
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
+def _joined(least: float):
+    """Links (a, b) that join the groups `root` of a cell's nodes: every pair of different groups whose shingle sets have the similarity is found, one that joins what is joined already is left out."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        node, side = cell.column("node").to_numpy(), cell.column("side").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in cell.column("shingles")]
+        size = np.array([len(x) for x in sets])
+        group, members = np.unique(cell.column("root").to_numpy(), return_inverse=True)
+        rare, count = np.unique(np.concatenate(sets), return_counts=True)
+        rank = np.empty(len(rare), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(rare))
+        # of similar sets the rarest shingles, all but `least` of them and one more, share one
+        first = [np.sort(rank[np.searchsorted(rare, x)])[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] for x in sets]
+        key, who = np.concatenate(first), np.repeat(np.arange(len(sets)), [len(x) for x in first])
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
+        most, both = int(np.bincount(members).argmax()), bool((side != side[0]).any())
+        label = np.arange(len(group))
+        out = []
+        for i in np.flatnonzero(members != most).tolist():  # the largest group meets the others from their side
+            low, high = np.searchsorted(key, first[i]), np.searchsorted(key, first[i], "right")
+            near = np.unique(np.concatenate([who[a:b] for a, b in zip(low.tolist(), high.tolist())])) if len(low) else low
+            near = near[(label[members[near]] != label[members[i]]) & (size[near] >= least * size[i] - 1e-9) & (least * size[near] <= size[i] + 1e-9)]
+            for j in near[side[near] != side[i]].tolist() if both else near.tolist():
+                if label[members[i]] != label[members[j]] and similarity(sets[i], sets[j]) >= least:
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+                    label[label == label[members[j]]] = label[members[i]]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+#: Bytes of shingle sets in a block; a larger set of texts that may be near is compared block against block.
+CELL_BYTES = 32 << 20
+
+
+def _compared_groups(texts: DataFrame, classes: DataFrame, near: DataFrame, left: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (a, b) of similarity `least` that join the groups (left: node, root) of nodes that near (a, b) connects: all pairs of a connected set are compared where its shingle sets lie, and none is a row."""
+    within = written(components(near).select("node", F.col("root").alias("set")))
+    sets = written(within.join(left.select("node", "root").hint("merge"), "node").join(_shingles(texts, classes, within.select("node"), words).hint("merge"), "node"))
+    sides = sets.groupBy("set").agg(F.expr(f"cast(ceil(sum(length(shingles)) / {CELL_BYTES}) as int)").alias("n"))
+    placed = sets.join(sides.select("set", F.greatest("n", F.lit(1)).alias("n")), "set").withColumn("side", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least("side", k).alias("i"), F.greatest("side", k).alias("j")))).alias("cell")
+    dealt = placed.select("set", "node", "root", "shingles", "side", other).select("set", "cell.i", "cell.j", "node", "root", "shingles", "side")
+    return dealt.groupBy("set", "i", "j").applyInArrow(_joined(least), "a long, b long")
+
+
 def _spanning(pairs: np.ndarray, each: int = 2) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Of pairs, nearest first, those that join two groups so far, and each member's `each` nearest: a group of n gives some n links, not its square; and the other pairs."""
     root: dict[int, int] = {}
@@ -404,18 +480,22 @@ def _verified(least: float):
 
 def _compared(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
     """Those of pairs (a, b: nodes of classes) whose shingle sets have the similarity."""
-    spark = texts.sparkSession
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    own = written(classes.select("node", F.col("first").alias("doc_id"), F.col("shingles").alias("digest")).join(asked, "node"))
-    # only texts of candidates make their shingle sets again and travel: a filter of bounded size says which
-    model = spark.sparkContext.broadcast(bit_filter(own.select("doc_id")))
-    held = texts.mapInArrow(_sets(model, words), "doc_id long, digest binary, shingles binary")
-    sets = written(held.join(own.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", F.col("shingles")))
+    sets = written(_shingles(texts, classes, asked, words))
     compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
     compared = compared.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     return compared.select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long")
 
 
+def _shingles(texts: DataFrame, classes: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the nodes asked for."""
+    own = written(classes.select("node", F.col("first").alias("doc_id"), F.col("shingles").alias("digest")).join(asked, "node"))
+    # only texts of candidates make their shingle sets again and travel: a filter of bounded size says which
+    model = texts.sparkSession.sparkContext.broadcast(bit_filter(own.select("doc_id")))
+    held = texts.mapInArrow(_sets(model, words), "doc_id long, digest binary, shingles binary")
+    return held.join(own.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles")
+
+
 def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links reach, for each row of docs with a doc_id.
 
@@ -443,10 +523,10 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     linked = components(near)
     if more.limit(1).count():
         # all pairs that are left are compared as well, but those inside a group that the links above made
-        left = classes.select("node", "fp").join(more, "node").join(linked, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
+        left = written(classes.select("node", "fp").join(more, "node").join(linked, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
         posted = left.repartition(parts(spark), "node").mapInArrow(_post(4 * parts(spark), kind=GROUPED), "bucket int, entries binary")
-        rest = written(posted.groupBy("bucket").applyInArrow(_meet_rest, "a long, b long").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-        linked = components(near.unionByName(_compared(texts, classes, rest, words, least)))
+        rest = written(posted.groupBy("bucket").applyInArrow(_link_rest, "a long, b long").distinct())
+        linked = components(near.unionByName(_compared_groups(texts, classes, rest, left, words, least)))
     member = classes.join(linked, "node", "left").select("shingles", "first", F.coalesce("root", "node").alias("root"))
     roots = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(member.join(roots, "root").select("shingles", "component_id"))

@@ -386,6 +386,33 @@ def test_rest_of_a_bucket_is_all_pairs_between_groups(monkeypatch):
     assert sorted(zip(got["a"].to_pylist(), got["b"].to_pylist())) == want and len(want) > 500
 
 
+def test_near_groups_make_no_row_a_pair(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(44, 61), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(150)]
+    root = rng.integers(0, 12, 150) * (rng.random(150) < 0.4)
+    pairs = [(a, b) for a in range(150) for b in range(a + 1, 150) if root[a] != root[b] and simhash.similarity(sets[a], sets[b]) >= 0.8]
+
+    def groups(links):
+        label = root.tolist()
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = [x if k == y else k for k in label]
+        return {frozenset(k for k in range(150) if label[k] == x) for x in label}
+
+    def cell(some, side):
+        return pa.table({"node": pa.array(some), "root": pa.array(root[some]), "shingles": pa.array([sets[k].tobytes() for k in some]), "side": pa.array([side(k) for k in some])})
+
+    whole = list(range(150))
+    got = simhash._joined(0.8)(cell(whole, lambda k: 0))
+    links = list(zip(got["a"].to_pylist(), got["b"].to_pylist()))
+    assert len(pairs) > 300 and set(links) <= set(pairs) and len(links) < 12 and groups(links) == groups(pairs)
+    blocks = [simhash._joined(0.8)(cell([k for k in whole if k % 2 in x], lambda k: k % 2)) for x in ((0,), (1,), (0, 1))]
+    assert groups([e for b in blocks for e in zip(b["a"].to_pylist(), b["b"].to_pylist())]) == groups(pairs)
+    stars = simhash._stars(np.array([(5, 9), (9, 7), (2, 3), (5, 7), (5, 9)]))
+    assert sorted(map(tuple, stars.tolist())) == [(3, 2), (7, 5), (9, 5)]
+
+
 def test_simhash_edges(spark):
     got = simhash.groups(documents(spark)).collect()
     assert len(got) == len(rows())
