@@ -243,6 +243,33 @@ def _travel(mean: int, model, hold: int = 8 << 20):
     return run
 
 
+def _parcels(travel, tasks: int):
+    """Rows (part, parcel) of what travels: the rows of a stretch that go to the same task as one compressed stream."""
+    schema = pa.schema([("part", pa.int32()), ("parcel", pa.binary())])
+
+    def parcel(rows: pa.RecordBatch) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(rows)
+        return sink.getvalue().to_pybytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in travel(batches):
+            to = batch.column(0).to_numpy() % tasks
+            order = np.argsort(to, kind="stable")
+            there, start = np.unique(to[order], return_index=True)
+            rows = [batch.take(pa.array(x)) for x in np.split(order, start[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([parcel(x) for x in rows], pa.binary())], schema=schema)
+
+    return run
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column(0):
+            yield from pa.ipc.open_stream(x.as_py())
+
+
 def _met(path: str, mean: int, store_bytes: int, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -295,7 +322,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, mean: int = MEAN_CHUNK
     model = spark.sparkContext.broadcast((bit_filter(shared.select("digest")), hot))  # a filter of bounded size
     forget(shared)
     home = texts.mapInArrow(_home(path, mean, model), SCHEMA)
-    travelled = texts.mapInArrow(_travel(mean, model), "route long, text string, docs array<long>").repartition(tasks, "route").sortWithinPartitions("route")
+    parcels = texts.mapInArrow(_parcels(_travel(mean, model), tasks), "part int, parcel binary").repartitionById(tasks, F.col("part"))
+    travelled = parcels.select("parcel").mapInArrow(_opened, "route long, text string, docs array<long>").sortWithinPartitions("route")
     return home.unionByName(travelled.select("text", "docs").mapInArrow(_met(path, mean, store_bytes, model), SCHEMA))
 
 

@@ -386,6 +386,15 @@ def test_rest_of_a_bucket_is_all_pairs_between_groups(monkeypatch):
     assert sorted(zip(got["a"].to_pylist(), got["b"].to_pylist())) == want and len(want) > 500
 
 
+def test_what_travels_is_packed(spark, sf_dir):
+    words = [t for _, t in texts(spark, sf_dir).items() if t][:300]
+    rows_ = pa.RecordBatch.from_arrays([pa.array([7 * k - 900 for k in range(len(words))]), pa.array(words), pa.array([[k, None] for k in range(len(words))], pa.list_(pa.int64()))], names=["route", "text", "docs"])
+    sent = list(bpe._parcels(lambda batches: batches, 4)(iter([rows_])))
+    assert sent[0].column(0).to_pylist() == [0, 1, 2, 3] and sent[0].nbytes < 0.6 * rows_.nbytes
+    back = [r for b in bpe._opened(iter([sent[0].select([1])])) for r in b.to_pylist()]
+    assert sorted(back, key=lambda r: r["route"]) == rows_.to_pylist()
+
+
 def test_near_groups_make_no_row_a_pair(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
