@@ -334,7 +334,7 @@ def _meet_rest(bucket: pa.Table) -> pa.Table:
 
 
 def _link_rest(bucket: pa.Table) -> pa.Table:
-    """Links that connect the pairs of _meet_rest: a row a node, not one a pair."""
+    """(a, b) for each node a of the pairs of _meet_rest: b is the smallest of the groups that the pairs connect with its own. A row a node, not one a pair."""
     return _rest(bucket, True)
 
 
@@ -376,18 +376,27 @@ def _rest(bucket: pa.Table, connect: bool) -> pa.Table:
         if connect and len(found) > 64:  # no more pairs are held than some blocks give
             found[:] = [_stars(np.concatenate(found))]
     pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    pairs = _stars(pairs) if connect else pairs
+    if connect and len(pairs):
+        nodes, at = np.unique(entries["node"], return_index=True)
+        own = entries["root"][at]
+        groups_ = own[np.searchsorted(nodes, pairs)]
+        star = _stars(groups_[groups_[:, 0] != groups_[:, 1]])
+        met = np.unique(pairs)
+        root = own[np.searchsorted(nodes, met)]
+        order = np.argsort(star[:, 0])
+        place = np.minimum(np.searchsorted(star[order, 0], root), len(star) - 1)
+        pairs = np.stack([met, np.where(star[order[place], 0] == root, star[order[place], 1], root)], 1)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
 def _joined(least: float):
-    """Links (a, b) that join the groups `root` of a cell's nodes: every pair of different groups whose shingle sets have the similarity is found, one that joins what is joined already is left out."""
+    """Links (a, b) between the groups `root` of a cell's nodes: every pair of different groups whose shingle sets have the similarity is found, one that joins what is joined already is left out."""
 
     def run(cell: pa.Table) -> pa.Table:
-        node, side = cell.column("node").to_numpy(), cell.column("side").to_numpy()
+        root, side = cell.column("root").to_numpy(), cell.column("side").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in cell.column("shingles")]
         size = np.array([len(x) for x in sets])
-        group, members = np.unique(cell.column("root").to_numpy(), return_inverse=True)
+        group, members = np.unique(root, return_inverse=True)
         rare, count = np.unique(np.concatenate(sets), return_counts=True)
         rank = np.empty(len(rare), np.int64)
         rank[np.argsort(count, kind="stable")] = np.arange(len(rare))
@@ -405,9 +414,9 @@ def _joined(least: float):
             near = near[(label[members[near]] != label[members[i]]) & (size[near] >= least * size[i] - 1e-9) & (least * size[near] <= size[i] + 1e-9)]
             for j in near[side[near] != side[i]].tolist() if both else near.tolist():
                 if label[members[i]] != label[members[j]] and similarity(sets[i], sets[j]) >= least:
-                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+                    out.append((i, j))
                     label[label == label[members[j]]] = label[members[i]]
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        return pa.table({"a": pa.array([root[i] for i, _ in out], pa.int64()), "b": pa.array([root[j] for _, j in out], pa.int64())})
 
     return run
 
@@ -417,9 +426,11 @@ CELL_BYTES = 32 << 20
 
 
 def _compared_groups(texts: DataFrame, classes: DataFrame, near: DataFrame, left: DataFrame, words: int, least: float) -> DataFrame:
-    """Links (a, b) of similarity `least` that join the groups (left: node, root) of nodes that near (a, b) connects: all pairs of a connected set are compared where its shingle sets lie, and none is a row."""
-    within = written(components(near).select("node", F.col("root").alias("set")))
-    sets = written(within.join(left.select("node", "root").hint("merge"), "node").join(_shingles(texts, classes, within.select("node"), words).hint("merge"), "node"))
+    """Links (a, b: groups) of the groups `root` of nodes (left: node, root) that near (node, group) connects: all pairs of a connected set are compared where its shingle sets lie, and none is a row."""
+    met = written(near.join(left.select("node", "root").hint("merge"), "node"))
+    sets = components(met.select(F.col("root").alias("a"), F.col("group").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("set"))
+    within = written(met.select("node", "root").distinct().join(sets, "root").select("node", "root", "set"))
+    sets = written(within.join(_shingles(texts, classes, within.select("node"), words).hint("merge"), "node"))
     sides = sets.groupBy("set").agg(F.expr(f"cast(ceil(sum(length(shingles)) / {CELL_BYTES}) as int)").alias("n"))
     placed = sets.join(sides.select("set", F.greatest("n", F.lit(1)).alias("n")), "set").withColumn("side", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least("side", k).alias("i"), F.greatest("side", k).alias("j")))).alias("cell")
@@ -525,8 +536,12 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
         # all pairs that are left are compared as well, but those inside a group that the links above made
         left = written(classes.select("node", "fp").join(more, "node").join(linked, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
         posted = left.repartition(parts(spark), "node").mapInArrow(_post(4 * parts(spark), kind=GROUPED), "bucket int, entries binary")
-        rest = written(posted.groupBy("bucket").applyInArrow(_link_rest, "a long, b long").distinct())
-        linked = components(near.unionByName(_compared_groups(texts, classes, rest, left, words, least)))
+        rest = written(posted.groupBy("bucket").applyInArrow(_link_rest, "a long, b long").distinct()).toDF("node", "group")
+        # the groups are joined, not their members' links gone through again
+        over = written(components(_compared_groups(texts, classes, rest, left, words, least)).select(F.col("node").alias("root"), F.col("root").alias("top")))
+        both = linked.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        alone = over.join(linked.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+        linked = both.unionByName(alone)
     member = classes.join(linked, "node", "left").select("shingles", "first", F.coalesce("root", "node").alias("root"))
     roots = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(member.join(roots, "root").select("shingles", "component_id"))

@@ -401,12 +401,13 @@ def test_near_groups_make_no_row_a_pair(monkeypatch):
     sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(44, 61), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(150)]
     root = rng.integers(0, 12, 150) * (rng.random(150) < 0.4)
     pairs = [(a, b) for a in range(150) for b in range(a + 1, 150) if root[a] != root[b] and simhash.similarity(sets[a], sets[b]) >= 0.8]
+    near = [(int(root[a]), int(root[b])) for a, b in pairs]
 
     def groups(links):
-        label = root.tolist()
+        label, name = root.tolist(), {x: x for x in root.tolist()}
         for a, b in links:
-            x, y = label[a], label[b]
-            label = [x if k == y else k for k in label]
+            name = {k: name[a] if v == name[b] else v for k, v in name.items()}
+        label = [name[x] for x in label]
         return {frozenset(k for k in range(150) if label[k] == x) for x in label}
 
     def cell(some, side):
@@ -415,11 +416,18 @@ def test_near_groups_make_no_row_a_pair(monkeypatch):
     whole = list(range(150))
     got = simhash._joined(0.8)(cell(whole, lambda k: 0))
     links = list(zip(got["a"].to_pylist(), got["b"].to_pylist()))
-    assert len(pairs) > 300 and set(links) <= set(pairs) and len(links) < 12 and groups(links) == groups(pairs)
+    assert len(pairs) > 300 and set(links) <= set(near) | {(b, a) for a, b in near} and len(links) < 12 and groups(links) == groups(near)
     blocks = [simhash._joined(0.8)(cell([k for k in whole if k % 2 in x], lambda k: k % 2)) for x in ((0,), (1,), (0, 1))]
-    assert groups([e for b in blocks for e in zip(b["a"].to_pylist(), b["b"].to_pylist())]) == groups(pairs)
+    assert groups([e for b in blocks for e in zip(b["a"].to_pylist(), b["b"].to_pylist())]) == groups(near)
     stars = simhash._stars(np.array([(5, 9), (9, 7), (2, 3), (5, 7), (5, 9)]))
     assert sorted(map(tuple, stars.tolist())) == [(3, 2), (7, 5), (9, 5)]
+    fp = rng.integers(0, 4, (150, simhash.STREAMS), np.uint64)
+    batch = pa.record_batch([pa.array(whole), pa.array([x.tobytes() for x in fp]), pa.array(root)], names=["n", "f", "r"])
+    bucket = pa.table({"entries": [r["entries"] for b in simhash._post(1, kind=simhash.GROUPED)(iter([batch])) for r in b.to_pylist()]})
+    met, linked = simhash._meet_rest(bucket), simhash._link_rest(bucket)
+    met, linked = (list(zip(x["a"].to_pylist(), x["b"].to_pylist())) for x in (met, linked))
+    assert [a for a, _ in linked] == sorted({k for e in met for k in e}) and len(met) > 10 * len(linked)
+    assert groups([(int(root[a]), b) for a, b in linked]) == groups([(int(root[a]), int(root[b])) for a, b in met])
 
 
 def test_simhash_edges(spark):
