@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bit_filter, in_filter, parts, table, written
+from loomgraph.llm.common import bit_filter, in_filter, packed_bits, parts, table, written
 from loomgraph.llm.components import components
 
 SEED, WORDS, BITS = 42, 3, 2
@@ -169,6 +169,8 @@ STEPS, OFFSETS, SHORT, AHEAD = (1, 5), (2, 3, 7, 9, 11, 13, 17, 19, 20, 23, 26,
 #: Bits of the whole fingerprint that a pair may differ in: 39 in the mean at a similarity of 0.8, with a deviation of 6, and 128 for unlike texts.
 FAR = 52
 _CHOICES = np.array([(s, (s + step) % WIDE) for step in STEPS for s in range(WIDE)])
+#: log2 of the lists there may be.
+LIST_BITS = ((len(_CHOICES) << 16) - 1).bit_length()
 _STREAM = (np.arange(1, STREAMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
 
@@ -222,8 +224,40 @@ BLOCK = 1 << 19
 GROUPED = np.dtype([*ENTRY.descr, ("root", "<i8")])
 
 
-def _post(buckets: int, rows: int = 1024, kind: np.dtype = ENTRY):
-    """Rows (bucket, entries): the index entries of a stretch of texts, packed by the bucket of their list; of node, fp and, if GROUPED, root."""
+def _lists_of(wide: np.ndarray) -> np.ndarray:
+    """The lists of each fingerprint (a row of WIDE bytes), a column a choice."""
+    value = wide.astype(np.uint32)
+    return np.arange(len(_CHOICES), dtype=np.uint32) << 16 | value[:, _CHOICES[:, 0]] << 8 | value[:, _CHOICES[:, 1]]
+
+
+def _in_lists(bits: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    return (bits[lists >> 3] >> (lists & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _first_list(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the list of the entries a and b, pair by pair, is the first of those that their fingerprints share."""
+    out = np.empty(len(a), bool)
+    for k in range(0, len(a), 1 << 16):
+        x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+        same = np.ascontiguousarray(x["fp"] ^ y["fp"]).view(np.uint8).reshape(len(x), WIDE) == 0
+        out[k : k + len(x)] = (same[:, _CHOICES[:, 0]] & same[:, _CHOICES[:, 1]]).argmax(1) == x["list"] >> 16
+    return out
+
+
+def _open_nodes(model):
+    """(node, fp) of those in any list of the bits."""
+    schema = pa.schema([("node", pa.int64()), ("fp", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(_in_lists(model.value, _lists_of(wide)).any(1)))
+
+    return run
+
+
+def _post(buckets: int, rows: int = 1024, kind: np.dtype = ENTRY, model=None):
+    """Rows (bucket, entries): the index entries of a stretch of texts, packed by the bucket of their list; of node, fp and, if GROUPED, root. With a model (bits of lists) those of its lists only."""
     schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 
     def posted(nodes: list[int], fps: list[bytes], roots: list[int]) -> pa.RecordBatch:
@@ -231,15 +265,16 @@ def _post(buckets: int, rows: int = 1024, kind: np.dtype = ENTRY):
         entries = np.empty((len(nodes), len(_CHOICES)), kind)
         if kind is GROUPED:
             entries["root"] = np.array(roots, np.int64)[:, None]
-        value = wide.astype(np.uint32)
-        entries["list"] = np.arange(len(_CHOICES), dtype=np.uint32) << 16 | value[:, _CHOICES[:, 0]] << 8 | value[:, _CHOICES[:, 1]]
+        entries["list"] = _lists_of(wide)
         entries["node"] = np.array(nodes, np.int64)[:, None]
         entries["fp"] = wide.copy().view("<u8")[:, None, :]
         entries = entries.ravel()
+        if model is not None:
+            entries = entries[_in_lists(model.value, entries["list"])]
         bucket = ((entries["list"] * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         entries, bucket = entries[order], bucket[order]
-        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
         ends = np.append(start[1:], len(bucket))
         return pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int32()), pa.array([entries[i:j].tobytes() for i, j in zip(start.tolist(), ends.tolist())], pa.binary())], schema=schema)
 
@@ -275,9 +310,9 @@ def _pairs_ahead(key: np.ndarray, fp: np.ndarray, ahead: int) -> Iterator[tuple[
 
 
 def _meet(bucket: pa.Table) -> pa.Table:
-    """Candidate links (a < b) of the lists of a bucket: of the near pairs of short lists, and in long ones, of those that share a third byte, of neighbours in the order of further bytes, those of _spanning.
+    """Candidate links (a < b) of the lists of a bucket, a pair in the first of its lists only: of the near pairs of short lists, and in long ones, of those that share a third byte, of neighbours in the order of further bytes, those of _spanning.
 
-    A row (a, a) says that a has pairs in the bucket that are not among them: _meet_rest gives those.
+    A row (a, a, list) says that the list, of which a is a member, has pairs that are not among them: _link_rest goes through it.
     """
     entries = np.frombuffer(b"".join(x.as_py() for x in bucket.column("entries")), ENTRY)
     entries = entries[np.argsort(entries["list"], kind="stable")]
@@ -285,7 +320,7 @@ def _meet(bucket: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
     size = np.diff(np.append(start, len(lists)))
     long_ = np.repeat(size > SHORT, size)
-    found = []
+    found = [np.empty((0, 4), np.int64)]
     for some, third in ((~long_, False), (long_, True)):
         e = entries[some]
         if not len(e):
@@ -302,13 +337,20 @@ def _meet(bucket: pa.Table) -> pa.Table:
                 key = e["list"].astype(np.uint64) << np.uint64(8) | at(offset)
                 order = np.argsort(key << np.uint64(16) | rest, kind="stable")
                 orders.append((order, key[order]))
+        met = [np.empty((0, 3), np.int64)]
         for order, key in orders:
-            node, fp = e["node"][order], e["fp"][order]
-            found += [np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), apart], 1) for i, j, apart in _pairs_ahead(key, fp, AHEAD if third else SHORT)]
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
-    links_, left = _spanning(pairs[np.argsort(pairs[:, 2], kind="stable")])
-    more = np.unique(np.concatenate([entries["node"][long_], np.array(left, np.int64).ravel()])).tolist()
-    return pa.table({"a": pa.array([x[0] for x in links_] + more, pa.int64()), "b": pa.array([x[1] for x in links_] + more, pa.int64())})
+            met += [np.stack([np.minimum(order[i], order[j]), np.maximum(order[i], order[j]), apart], 1) for i, j, apart in _pairs_ahead(key, e["fp"][order], AHEAD if third else SHORT)]
+        i, j, apart = np.unique(np.concatenate(met), axis=0).T
+        mine = _first_list(e[i], e[j])
+        i, j, apart = i[mine], j[mine], apart[mine]
+        a, b = e["node"][i], e["node"][j]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b), apart, e["list"][i]], 1))
+    pairs = np.concatenate(found)
+    links_, left = _spanning(pairs[np.lexsort((pairs[:, 1], pairs[:, 0], pairs[:, 2]))])
+    more = start[(size > SHORT) | np.isin(lists[start], list(left))]
+    a, b = np.array(links_, np.int64).reshape(-1, 2).T
+    member = entries["node"][more]
+    return pa.table({"a": pa.array(np.concatenate([a, member])), "b": pa.array(np.concatenate([b, member])), "list": pa.array(np.concatenate([np.full(len(a), -1), lists[more]]).astype(np.int64))})
 
 
 def _stars(pairs: np.ndarray) -> np.ndarray:
@@ -351,8 +393,7 @@ def _rest(bucket: pa.Table, connect: bool) -> pa.Table:
         i, j = i[other], j[other]
         for k in range(0, len(i), 1 << 16):
             a, b = e[i[k : k + (1 << 16)]], e[j[k : k + (1 << 16)]]
-            same = np.ascontiguousarray(a["fp"] ^ b["fp"]).view(np.uint8).reshape(len(a), WIDE) == 0
-            first = (same[:, _CHOICES[:, 0]] & same[:, _CHOICES[:, 1]]).argmax(1) == a["list"] >> 16
+            first = _first_list(a, b)
             x, y = a["node"][first], b["node"][first]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
 
@@ -438,8 +479,8 @@ def _compared_groups(texts: DataFrame, classes: DataFrame, near: DataFrame, left
     return dealt.groupBy("set", "i", "j").applyInArrow(_joined(least), "a long, b long")
 
 
-def _spanning(pairs: np.ndarray, each: int = 2) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Of pairs, nearest first, those that join two groups so far, and each member's `each` nearest: a group of n gives some n links, not its square; and the other pairs."""
+def _spanning(pairs: np.ndarray, each: int = 2) -> tuple[list[tuple[int, int]], set[int]]:
+    """Of pairs (a, b, bits apart, list), nearest first, those that join two groups so far, and each member's `each` nearest: a group of n gives some n links, not its square; and the lists of the other pairs."""
     root: dict[int, int] = {}
     count: dict[int, int] = {}
 
@@ -450,15 +491,15 @@ def _spanning(pairs: np.ndarray, each: int = 2) -> tuple[list[tuple[int, int]],
             x = root[x]
         return x
 
-    out, left = [], []
-    for a, b, _ in pairs.tolist():
+    out, left = [], set()
+    for a, b, _, held in pairs.tolist():
         x, y = find(a), find(b)
         if x != y or count.get(a, 0) < each or count.get(b, 0) < each:
             root[x] = y
             count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
             out.append((a, b))
         else:
-            left.append((a, b))
+            left.add(held)
     return out, left
 
 
@@ -528,14 +569,16 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     # the buckets follow the shuffle partitions, so a bucket stays as small as they are
     spread = classes.select("node", "fp").repartition(parts(spark), "node")
     posted = spread.mapInArrow(_post(4 * parts(spark)), "bucket int, entries binary")
-    met = written(posted.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct())
-    pairs, more = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("node"))
+    met = written(posted.groupBy("bucket").applyInArrow(_meet, "a long, b long, list long"))
+    pairs, more = met.where("list < 0").select("a", "b"), met.where("list >= 0").select(F.col("list").alias("slot"))
     near = written(_compared(texts, classes, pairs, words, least))
     linked = components(near)
     if more.limit(1).count():
         # all pairs that are left are compared as well, but those inside a group that the links above made
-        left = written(classes.select("node", "fp").join(more, "node").join(linked, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
-        posted = left.repartition(parts(spark), "node").mapInArrow(_post(4 * parts(spark), kind=GROUPED), "bucket int, entries binary")
+        model = spark.sparkContext.broadcast(packed_bits(more, LIST_BITS))
+        open_ = classes.select("node", "fp").mapInArrow(_open_nodes(model), "node long, fp binary")
+        left = written(open_.join(linked, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
+        posted = left.repartition(parts(spark), "node").mapInArrow(_post(4 * parts(spark), kind=GROUPED, model=model), "bucket int, entries binary")
         rest = written(posted.groupBy("bucket").applyInArrow(_link_rest, "a long, b long").distinct()).toDF("node", "group")
         # the groups are joined, not their members' links gone through again
         over = written(components(_compared_groups(texts, classes, rest, left, words, least)).select(F.col("node").alias("root"), F.col("root").alias("top")))

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -430,6 +431,42 @@ def test_near_groups_make_no_row_a_pair(monkeypatch):
     assert groups([(int(root[a]), b) for a, b in linked]) == groups([(int(root[a]), int(root[b])) for a, b in met])
 
 
+def test_near_pairs_come_once_or_their_list_is_named():  # pipeline: rows of _meet
+    def met(n):
+        rng = np.random.default_rng(12)
+        fp = np.repeat(rng.integers(0, 1 << 63, (1, simhash.STREAMS), dtype=np.uint64), n, 0)
+        for row in fp:
+            for bit in rng.integers(0, 64 * simhash.STREAMS, rng.integers(0, 24)):
+                row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        nodes = pa.record_batch([pa.array(range(n)), pa.array([x.tobytes() for x in fp])], names=["n", "f"])
+        by = {}
+        for b in simhash._post(200)(iter([nodes])):
+            for r in b.to_pylist():
+                by.setdefault(r["bucket"], []).append(r["entries"])
+        return fp, nodes, [r for k in by for r in simhash._meet(pa.table({"entries": by[k]})).to_pylist()]
+
+    fp, nodes, got = met(200)
+    pairs, named = [(r["a"], r["b"]) for r in got if r["a"] != r["b"]], {r["list"] for r in got if r["a"] == r["b"]}
+    assert len(pairs) == len(set(pairs)) and all(r["list"] == -1 for r in got if r["a"] != r["b"])
+    lists = simhash._lists_of(fp.view(np.uint8).reshape(200, -1))
+    for a in range(200):
+        for b in range(a + 1, 200):
+            shared = lists[a] == lists[b]
+            if shared.any() and np.bitwise_count(fp[a] ^ fp[b]).sum() <= simhash.FAR:
+                assert (a, b) in set(pairs) or lists[a][shared.argmax()] in named
+    assert len(got) < 30 * 200 and len(met(800)[2]) < 30 * 800
+    # the second round goes through the named lists, and the nodes in them, only
+    bits = np.zeros(1 << simhash.LIST_BITS - 3, np.uint8)
+    some = sorted(named)[::7]
+    for x in some:
+        bits[x >> 3] |= 1 << (x & 7)
+    model = SimpleNamespace(value=bits)
+    entries = np.concatenate([np.frombuffer(r["entries"], simhash.ENTRY) for b in simhash._post(3, model=model)(iter([nodes])) for r in b.to_pylist()])
+    want = [(int(x), k) for k in range(200) for x in lists[k] if x in some]
+    assert sorted(zip(entries["list"].tolist(), entries["node"].tolist())) == sorted(want)
+    assert [k for b in simhash._open_nodes(model)(iter([nodes])) for k in b.column(0).to_pylist()] == sorted({k for _, k in want})
+
+
 def test_simhash_edges(spark):
     got = simhash.groups(documents(spark)).collect()
     assert len(got) == len(rows())
