@@ -184,9 +184,11 @@ def community_objective(spark, sf_dir):
 )
 def context_path_loss(spark, sf_dir):
     """Losses of context paths of one and two steps, weighted by length."""
-    _, e = users(spark, sf_dir)
+    # written once, since each reading of the interactions sorts all events by time
+    e = cut(users(spark, sf_dir)[1].select("src", "dst"))
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("z"))
-    one = e.select("src", "dst").distinct()
+    # dst is an end of both pairs of an edge: without a vector neither has a score
+    one = e.join(v.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
     pairs = one.select(F.lit(1).alias("k"), "src", "dst", F.lit(1).alias("label"))
     pairs = pairs.unionByName(one.select(F.lit(1).alias("k"), F.col("dst").alias("src"), F.expr("src div 2").alias("dst"), F.lit(0).alias("label")))
     scored = E.context_score(pairs, v, [1.0] * 64)
