@@ -14,7 +14,7 @@ from loomgraph.operators import models as D
 from loomgraph.operators import sampling as S
 from loomgraph.operators import training as G
 from loomgraph.operators import transforms as X2
-from loomgraph.operators.blocks import two_step_loss
+from loomgraph.operators.blocks import two_step_loss, with_vectors
 from loomgraph.operators.relational import dense_ids
 from loomgraph.operators.storage import cut
 from loomgraph.operators.temporal import window_partners
@@ -184,11 +184,10 @@ def community_objective(spark, sf_dir):
 )
 def context_path_loss(spark, sf_dir):
     """Losses of context paths of one and two steps, weighted by length."""
-    # written once, since each reading of the interactions sorts all events by time
-    e = cut(users(spark, sf_dir)[1].select("src", "dst"))
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("z"))
-    # dst is an end of both pairs of an edge: without a vector neither has a score
-    one = e.join(v.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+    # written once, since each reading of the interactions sorts all events by time; an edge with no vector at an end is in no pair that has a score
+    e = cut(with_vectors(users(spark, sf_dir)[1].select("src", "dst"), v).distinct())
+    one = e.where("last")  # dst is an end of both pairs of an edge
     pairs = one.select(F.lit(1).alias("k"), "src", "dst", F.lit(1).alias("label"))
     pairs = pairs.unionByName(one.select(F.lit(1).alias("k"), F.col("dst").alias("src"), F.expr("src div 2").alias("dst"), F.lit(0).alias("label")))
     scored = E.context_score(pairs, v, [1.0] * 64)
