@@ -7,6 +7,7 @@ and those that occur again go into a filter of bounded size. A text without any
 is encoded where it is. The others travel, copies as one row, to the task of
 their least shared chunk, so documents that share chunks meet, and there every
 shared chunk is encoded once and kept in a bounded store that outlives the task.
+A task has one Python process, which holds some megabytes of text at a time.
 
 Joins between chunks are repaired: from the start of the last pre-token that is
 sure, the whole text's pre-tokens are followed until one ends where one of the
@@ -17,7 +18,8 @@ chunk's own; a join that finds no such place grows through the chunk.
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from tempfile import SpooledTemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bit_filter, forget, in_filter, parts, table, written
+from loomgraph.llm.common import bit_filter, forget, in_filter, parts, slots_of, table, written
 from loomgraph.llm.tokens import PATTERN, codec, default_path
 
 #: Rolling window in bytes, mean chunk in bytes (powers of two), and the store's bound in bytes a worker.
 ROLL, MEAN_CHUNK, STORE_BYTES = 16, 1024, 24 << 20
-SCHEMA = "doc_id long, ids binary"
-ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+#: Bytes of a batch that goes out, of travelled text that is sorted at once, and of parcels that stay in memory.
+BATCH, WINDOW, PARCELS = 4 << 20, 8 << 20, 32 << 20
+SCHEMA, DECODED = "doc_id long, ids binary", "doc_id long, ids binary, decoded string"
+ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 _PRE = regex.compile(PATTERN)
 
 
@@ -176,23 +180,31 @@ def _digests(mean: int):
     return run
 
 
-def _batched(rows: Iterator[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
+def _batched(rows: Iterator[tuple[list[int | None], np.ndarray]], decode: Callable[[np.ndarray], str] | None) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids and, if decode is given, the decoded text, from documents and the ids that they have in common."""
+    schema = ARROW if decode else pa.schema(list(ARROW)[:2])
     some, held = [], 0
-    for row in rows:
-        some.append(row)
-        held += len(row[1]) + 16
-        if held > 16 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), ARROW.types)], schema=ARROW)
-            some, held = [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), schema.types)], schema=schema)
+
+    for docs, ids in rows:
+        cells = (ids.astype("<u4").tobytes(), *([decode(ids)] if decode else []))
+        for doc in docs:
+            some.append((doc, *cells))
+            held += sum(map(len, cells)) + 16
+            if held > BATCH:
+                yield out()
+                some, held = [], 0
     if some:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), ARROW.types)], schema=ARROW)
+        yield out()
 
 
-def _home(path: str, mean: int, model):
+def _home(path: str, mean: int, model, decoded: bool):
     """ids of the texts that share no chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(path).encode
+        own = codec(path)
 
         def rows():
             for batch in batches:
@@ -200,9 +212,9 @@ def _home(path: str, mean: int, model):
                     text = x.as_py() or ""
                     raw = text.encode()
                     if not raw or not in_filter(model.value[0], digests(raw, chunks(raw, mean))).any():
-                        yield doc, encode(text).astype("<u4").tobytes()
+                        yield [doc], own.encode(text)
 
-        yield from _batched(rows())
+        yield from _batched(rows(), own.decode if decoded else None)
 
     return run
 
@@ -244,8 +256,8 @@ def _travel(mean: int, model, hold: int = 8 << 20):
 
 
 def _parcels(travel, tasks: int):
-    """Rows (part, parcel) of what travels: the rows of a stretch that go to the same task as one compressed stream."""
-    schema = pa.schema([("part", pa.int32()), ("parcel", pa.binary())])
+    """Rows (part, parcel, size) of what travels: the rows of a stretch that go to the same task as one compressed stream, and their bytes before."""
+    schema = pa.schema([("part", pa.int32()), ("parcel", pa.binary()), ("size", pa.int64())])
 
     def parcel(rows: pa.RecordBatch) -> bytes:
         sink = pa.BufferOutputStream()
@@ -259,7 +271,7 @@ def _parcels(travel, tasks: int):
             order = np.argsort(to, kind="stable")
             there, start = np.unique(to[order], return_index=True)
             rows = [batch.take(pa.array(x)) for x in np.split(order, start[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([parcel(x) for x in rows], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([parcel(x) for x in rows], pa.binary()), pa.array([x.nbytes for x in rows], pa.int64())], schema=schema)
 
     return run
 
@@ -270,29 +282,54 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from pa.ipc.open_stream(x.as_py())
 
 
-def _met(path: str, mean: int, store_bytes: int, model):
+def _in_turn(batches: Iterator[pa.RecordBatch], window: int = WINDOW, most: int = PARCELS) -> Iterator[tuple[str, list[int | None]]]:
+    """(text, docs) of a task's parcels (parcel, size), those of a route one after another.
+
+    The parcels stay compressed, beyond `most` bytes in a temporary file, and are opened once for each share of the routes
+    that has some `window` bytes. A share of more than two windows comes in several sorted runs.
+    """
+
+    def by_route(held: list[pa.RecordBatch]) -> Iterator[tuple[str, list[int | None]]]:
+        for _, k, i in sorted((route, k, i) for k, rows in enumerate(held) for i, route in enumerate(rows.column(0).to_pylist())):
+            yield held[k].column(1)[i].as_py(), held[k].column(2)[i].as_py()
+
+    with SpooledTemporaryFile(most) as kept:
+        lengths, size = [], 0
+        for batch in batches:
+            lengths += [kept.write(x.as_buffer()) for x in batch.column(0)]
+            size += sum(batch.column(1).to_pylist())
+        shares = -(-size // window)
+        for share in range(shares):
+            kept.seek(0)
+            held, n = [], 0
+            for rows in _opened(pa.record_batch([pa.array([kept.read(x)], pa.binary())], names=["parcel"]) for x in lengths):
+                held.append(rows.filter(pa.array(slots_of(rows.column(0).to_numpy(), 32) % shares == share)))
+                n += held[-1].nbytes
+                if n > 2 * window:
+                    yield from by_route(held)
+                    held, n = [], 0
+            yield from by_route(held)
+
+
+def _met(path: str, mean: int, store_bytes: int, model, decoded: bool):
+    """ids of the texts that travelled, from parcels."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         store = _STORES.setdefault(f"{path} {mean} {store_bytes}", Store(store_bytes))
 
         def rows():
-            for batch in batches:
-                for x, docs in zip(batch.column(0), batch.column(1).to_pylist()):
-                    text = x.as_py()
-                    raw = text.encode()
-                    spans = chunks(raw, mean)
-                    ids = encode_chunked(text, own, store, spans, in_filter(model.value[0], digests(raw, spans))).astype("<u4").tobytes()
-                    for doc in docs:
-                        yield doc, ids
+            for text, docs in _in_turn(batches):
+                raw = text.encode()
+                spans = chunks(raw, mean)
+                yield docs, encode_chunked(text, own, store, spans, in_filter(model.value[0], digests(raw, spans)))
 
-        yield from _batched(rows())
+        yield from _batched(rows(), own.decode if decoded else None)
 
     return run
 
 
 def _decoder(path: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec(path).decode
         for batch in batches:
@@ -300,17 +337,19 @@ def _decoder(path: str):
             for at in range(0, batch.num_rows, n):
                 part = batch.slice(at, n)
                 texts = [decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], schema=ARROW)
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, mean: int = MEAN_CHUNK, store_bytes: int = STORE_BYTES) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, mean: int = MEAN_CHUNK, store_bytes: int = STORE_BYTES, decoded: bool = False) -> DataFrame:
     """doc_id and ids (little-endian 32-bit) of every whole text; a null text counts as empty and has no ids.
 
     Repeated rows are encoded row by row; an empty table gives no rows; other
-    columns of docs are ignored. Texts that share chunks travel once.
+    columns of docs are ignored. Texts that share chunks travel once. With
+    decoded, the column that decode() adds comes from the same process.
     """
+    schema = DECODED if decoded else SCHEMA
     spark, path = docs.sparkSession, tokenizer or default_path()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = texts.select("text").mapInArrow(_digests(mean), "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
@@ -321,20 +360,20 @@ def encode(docs: DataFrame, tokenizer: str | None = None, mean: int = MEAN_CHUNK
     hot = {r["digest"]: -(-r["n"] // limit) for r in shared.where(F.col("n") > limit).collect()}
     model = spark.sparkContext.broadcast((bit_filter(shared.select("digest")), hot))  # a filter of bounded size
     forget(shared)
-    home = texts.mapInArrow(_home(path, mean, model), SCHEMA)
-    parcels = texts.mapInArrow(_parcels(_travel(mean, model), tasks), "part int, parcel binary").repartitionById(tasks, F.col("part"))
-    travelled = parcels.select("parcel").mapInArrow(_opened, "route long, text string, docs array<long>").sortWithinPartitions("route")
-    return home.unionByName(travelled.select("text", "docs").mapInArrow(_met(path, mean, store_bytes, model), SCHEMA))
+    home = texts.mapInArrow(_home(path, mean, model, decoded), schema)
+    parcels = texts.mapInArrow(_parcels(_travel(mean, model), tasks), "part int, parcel binary, size long").repartitionById(tasks, F.col("part"))
+    # one Python process a task: each has its own tokenizer, and all of a plan's stage live at the same time
+    return home.unionByName(parcels.select("parcel", "size").mapInArrow(_met(path, mean, store_bytes, model, decoded), schema))
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, ids and the decoded text; ids that are no UTF-8 together give replacement characters, as in the library."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(tokenizer or default_path()), SCHEMA + ", decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(tokenizer or default_path()), DECODED)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of the ids, and digest of the decoded text, of every document; edge rows as in encode()."""
-    return decode(encode(table(spark, sf_dir, "documents"))).select(
+    return encode(table(spark, sf_dir, "documents"), decoded=True).select(
         "doc_id",
         F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -396,6 +396,41 @@ def test_what_travels_is_packed(spark, sf_dir):
     assert sorted(back, key=lambda r: r["route"]) == rows_.to_pylist()
 
 
+def test_what_travelled_is_opened_by_route(spark, sf_dir):
+    words = [t for _, t in texts(spark, sf_dir).items() if t] * 3
+    rows_ = pa.RecordBatch.from_arrays([pa.array([11 * (k % 50) - 300 for k in range(len(words))]), pa.array(words), pa.array([[k, None] for k in range(len(words))], pa.list_(pa.int64()))], names=["route", "text", "docs"])
+    stretches = [rows_.slice(at, 40) for at in range(0, len(words), 40)]
+    sent = [b.select([1, 2]) for b in bpe._parcels(lambda batches: batches, 4)(iter(stretches))]
+    assert sum(b.column(1).to_pylist() != [] for b in sent) == len(stretches)
+    for window, most in ((1 << 30, 1 << 30), (rows_.nbytes // 9, 10_000), (1000, 10_000)):  # all at once, by shares, and with routes beyond a window
+        got = list(bpe._in_turn(iter(sent), window, most))
+        assert sorted(docs[0] for _, docs in got) == list(range(len(words))) and all(t == words[docs[0]] and docs[1] is None for t, docs in got)
+        routes = [docs[0] % 50 for _, docs in got]
+        if window > 1000:
+            assert sum(a != b for a, b in zip(routes, routes[1:])) == 49
+    assert list(bpe._in_turn(iter([]))) == []
+
+
+def test_bpe_has_one_python_process_a_task(spark, sf_dir):
+    """A process of one stage feeds no other: six of them, each with a tokenizer, took an executor of two cores beyond 3000 MB."""
+    plan = bpe.op2_bpe(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    nodes = [(len(m[1]), m[2]) for x in plan.splitlines() if (m := re.match(r"([\s:+|-]*)(?:\*\s?\(\d+\) )?([A-Z]\w+)", x))]
+    above: list[tuple[int, str]] = []
+    for depth, node in nodes:
+        above = [x for x in above if x[0] < depth]
+        stage = [x for _, x in above]
+        stage = stage[max((k for k, x in enumerate(stage) if x == "Exchange"), default=-1) + 1 :]
+        assert node != "MapInArrow" or "MapInArrow" not in stage
+        above.append((depth, node))
+    assert sum(x == "MapInArrow" for _, x in nodes) == 3
+
+
+def test_bpe_decodes_where_it_encodes(spark, library):
+    docs = documents(spark)
+    both = [sorted(map(tuple, x.collect()), key=str) for x in (bpe.encode(docs, decoded=True), bpe.decode(bpe.encode(docs)))]
+    assert both[0] == both[1] and bpe.encode(empty(spark), decoded=True).columns == ["doc_id", "ids", "decoded"]
+
+
 def test_near_groups_make_no_row_a_pair(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
