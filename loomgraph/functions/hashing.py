@@ -106,9 +106,9 @@ def md5_numbers(*keys: np.ndarray, tail: str = "", stretch: int = 1 << 14) -> np
 _TENS = np.array([-(1 << 63)] + [10**k for k in range(1, 19)], np.int64)
 
 
-def _digits(numbers: np.ndarray, sizes: np.ndarray, at: int, last: int) -> np.ndarray:
-    """Words (a row for each four bytes) of a text with the number from byte `at` on, then the byte `last`, else zeros."""
-    text = np.zeros((len(numbers), (at + 20 + 4) // 4 * 4), np.uint8)
+def _digits(numbers: np.ndarray, sizes: np.ndarray, at: int, last: bytes) -> np.ndarray:
+    """Words (a row for each four bytes) of a text with the number from byte `at` on, then `last`, else zeros."""
+    text = np.zeros((len(numbers), (at + 20 + len(last) + 3) // 4 * 4), np.uint8)
     for n in np.unique(sizes).tolist():
         of = np.flatnonzero(sizes == n)
         rest = numbers[of]
@@ -116,30 +116,31 @@ def _digits(numbers: np.ndarray, sizes: np.ndarray, at: int, last: int) -> np.nd
             less = rest // 10
             text[of, j] = rest - 10 * less + 48
             rest = less
-        text[of, at + n] = last
+        text[of, at + n : at + n + len(last)] = list(last)
     return np.ascontiguousarray(text.view("<u4").T)
 
 
 class PairNumbers:
-    """md5_numbers of pairs (source, end) whose ends are a fixed array: the text of an end is laid out once for each length of what stands before it."""
+    """md5_numbers of pairs (source, end) whose ends are a fixed array, with a tail of up to 14 bytes: the text of an end is laid out once for each length of what stands before it."""
 
-    def __init__(self, ends: np.ndarray):
+    def __init__(self, ends: np.ndarray, tail: str = ""):
         self.ends, self.sizes = ends, np.searchsorted(_TENS, ends, "right")
+        self.tail, self.end = tail, f"|{tail}".encode() if tail else b""
         self.plain = bool(len(ends)) and int(ends.min()) >= 0
         self.words: dict[int, np.ndarray] = {}
 
     def of(self, sources: np.ndarray, row: np.ndarray, place: np.ndarray, stretch: int = 1 << 15) -> np.ndarray:
         """The numbers of the pairs (sources[row], ends[place])."""
         if not self.plain or int(sources.min()) < 0:
-            return md5_numbers(sources[row], self.ends[place])
+            return md5_numbers(sources[row], self.ends[place], tail=self.tail)
         sizes = np.searchsorted(_TENS, sources, "right")
-        before = _digits(sources, sizes, 0, ord("|"))
+        before = _digits(sources, sizes, 0, b"|")
         shape = (sizes * 20)[row] + self.sizes[place]
         out = np.empty(len(place), np.int64)
         for one in np.flatnonzero(np.bincount(shape)).tolist():
-            n, size = one // 20, one // 20 + 1 + one % 20
+            n, size = one // 20, one // 20 + 1 + one % 20 + len(self.end)
             if n not in self.words:
-                self.words[n] = _digits(self.ends, self.sizes, n + 1, 0x80)
+                self.words[n] = _digits(self.ends, self.sizes, n + 1, self.end + b"\x80")
             after, at = self.words[n], np.flatnonzero(shape == one)
             for k in range(0, len(at), stretch):
                 some = at[k : k + stretch]

@@ -109,7 +109,9 @@ def feed_forward_head(spark, sf_dir):
 
 
 def _interaction_training(spark, sf_dir):
-    n, e = users(spark, sf_dir)
+    # written once, since each reading of the interactions sorts all events by time
+    e = cut(users(spark, sf_dir)[1].select("src", "dst", "timestamp_from"))
+    n = cut(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct())
     x = E.seeded_vectors(n, 8)
     f = cut(G.hop_features(e, x, 2))
     size = int(n.agg(F.max("id")).first()[0]) + 1
@@ -130,9 +132,8 @@ def combi_embed(spark, sf_dir):
     """M12 (temporal), M13: shared features, a head on walk contexts and one on partners in time, concatenated."""
     n, e, f, size = _interaction_training(spark, sf_dir)
     topo = G.fit_pairs(S.end_pairs(S.walk(n, e, 4), 2), f, size, G.Train(dim=4, epochs=3))
-    t = e.select(F.col("src").alias("node"), F.col("timestamp_from").alias("ts")).distinct()
-    near = window_partners(t, t, (0, 600)).where("node <> partner").select(F.col("node").alias("src"), F.col("partner").alias("dst")).distinct()
-    tempo = G.fit_pairs(near, f, size, G.Train(dim=4, epochs=3, objective="hinge"))
+    t = e.select(F.col("src").alias("node"), F.col("timestamp_from").alias("ts"))
+    tempo = G.fit_near(t, (0, 600), f, size, G.Train(dim=4, epochs=3, objective="hinge"))
     return G.combined(f, topo, tempo, Combine.CONCAT).select("id", F.size("z").alias("dim"))
 
 
