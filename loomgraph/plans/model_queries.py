@@ -134,7 +134,8 @@ def combi_embed(spark, sf_dir):
     topo = G.fit_pairs(S.end_pairs(S.walk(n, e, 4), 2), f, size, G.Train(dim=4, epochs=3))
     t = e.select(F.col("src").alias("node"), F.col("timestamp_from").alias("ts"))
     tempo = G.fit_near(t, (0, 600), f, size, G.Train(dim=4, epochs=3, objective="hinge"))
-    return G.combined(f, topo, tempo, Combine.CONCAT).select("id", F.size("z").alias("dim"))
+    out = G.combined(f, topo, tempo, Combine.CONCAT)
+    return out.select("id", F.size("z").alias("dim"), *[F.round(F.col("z")[i], 6).alias(f"z{i}") for i in range(8)])
 
 
 @query()
